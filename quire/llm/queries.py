@@ -4,14 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import simhash
+from quire.llm import langid, lines, mixing, pieces, simhash
 from quire.plans.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pieces.encode(docs, keep=("doc_id", "text"), n=4)
+    best = F.get("nbest", F.lit(0))
+    return found.select(
+        "doc_id",
+        best["n_pieces"].alias("n_pieces"),
+        best["score"].alias("score"),
+        best["sha256"].alias("ids_sha256"),
+        "nbest",
+        (pieces.decoded(F.col("ids")) == F.replace("text", F.lit(pieces.SPACE), F.lit(" "))).alias("round_trip"),
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
-ORACLE: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
+ORACLE = {"op7_line_dedup": lines.SQL}
