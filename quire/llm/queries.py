@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, lines, mixing, pieces, simhash, urls, warc
+from quire.llm import ann, binary, langid, lines, mixing, pieces, simhash, urls, warc
 from quire.plans.session import table
 
 
@@ -22,6 +22,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", binary.sign_code(F.col("embedding")).alias("code"))
+    return binary.search(rows, F.col("vec_id") % 100 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -32,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)[0]
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -52,5 +61,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
-ORACLE = {"op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
+QUERIES = {"op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
+ORACLE = {"op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
