@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import ann, binary, langid, lines, mixing, pieces, simhash, urls, warc
+from quire.llm import ann, binary, factors, langid, lines, mixing, pieces, simhash, urls, warc
 from quire.plans.session import table
 
 
@@ -57,9 +57,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.factored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
-ORACLE = {"op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
+QUERIES = {"op9_substrings": op9_substrings, "op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
+ORACLE = {"op9_substrings": factors.SQL, "op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
