@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.plans.materialize import written
+
 RATIO = 0.1
 MIN_PAGES = 5
 
@@ -39,7 +41,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     empty text has one blank line. Repeated rows are pages of their own. All other columns stay, except
     that ones named n_lines, n_dropped, _bad or _host are replaced or must not exist.
     """
-    marks = boilerplate(docs, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
+    # a table of known size: Spark sees whether it can be sent to the texts instead of moving them
+    marks = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
     joined = docs.join(marks, F.col(host).eqNullSafe(F.col("_host")), "left")
     bad = F.coalesce("_bad", F.array().cast("array<struct<x:bigint,y:bigint>>"))
     kept = F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))
