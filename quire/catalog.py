@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.plans.session import table
-from quire.queries import ORACLE, QUERIES, query
+from quire.queries import ORACLE, QUERIES
+from quire.registered import text as _text  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
