@@ -34,8 +34,8 @@ def error_context(lines: DataFrame, is_error) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("pos")
     at = F.nullif(F.regexp_extract("line", r"l\.([0-9]+)", 1), F.lit(""))
     file = F.nullif(F.regexp_extract("line", r"\(([^ \t]+\.tex)", 1), F.lit(""))
-    out = lines.withColumns({"at": F.first(at, True).over(order.rowsBetween(1, 4)), "file": F.last(file, True).over(order.rowsBetween(-10, -1))})
-    return out.where(is_error).select("doc_id", "pos", "at", "file")
+    out = lines.withColumns({"line_no": F.first(at, True).over(order.rowsBetween(1, 4)), "file": F.last(file, True).over(order.rowsBetween(-10, -1))})
+    return out.where(is_error).select("doc_id", "pos", "line_no", "file")
 
 
 def regions(lines: DataFrame, is_heading) -> DataFrame:
@@ -46,13 +46,13 @@ def regions(lines: DataFrame, is_heading) -> DataFrame:
     return marked.groupBy("doc_id", "region").agg(F.max(F.when(F.col("h"), F.col("line"))).alias("heading"), body.alias("body"))
 
 
-def repeated_margins(lines: DataFrame, page: str, doc: str, edge: int = 2, longest: int = 120) -> DataFrame:
+def repeated_margins(lines: DataFrame, page: str, doc: str, edge: int = 2, longest: int = 120, share: int = 2) -> DataFrame:
     """Lines of pages of a document without running heads and feet: of the first and last `edge` non-empty lines under
-    `longest` characters, those on at least max(2, pages // 2) pages are removed wherever they stand."""
+    `longest` characters, those on at least max(2, pages // share) pages are removed wherever they stand."""
     full = lines.where(F.trim("line") != "")
     up, down = W.partitionBy(page).orderBy("pos"), W.partitionBy(page).orderBy(F.desc("pos"))
     edges = full.withColumns({"a": F.row_number().over(up), "b": F.row_number().over(down)}).where((F.least("a", "b") <= edge) & (F.length(F.trim("line")) < longest))
     pages = lines.groupBy(doc).agg(F.count_distinct(page).alias("pages"))
     often = edges.select(doc, page, F.trim("line").alias("bare")).distinct().groupBy(doc, "bare").agg(F.count("*").alias("n")).join(pages, doc)
-    bad = often.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 2))).select(doc, "bare")
+    bad = often.where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("pages") / share))).select(doc, "bare")
     return lines.withColumn("bare", F.trim("line")).join(bad, [doc, "bare"], "left_anti").drop("bare")
