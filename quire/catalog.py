@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.plans.session import table
 from quire.queries import ORACLE, QUERIES
-from quire.registered import jobs as _jobs, relational as _relational, search_graph as _search_graph, text as _text  # noqa: F401
+from quire.registered import jobs as _jobs, relational as _relational, search_graph as _search_graph, streams as _streams, text as _text  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
