@@ -15,6 +15,7 @@ and only for the first place of each.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from quire.plans.materialize import written
 
 PHRASE, RUN = 20, 5
-CACHE_WORDS = 300_000
+#: Bytes that are hashed at once, and phrases that are looked at at once.
+HASH_BYTES, STEP = 1 << 20, 1 << 19
 _U = np.uint64
 #: Odd multipliers.
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -39,16 +41,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Words(dict):
-    """64-bit hashes of words, a bounded cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 9)
-        return h
-
-
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2^64."""
 
@@ -62,7 +54,11 @@ class _Powers:
         return self.rows
 
 
-_P1, _P2 = _Powers(_B1), _Powers(_B2)
+_P1, _P2, _PB = _Powers(_B1), _Powers(_B2), _Powers(_B1)
+#: A 64-bit number for each byte, and which bytes are white space.
+_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(_B2))
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def _ranges(x: np.ndarray, powers: _Powers, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,41 +68,101 @@ def _ranges(x: np.ndarray, powers: _Powers, a: np.ndarray, b: np.ndarray) -> np.
     return _mix((sums[b] - sums[a]) * down[a])
 
 
-def _stretches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of a document of at least PHRASE words: its hash, its stretch's hash, the first phrase and how many phrases."""
-    n = len(x) - RUN + 1
-    grams = x[:n] * _U(_RUN_FACTORS[0])
-    for k in range(1, RUN):
-        grams = grams + x[k : k + n] * _U(_RUN_FACTORS[k])
-    grams = _mix(grams)
+def _slices(raw: bytes) -> Iterator[bytes]:
+    """raw in pieces of about HASH_BYTES that end at white space."""
+    at = 0
+    while at < len(raw):
+        gap = _GAP.search(raw, at + HASH_BYTES) if at + HASH_BYTES < len(raw) else None
+        to = gap.start() if gap else len(raw)
+        yield raw[at:to]
+        at = to
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and a 64-bit hash of each."""
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate([[0], (~_SPACE[b]).view(np.int8), [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _PB.upto(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[b] * up[: len(b)], dtype=_U)])
+    return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
+def _hashes(text: str) -> np.ndarray:
+    parts = [_word_hashes(piece)[1] for piece in _slices(text.encode("utf-8", "surrogatepass"))]
+    return np.concatenate(parts) if parts else np.zeros(0, _U)
+
+
+def _stretches(x: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each anchor of a run of documents: its hash, its stretch's hash, the first phrase and how many phrases.
+
+    x: hashes of the documents' words, one after the other; last: for each word, where its document ends. A stretch that is cut by the
+    bound on phrases looked at at once is two, which costs a comparison of its phrases, not a match.
+    """
     width = PHRASE - RUN + 1
-    at = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(x) - PHRASE + 1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.concatenate([first, [len(at)]]))
-    stretch = _ranges(x, _P1, first, first + count + PHRASE - 1) ^ _mix((count * 64 + at[first] - first).astype(_U))
-    return grams[at[first]], stretch, first, count
+    for lo in range(0, len(x) - PHRASE + 1, STEP):
+        own = x[lo : lo + STEP + PHRASE - 1]
+        grams = own[: len(own) - RUN + 1] * _U(_RUN_FACTORS[0])
+        for k in range(1, RUN):
+            grams = grams + own[k : k + len(grams)] * _U(_RUN_FACTORS[k])
+        grams = _mix(grams)
+        low = (grams & _U(2**64 - 2**20)) | np.arange(len(grams), dtype=_U)  # the least hash, then the first place
+        for k in (1, 2, 4, 8):
+            low = np.minimum(low[:-k], low[k:])
+        assert width == 16
+        at = (low & _U(2**20 - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.arange(lo + PHRASE, lo + PHRASE + len(at)) <= last[lo : lo + len(at)])
+        if not len(starts):
+            continue
+        at = at[starts]
+        opens = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        count = np.diff(np.concatenate([opens, [len(at)]]))
+        first, anchor = starts[opens], at[opens]
+        stretch = _ranges(own, _P1, first, first + count + PHRASE - 1) ^ _mix((count * 64 + anchor - first).astype(_U))
+        yield grams[anchor], stretch, first + lo, count
 
 
 def _split(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
 
 
-def _hashes(words: list[bytes], known: _Words) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), _U, len(words))
+def _groups(docs: np.ndarray, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents together up to HASH_BYTES: (ids, hashes of all words, words of each document); a longer one is alone."""
+    ids, raws, size = [], [], 0
+
+    def flush() -> Iterator[tuple]:
+        if not ids:
+            return
+        starts, x = _word_hashes(b"\n".join(raws))
+        edges = np.cumsum([0] + [len(r) + 1 for r in raws])
+        yield np.array(ids), x, np.diff(np.searchsorted(starts, edges))
+
+    for doc, text in zip(docs, texts, strict=True):
+        if not isinstance(text, str):
+            continue
+        raw = text.encode("utf-8", "surrogatepass")
+        if len(raw) >= HASH_BYTES:
+            x = _hashes(text)
+            yield np.array([doc]), x, np.array([len(x)])
+            continue
+        if size + len(raw) > HASH_BYTES:
+            yield from flush()
+            ids, raws, size = [], [], 0
+        ids.append(doc)
+        raws.append(raw)
+        size += len(raw) + 1
+    yield from flush()
 
 
 def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Words()
     for p in parts:
-        out: list[tuple] = []
-        for doc, text in zip(p["doc_id"].to_numpy(), p["text"], strict=True):
-            words = _split(text)
-            if len(words) >= PHRASE:
-                g, c, first, count = _stretches(_hashes(words, known))
-                out.append((g, c, np.full(len(g), doc), first, count))
-        if out:
-            g, c, doc, first, count = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pd.DataFrame({"anchor": g.view(np.int64), "stretch": c.view(np.int64), "doc": doc.astype(np.int64), "first": first.astype(np.int32), "count": count.astype(np.int32)})
+        for ids, x, lengths in _groups(p["doc_id"].to_numpy(np.int64), p["text"]):
+            ends = np.cumsum(lengths)
+            of = np.repeat(np.arange(len(ids)), lengths)
+            for g, c, first, count in _stretches(x, np.repeat(ends, lengths)):
+                doc = of[first]
+                local = first - (ends - lengths)[doc]
+                yield pd.DataFrame({"anchor": g.view(np.int64), "stretch": c.view(np.int64), "doc": ids[doc], "first": local.astype(np.int32), "count": count.astype(np.int32)})
 
 
 def _finish(words: list[bytes], starts: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple:
@@ -144,7 +200,7 @@ def _ints(x) -> np.ndarray:
 
 def _judge_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their stretches: done ones leave with their result, the others with the hashes of the phrases still to be compared."""
-    known, names = _Words(), [x.split()[0] for x in _OPEN.split(", ")]
+    names = [x.split()[0] for x in _OPEN.split(", ")]
     for p in parts:
         rows = []
         for doc, text, first, count, ref_doc, ref_start in zip(p["doc_id"], p["text"], p["firsts"], p["counts"], p["ref_docs"], p["ref_firsts"], strict=True):
@@ -156,7 +212,7 @@ def _judge_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((doc, *_finish(words, starts, docs, refs), *[None] * 7))
                 continue
             opens, _, _ = _spread(first[own], count[own], ref_doc[own], ref_start[own], len(words))
-            x = _hashes(words, known)
+            x = _hashes(text)
             hx, hy = _ranges(x, _P1, opens, opens + PHRASE), _ranges(_mix(x), _P2, opens, opens + PHRASE)
             rows.append((doc, len(words), None, None, None, text, starts, docs, refs, opens, hx.view(np.int64), hy.view(np.int64)))
         out = pd.DataFrame(rows, columns=names)
@@ -186,11 +242,12 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     named = base.where("doc_id is not null and text is not null")
     anchors = named.mapInPandas(_anchor_rows, "anchor long, stretch long, doc long, first int, count int")
     again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = written(again, "again")  # as a table, so that a join with many rows of one key can be split
     shared = written(anchors.join(again, "anchor"), "anchors")
     kinds = shared.groupBy("anchor", "stretch").agg(F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("n"))
     kinds = written(kinds, "stretches")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("mixed"))
-    kinds = kinds.join(mixed, "anchor", "left").where("n > 1 or mixed")
+    kinds = kinds.join(written(mixed, "mixed"), "anchor", "left").where("n > 1 or mixed")
     place = F.struct("doc", "first")
     told = shared.join(kinds.select("anchor", "stretch", "at", "mixed"), ["anchor", "stretch"]).where((place != F.col("at")) | F.coalesce("mixed", F.lit(False)))
     # a later place of a stretch refers to its first; the first place itself is open (-1) if other stretches share its anchor
@@ -202,6 +259,7 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     undone = judged.where("open_starts is not null")
     phrases = undone.select("doc_id", F.explode(F.arrays_zip("open_starts", "open_x", "open_y")).alias("p")).select("doc_id", F.col("p.open_starts").alias("start"), F.col("p.open_x").alias("x"), F.col("p.open_y").alias("y"))
     firsts = phrases.groupBy("x", "y").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1").select("x", "y", "at")
+    firsts = written(firsts, "firsts")
     more = phrases.join(firsts, ["x", "y"]).where(F.struct("doc_id", "start") != F.col("at")).select(F.col("doc_id").alias("doc"), F.struct("start", F.col("at.doc_id").alias("d"), F.col("at.start").alias("s")).alias("p"))
     more = more.groupBy("doc").agg(F.collect_list("p").alias("p")).select("doc", F.col("p.start").alias("more_starts"), F.col("p.d").alias("more_docs"), F.col("p.s").alias("more_refs"))
     closed = undone.select("doc_id", "text", "starts", "ref_docs", "ref_starts").join(more, undone["doc_id"] == more["doc"], "left").drop("doc").mapInPandas(_close_rows, _RESULT)
