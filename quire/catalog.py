@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans.session import table
 from quire.queries import ORACLE, QUERIES
 from quire.registered import jobs as _jobs, relational as _relational, search_graph as _search_graph, streams as _streams, text as _text  # noqa: F401
 
@@ -12,4 +11,5 @@ __all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs"))
+    """Hybrid passage search: lexical and vector candidates of every query, fused."""
+    return QUERIES["ret4_hybrid_passages"](spark, sf_dir)
