@@ -5,27 +5,44 @@ space, one put before the text). A forward Viterbi pass gives the best score fro
 every position; these are exact heuristics for an A* search from the end backwards, which hands out
 segmentations from best to worst.
 
-No piece holds a `▁` after another character and none holds a line break, so every path of the
-lattice goes through the cuts there. The search therefore runs on cells between cuts, each distinct
-cell once a worker; a text's N best are the N best sums over its cells, and only the N - 1 cells
-whose second segmentation costs least can differ in them.
+No piece holds a `▁` after another character, a line break among others, or letters next to other
+characters than `▁`, so every path of the lattice goes through the cuts there. The search therefore runs on
+cells between cuts; a text's N best are the N best sums over its cells, and only the N - 1 cells whose second
+segmentation costs least can differ in them. The Viterbi passes, forwards and backwards, run on all distinct
+cells of equal length at once in arrays and give each cell's best path and the cost of its second; A* then runs
+on the few cells that can differ. Equal scores go to the longer last piece, in the arrays as in A*.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_CELLS = 400_000
+#: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
+CACHE_CELLS, TOGETHER, LONGEST = 200_000, 2_000_000, 32
 UNKNOWN_COST = 10.0
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _codes(cells: list[str]) -> np.ndarray:
+    """Code points of texts of equal length, a row each."""
+    return np.frombuffer("".join(cells).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(cells), -1)
+
+
+def _spread(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each code point."""
+    x = (codes.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U(32))) * _U(0xFF51AFD7ED558CCD)
+    return x ^ (x >> _U(29))
 
 
 class Lattice:
@@ -50,13 +67,106 @@ class Lattice:
             raise ValueError("the model needs pieces for all bytes")
         self.unknown = low - UNKNOWN_COST
         self.prefixes = {p[:n]: None for p in self.table for n in range(1, len(p) + 1)} | self.table
-        if any(re.search(f"[^{SPACE}]{SPACE}|\n.|.\n", p, re.S) for p in self.table):
-            raise ValueError("pieces cross the cuts at spaces or line breaks")
-        self.cells = re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+        if any(regex.search(rf"[^{SPACE}]{SPACE}|\n.|.\n|\p{{L}}[^\p{{L}}]|[^\p{{L}}{SPACE}]\p{{L}}", p, regex.S) for p in self.table):
+            raise ValueError("pieces cross the cuts at spaces, line breaks or letters")
+        self.cells = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}\n]+|\n|{SPACE}+")
+        self._index()
         self.raw = {k: p.encode() for k, p in self.texts.items()} | {k: bytes([b]) for b, k in self.bytes_of.items()}
         self.best: dict[str, tuple] = {}
         self.several: dict[tuple, list] = {}
 
+    def _index(self) -> None:
+        """Pieces by the hash of their characters, in a table of slots and a second one for pieces whose slot is taken."""
+        self.longest = max(map(len, self.table))
+        self.powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(self.longest, _BASE, _U)]), dtype=_U)
+        self.hashes, self.scores, self.ids = np.zeros(len(self.table) + 1, _U), np.full(len(self.table) + 1, -np.inf), np.full(len(self.table) + 1, -1, np.int32)
+        rest, self.slots = [], np.zeros((2, 1 << 20), np.int32)
+        for n, (piece, (score, k)) in enumerate(self.table.items(), 1):
+            h = int((_spread(_codes([piece]))[0] * self.powers[: len(piece)]).sum(dtype=_U))
+            self.hashes[n], self.scores[n], self.ids[n] = h, score, k
+            if self.slots[0, h >> 44]:
+                rest.append(n)
+            else:
+                self.slots[0, h >> 44] = n
+        if len(set(self.hashes.tolist())) <= len(self.table):
+            raise ValueError("two pieces have one hash")
+        # the bits of the second slot are the first that tell the remaining pieces apart
+        self.shift = next(k for k in range(44) if len({int(self.hashes[n]) >> k & 0xFFFFF for n in rest}) == len(rest))
+        for n in rest:
+            self.slots[1, int(self.hashes[n]) >> self.shift & 0xFFFFF] = n
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The row of the piece with each hash, 0 if none."""
+        one = self.slots[0][(h >> _U(44)).astype(np.int64)]
+        two = self.slots[1][(h >> _U(self.shift) & _U(0xFFFFF)).astype(np.int64)]
+        return np.where(self.hashes[one] == h, one, np.where(self.hashes[two] == h, two, 0))
+
+    def learn(self, cells: list[str]) -> None:
+        """Puts the best segmentation of each cell, and what its second costs more, into `best`."""
+        by_length: dict[int, list[str]] = {}
+        for c in cells:
+            by_length.setdefault(len(c), []).append(c)
+        for n, same in by_length.items():
+            for at in range(0, len(same), 8192):
+                some = same[at : at + 8192]
+                if n > LONGEST or len(some) < 4:
+                    for c in some:
+                        self._learn_one(c)
+                else:
+                    self._learn_many(some, n)
+
+    def _learn_one(self, cell: str) -> None:
+        two = self.search(cell, 2)
+        self.best[cell] = (two[0][0], two[0][1], two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
+
+    def _learn_many(self, cells: list[str], n: int) -> None:
+        m = _spread(_codes(cells))
+        count = len(cells)
+        ahead, start, piece = np.full((n + 1, count), -np.inf), np.zeros((n + 1, count), np.int16), np.full((n + 1, count), -1, np.int32)
+        ahead[0] = 0.0
+        arcs = []
+        for i in range(n):
+            h = np.zeros(count, _U)
+            for k in range(min(self.longest, n - i)):
+                h = h + m[:, i + k] * self.powers[k]
+                row = self._find(h)
+                gain = self.scores[row]
+                if k == 0:  # a character without a piece becomes its bytes
+                    gain = np.where(row == 0, self.unknown, gain)
+                elif not row.any():
+                    continue
+                j, total = i + k + 1, ahead[i] + gain
+                better = total > ahead[j]
+                ahead[j] = np.where(better, total, ahead[j])
+                start[j] = np.where(better, i, start[j])
+                piece[j] = np.where(better, self.ids[row], piece[j])
+                arcs.append((i, j, gain))
+        behind = np.full((n + 1, count), -np.inf)
+        behind[n] = 0.0
+        for i, j, gain in reversed(arcs):
+            behind[i] = np.maximum(behind[i], gain + behind[j])
+        on = np.zeros((n + 1, count), bool)
+        on[n] = True
+        every = np.arange(count)
+        for j in range(n, 0, -1):
+            rows = every[on[j]]
+            on[start[j, rows], rows] = True
+        second = np.full(count, -np.inf)
+        for i, j, gain in arcs:
+            other = ~(on[j] & (start[j] == i))
+            second = np.maximum(second, np.where(other, ahead[i] + gain + behind[j], -np.inf))
+        taken = on[1:].T
+        flat, sizes = piece[1:].T[taken], taken.sum(axis=1)
+        ends = np.cumsum(sizes)
+        raw, lows, highs = flat.tobytes(), ((ends - sizes) * 4).tolist(), (ends * 4).tolist()
+        unknown = np.zeros(count, bool)
+        unknown[np.repeat(every, sizes)[flat < 0]] = True
+        for c, score, lo, hi, loss, odd in zip(cells, ahead[n].tolist(), lows, highs, (ahead[n] - second).tolist(), unknown.tolist(), strict=True):
+            if odd:
+                self._learn_one(c)
+            else:
+                self.best[c] = (score, raw[lo:hi], loss)
+
     def _lattice(self, cell: str) -> tuple[list, list]:
         """Viterbi scores of all positions, and the arcs that end at each: (start, score, ids)."""
         n, look = len(cell), self.prefixes
@@ -101,42 +211,47 @@ class Lattice:
                 heapq.heappush(queue, (-(total + score[start]), start, count, start, total, (start, k, tail)))
         return out
 
-    def cell(self, cell: str) -> tuple[float, bytes, float]:
-        """Best score and ids of a cell, and what its second segmentation costs more (inf: it has one only)."""
-        hit = self.best.get(cell)
-        if hit is None:
-            if len(self.best) >= CACHE_CELLS:
-                self.best.clear()
-            two = self.search(cell, 2)
-            hit = self.best[cell] = (two[0][0], two[0][1], two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
-        return hit
-
     def alternatives(self, cell: str, n: int) -> list[tuple[float, bytes]]:
         hit = self.several.get((cell, n))
         if hit is None:
-            if len(self.several) >= CACHE_CELLS // 8:
+            if len(self.several) >= CACHE_CELLS // 4:
                 self.several.clear()
             hit = self.several[cell, n] = self.search(cell, n)
         return hit
 
+    def encode_all(self, texts: list[str], n: int = 1) -> Iterator[list[tuple[float, list[bytes]]]]:
+        """encode() of several texts; their cells are learned together."""
+        split = [self.cells.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = {c for cells in split for c in cells if c not in self.best}
+        if len(self.best) + len(new) > CACHE_CELLS:
+            self.best.clear()
+            new = {c for cells in split for c in cells}
+        self.learn(sorted(new))
+        for cells in split:
+            yield self._segmentations(cells, n)
+
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[bytes]]]:
-        """The n best segmentations of a whole text: (score, ids of each cell). An empty text has one, without pieces."""
-        if not text:
+        """The n best segmentations of a whole text: (score, ids of each cell as int32 bytes). An empty text has one, without pieces."""
+        return next(self.encode_all([text], n))
+
+    def _segmentations(self, cells: list[str], n: int) -> list[tuple[float, list[bytes]]]:
+        if not cells:
             return [(0.0, [])]
-        cells = self.cells.findall(SPACE + text.replace(" ", SPACE))
-        found = [self.best.get(c) or self.cell(c) for c in cells]
-        total, ids = sum(f[0] for f in found), [f[1] for f in found]
+        scores, ids, losses = zip(*map(self.best.__getitem__, cells), strict=True)
+        total = sum(scores)
         if n == 1:
-            return [(total, ids)]
+            return [(total, list(ids))]
         # sums: {cell number: choice} and what they cost, least cost first
         combined: list = [(0.0, ())]
-        for at in sorted(heapq.nsmallest(n - 1, range(len(cells)), key=lambda k: (found[k][2], k))):
+        loss = np.array(losses)
+        near = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if len(loss) > n else np.arange(len(loss))
+        for at in sorted(near[np.argsort(loss[near], kind="stable")][: n - 1].tolist()):
             options = self.alternatives(cells[at], n)
             grown = [(cost + options[0][0] - s, (*picked, (at, k)) if k else picked) for cost, picked in combined for k, (s, _) in enumerate(options)]
             combined = heapq.nsmallest(n, grown)
         out = []
         for cost, picked in combined:
-            changed = list(ids) if picked else ids
+            changed = list(ids)
             for at, k in picked:
                 changed[at] = self.alternatives(cells[at], n)[k][1]
             out.append((total - cost, changed))
@@ -158,31 +273,43 @@ def lattice(model: str = MODEL) -> Lattice:
     return _lattices[model]
 
 
-def encode(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, keep: tuple = ("doc_id",)) -> DataFrame:
-    """docs -> the `keep` columns, ids (the best segmentation) and nbest: array of (score, n_pieces, sha256 of its little-endian int32 ids), best first.
+def encode(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL, keep: tuple = ("doc_id",), ids: bool = True) -> DataFrame:
+    """docs -> the `keep` columns, ids (the best segmentation), nbest: array of (score, n_pieces, sha256 of its little-endian int32 ids), best
+    first, and round_trip: whether decoding the ids gives the text back.
 
-    A null text gives null ids and null nbest; an empty text one segmentation without pieces. A `▁` in a
-    text is read as a space, as SentencePiece does. Texts are encoded whole; fewer than n entries mean that there are no more.
+    A null text gives null in all three; an empty text has one segmentation without pieces. A `▁` in a text is read
+    as a space, as SentencePiece does. Texts are encoded whole; fewer than n entries mean that there are no more. Without
+    `ids` that column is null, which spares moving it.
     """
 
-    @F.pandas_udf("ids array<int>, nbest array<struct<score:double,n_pieces:int,sha256:string>>")
+    @F.pandas_udf("ids array<int>, nbest array<struct<score:double,n_pieces:int,sha256:string>>, round_trip boolean")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         units = lattice(model)
         for s in texts:
-            rows = []
-            for t in s:
-                if not isinstance(t, str):
-                    rows.append((None, None))
-                    continue
-                found, best = [], None
-                for score, cells in units.encode(t, n):
-                    raw = b"".join(cells)
-                    best = np.frombuffer(raw, np.int32) if best is None else best
-                    found.append({"score": score, "n_pieces": len(raw) // 4, "sha256": hashlib.sha256(raw).hexdigest()})
-                rows.append((best, found))
-            yield pd.DataFrame(rows, columns=["ids", "nbest"])
-
-    return docs.select(*keep, of(F.col(text)).alias("_e")).select(*keep, "_e.ids", "_e.nbest")
+            rows: list = [(None, None, None)] * len(s)
+            for some in _together(s):
+                for k, found in zip(some, units.encode_all([s.iat[k] for k in some], n), strict=True):
+                    raws = [b"".join(cells) for _, cells in found]
+                    best = np.frombuffer(raws[0], np.int32)
+                    nbest = [{"score": score, "n_pieces": len(raw) // 4, "sha256": hashlib.sha256(raw).hexdigest()} for (score, _), raw in zip(found, raws, strict=True)]
+                    rows[k] = (best if ids else None, nbest, units.decode(best.tolist()) == s.iat[k].replace(SPACE, " "))
+            yield pd.DataFrame(rows, columns=["ids", "nbest", "round_trip"])
+
+    return docs.select(*keep, of(F.col(text)).alias("_e")).select(*keep, "_e.ids", "_e.nbest", "_e.round_trip")
+
+
+def _together(s: pd.Series) -> Iterator[list[int]]:
+    """Positions of texts of about TOGETHER characters in all; nulls are left out."""
+    some, size = [], 0
+    for k, t in enumerate(s):
+        if isinstance(t, str):
+            some.append(k)
+            size += len(t)
+            if size >= TOGETHER:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
