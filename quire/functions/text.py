@@ -52,7 +52,7 @@ VENUES = (
 )
 
 
-def _once(x: Column, f) -> Column:
+def once(x: Column, f) -> Column:
     """f(x) with x evaluated once."""
     return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
 
@@ -110,7 +110,7 @@ def semantic_role(heading: Column) -> Column:
             out = F.when(plain.rlike("|".join(signs)), F.lit(role)).otherwise(out)
         return out
 
-    return _once(normalized_title(heading), of)
+    return once(normalized_title(heading), of)
 
 
 def token_estimate(x: Column) -> Column:
@@ -186,7 +186,7 @@ STYLES = "icml|nips|neurips|cvpr|iccv|eccv|aaai|ijcai|acl|emnlp|naacl|coling|sig
 
 def year_of(x: Column) -> Column:
     """struct<year, place>: the first that holds of eight places in markup, from the explicit year to the preprint id."""
-    return _once(x, _year_places)
+    return once(x, _year_places)
 
 
 def _year_places(x: Column) -> Column:
@@ -211,9 +211,12 @@ def _year_places(x: Column) -> Column:
 def infer_year(x: Column, first: int = 2017) -> Column:
     """The most frequent year from `first` on among 20[12]d mentions; equal counts go to the one seen first."""
     years = F.regexp_extract_all(x, F.lit(r"\b(20[12][0-9])\b"))
-    recent = F.filter(F.transform(years, lambda y: y.cast("int")), lambda y: y >= first)
-    scored = F.transform(F.array_distinct(recent), lambda y: F.struct(F.size(F.filter(recent, lambda z: z == y)).alias("n"), (-F.array_position(recent, y)).alias("at"), y.alias("year")))
-    return F.array_max(scored)["year"]
+
+    def best(recent: Column) -> Column:
+        scored = F.transform(F.array_distinct(recent), lambda y: F.struct(F.size(F.filter(recent, lambda z: z == y)).alias("n"), (-F.array_position(recent, y)).alias("at"), y.alias("year")))
+        return F.array_max(scored)["year"]
+
+    return once(F.filter(F.transform(years, lambda y: y.cast("int")), lambda y: y >= first), best)
 
 
 def detect_venue(x: Column) -> Column:
@@ -223,7 +226,7 @@ def detect_venue(x: Column) -> Column:
             out = F.when(head.rlike(pattern), F.lit(venue)).otherwise(out)
         return out
 
-    return _once(F.lower(F.substring(x, 1, 5000)), of)
+    return once(F.lower(F.substring(x, 1, 5000)), of)
 
 
 def arxiv_id(x: Column) -> Column:

@@ -212,8 +212,8 @@ def classify(papers: DataFrame, taxonomy: list[tuple[str, str, str]], hints: dic
     domains = list(dict.fromkeys(t[0] for t in taxonomy))
     subs = list(dict.fromkeys((t[0], t[1]) for t in taxonomy))
     table = F.array(*[F.struct(F.lit(domains.index(d)).alias("d"), F.lit(subs.index((d, s))).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (d, s, k) in enumerate(taxonomy)])
-    low = F.lower("text")
-    hits = papers.select("doc_id", F.lower(F.coalesce("venue", F.lit(""))).alias("venue"), F.filter(table, lambda t: F.contains(low, t["k"])).alias("hits"))
+    found = T.once(F.lower("text"), lambda low: F.filter(table, lambda t: F.contains(low, t["k"])))
+    hits = papers.select("doc_id", F.lower(F.coalesce("venue", F.lit(""))).alias("venue"), F.coalesce(found, F.filter(table, lambda t: F.lit(False))).alias("hits"))
     hint = F.lit(-1)
     for v, d in (hints or {}).items():
         hint = F.when(F.col("venue") == v.lower(), F.lit(domains.index(d))).otherwise(hint)
@@ -326,8 +326,8 @@ def enrich_metadata(papers: DataFrame, feed: DataFrame) -> DataFrame:
 
 def on_topics(papers: DataFrame, topics: list[str]) -> DataFrame:
     """papers(title, abstract, ...) once for every topic whose text stands in title or abstract (any case)."""
-    low = F.lower(F.concat_ws("\n", "title", "abstract"))
-    return papers.withColumn("topic", F.explode(F.filter(F.array(*[F.lit(t.lower()) for t in topics]), lambda t: F.contains(low, t))))
+    wanted = F.array(*[F.lit(t.lower()) for t in topics])
+    return papers.withColumn("topic", F.explode(T.once(F.lower(F.concat_ws("\n", "title", "abstract")), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))))
 
 
 def survey_report(papers: DataFrame, topics: list[str]) -> DataFrame:

@@ -26,9 +26,16 @@ def resolve_ids(queries: DataFrame, ids: DataFrame, titles: DataFrame) -> DataFr
 
 
 def grams(text: Column, n: int) -> Column:
-    """All runs of n words of a blank-separated text."""
-    words = F.split(text, " ")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n words of a blank-separated text: shifted copies of its words, put together position by position."""
+
+    def runs(words: Column) -> Column:
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        out = F.slice(words, F.lit(1), count)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(words, F.lit(k + 1), count), lambda a, b: F.concat_ws(" ", a, b))
+        return out
+
+    return T.once(F.split(text, " "), runs)
 
 
 def contained_titles(texts: DataFrame, titles: DataFrame, least: int = 24) -> DataFrame:
@@ -39,15 +46,26 @@ def contained_titles(texts: DataFrame, titles: DataFrame, least: int = 24) -> Da
     titles are blocked by their longest inner word, and ones of one or two words by equal prefixes of six characters at every place.
     """
     words = F.split("norm", " ")
-    long = titles.where((F.length("norm") >= least) & (F.size(words) >= 5)).select("title_id", F.col("norm").alias("title"), F.array_join(F.slice(words, 2, 3), " ").alias("block"))
-    mid = titles.where((F.length("norm") >= least) & F.size(words).between(3, 4)).select("title_id", F.col("norm").alias("title"), F.get(words, F.lit(1)).alias("block"))
-    tiny = titles.where((F.length("norm") >= least) & (F.size(words) <= 2)).select("title_id", F.col("norm").alias("title"), F.substring("norm", 1, 6).alias("block"))
+    fit = titles.where(F.length("norm") >= least).select("title_id", F.col("norm").alias("title"), words.alias("w"), F.size(words).alias("n"))
     text = texts.select("text_id", "norm")
-    a = text.withColumn("block", F.explode(F.array_distinct(grams(F.col("norm"), 3)))).join(long, "block")
-    b = text.withColumn("block", F.explode(F.array_distinct(words))).join(mid, "block")
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 5)), lambda i: F.substring(F.col("norm"), i, F.lit(6)))
-    c = text.withColumn("block", F.explode(F.array_distinct(places))).join(tiny, "block")
-    met = a.unionByName(b).unionByName(c)
+
+    def places() -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 5)), lambda i: F.substring(F.col("norm"), i, F.lit(6)))
+
+    # how a title of so many words is blocked, and the blocks of a text for it
+    kinds = (
+        (F.col("n") >= 5, F.array_join(F.slice("w", 2, 3), " "), lambda: grams(F.col("norm"), 3)),
+        (F.col("n").between(3, 4), F.get("w", F.lit(1)), lambda: words),
+        (F.col("n") <= 2, F.substring("title", 1, 6), places),
+    )
+    has = fit.agg(*[F.count_if(c).alias(f"k{i}") for i, (c, _, _) in enumerate(kinds)]).first()
+    met = text.select("text_id", "norm").withColumns({"title_id": F.lit(None).cast(titles.schema["title_id"].dataType), "title": F.lit(None).cast("string")}).limit(0)
+    for i, (c, block, blocks) in enumerate(kinds):
+        if has[i]:
+            mine = fit.where(c).select("title_id", "title", block.alias("block"))
+            # texts are looked up by id once their blocks have met: a text is moved once, not with every block
+            pairs = text.select("text_id", F.explode(F.array_distinct(blocks())).alias("block")).join(mine, "block").select("text_id", "title_id", "title").distinct()
+            met = met.unionByName(pairs.join(text, "text_id").select("text_id", "norm", "title_id", "title"))
     return met.where(F.contains("norm", "title")).select("text_id", "title_id", F.length("title").alias("length")).distinct()
 
 

@@ -80,8 +80,11 @@ _MARKS = ("we propose a novel dataset with table 3", "learning rate and baseline
 
 def _scored(spark, d):
     heads, marks = F.array(*map(F.lit, _HEADS)), F.array(*map(F.lit, _MARKS))
-    lines = F.split("text", "\n", -1)
-    part = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda k: F.struct(F.get(heads, k % 5).alias("heading"), (k % 2).alias("level"), F.concat_ws(" ", F.array_join(F.slice(lines, k * 5 + 1, F.lit(5)), "\n"), F.get(marks, ((F.col("doc_id") + k) % 7).cast("int"))).alias("content")))
+
+    def cut(lines):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda k: F.struct(F.get(heads, k % 5).alias("heading"), (k % 2).alias("level"), F.concat_ws(" ", F.array_join(F.slice(lines, k * 5 + 1, F.lit(5)), "\n"), F.get(marks, ((F.col("doc_id") + k) % 7).cast("int"))).alias("content")))
+
+    part = T.once(F.split("text", "\n", -1), cut)
     k = F.col("doc_id")
     p = V.papers(spark, d).select("doc_id", "title", (k % 3).cast("int").alias("n_authors"), F.when(k % 4 > 0, 2020).alias("year"), F.when(k % 5 > 1, F.col("source")).alias("venue"), "abstract", part.alias("sections"), (k % 37).cast("int").alias("n_citations"))
     return J.quality_score(p)

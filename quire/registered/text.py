@@ -96,8 +96,11 @@ _parts(
 @query("str11_method_overview", f"WITH {V.SECTIONS}, m AS (SELECT doc_id, arg_min(content, ordinal) AS c FROM sections WHERE regexp_matches(lower(heading), '{T.METHOD_SIGNS}|tion|ment') AND length(content) > 50 GROUP BY 1) SELECT doc_id, CASE WHEN length(c) > 500 THEN left(c, 500) || '...' ELSE c END AS value FROM m")
 def str11(spark, d):
     """Headings here are invented, so two frequent syllables stand for method words."""
-    lines = F.split("text", "\n", -1)
-    part = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda k: F.struct(F.regexp_replace(F.get(lines, k * 5), "(?i)tion|ment", "method").alias("heading"), F.array_join(F.slice(lines, k * 5 + 1, F.lit(5)), "\n").alias("content")))
+
+    def cut(lines):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int")), lambda k: F.struct(F.regexp_replace(F.get(lines, k * 5), "(?i)tion|ment", "method").alias("heading"), F.array_join(F.slice(lines, k * 5 + 1, F.lit(5)), "\n").alias("content")))
+
+    part = T.once(F.split("text", "\n", -1), cut)
     return table(spark, d, "documents").select("doc_id", T.method_overview(part).alias("value")).where("value is not null")
 
 

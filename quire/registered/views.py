@@ -6,8 +6,9 @@ run of five lines a section headed by its first line. An event is an audit event
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.functions.text import once
 from quire.plans.session import table
 
 SECTION_LINES = 5
@@ -24,8 +25,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
     """Built within a row, without moving lines."""
-    lines = F.split("text", "\n", -1)
-    part = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SECTION_LINES).cast("int")), lambda k: F.struct(k.alias("ordinal"), F.slice(lines, k * SECTION_LINES + 1, F.lit(SECTION_LINES)).alias("body")))
+
+    def cut(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SECTION_LINES).cast("int")), lambda k: F.struct(k.alias("ordinal"), F.slice(lines, k * SECTION_LINES + 1, F.lit(SECTION_LINES)).alias("body")))
+
+    part = once(F.split("text", "\n", -1), cut)
     out = table(spark, d, "documents").select("doc_id", "source", F.explode(part).alias("s"))
     return out.select("doc_id", "source", "s.ordinal", F.get("s.body", F.lit(0)).alias("heading"), F.array_join("s.body", "\n").alias("content"))
 
