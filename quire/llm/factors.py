@@ -5,7 +5,7 @@ Every document is a reference block. A phrase is a window of 20 words; the index
 earlier start and grows word by word while the following phrases continue the same reference; the phrases that straddle
 two factors are looked up like any other. What the factors of at least 20 words cover is duplicate.
 
-The index is exact but small. Each phrase holds 16 runs of 5 words; the run of the least hash is its anchor, so equal phrases
+The index is exact but small. Each phrase holds 14 runs of 7 words; the run of the least hash is its anchor, so equal phrases
 have equal anchors, and consecutive phrases mostly share one. Only one row for each anchor and its stretch of phrases
 is moved: (hash of the anchor, hash of all words of its phrases). Anchors that occur once end there. Stretches that are equal as a
 whole are resolved as one; single phrases are compared only where an anchor stands in different stretches,
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quire.plans.materialize import written
 
-PHRASE, RUN = 20, 5
+PHRASE, RUN = 20, 7
 #: Bytes that are hashed at once, and phrases that are looked at at once.
 HASH_BYTES, STEP = 1 << 20, 1 << 19
 _U = np.uint64
@@ -88,8 +88,8 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def _hashes(text: str) -> np.ndarray:
-    parts = [_word_hashes(piece)[1] for piece in _slices(text.encode("utf-8", "surrogatepass"))]
+def _hashes(raw: bytes) -> np.ndarray:
+    parts = [_word_hashes(piece)[1] for piece in _slices(raw)]
     return np.concatenate(parts) if parts else np.zeros(0, _U)
 
 
@@ -107,9 +107,8 @@ def _stretches(x: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np
             grams = grams + own[k : k + len(grams)] * _U(_RUN_FACTORS[k])
         grams = _mix(grams)
         low = (grams & _U(2**64 - 2**20)) | np.arange(len(grams), dtype=_U)  # the least hash, then the first place
-        for k in (1, 2, 4, 8):
-            low = np.minimum(low[:-k], low[k:])
-        assert width == 16
+        for k in (1, 2, 4, width - 8):  # minima of 2, 4, 8, then width
+            low = np.minimum(low[:-k], low[k:]) if k else low
         at = (low & _U(2**20 - 1)).astype(np.int64)
         starts = np.flatnonzero(np.arange(lo + PHRASE, lo + PHRASE + len(at)) <= last[lo : lo + len(at)])
         if not len(starts):
@@ -122,8 +121,16 @@ def _stretches(x: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield grams[anchor], stretch, first + lo, count
 
 
-def _split(text) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
+def _packed_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed before they are moved."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for p in parts:
+        p["packed"] = [pack.compress(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None for t in p["text"]]
+        yield p[["doc_id", "packed"]].astype({"doc_id": "Int64"})
+
+
+def _unpacked(packed, unpack: zstandard.ZstdDecompressor) -> bytes:
+    return unpack.decompress(packed) if isinstance(packed, (bytes, bytearray)) else b""
 
 
 def _groups(docs: np.ndarray, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,7 +149,7 @@ def _groups(docs: np.ndarray, texts) -> Iterator[tuple[np.ndarray, np.ndarray, n
             continue
         raw = text.encode("utf-8", "surrogatepass")
         if len(raw) >= HASH_BYTES:
-            x = _hashes(text)
+            x = _hashes(raw)
             yield np.array([doc]), x, np.array([len(x)])
             continue
         if size + len(raw) > HASH_BYTES:
@@ -191,7 +198,7 @@ def _spread(first: np.ndarray, count: np.ndarray, ref_doc: np.ndarray, ref_start
 
 _FACTORS = "array<struct<start:int,length:int,ref_doc:bigint,ref_start:int>>"
 _RESULT = f"doc_id long, n_words long, n_removed long, kept_sha256 string, factors {_FACTORS}"
-_OPEN = f"{_RESULT}, text string, starts array<int>, ref_docs array<bigint>, ref_starts array<int>, open_starts array<int>, open_x array<bigint>, open_y array<bigint>"
+_OPEN = f"{_RESULT}, packed binary, starts array<int>, ref_docs array<bigint>, ref_starts array<int>, open_starts array<int>, open_x array<bigint>, open_y array<bigint>"
 
 
 def _ints(x) -> np.ndarray:
@@ -200,11 +207,12 @@ def _ints(x) -> np.ndarray:
 
 def _judge_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents with their stretches: done ones leave with their result, the others with the hashes of the phrases still to be compared."""
-    names = [x.split()[0] for x in _OPEN.split(", ")]
+    names, unpack = [x.split()[0] for x in _OPEN.split(", ")], zstandard.ZstdDecompressor()
     for p in parts:
         rows = []
-        for doc, text, first, count, ref_doc, ref_start in zip(p["doc_id"], p["text"], p["firsts"], p["counts"], p["ref_docs"], p["ref_firsts"], strict=True):
-            words, first, count, ref_doc, ref_start = _split(text), _ints(first), _ints(count), _ints(ref_doc), _ints(ref_start)
+        for doc, packed, first, count, ref_doc, ref_start in zip(p["doc_id"], p["packed"], p["firsts"], p["counts"], p["ref_docs"], p["ref_firsts"], strict=True):
+            raw = _unpacked(packed, unpack)
+            words, first, count, ref_doc, ref_start = raw.split(), _ints(first), _ints(count), _ints(ref_doc), _ints(ref_start)
             own = ref_start < 0
             starts, docs, refs = _spread(first[~own], count[~own], ref_doc[~own], ref_start[~own], len(words))
             doc = None if pd.isna(doc) else int(doc)
@@ -212,18 +220,19 @@ def _judge_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((doc, *_finish(words, starts, docs, refs), *[None] * 7))
                 continue
             opens, _, _ = _spread(first[own], count[own], ref_doc[own], ref_start[own], len(words))
-            x = _hashes(text)
+            x = _hashes(raw)
             hx, hy = _ranges(x, _P1, opens, opens + PHRASE), _ranges(_mix(x), _P2, opens, opens + PHRASE)
-            rows.append((doc, len(words), None, None, None, text, starts, docs, refs, opens, hx.view(np.int64), hy.view(np.int64)))
+            rows.append((doc, len(words), None, None, None, packed, starts, docs, refs, opens, hx.view(np.int64), hy.view(np.int64)))
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({"doc_id": "Int64", "n_words": "Int64", "n_removed": "Int64"})
 
 
 def _close_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    unpack = zstandard.ZstdDecompressor()
     for p in parts:
         rows = []
         for r in p.itertuples(index=False):
-            words = _split(r.text)
+            words = _unpacked(r.packed, unpack).split()
             starts, docs, refs = (np.concatenate([_ints(a), _ints(b)]) for a, b in ((r.starts, r.more_starts), (r.ref_docs, r.more_docs), (r.ref_starts, r.more_refs)))
             starts, pick = np.unique(starts, return_index=True)
             rows.append((int(r.doc_id), *_finish(words, starts, docs[pick], refs[pick])))
@@ -254,7 +263,8 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     later = place != F.col("at")
     runs = told.select("doc", F.struct("first", "count", F.when(later, F.col("at.doc")).otherwise(F.lit(-1)).alias("ref_doc"), F.when(later, F.col("at.first")).otherwise(F.lit(-1)).alias("ref_first")).alias("run"))
     runs = runs.groupBy("doc").agg(F.collect_list("run").alias("runs")).select("doc", F.col("runs.first").alias("firsts"), F.col("runs.count").alias("counts"), F.col("runs.ref_doc").alias("ref_docs"), F.col("runs.ref_first").alias("ref_firsts"))
-    judged = base.join(runs, base["doc_id"] == runs["doc"], "left").select("doc_id", "text", "firsts", "counts", "ref_docs", "ref_firsts")
+    packed = base.mapInPandas(_packed_rows, "doc_id long, packed binary")
+    judged = packed.join(runs, packed["doc_id"] == runs["doc"], "left").select("doc_id", "packed", "firsts", "counts", "ref_docs", "ref_firsts")
     judged = written(judged.mapInPandas(_judge_rows, _OPEN), "judged")
     undone = judged.where("open_starts is not null")
     phrases = undone.select("doc_id", F.explode(F.arrays_zip("open_starts", "open_x", "open_y")).alias("p")).select("doc_id", F.col("p.open_starts").alias("start"), F.col("p.open_x").alias("x"), F.col("p.open_y").alias("y"))
@@ -262,7 +272,7 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     firsts = written(firsts, "firsts")
     more = phrases.join(firsts, ["x", "y"]).where(F.struct("doc_id", "start") != F.col("at")).select(F.col("doc_id").alias("doc"), F.struct("start", F.col("at.doc_id").alias("d"), F.col("at.start").alias("s")).alias("p"))
     more = more.groupBy("doc").agg(F.collect_list("p").alias("p")).select("doc", F.col("p.start").alias("more_starts"), F.col("p.d").alias("more_docs"), F.col("p.s").alias("more_refs"))
-    closed = undone.select("doc_id", "text", "starts", "ref_docs", "ref_starts").join(more, undone["doc_id"] == more["doc"], "left").drop("doc").mapInPandas(_close_rows, _RESULT)
+    closed = undone.select("doc_id", "packed", "starts", "ref_docs", "ref_starts").join(more, undone["doc_id"] == more["doc"], "left").drop("doc").mapInPandas(_close_rows, _RESULT)
     return judged.where("open_starts is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "factors").unionByName(closed)
 
 
