@@ -1,9 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Codes are cut into m segments of about log2(n) bits, each indexed by its value. Round r looks up all segment
-values that differ from the query's in exactly r bits. After round r, any code not yet met differs from the query in
-more than r bits of every segment, so by at least m (r + 1) bits in all; a query is done when its kth verified distance is
-below that. A code is taken in the first round and segment that meet it, which its bits tell, so none is met twice.
+values that differ from the query's in exactly r bits, in the first a segments that the query still needs. Any code not met
+by then differs in more than r bits of those a segments and in at least r of the others, so by at least m r + a bits in all; a
+query is done when its kth verified distance is below that, and a is chosen so that it just will be, if a <= m suffices. A code is
+taken in the first round and segment that meet it, which its bits tell, so none is met twice, and only if it is no farther than the kth so far.
 """
 
 from __future__ import annotations
@@ -51,26 +52,28 @@ def search(codes: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> Da
     m = len(cuts)
     widest = max(length for _, length in cuts)
     index = written(points.select("vec_id", F.col("code").alias("found"), F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _part(F.col("code"), at, n).alias("value")) for s, (at, n) in enumerate(cuts)])).alias("p")).select("p.seg", "p.value", "vec_id", "found"), "index")
-    live = written(rows.where("asks").select("code").distinct(), "searches")
+    live = written(rows.where("asks").select("code").distinct().withColumns({"kth": F.lit(bits), "upto": F.lit(m)}), "searches")
     # at least k + 1 rows are needed: the query's own row may be among them
     state = spark.createDataFrame([], "code long, vec_id long, distance int")
     done = []
     for r in range(widest + 1):
         masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s, (_, n) in enumerate(cuts) for c in combinations(range(n), r)] or [(-1, 0)], "seg int, mask long")
         values = F.array(*[_part(F.col("code"), at, n) for at, n in cuts])
-        probes = live.select("code", values.alias("own")).join(F.broadcast(masks), F.col("seg") >= 0).select("code", "seg", F.element_at("own", F.col("seg") + 1).bitwiseXOR(F.col("mask")).alias("value"))
+        probes = live.select("code", "kth", "upto", values.alias("own")).join(F.broadcast(masks), F.col("seg") < F.col("upto")).where("seg >= 0").select("code", "kth", "seg", F.element_at("own", F.col("seg") + 1).bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(index, ["seg", "value"])
         apart = [F.bit_count(_part(F.col("code").bitwiseXOR(F.col("found")), at, n)) for at, n in cuts]
         low = F.least(*apart) if m > 1 else apart[0]
         first = F.coalesce(*[F.when(a == low, F.lit(s)) for s, a in enumerate(apart)])
-        fresh = met.where((low == r) & (first == F.col("seg"))).select("code", "vec_id", F.bit_count(F.col("code").bitwiseXOR(F.col("found"))).alias("distance"))
+        distance = F.bit_count(F.col("code").bitwiseXOR(F.col("found")))
+        fresh = met.where((low == r) & (first == F.col("seg")) & (distance <= F.col("kth"))).select("code", "vec_id", distance.alias("distance"))
         rank = F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id"))
         state = written(state.join(live, "code", "left_semi").unionByName(fresh).withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank"), "nearest")
-        kth = state.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        over = live.join(kth, "code", "left").select("code", ((F.coalesce("n", F.lit(0)) > k) & (F.col("kth") < m * (r + 1))).alias("over"))
-        over = written(over, "covered")
-        done.append(state.join(over.where("over" if r < widest else "true"), "code", "left_semi"))
-        live = over.where("not over").select("code")
+        full = state.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        after = live.join(full, "code", "left").withColumn("kth", F.when(F.coalesce("n", F.lit(0)) > k, F.col("far")).otherwise(F.lit(bits)))
+        over = (F.coalesce("n", F.lit(0)) > k) & (F.col("kth") < m * r + F.col("upto"))
+        after = written(after.select("code", "kth", over.alias("over"), F.least(F.lit(m), F.greatest(F.lit(1), F.col("kth") - m * (r + 1) + 1)).alias("upto")), "covered")
+        done.append(state.join(after.where("over" if r < widest else "true"), "code", "left_semi"))
+        live = after.where("not over").select("code", "kth", "upto")
         if r < widest and live.isEmpty():
             break
     near = done[0]
