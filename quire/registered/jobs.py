@@ -241,3 +241,45 @@ def q2(spark, d):
 def q3(spark, d):
     li = _t(spark, d, "lineitem")
     return Q.check_constraints(li, {"range:l_discount": F.col("l_discount") <= 0.08, "enum:l_returnflag": F.col("l_returnflag").isin("A", "N")}, [["l_orderkey", "l_linenumber"]], {"l_partkey": _t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))})
+
+
+_KIND = ("relational", "lexical", "vector", "graph", "semantic")
+
+
+def _registry(spark, d):
+    """A build for each supplier: five kinds, three releases, every seventh not sealed, parent the relational build of its five."""
+    k = F.col("s_suppkey")
+    return _t(spark, d, "supplier").select(F.concat(F.lit("b"), k).alias("build_id"), F.concat(F.lit("r"), F.floor(k / 5) % 3).alias("release"), F.get(F.array(*map(F.lit, _KIND)), (k % 5).cast("int")).alias("kind"), F.lit(Q.config_hash("build", {"dim": 64})).alias("config_hash"), F.when(k % 7 == 0, "failed").otherwise("sealed").alias("status"), F.concat(F.lit("b"), k - k % 5).alias("parent"))
+
+
+_REG = f"reg AS (SELECT 'b' || s_suppkey AS build_id, s_suppkey AS k, 'r' || (s_suppkey // 5 % 3) AS release, {list(_KIND)}[s_suppkey % 5 + 1] AS kind, CASE WHEN s_suppkey % 7 = 0 THEN 'failed' ELSE 'sealed' END AS status, 'b' || (s_suppkey - s_suppkey % 5) AS parent FROM supplier)"
+
+
+@query("q4_sealed_builds", f"WITH {_REG} SELECT release, kind, min(build_id) AS build_id FROM reg WHERE status = 'sealed' GROUP BY 1, 2")
+def q4(spark, d):
+    """What a job finds before it starts: the sealed build of each release and kind with its configuration."""
+    reg = _registry(spark, d)
+    return reg.where((F.col("config_hash") == Q.config_hash("build", {"dim": 64})) & (F.col("status") == "sealed")).groupBy("release", "kind").agg(F.min("build_id").alias("build_id"))
+
+
+@query("q5_validate_builds", f"WITH {_REG}, w AS (SELECT k, build_id, CASE WHEN k % 11 = 0 THEN 'vector' ELSE kind END AS kind, release, status, kind AS real, parent FROM reg WHERE k BETWEEN 5 AND 60 AND (kind <> 'relational' OR k = 5)) SELECT kind, build_id, CASE WHEN status <> 'sealed' THEN 'not_sealed' WHEN real <> kind THEN 'wrong_kind' WHEN release <> 'r1' THEN 'other_release' WHEN kind <> 'relational' AND parent <> 'b5' THEN 'other_parent' END AS fault FROM w WHERE fault IS NOT NULL")
+def q5(spark, d):
+    reg = _registry(spark, d)
+    k = F.substring("build_id", 2, 10).cast("int")
+    wanted = reg.where(k.between(5, 60) & ((F.col("kind") != "relational") | (k == 5))).select(F.when(k % 11 == 0, "vector").otherwise(F.col("kind")).alias("kind"), "build_id")
+    return Q.validate_builds(reg, wanted)
+
+
+@query("q6_read_as_of", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 1")
+def q6(spark, d):
+    orders = _t(spark, d, "orders").select("o_orderkey", F.concat(F.lit("b"), F.col("o_orderkey") % 3).alias("build_id"))
+    snaps = _t(spark, d, "region").select(F.concat(F.lit("s"), "r_regionkey").alias("snapshot"), F.lit("relational").alias("kind"), F.concat(F.lit("b"), F.col("r_regionkey")).alias("build_id"))
+    channels = _t(spark, d, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 1, "live").otherwise("old").alias("channel"), F.concat(F.lit("s"), "r_regionkey").alias("snapshot"))
+    return Q.read_as_of(orders, snaps, channels, "live", "relational").select("o_orderkey")
+
+
+@query("q7_readiness", "SELECT 'relational' AS kind, count(*) AS n, 'ready' AS state FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'lexical', count(*), 'ready' FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'vector', 0, 'empty' UNION ALL SELECT 'graph', 0, 'missing'")
+def q7(spark, d):
+    counts = _t(spark, d, "orders").groupBy(F.concat(F.lit("b"), F.col("o_orderkey") % 3).alias("build_id")).agg(F.count("*").alias("n")).where("build_id <> 'b2'")
+    snaps = _t(spark, d, "region").where("r_regionkey < 3").select(F.get(F.array(*map(F.lit, _KIND)), F.col("r_regionkey").cast("int")).alias("kind"), F.concat(F.lit("b"), "r_regionkey").alias("build_id"))
+    return Q.readiness(snaps, counts, ["relational", "lexical", "vector", "graph"])

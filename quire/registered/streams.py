@@ -130,3 +130,42 @@ def str29(spark, d):
 
 def id_of(x):
     return T.stable_id("doc", x)
+
+
+# ---- sources that read one document a file: suppliers become small files ----------------------------------------
+
+
+def _files(df: DataFrame, name: str, kind: str = "text") -> str:
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("maxRecordsPerFile", 1).format(kind).save(path)
+    return path
+
+
+@query("src2_read_parsed_docs", "SELECT 's' || s_suppkey AS paper_id, s_name AS title, (1990 + s_suppkey % 30)::INT AS year, 'A' || s_nationkey AS author FROM supplier")
+def src2(spark, d):
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("paper_id"), F.col("s_name").alias("title"), (1990 + F.col("s_suppkey") % 30).alias("year"), F.array(F.concat(F.lit("A"), "s_nationkey"), F.lit("B")).alias("authors"))
+    return readers.read_parsed_docs(spark, _files(s, "parsed", "json")).select("paper_id", "title", "year", F.get("authors", F.lit(0)).alias("author"))
+
+
+@query("src4_read_documents_xml", "SELECT sha256('<document><title>' || s_name || '</title></document>' || chr(10)) AS sha256, s_name AS title FROM supplier")
+def src4(spark, d):
+    s = table(spark, d, "supplier").select(F.concat(F.lit("<document><title>"), "s_name", F.lit("</title></document>")).alias("value"))
+    return readers.read_documents_xml(spark, _files(s, "xml") + "/*.txt").select("sha256", F.xpath_string("content", F.lit("document/title")).alias("title"))
+
+
+@query("src5_read_arxiv_atom", "SELECT s_name AS title, 'N' || s_nationkey || '|Co Author' AS authors, (2000 + s_suppkey % 20)::INT AS year, '24' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(s_suppkey::VARCHAR, 5, '0') AS arxiv_id, 'about ' || s_suppkey AS abstract, 'http://x/' || s_suppkey AS pdf_url FROM supplier")
+def src5(spark, d):
+    k = F.col("s_suppkey")
+    arxiv = F.concat(F.lit("24"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(k.cast("string"), 5, "0"))
+    entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), "s_name", F.lit("</title><author><name>N"), "s_nationkey", F.lit("</name></author><author><name>Co  Author</name></author><published>"), 2000 + k % 20, F.lit("-03-01T00:00:00Z</published><id>http://a/abs/"), arxiv, F.lit("v3</id><summary> about "), k, F.lit('</summary><link title="pdf" href="http://x/'), k, F.lit('"/></entry></feed>'))
+    feed = readers.read_arxiv_atom(spark, _files(table(spark, d, "supplier").select(entry.alias("value")), "feed") + "/*.txt")
+    return feed.select("title", F.array_join("authors", "|").alias("authors"), "year", "arxiv_id", "abstract", "pdf_url")
+
+
+@query("src6_read_innovation_facts", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'paper' WHEN 1 THEN 'innovation' ELSE 'cites' END AS kind, CASE WHEN p_partkey % 3 < 2 THEN 'x' || p_partkey END AS id, CASE WHEN p_partkey % 3 < 2 THEN 2000 + p_size % 20 END::INT AS year, CASE WHEN p_partkey % 3 = 1 THEN p_size % 5 + 1 END::INT AS a, CASE WHEN p_partkey % 3 = 2 THEN 't' || p_size END AS target FROM part")
+def src6(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    line = F.when(k % 3 == 0, F.concat(F.lit("paper x"), k, F.lit(" "), 2000 + s % 20)).when(k % 3 == 1, F.concat(F.lit("  innovation x"), k, F.lit(" line core "), 2000 + s % 20, F.lit(" "), s % 5 + 1, F.lit(" 2 3"))).otherwise(F.concat(F.lit("cites s"), k, F.lit(" t"), s))
+    path = fresh_path(spark, "facts")
+    table(spark, d, "part").select(F.explode(F.array(line, F.lit("-- no fact"))).alias("value")).write.text(path)
+    return readers.read_innovation_facts(spark, path).select("kind", "id", "year", "a", "target")
