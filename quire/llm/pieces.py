@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
-CACHE_CELLS, TOGETHER, LONGEST = 200_000, 2_000_000, 32
+CACHE_CELLS, TOGETHER, LONGEST = 250_000, 1_000_000, 32
 UNKNOWN_COST = 10.0
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -214,7 +214,7 @@ class Lattice:
     def alternatives(self, cell: str, n: int) -> list[tuple[float, bytes]]:
         hit = self.several.get((cell, n))
         if hit is None:
-            if len(self.several) >= CACHE_CELLS // 4:
+            if len(self.several) >= CACHE_CELLS // 8:
                 self.several.clear()
             hit = self.several[cell, n] = self.search(cell, n)
         return hit
@@ -285,31 +285,31 @@ def encode(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL,
     @F.pandas_udf("ids array<int>, nbest array<struct<score:double,n_pieces:int,sha256:string>>, round_trip boolean")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         units = lattice(model)
-        for s in texts:
-            rows: list = [(None, None, None)] * len(s)
-            for some in _together(s):
-                for k, found in zip(some, units.encode_all([s.iat[k] for k in some], n), strict=True):
+        for s in texts:  # results leave in smaller batches than texts come, so few ids are held at once
+            for lo, hi in _together(s):
+                some = s.iloc[lo:hi].tolist()
+                rows: list = [(None, None, None)] * len(some)
+                real = [k for k, t in enumerate(some) if isinstance(t, str)]
+                for k, found in zip(real, units.encode_all([some[k] for k in real], n), strict=True):
                     raws = [b"".join(cells) for _, cells in found]
                     best = np.frombuffer(raws[0], np.int32)
                     nbest = [{"score": score, "n_pieces": len(raw) // 4, "sha256": hashlib.sha256(raw).hexdigest()} for (score, _), raw in zip(found, raws, strict=True)]
-                    rows[k] = (best if ids else None, nbest, units.decode(best.tolist()) == s.iat[k].replace(SPACE, " "))
-            yield pd.DataFrame(rows, columns=["ids", "nbest", "round_trip"])
+                    rows[k] = (best if ids else None, nbest, units.decode(best.tolist()) == some[k].replace(SPACE, " "))
+                yield pd.DataFrame(rows, columns=["ids", "nbest", "round_trip"])
 
     return docs.select(*keep, of(F.col(text)).alias("_e")).select(*keep, "_e.ids", "_e.nbest", "_e.round_trip")
 
 
-def _together(s: pd.Series) -> Iterator[list[int]]:
-    """Positions of texts of about TOGETHER characters in all; nulls are left out."""
-    some, size = [], 0
+def _together(s: pd.Series) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about TOGETHER characters in all."""
+    lo = size = 0
     for k, t in enumerate(s):
-        if isinstance(t, str):
-            some.append(k)
-            size += len(t)
-            if size >= TOGETHER:
-                yield some
-                some, size = [], 0
-    if some:
-        yield some
+        size += len(t) if isinstance(t, str) else 0
+        if size >= TOGETHER:
+            yield lo, k + 1
+            lo, size = k + 1, 0
+    if lo < len(s):
+        yield lo, len(s)
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
