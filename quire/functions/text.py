@@ -382,6 +382,16 @@ def project_name(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9_-]+", "-")
 
 
+def mixed_text(x: Column) -> Column:
+    """Text of a marked-up fragment: inline math as `$tex$`, citations as `[ids]`, other tags dropped, blanks collapsed."""
+    x = F.regexp_replace(x, r'(?s)<Math[^>]*\btex="([^"]*)"[^>]*?(?:/>|>.*?</Math>)', r"\$$1\$")
+    x = F.regexp_replace(x, r'(?s)<(?:bibref|ref)\b[^>]*\b(?:bibrefs|labelref|idref)="([^"]*)"[^>]*?(?:/>|>.*?</(?:bibref|ref)>)', "[$1]")
+    x = F.regexp_replace(x, "<[^>]*>", "")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
 def quote(x: Column, most: int = 500) -> Column:
     return F.left(x, F.lit(most))
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
 from quire.operators import matching as M
-from quire.operators import papers as P
 from quire.plans.materialize import written
 
 PARTS = "page_id long, kind string, ordinal int, parent int, tag string, text string, target string, row int, col int"
@@ -343,7 +342,3 @@ def landscape_report(papers: DataFrame, topics: list[str], most: int = 20) -> Da
     w = W.partitionBy("topic").orderBy(F.desc_nulls_last("total"), "doc_id")
     key = t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
     return grades.unionByName(key.select("topic", F.lit("paper").alias("part"), F.col("doc_id").cast("string").alias("item"), F.col("place").cast("long").alias("n")))
-
-
-def listed(papers: DataFrame, limit: int = 50) -> DataFrame:
-    return P.list_papers(papers, limit=limit)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.functions import text as T
 from quire.operators import jobs as J
 from quire.plans.materialize import fresh_path
 from quire.plans.session import table
@@ -122,16 +121,12 @@ def snk7(spark, d):
     return sinks.new_turns(c, logged).select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"))
 
 
-@query("str29_mixed_text", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:h1|h2|h3|h4|title|p|li|blockquote|pre|td|th)[ >]')) FROM pages) GROUP BY 1")
-def str29(spark, d):
+@query("job1_text_rows", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:h1|h2|h3|h4|title|p|li|blockquote|pre|td|th)[ >]')) FROM pages) GROUP BY 1")
+def job1_rows(spark, d):
     """The parser's text rows, counted: each block tag gives one."""
     return J.project_pages(table(spark, d, "pages")).where(F.col("kind") != "link").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-def id_of(x):
-    return T.stable_id("doc", x)
-
-
 # ---- sources that read one document a file: suppliers become small files ----------------------------------------
 
 

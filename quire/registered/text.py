@@ -169,6 +169,8 @@ def str25(spark, d):
 
 _lines("str28_log_clean", lambda x: T.log_clean(F.concat(F.lit("<b>\t"), x, F.lit("</b>\r\n x"))), "trim(regexp_replace(line || '  x', ' +', ' ', 'g'))")
 _titles("str28_project_name", T.project_name, "regexp_replace(lower(title), '[^a-z0-9_-]+', '-', 'g')")
+_MIXED = ["<p>We use <Math mode=\"inline\" tex=\"x^", "p_size", "\"><XMath>x</XMath></Math>\n as in <cite class=\"c\"><bibref bibrefs=\"b1,b", "p_partkey", "\" show=\"n\"/></cite> &amp;  <em>", "p_name", "</em></p>"]
+_parts("str29_mixed_text", _MIXED, T.mixed_text, "'We use $x^' || p_size || '$ as in [b1,b' || p_partkey || '] & ' || p_name")
 _lines("str30_quote", lambda x: T.quote(x, 40), "left(line, 40)")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from quire.functions import accounting as A
 from quire.operators import jobs as J
 
 
@@ -56,7 +55,3 @@ def new_turns(turns: DataFrame, logged: DataFrame) -> DataFrame:
 
 def append_week_log(turns: DataFrame, logged: DataFrame, path: str) -> None:
     new_turns(turns, logged).write.partitionBy("project", "week").mode("append").json(path)
-
-
-def week_of(ts):
-    return A.iso_week_id(ts)
