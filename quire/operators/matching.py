@@ -125,14 +125,46 @@ def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0)
     return a.join(best, "s").select("ref_id", "m.work", F.round("m.score", 6).alias("score"))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(a, words) x right(b, words), words distinct: (a, b, common, na, nb) of pairs that share a word.
+def by_rarity(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """left(a, words) and right(b, words), words distinct, with the words of each row in the order of how many rows of both hold them."""
+    sides = [x.select(F.lit(k).alias("side"), F.col(n).alias("id"), F.explode("words").alias("word")) for k, (x, n) in enumerate(((left, "a"), (right, "b")))]
+    rows = sides[0].select("side", F.col("id").cast("string").alias("id"), "word").unionByName(sides[1].select("side", F.col("id").cast("string").alias("id"), "word"))
+    often = rows.groupBy("word").agg(F.count("*").alias("n"))
+    out = []
+    for side, name in zip(sides, ("a", "b"), strict=True):
+        ranked = side.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+        out.append(ranked.select(F.col("id").alias(name), F.transform("w", lambda x: x["word"]).alias("words")))
+    return out[0], out[1]
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """left(a, words) x right(b, words): (a, b, common, na, nb) of the pairs that have more than `share` of the larger set in common.
+
+    Such pairs share one of the first n - floor(share n) words of each, in one order of all words; the order is by rarity, so
+    words that many titles hold are hardly ever joined. The full sets are compared only where such a word is shared.
+    """
+    firsts = []
+    for x, k in zip(by_rarity(left, right), ("a", "b"), strict=True):
+        n = F.size("words")
+        firsts.append(x.select(k, F.col("words").alias(f"w{k}"), F.explode(F.slice("words", F.lit(1), n - F.floor(n * share + 1e-9).cast("int"))).alias("word")))
+    met = firsts[0].join(firsts[1], "word").drop("word").distinct()
+    out = met.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
+    return out.where(F.col("common") > F.greatest("na", "nb") * share)
+
+
+def containing_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """texts(a, words) x parts(b, words), ids being the blank-separated texts themselves: (a, b) where b stands in a and they share a word.
 
-    Distinct word sets meet once. A prefix is not enough for every score, so all shared words count; callers pass
-    titles, whose words are few.
+    A part of three words or more has its inner words whole in the text, so its rarest inner word is joined; a shorter one is
+    joined by each of its words.
     """
-    l, r = (x.select(k, F.size("words").alias(n), F.explode("words").alias("word")) for x, k, n in ((left, "a", "na"), (right, "b", "nb")))
-    return l.join(r, "word").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    words = parts.select("b", F.split("b", " ").alias("w"))
+    inner = words.select("b", F.when(F.size("w") >= 3, F.slice("w", F.lit(2), F.greatest(F.lit(1), F.size("w") - 2))).otherwise(F.col("w")).alias("w"), (F.size("w") >= 3).alias("one"))
+    often = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    keys = inner.select("b", "one", F.explode(F.array_distinct("w")).alias("word")).join(often, "word")
+    rarest = keys.where("one").groupBy("b").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    block = rarest.unionByName(keys.where("not one").select("b", "word"))
+    return texts.select("a", F.explode("words").alias("word")).join(block, "word").where(F.contains("a", "b")).select("a", "b").distinct()
 
 
 def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
@@ -141,10 +173,11 @@ def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7)
     y = right.select("b", T.normalized_cite(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("b").alias("b"))
     forms = x.select("s").where("s <> ''").distinct()
     exact = forms.join(y, F.col("s") == F.col("t")).select("s", "b", F.lit(3).alias("tier"), F.lit(1.0).alias("score"))
-    words = [f.select(F.col(k).alias(n), F.array_distinct(F.split(k, " ")).alias("words")) for f, k, n in ((forms, "s", "a"), (y, "t", "b"))]
-    shared = overlap_pairs(*words)
-    near = shared.select("a", "b", (F.col("common") / F.greatest("na", "nb")).alias("score")).where(F.col("score") > least).select(F.col("a").alias("s"), F.col("b").alias("t"), F.lit(1).alias("tier"), "score")
-    inside = shared.where(F.contains("a", "b") | F.contains("b", "a")).select(F.col("a").alias("s"), F.col("b").alias("t"), F.lit(2).alias("tier"), F.least(F.length("a"), F.length("b")).cast("double").alias("score"))
+    ours, theirs = (f.select(F.col(k).alias(n), F.array_distinct(F.split(k, " ")).alias("words")) for f, k, n in ((forms, "s", "a"), (y, "t", "b")))
+    near = overlap_pairs(ours, theirs, least).select(F.col("a").alias("s"), F.col("b").alias("t"), F.lit(1).alias("tier"), (F.col("common") / F.greatest("na", "nb")).alias("score"))
+    down = containing_pairs(ours, theirs).select(F.col("a").alias("s"), F.col("b").alias("t"))
+    up = containing_pairs(theirs.withColumnRenamed("b", "a"), ours.withColumnRenamed("a", "b")).select(F.col("b").alias("s"), F.col("a").alias("t"))
+    inside = down.unionByName(up).select("s", "t", F.lit(2).alias("tier"), F.least(F.length("s"), F.length("t")).cast("double").alias("score"))
     loose = near.unionByName(inside).join(y, "t").select("s", "b", "tier", "score")
     best = exact.unionByName(loose).groupBy("s").agg(F.max_by(F.struct("b", "tier", "score"), F.struct("tier", "score", -F.col("b"))).alias("m"))
     return x.join(best, "s").select("a", "m.b", "m.tier", F.round("m.score", 6).alias("score"))
@@ -152,13 +185,14 @@ def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7)
 
 def match_metadata_jaccard(papers: DataFrame, feed: DataFrame) -> DataFrame:
     """papers(a, title) x feed(b, title): the feed row of the best word Jaccard, above 0.5 for up to four distinct words, else above 0.6."""
-    x = papers.select("a", F.array_sort(T.word_set(F.col("title"))).alias("words"))
-    y = feed.select("b", F.array_sort(T.word_set(F.col("title"))).alias("words")).groupBy("words").agg(F.min("b").alias("b"))
-    forms = x.select(F.col("words").alias("a"), "words").distinct()
-    met = overlap_pairs(forms, y).withColumn("score", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-    good = met.where(F.col("score") > F.when(F.col("na") <= 4, 0.5).otherwise(0.6))
-    best = good.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col("b"))).alias("m"))
-    return x.join(best.withColumnRenamed("a", "words"), "words").select("a", "m.b", F.round("m.score", 6).alias("score"))
+    x = papers.select("a", F.array_join(F.array_sort(T.word_set(F.col("title"))), " ").alias("words"))
+    y = feed.select("b", F.array_join(F.array_sort(T.word_set(F.col("title"))), " ").alias("words")).where("words <> ''").groupBy("words").agg(F.min("b").alias("b"))
+    ours, theirs = (f.select(F.col("words").alias(n), F.split("words", " ").alias("words")) for f, n in ((x.select("words").where("words <> ''").distinct(), "a"), (y.select("words"), "b")))
+    # a Jaccard above 0.5 needs more than half of the larger set in common
+    met = overlap_pairs(ours, theirs, 0.5).withColumn("score", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+    good = met.where(F.col("score") > F.when(F.col("na") <= 4, 0.5).otherwise(0.6)).join(y.select(F.col("words").alias("b"), F.col("b").alias("row")), "b")
+    best = good.groupBy("a").agg(F.max_by(F.struct("row", "score"), F.struct("score", -F.col("row"))).alias("m"))
+    return x.join(best.withColumnRenamed("a", "words"), "words").select("a", F.col("m.row").alias("b"), F.round("m.score", 6).alias("score"))
 
 
 def resolve_paper_keys(queries: DataFrame, papers: DataFrame) -> DataFrame:

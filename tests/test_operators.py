@@ -201,3 +201,26 @@ def test_ingest_again_adds_nothing(spark, tmp_path):
         s = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
         S.stream_ingest(s, lambda x: x.withColumn("n", F.length("text")), str(tmp_path / "out"), str(tmp_path / f"state{k}")).awaitTermination()
     assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_title_matches_against_all_pairs(spark):
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "of", "a", "deep", "nets", "fast", "graph", "x1", "y2", "z3", "learning"])
+    left = {i: " ".join(word() for _ in range(rng.randint(1, 6))) for i in range(80)} | {900: "", 901: "deep"}
+    right = {i: " ".join(word() for _ in range(rng.randint(1, 7))) for i in range(60)} | {800: "eep net", 801: "deep"}
+    table = lambda rows, k: spark.createDataFrame(list(rows.items()), f"{k} long, title string")
+    got = {r["a"]: (r["tier"], r["score"]) for r in M.match_titles_overlap(table(left, "a"), table(right, "b")).collect()}
+    jac = {r["a"]: r["score"] for r in M.match_metadata_jaccard(table(left, "a"), table(right, "b")).collect()}
+    want, want_jac = {}, {}
+    for a, s in left.items():
+        ws = set(s.split())
+        for t in right.values():
+            wt, common = set(t.split()), ws & set(t.split())
+            tier = (3, 1.0) if s == t and s else (2, float(min(len(s), len(t)))) if common and (s in t or t in s) else (1, round(len(common) / max(len(ws), len(wt)), 6)) if common and len(common) / max(len(ws), len(wt)) > 0.7 else None
+            if tier:
+                want[a] = max(want.get(a, tier), tier)
+            score = len(common) / len(ws | wt) if ws else 0
+            if score > (0.5 if len(ws) <= 4 else 0.6):
+                want_jac[a] = max(want_jac.get(a, 0), round(score, 6))
+    assert got == want
+    assert jac == pytest.approx(want_jac)
