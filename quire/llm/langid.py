@@ -31,10 +31,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     (the most frequent, ties by name) are learned. Rows without lang, text or letters teach nothing.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where("lang is not null and doc_id is not null")
-    known = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    # narrow rows first; each task keeps its least rows of a language before any are moved
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    known = sorted(sizes)
+    if not known:
+        return {}
+    # hashes are uniform: below this bound a language has eight times the sample (or all rows), so that few rows are ranked however many there are
+    bounds = F.create_map(*[F.lit(x) for name in known for x in (name, int(-(2**63) + min(1.0, 8 * sample / sizes[name]) * (2**64 - 2**11)))])
+    some = named.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("h") <= F.try_element_at(bounds, F.col("lang")))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    least = named.where(F.col("lang").isin(known)).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").distinct().withColumn("r", rank).where(F.col("r") <= 2 * sample)
+    least = some.distinct().withColumn("r", rank).where(F.col("r") <= 2 * sample)
     order = {(r["lang"], r["doc_id"]): r["r"] for r in least.select("lang", "doc_id", "r").collect()}
     ids = sorted({d for _, d in order})
     texts = docs.where(F.col(doc_id).isin(ids)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.substring(text, 1, SLICE_BYTES).alias("part")).where("part is not null").distinct().collect() if ids else []
