@@ -53,6 +53,9 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     """
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit(">")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit("<")).alias("step")))
     back = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit("<")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit(">")).alias("step")))
+    # a node with one edge lies on no path but at its ends
+    leaves = edges.select(F.col("src").alias("to")).unionByName(edges.select(F.col("dst").alias("to"))).groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to", F.lit(True).alias("leaf"))
+    both, back = (written(x.join(leaves, "to", "left").na.fill(False, ["leaf"]), "steps") for x in (both, back))
     empty = F.array().cast("array<string>")
     open_pairs = pairs.select("src", "dst").distinct()
     done = [open_pairs.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), empty.alias("path"))]
@@ -62,7 +65,7 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     for h in range(1, hops + 1):
         side = "src" if h % 2 else "dst"
         step, grown = (both, F.concat("path", F.array("step"))) if side == "src" else (back, F.concat(F.array("step"), "path"))
-        ahead = near[side].join(live, ["src", "dst"], "left_semi").join(step, "at").select("src", "dst", F.col("to").alias("at"), grown.alias("path"))
+        ahead = near[side].join(live, ["src", "dst"], "left_semi").join(step, "at").where(~F.col("leaf") | (F.col("to") == F.col("dst" if side == "src" else "src"))).select("src", "dst", F.col("to").alias("at"), grown.alias("path"))
         near[side] = written(ahead.groupBy("src", "dst", "at").agg(F.min("path").alias("path")).join(seen[side], ["src", "dst", "at"], "left_anti"), "frontier")
         seen[side] = seen[side].unionByName(near[side].select("src", "dst", "at"))
         a, b = near["src"], near["dst"].withColumnRenamed("path", "rest")
