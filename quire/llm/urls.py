@@ -1,14 +1,15 @@
 """URL filters: fixed host and path rules first, then association rules mined from labels.
 
-Spark's FP-growth finds frequent combinations of URL tokens and a label. Combinations of at most
-MAX_TOKENS tokens whose confidence for the bad label reaches CONFIDENCE become block rules; a rule whose
+Combinations of at most MAX_TOKENS tokens are counted over whole URLs, with and without the bad label; tokens too rare
+among bad URLs are left out first, which loses no combination (Apriori). Those whose confidence for the bad label reaches CONFIDENCE become block rules; a rule whose
 subset is already as confident is dropped. Rules match by an inverted index: each stands in the
 posting list of its rarest token only, is met by an equi-join on tokens, and is verified against the URL's token set.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.plans.materialize import written
@@ -17,9 +18,6 @@ from quire.plans.materialize import written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT, MIN_HITS, CONFIDENCE, MAX_TOKENS = 0.002, 20, 0.5, 3
 #: A combination must hold in this share of the labelled URLs and in MIN_HITS of them.
-#: Tokens of a labelled URL that are mined at most (matching reads all tokens).
-MINED = 12
-BAD = "bad"
 
 
 def host_of(url: Column) -> Column:
@@ -60,10 +58,20 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(first, words, keys, mark))
 
 
+def _combinations(items: Column, most: int) -> Column:
+    """All combinations of 1 to `most` of the items, in their order."""
+    found = F.transform(items, lambda x, i: F.struct((i + 1).alias("at"), F.array(x).alias("set")))
+    out = [found]
+    for _ in range(most - 1):
+        found = F.flatten(F.transform(found, lambda s: F.transform(F.slice(items, s["at"] + 1, F.size(items)), lambda y, j: F.struct((s["at"] + j + 1).alias("at"), F.concat(s["set"], F.array(y)).alias("set")))))
+        out.append(found)
+    return F.transform(F.concat(*out), lambda s: s["set"])
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, hits: int = MIN_HITS, confidence: float = CONFIDENCE, most: int = MAX_TOKENS) -> DataFrame:
     """labelled(tokens, bad boolean) -> (rule_id, tokens, size, support, confidence): the pruned block rules.
 
-    A labelled URL gives at most MINED tokens, so at most C(MINED, <= most) / support combinations are kept, whatever the number of rows.
+    A labelled URL gives all combinations of its tokens that stand in enough bad URLs, so at most C(such tokens of a URL, <= most) rows.
     Null labels and null token lists teach nothing; without bad rows there are no rules.
     """
     spark = labelled.sparkSession
@@ -72,11 +80,13 @@ def mine(labelled: DataFrame, support: float = SUPPORT, hits: int = MIN_HITS, co
     n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     if n_bad < hits or not n:
         return empty
-    some = F.slice("tokens", 1, MINED)
-    items = rows.select(F.when(F.col("bad"), F.concat(some, F.array(F.lit(BAD)))).otherwise(some).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, hits / n)), minConfidence=confidence).fit(items).freqItemsets
-    sets = written(sets.where(F.size(F.array_remove("items", BAD)).between(1, most)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.array_contains("items", BAD).alias("bad"), "freq"), "itemsets")
-    both = sets.where("bad").select("tokens", F.col("freq").alias("hits")).join(sets.where("not bad").select("tokens", "freq"), "tokens")
+    # at most (tokens of a URL) / support tokens stand in enough bad URLs, so these can be sent to all tasks
+    least = max(math.ceil(support * n - 1e-9), hits)
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "bad", F.array_distinct("tokens").alias("tokens")), "labelled")
+    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token")
+    kept = rows.select("row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(often), "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    sets = kept.select("bad", F.explode(_combinations(F.col("tokens"), most)).alias("tokens")).groupBy("tokens").agg(F.count_if("bad").alias("hits"), F.count("*").alias("freq"))
+    both = written(sets.where(F.col("hits") >= least), "itemsets")
     good = both.select("tokens", F.size("tokens").alias("size"), (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence")).where(F.col("confidence") >= confidence)
     # a rule adds nothing to a shorter one that is as confident: shorter ones are met through each subset, made by leaving tokens out
     subsets = good.where("size > 1").select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), F.explode(F.concat(F.transform("tokens", lambda x: F.array(x)), F.when(F.col("size") > 2, F.transform("tokens", lambda x: F.array_remove("tokens", x))).otherwise(F.array().cast("array<array<string>>")))).alias("tokens"))
