@@ -10,13 +10,13 @@ from quire.plans.materialize import written
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step: each node hooks its larger (large) or smaller-or-equal (small) neighbours onto the least node it sees.
 
-    The least neighbour is a partial aggregate and is joined back, so a node with very many
-    neighbours is never gathered in one task.
+    The least neighbour is a partial aggregate, written as a table and joined back: the join has an exchange on both
+    sides, so a node with very many neighbours can be split over tasks.
     """
     both = edges.select(F.col("a").alias("n"), F.col("b").alias("m"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("n"), F.col("a").alias("m")))
-    least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+    least = written(both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low")), "least")
     met = both.join(least, "n")
     if large:
         out = met.where("m > n").select(F.col("m").alias("a"), F.col("low").alias("b"))
