@@ -16,39 +16,40 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: Bytes of a language's dictionary, texts sampled for it at most, bytes taken from each of them at most, and languages at most.
-DICT_BYTES, SAMPLE_TEXTS, SLICE_BYTES, LANGUAGES = 98_304, 96, 2_048, 256
+#: Bytes of a language's dictionary at most, labelled texts sampled for it at most, characters of a piece of such a text, and languages at most.
+DICT_BYTES, SAMPLE_TEXTS, PIECE, LANGUAGES = 98_304, 96, 256, 1_000
 BLOCK_BYTES = 2_048
-LEVEL = 9
-#: Texts of at most so many bytes are encoded at a finer level that also takes matches of three bytes: their sizes tie less often.
-SHORT_BYTES, SHORT_LEVEL, SHORT_MATCH = 1_024, 13, 3
+#: Compression level, and the shortest match: with short ones the sizes of short texts tie less often.
+LEVEL, MIN_MATCH = 6, 3
 #: A text is rejected if the runner-up is not larger by this share.
 MARGIN = 0.004
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_TEXTS) -> dict[str, bytes]:
-    """One dictionary per language from labelled rows: at most `sample` texts a language, the least by a hash of doc_id, SLICE_BYTES of each.
+    """One dictionary per language from labelled rows: at most `sample` texts a language, the least by a hash of doc_id.
 
-    The sample is bounded by these parameters whatever the input's size; at most LANGUAGES languages
-    (the most frequent, ties by name) are learned. Rows without lang, text or letters teach nothing.
+    Whole texts are cut into pieces; first one piece of each text is taken, then a second, each time the least by a hash, until
+    DICT_BYTES are filled. The sample is bounded by these parameters whatever the input's size. Rows without
+    doc_id, lang, text or letters teach nothing. More than LANGUAGES languages raise an error, none is left out.
     """
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where("lang is not null and doc_id is not null")
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    known = sorted(sizes)
-    if not known:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).where("doc_id is not null and lang is not null")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not sizes:
         return {}
     # hashes are uniform: below this bound a language has eight times the sample (or all rows), so that few rows are ranked however many there are
-    bounds = F.create_map(*[F.lit(x) for name in known for x in (name, int(-(2**63) + min(1.0, 8 * sample / sizes[name]) * (2**64 - 2**11)))])
-    some = named.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.col("h") <= F.try_element_at(bounds, F.col("lang")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    least = some.distinct().withColumn("r", rank).where(F.col("r") <= 2 * sample)
-    order = {(r["lang"], r["doc_id"]): r["r"] for r in least.select("lang", "doc_id", "r").collect()}
-    ids = sorted({d for _, d in order})
-    texts = docs.where(F.col(doc_id).isin(ids)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.substring(text, 1, SLICE_BYTES).alias("part")).where("part is not null").distinct().collect() if ids else []
-    parts: dict[str, list] = {name: [] for name in sorted(known)}
-    for r in sorted((r for r in texts if (r["lang"], r["doc_id"]) in order and LETTER.search(r["part"])), key=lambda r: (order[r["lang"], r["doc_id"]], r["part"])):
-        parts[r["lang"]].append(r["part"].lower().encode("utf-8", "replace")[:SLICE_BYTES])
-    out = {name: b"\n".join(found[:sample])[-DICT_BYTES:] for name, found in parts.items() if found}
+    bounds = [(name, int(-(2**63) + min(1.0, 8 * sample / n) * (2**64 - 2**11))) for name, n in sorted(sizes.items())]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    some = rows.withColumn("h", F.xxhash64("doc_id")).join(bound, "lang").where((F.col("h") <= F.col("bound")) & F.regexp_like("text", F.lit(r"\p{L}")))
+    texts = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("r") <= sample)
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int"))
+    parts = texts.select("lang", "r", F.posexplode(F.transform(starts, lambda i: F.lower(F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))))).alias("at", "part"))
+    parts = parts.withColumn("turn", F.row_number().over(W.partitionBy("lang", "r").orderBy(F.xxhash64("part", "at"), "at"))).where(F.col("turn") <= DICT_BYTES // PIECE)
+    order = F.row_number().over(W.partitionBy("lang").orderBy("turn", "r"))
+    out: dict[str, bytes] = {}
+    for r in parts.withColumn("order", order).where(F.col("order") <= DICT_BYTES // PIECE).select("lang", "order", "part").orderBy("lang", "order").collect():
+        out[r["lang"]] = (out.get(r["lang"], b"") + r["part"].encode("utf-8", "replace") + b"\n")[:DICT_BYTES]
     return out
 
 
@@ -56,24 +57,19 @@ class Classifier:
     """The compressors of one Python worker."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.coders, self.short = [], []
+        self.coders = []
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
         for name, content in sorted(dictionaries.items()):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            self.coders.append((name, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, **bare)))
-            finer = zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, min_match=SHORT_MATCH, **bare)
-            e = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            e.precompute_compress(compression_params=finer)
-            self.short.append((name, zstandard.ZstdCompressor(compression_params=finer, dict_data=e)))
+            d.precompute_compress(compression_params=params)
+            self.coders.append((name, zstandard.ZstdCompressor(compression_params=params, dict_data=d)))
 
     def sizes(self, text: str) -> list[int]:
         raw = text.lower().encode("utf-8", "replace")
-        coders = self.coders if len(raw) > SHORT_BYTES else self.short
-        total = [0] * len(coders)
+        total = [0] * len(self.coders)
         for at in range(0, len(raw), BLOCK_BYTES):
             block = raw[at : at + BLOCK_BYTES]
-            for k, (_, coder) in enumerate(coders):
+            for k, (_, coder) in enumerate(self.coders):
                 total[k] += len(coder.compress(block))
         return total
 
