@@ -1,15 +1,19 @@
 """The numbered queries with SQL, and the pipeline against a brute-force version, over the smallest tables."""
 
 import hashlib
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import langid, mixing, pieces, queries
 from tests.compare import duck_rows, rows_of
+from tests.llm.test_resemblance import brute_groups
 from tests.llm.test_small import brute_print, brute_targets
 
 
@@ -18,6 +22,47 @@ def test_query_matches_sql(spark, tiny, name):
     assert rows_of(queries.QUERIES[name](spark, tiny)) == duck_rows(queries.ORACLE[name], tiny)
 
 
+def brute_dictionaries(docs, sample=langid.SAMPLE_TEXTS):
+    """Texts by the hash of doc_id; pieces by hash, one of each text a turn."""
+    out = {}
+    for lang in {d["lang"] for d in docs} - {None}:
+        mine = [d for d in docs if d["lang"] == lang and any(c.isalpha() for c in d["text"] or "")]
+        signed = lambda h: h - 2**64 if h >= 2**63 else h
+        key = lambda d: (signed(xxhash.xxh64_intdigest(d["doc_id"].to_bytes(8, "little"), 42)), d["doc_id"], d["text"])
+        parts = []
+        for r, d in enumerate(sorted(mine, key=key)[:sample]):
+            cut = [(k, d["text"][at : at + langid.PIECE].lower()) for k, at in enumerate(range(0, len(d["text"]), langid.PIECE))]
+            hashed = sorted((signed(xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(x.encode(), 42))), k, x) for k, x in cut)
+            parts += [(turn, r, x) for turn, (_, _, x) in enumerate(hashed)]
+        found = b"".join(x.encode() + b"\n" for _, _, x in sorted(parts, key=lambda p: p[:2])[: langid.DICT_BYTES // langid.PIECE])
+        out[lang] = found[: langid.DICT_BYTES]
+    return out
+
+
+def brute_language(dictionaries, text):
+    """Every block of the text with a compressor of its own."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw, sizes = text.lower().encode(), []
+    for lang in sorted(dictionaries):
+        params = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes.append((sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(raw[at : at + 2048])) for at in range(0, len(raw), 2048)), lang))
+    (best, lang), (second, _) = sorted(sizes)[:2]
+    return lang, (second - best) / second
+
+
+def test_langid_against_brute_force(spark, tiny):
+    docs = [dict(zip(("doc_id", "text", "lang"), r, strict=True)) for r in duckdb.sql(f"SELECT doc_id, text, lang FROM '{tiny}/documents.parquet'").fetchall()]
+    taught = brute_dictionaries([d for d in docs if zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1])
+    assert langid.learn(spark.read.parquet(f"{tiny}/documents.parquet").where(langid.fold(F.col("doc_id")) != 1)) == taught
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op8_langid(spark, tiny).collect()}
+    assert len(got) == len(docs)
+    some = sorted(docs, key=lambda d: len(d["text"] or ""))[:60]
+    for d in some:
+        assert got[d["doc_id"]] == brute_language(taught, d["text"]), d["doc_id"]
+
+
 def test_held_out_accuracy(spark, tiny):
     lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{tiny}/documents.parquet'").fetchall())
     held = [r for r in queries.op8_langid(spark, tiny).collect() if r["held_out"]]
@@ -53,11 +98,11 @@ def brute_mix(spark, docs):
     for t in range(1, round(total / block) + 1):
         u = float(t * mixing.GOLDEN % 1)
         slots[order[min(int(np.searchsorted(upto, u, side="right")), len(order) - 1)]] += 1
-    frame = spark.createDataFrame([(d["doc_id"], d["size"], 0) for d in docs], "doc_id long, size long, copy int")
-    h = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.lit(7), "doc_id", "size", "copy").alias("h")).collect()}
+    frame = spark.createDataFrame([(d["doc_id"], d["text"], 0) for d in docs], "doc_id long, text string, copy int")
+    h = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text"), "copy").alias("h")).collect()}
     times = {}
     for s in order:
-        mine = sorted((d for d in docs if d["source"] == s), key=lambda d: ((h[d["doc_id"]] % 2**64 >> 20) % mixing.DOC_CHUNKS, h[d["doc_id"]], d["doc_id"]))
+        mine = sorted((d for d in docs if d["source"] == s), key=lambda d: (h[d["doc_id"]], d["doc_id"]))
         reach = slots[s] * block
         for turn in range(2):
             at = turn * sizes[s]
@@ -80,14 +125,7 @@ def test_pipeline(spark, tiny):
             seen[d["source"], x] = seen.get((d["source"], x), 0) + 1
     for d in docs:
         d["text"] = "\n".join(x for x in d["text"].split("\n") if not (x.strip(" ") and seen[d["source"], x.strip(" ")] >= 5 and seen[d["source"], x.strip(" ")] > 0.1 * pages[d["source"]]))
-    prints = {d["doc_id"]: brute_print(d["text"]) for d in docs}
-    component, changed = {k: k for k in prints}, True
-    while changed:
-        changed = False
-        for a in prints:
-            low = min(component[b] for b in prints if bin(prints[a] ^ prints[b]).count("1") <= 3)
-            if low < component[a]:
-                component[a], changed = low, True
+    component = brute_groups({d["doc_id"]: d["text"] for d in docs})
     docs = [d for d in docs if component[d["doc_id"]] == d["doc_id"]]
     times, units = brute_mix(spark, docs), pieces.Lattice()
     want = []
