@@ -57,13 +57,15 @@ def evidence_ids(lists: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(lists)))
 
 
-# Confidence by field and by how a reference was matched.
-CONFIDENCE = {"title": 0.95, "abstract": 0.9, "lang": 0.8, "exact": 0.99, "substring": 0.92}
+# Confidence by field of a metadata assertion, and by the rule that matched a reference.
+CONFIDENCE = {"title": 0.85, "authors": 0.65, "year": 0.35, "venue": 0.4, "arxiv_id": 0.8, "abstract": 0.8}
+MATCHED = {"normalized-title-exact": 0.99, "normalized-title-substring": 0.92}
 
 
 def confidence(rule: Column) -> Column:
-    out = F.lit(0.5)
-    for k, v in CONFIDENCE.items():
+    """Of a field or a matching rule; 0 of any other."""
+    out = F.lit(0.0)
+    for k, v in (CONFIDENCE | MATCHED).items():
         out = F.when(rule == k, F.lit(v)).otherwise(out)
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,6 +125,7 @@ def first_sentence(x: Column) -> Column:
     return F.coalesce(F.get(long, F.lit(0)), F.substring(x, 1, 200))
 
 
+# Fixed values.
 #: Openings of contribution statements, in the order in which they are collected.
 CONTRIBUTIONS = (
     r"(?i)we\s+(?:propose|introduce|present|develop|design|show|demonstrate)\s+[^.]+",
@@ -139,6 +141,7 @@ def contributions(x: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.transform(long, lambda s: F.substring(s, 1, 200))), 1, most)
 
 
+# Fixed value: words that show a method section.
 METHOD_SIGNS = "method|approach|model|architecture|framework|proposed|technique|algorithm"
 
 
@@ -180,6 +183,7 @@ def _year(x: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, group), F.lit("")).cast("int")
 
 
+# Conferences and style files that carry a year.
 CONFERENCES = "NeurIPS|NIPS|ICML|ICLR|AAAI|IJCAI|CVPR|ICCV|ECCV|ACL|EMNLP|NAACL|COLING|KDD|SIGIR|WWW|AISTATS|UAI|MLSys|RecSys|CIKM|WSDM|ALT"
 STYLES = "icml|nips|neurips|cvpr|iccv|eccv|aaai|ijcai|acl|emnlp|naacl|coling|sigir|kdd|www|wsdm|cikm|recsys|mlsys|aistats|uai|alt"
 
@@ -189,15 +193,24 @@ def year_of(x: Column) -> Column:
     return once(x, _year_places)
 
 
+def _style_year(styles: Column) -> Column:
+    """Of the first style that names years: the first from 2015 to 2026, else the first."""
+    years = F.transform(styles, lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9])(20[012][0-9]|19[0-9][0-9])(?![0-9])")), lambda y: y.cast("int")))
+    first = F.get(F.filter(years, lambda y: F.size(y) > 0), F.lit(0))
+    return once(first, lambda y: F.coalesce(F.get(F.filter(y, lambda v: v.between(2015, 2026)), F.lit(0)), F.get(y, F.lit(0))))
+
+
 def _year_places(x: Column) -> Column:
     digits = r"(?:^|[^0-9])((?:20[012][0-9])|(?:19[0-9][0-9]))(?:[^0-9]|$)"
-    style = F.regexp_extract(x, r"(?i)\\(?:usepackage|documentclass)(?:\[[^\]]*\])?\{([^}]*[0-9]{4}[^}]*)\}", 1)
+    document = r"(?i)\\documentclass(?:\[([^\]]*)\])?\{([^}]*)\}"
+    classes = F.zip_with(F.regexp_extract_all(x, F.lit(document), F.lit(1)), F.regexp_extract_all(x, F.lit(document), F.lit(2)), lambda a, b: F.concat_ws(" ", a, b))
+    styles = F.concat(F.regexp_extract_all(x, F.lit(r"(?i)\\usepackage(?:\[[^\]]*\])?\{([^}]*[0-9]{4}[^}]*)\}")), classes)
     macro = _year(F.substring(x, 1, 15000), r"\\(?:def|newcommand|renewcommand)\{?\\[a-zA-Z]*[Yy]ear\}?\{([0-9]{4})\}")
     arxiv = _year(x, r"(?i)arxiv(?:\.org/abs/)?[:/]?\s*([0-9]{2})(?:0[1-9]|1[0-2])\.[0-9]{4,5}")
     found = (
         ("tex:acm_year", _year(x, r"\\acmYear\{([0-9]{4})\}")),
         ("tex:conference_style", _year(x, rf"\\usepackage(?:\[[^\]]*\])?\{{[^}}]*?(?:{STYLES})[a-z_-]*?([0-9]{{4}})")),
-        ("tex:document_style", _year(style, digits)),
+        ("tex:document_style", once(styles, _style_year)),
         ("tex:year_comment", _year(x, r"(?i)%\s*(?:year|date)\s*[:=]?\s*([0-9]{4})")),
         ("tex:date", _year(F.regexp_extract(x, r"\\date\{([^}]*)\}", 1), digits)),
         ("tex:conference_text", _year(F.substring(x, 1, 8000), rf"(?i)\b(?:{CONFERENCES})\s*([0-9]{{4}})\b")),
@@ -241,6 +254,7 @@ def normalized_doi(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(x), "(?i)^https?://(?:dx\\.)?doi\\.org/", ""))
 
 
+# Fixed value: commands that cite.
 CITE = r"\\(?:cite|citep|citet|citealp|citeauthor|citeyear|shortcite|Cite)\*?(?:\[[^\]]*\]\s*)*\{([^}]*)\}"
 
 
@@ -251,15 +265,17 @@ def cite_keys(x: Column) -> Column:
 
 
 def replace_citations(x: Column) -> Column:
-    """Citation commands to `[cite:a; b]`, references to `[ref:x]`. Commas are normalised inside the brackets that the first step leaves."""
-    marked = F.regexp_replace(x, CITE, "[cite:$1]")
-    for _ in range(16):  # keys of one command are separated one after another
-        marked = F.regexp_replace(marked, r"(\[cite:[^\],]*?)\s*,\s*", "$1; ")
+    """Citation commands to `[cite:a; b]` (`[cite]` without keys), references to `[ref:x]`, however many keys a command has."""
+    between = F.split(x, CITE, -1)
+    keys = F.transform(F.regexp_extract_all(x, F.lit(CITE)), lambda k: F.filter(F.split(k, r"[,\s]+"), lambda v: v != ""))
+    marks = F.transform(keys, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("[cite:"), F.array_join(k, "; "), F.lit("]"))).otherwise("[cite]"))
+    marked = F.array_join(F.zip_with(between, marks, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")
     return F.regexp_replace(marked, r"\\(?:ref|eqref|autoref|cref|Cref|nameref|hyperref|secref)\{\s*([^}]*?)\s*\}", "[ref:$1]")
 
 
 def clean_markup(x: Column) -> Column:
     """Comments, formatting commands and macro definitions taken out; the text inside formatting commands stays."""
+    # the lists of commands are fixed values
     x = F.regexp_replace(x, r"(?m)(^|[^\\])%.*$", "$1")
     x = F.regexp_replace(x, r"\\(?:textbf|textit|emph|underline|textsc|texttt|textsf|textrm|mathrm|mathbf|mathit|mathsf|mathtt|mathcal|mathbb|mathfrak|boldsymbol|bm)\{([^}]*)\}", "$1")
     x = F.regexp_replace(x, r"\\(?:re)?newcommand\{[^}]*\}(?:\[[0-9]\])?\{[^}]*\}", "")
@@ -396,13 +412,19 @@ def quote(x: Column, most: int = 500) -> Column:
     return F.left(x, F.lit(most))
 
 
-# Words of affiliations; ones of at most four letters must stand alone.
-AFFILIATIONS = ("university", "institute", "college", "school", "department", "laboratory", "research", "center", "centre", "corporation", "company", "academy", "faculty", "hospital", "lab", "labs", "inc", "ltd", "dept", "univ", "mit", "ucl", "eth", "cnrs")
+# Signs of an affiliation; ones of at most four characters must stand alone.
+AFFILIATIONS = (
+    "department", "university", "institute", "college", "school", "laboratory", "lab", "address", "faculty", "center", "centre", "research", "division", "technology", "engineering", "science",
+    "affiliation", "correspondence", "email", "http", "www", "inc.", "inc,", "corp.", "corp,", "ltd", "llc", "academy", "digital economy",
+    "google", "microsoft", "meta", "openai", "deepmind", "anthropic", "nvidia", "intel", "ibm", "amazon", "facebook", "apple", "twitter", "salesforce",
+    "ai language", "ai research", "ai team", "tech limited", "villa tech",
+    "mountain view", "palo alto", "san francisco", "san jose", "los angeles", "new york", "menlo park", "redwood city", "san diego",
+)
 
 
 def is_affiliation(x: Column) -> Column:
     low, bare = F.lower(x), F.trim(x)
-    short, long = [k for k in AFFILIATIONS if len(k) <= 4], [k for k in AFFILIATIONS if len(k) > 4]
+    short, long = ([re.escape(k) for k in AFFILIATIONS if (len(k) <= 4) == few] for few in (True, False))
     return (
         low.rlike("|".join(long))
         | low.rlike(r"\b(?:" + "|".join(short) + r")\b")
@@ -419,15 +441,21 @@ def split_authors(x: Column) -> Column:
 
 
 # Headings known without a number.
-KNOWN_HEADINGS = ("ABSTRACT", "INTRODUCTION", "BACKGROUND", "RELATED WORK", "METHOD", "METHODS", "METHODOLOGY", "EXPERIMENTS", "RESULTS", "DISCUSSION", "CONCLUSION", "CONCLUSIONS", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "REFERENCES", "APPENDIX")
+KNOWN_HEADINGS = (
+    "INTRODUCTION", "BACKGROUND", "RELATED WORK", "METHOD", "METHODS", "METHODOLOGY", "APPROACH", "MODEL", "EXPERIMENTS", "EXPERIMENTAL SETUP", "RESULTS",
+    "DISCUSSION", "CONCLUSION", "CONCLUSIONS", "LIMITATIONS", "ACKNOWLEDGMENTS", "ACKNOWLEDGEMENTS", "REFERENCES", "APPENDIX",
+)
 
 
 def heading_level(line: Column) -> Column:
-    """Dots + 1 of a numbered heading, 1 of a known one, else null: at most 110 characters, and at least 65 % capitals or words that begin with capitals."""
+    """Dots + 1 of a numbered heading, 1 of a known one, else null: at most 110 characters, and a numbered one at least 65 % capitals or in title case."""
     bare = F.trim(F.regexp_replace(line, r"\s+", " "))
-    number, head = F.regexp_extract(bare, r"^([0-9]+(?:\.[0-9]+)*)\.?\s+([A-Za-z].*)$", 1), F.regexp_extract(bare, r"^([0-9]+(?:\.[0-9]+)*)\.?\s+([A-Za-z].*)$", 2)
+    numbered = r"^([0-9]+(?:\.[0-9]+)*)\s+([A-Z][A-Za-z0-9 ,:;()/'&+\-]{2,100})$"
+    number, head = F.regexp_extract(bare, numbered, 1), F.regexp_extract(bare, numbered, 2)
     letters = F.regexp_count(head, F.lit("[A-Za-z]"))
-    looks = (F.regexp_count(head, F.lit("[A-Z]")) >= letters * 0.65) | ((F.regexp_count(head, F.lit(r"\b[A-Za-z]+")) == F.regexp_count(head, F.lit(r"\b[A-Z][a-z]*\b"))) & (letters > 0))
+    # title case: no small letter after another character than a letter, no capital after a letter
+    titled = ~head.rlike("(?:^|[^A-Za-z])[a-z]") & ~head.rlike("[A-Za-z][A-Z]")
+    looks = (letters > 0) & ((F.regexp_count(head, F.lit("[A-Z]")) >= letters * 0.65) | titled)
     known = F.regexp_replace(F.upper(bare), ":+$", "").isin(*KNOWN_HEADINGS)
     return F.when((bare == "") | (F.length(bare) > 110), F.lit(None)).when((number != "") & looks, F.regexp_count(number, F.lit(r"\.")) + 1).when(known, F.lit(1)).cast("int")
 

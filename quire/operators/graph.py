@@ -48,8 +48,9 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     """pairs(src, dst) -> (src, dst, hops, path): the shortest undirected path of at most `hops` edges as `edge>` or `edge<` steps; equal
     ends have an empty path, equal lengths go to the least path.
 
-    Both ends grow in turn, each by nodes it has not seen, so a side has at most half the hops to fan out; a pair leaves as
-    soon as its sides meet. Every step is a written table.
+    Both ends grow in turn, each by nodes it has not seen, so a side has at most half the hops to fan out. What grows belongs to
+    an end, not to a pair, so pairs with a common end share it; a pair leaves as soon as its sides meet, an end with its
+    last pair. Every step is a written table.
     """
     both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit(">")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit("<")).alias("step")))
     back = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit("<")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit(">")).alias("step")))
@@ -57,19 +58,22 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     leaves = edges.select(F.col("src").alias("to")).unionByName(edges.select(F.col("dst").alias("to"))).groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to", F.lit(True).alias("leaf"))
     both, back = (written(x.join(leaves, "to", "left").na.fill(False, ["leaf"]), "steps") for x in (both, back))
     empty = F.array().cast("array<string>")
-    open_pairs = pairs.select("src", "dst").distinct()
+    open_pairs = written(pairs.select("src", "dst").distinct(), "pairs")
     done = [open_pairs.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), empty.alias("path"))]
-    live = written(open_pairs.where("src <> dst"), "pairs")
-    near = {"src": live.select("src", "dst", F.col("src").alias("at"), empty.alias("path")), "dst": live.select("src", "dst", F.col("dst").alias("at"), empty.alias("path"))}
-    seen = {k: v.select("src", "dst", "at") for k, v in near.items()}
+    live = open_pairs.where("src <> dst")
+    near = {k: live.select(F.col(k).alias("end"), F.col(k).alias("at"), empty.alias("path")).distinct() for k in ("src", "dst")}
+    seen = {k: v.select("end", "at") for k, v in near.items()}
     for h in range(1, hops + 1):
-        side = "src" if h % 2 else "dst"
+        side, other = ("src", "dst") if h % 2 else ("dst", "src")
         step, grown = (both, F.concat("path", F.array("step"))) if side == "src" else (back, F.concat(F.array("step"), "path"))
-        ahead = near[side].join(live, ["src", "dst"], "left_semi").join(step, "at").where(~F.col("leaf") | (F.col("to") == F.col("dst" if side == "src" else "src"))).select("src", "dst", F.col("to").alias("at"), grown.alias("path"))
-        near[side] = written(ahead.groupBy("src", "dst", "at").agg(F.min("path").alias("path")).join(seen[side], ["src", "dst", "at"], "left_anti"), "frontier")
-        seen[side] = seen[side].unionByName(near[side].select("src", "dst", "at"))
-        a, b = near["src"], near["dst"].withColumnRenamed("path", "rest")
-        met = written(a.join(b, ["src", "dst", "at"]).groupBy("src", "dst").agg(F.min(F.concat("path", "rest")).alias("path")), "met")
+        ends = live.select(F.col(side).alias("end"), F.col(other).alias("at"))
+        ahead = near[side].join(ends.select("end").distinct(), "end", "left_semi").join(step, "at").select("end", F.col("to").alias("at"), grown.alias("path"), "leaf")
+        ahead = ahead.where("not leaf").drop("leaf").unionByName(ahead.where("leaf").drop("leaf").join(ends, ["end", "at"], "left_semi"))
+        near[side] = written(ahead.groupBy("end", "at").agg(F.min("path").alias("path")).join(seen[side], ["end", "at"], "left_anti"), "frontier")
+        seen[side] = seen[side].unionByName(near[side].select("end", "at"))
+        a = live.join(near["src"].withColumnsRenamed({"end": "src"}), "src")
+        met = a.join(near["dst"].withColumnsRenamed({"end": "dst", "path": "rest"}), ["dst", "at"]).groupBy("src", "dst").agg(F.min(F.concat("path", "rest")).alias("path"))
+        met = written(met, "met")
         done.append(met.select("src", "dst", F.lit(h).alias("hops"), "path"))
         live = written(live.join(met, ["src", "dst"], "left_anti"), "pairs")
         if live.isEmpty():
@@ -97,14 +101,31 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return all_.select("node", "n_out", "n_in", F.round(F.coalesce(F.try_divide(F.col("n_in") * F.col("n_out"), F.col("n_in") + F.col("n_out")), F.lit(0.0)), 6).alias("bridge"), ((F.col("n_in") + F.col("n_out")) == 0).alias("isolated"))
 
 
-def cocitation(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, n): targets that at least `least` sources cite together. Sources cite few targets, so pairs are made within a source's list."""
-    cited = edges.select("src", "dst").distinct()
-    other = cited.select("src", F.col("dst").alias("b"))
-    pairs = cited.select("src", F.col("dst").alias("a")).join(other, "src").where("a < b")
+def _common(links: DataFrame, least: int, most: int) -> DataFrame:
+    """links(at, x) -> (a, b, n): the pairs of x that at least `least` values of `at` have in common; more than `most` x of one `at` raise an error."""
+    lists = links.distinct()
+    wide = lists.groupBy("at").agg(F.count("*").alias("n"))
+    checked = wide.select("at", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("more than "), F.lit(most), F.lit(" entries at "), F.col("at").cast("string"))).cast("long")).otherwise(F.col("n")).alias("n")).where("n > 1")
+    sound = lists.join(checked.select("at"), "at")
+    pairs = sound.select("at", F.col("x").alias("a")).join(sound.select("at", F.col("x").alias("b")), "at").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def cocitation(edges: DataFrame, least: int = 2, most: int = 1_000) -> DataFrame:
+    """edges(src, dst) -> (a, b, n): targets that at least `least` sources cite together. Pairs are made within a source's list, of at most `most` targets."""
+    return _common(edges.select(F.col("src").alias("at"), F.col("dst").alias("x")), least, most)
+
+
+def coupling(edges: DataFrame, least: int = 2, most: int = 10_000) -> DataFrame:
+    """edges(src, dst) -> (a, b, n): sources that cite at least `least` targets in common. Pairs are made among the sources of a target, of which there are at most `most`."""
+    return _common(edges.select(F.col("dst").alias("at"), F.col("src").alias("x")), least, most)
+
+
+def concept_pairs(mentions: DataFrame, least: int = 2, most: int = 1_000) -> DataFrame:
+    """mentions(work, concept) -> (a, b, n): concepts that at least `least` works name together; a work names at most `most`."""
+    return _common(mentions.select(F.col("work").alias("at"), F.col("concept").alias("x")), least, most)
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(node, rank) after `rounds` power steps; nodes without out-edges share their rank among all."""
     e = written(edges.select("src", "dst").distinct(), "links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
@@ -89,40 +90,89 @@ def resolve_refs_doi(refs: DataFrame, papers: DataFrame) -> DataFrame:
     return refs.withColumn("k", key("doi")).where("k <> ''").join(papers.select("work", key("paper_doi").alias("k")), "k").drop("k")
 
 
-def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0) -> DataFrame:
-    """refs(ref_id, title) x papers(work, title): for each reference the best paper whose token-sorted Levenshtein ratio is at least `least`.
+def _pieces(left: DataFrame, right: DataFrame, parts: Column, shift: Column) -> DataFrame:
+    """left(s) x right(t): the pairs (s, t) that share one of `parts` equal pieces of s, at most `shift` places away from where it stands in s (anywhere if shift is null).
 
-    Titles are compared once for each distinct form. Two forms that are similar enough differ in length by no more than the ratio
-    allows, and share a piece: of k + 1 equal parts of the shorter form, k edits leave one untouched. Each part is joined at the
-    places where it can stand, so no candidates are lost and nothing is compared with everything.
+    Both are columns of n, the length of s. Pieces of s are joined to the substrings of their lengths in t.
+    """
+    n = F.length("s")
+    known = left.select("s", parts(n).alias("parts"), shift(n).alias("shift")).withColumn("size", F.greatest(F.lit(1), F.floor(n / F.col("parts"))).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct((k * F.col("size")).alias("at"), F.substring(F.col("s"), k * F.col("size") + 1, F.when(k == F.col("parts") - 1, n).otherwise(F.col("size"))).alias("part")))
+    pieces = known.select("s", "shift", F.explode(cut).alias("c")).select("s", "shift", "c.at", "c.part").where("part <> ''")
+    widths = [r["w"] for r in pieces.select(F.length("part").alias("w")).distinct().collect()]  # no more than a title has characters
+    places = right.select("t", F.explode(F.filter(F.array(*map(F.lit, sorted(widths))).cast("array<int>"), lambda w: w <= F.length("t"))).alias("w"))
+    spots = places.select("t", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("w") + 1), lambda i: F.substring(F.col("t"), i, F.col("w")))).alias("i", "part"))
+    return pieces.join(spots, "part").where(F.col("shift").isNull() | (F.abs(F.col("i") - F.col("at")) <= F.col("shift"))).select("s", "t").distinct()
+
+
+def _partial_ratio(a: str, b: str) -> float:
+    """100 times the best similarity 1 - indel distance / length of the shorter text to a window of the longer (windows of its length, and shorter ones at both ends)."""
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    if not n:
+        return 0.0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, best = (1 << n) - 1, 0.0
+    for start in range(1 - n, len(long)):
+        window = long[max(0, start) : start + n]
+        row = full  # bits of the longest common subsequence, one word operation a character
+        for c in window:
+            hit = row & masks.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        best = max(best, 200.0 * (n - row.bit_count()) / (n + len(window)))
+    return best
+
+
+def _partial(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_partial_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return of(a, b)
+
+
+def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0, partial: float | None = 95.0) -> DataFrame:
+    """refs(ref_id, title) x papers(work, title) -> (ref_id, work, score): for each reference the best paper whose token-sorted Levenshtein
+    ratio is at least `least`, else the best whose partial ratio is at least `partial` and whose shorter title is more than half
+    of the longer; equal scores go to the least work. Without `partial` the second step is left out.
+
+    Titles are compared once for each distinct form. Of k + 1 equal pieces of a form, k edits leave one untouched, so two similar forms share
+    a piece; pieces are joined at the places where they can stand. No candidates are lost and nothing is compared with everything.
     """
-    a = refs.select("ref_id", T.token_sorted(F.col("title")).alias("s"))
-    b = papers.select("work", T.token_sorted(F.col("title")).alias("t")).groupBy("t").agg(F.min("work").alias("work"))
-    forms = a.select("s").where("s <> ''").distinct()
     share = 1 - least / 100
 
     def edits(n: Column) -> Column:  # the most edits of a pair whose longer form has n characters
         return F.floor(n * share + 1e-9).cast("int")
 
-    def pieces(n: Column) -> Column:  # as many as the most edits of a match, and one
-        return edits(F.ceil(n / (1 - share))) + 1
-
-    def size(n: Column) -> Column:
-        return F.greatest(F.lit(1), F.floor(n / pieces(n))).cast("int")
-
-    n = F.length("s")
-    cut = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda k: F.struct((k * size(n)).alias("at"), F.substring(F.col("s"), k * size(n) + 1, F.when(k == pieces(n) - 1, n).otherwise(size(n))).alias("part")))
-    left = forms.select("s", pieces(n).alias("parts"), F.explode(cut).alias("c")).select("s", "parts", "c.at", "c.part").where("part <> ''")
-    # part lengths of all forms that are near in length
-    m = F.length("t")
-    widths = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), F.floor(m * (1 - share)).cast("int")), F.ceil(m / (1 - share)).cast("int")), lambda k: F.array(size(k), k - (pieces(k) - 1) * size(k)))))
-    places = b.where(m > 0).withColumn("w", F.explode(widths)).where(F.col("w").between(1, m))
-    right = places.select("t", "work", F.explode(F.transform(F.sequence(F.lit(1), m - F.col("w") + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("t"), i, F.col("w")).alias("part")))).alias("p")).select("t", "work", "p.i", "p.part")
-    met = left.join(right, "part").where(F.abs(F.col("i") - 1 - F.col("at")) < F.col("parts")).select("s", "t", "work").distinct()
+    a = refs.select("ref_id", T.token_sorted(F.col("title")).alias("s"), T.normalized_cite(F.col("title")).alias("plain"))
+    b = papers.select("work", T.token_sorted(F.col("title")).alias("t")).groupBy("t").agg(F.min("work").alias("work"))
+    forms = a.select("s").where("s <> ''").distinct()
+    met = _pieces(forms, b.select("t").where("t <> ''"), lambda n: edits(F.ceil(n / (1 - share))) + 1, lambda n: edits(F.ceil(n / (1 - share))))
+    met = met.where(F.least(F.length("s"), F.length("t")) >= F.greatest(F.length("s"), F.length("t")) * (1 - share) - 1e-9)
     longest = F.greatest(F.length("s"), F.length("t"))
     scored = met.withColumn("score", F.lit(100.0) * (F.lit(1.0) - F.levenshtein("s", "t") / longest)).where(F.col("score") >= least)
-    best = scored.groupBy("s").agg(F.max_by(F.struct("work", "score"), F.struct("score", -F.col("work"))).alias("m"))
-    return a.join(best, "s").select("ref_id", "m.work", F.round("m.score", 6).alias("score"))
+    best = scored.join(b, "t").groupBy("s").agg(F.max_by(F.struct("work", "score"), F.struct("score", -F.col("work"))).alias("m"))
+    found = a.join(best, "s").select("ref_id", "m.work", F.round("m.score", 6).alias("score"))
+    if partial is None:
+        return found
+    rest = a.join(found.select("ref_id"), "ref_id", "left_anti").where("plain <> ''").select("ref_id", "plain")
+    titles = papers.select("work", T.normalized_cite(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("work").alias("work"))
+    texts, gap = rest.select("plain").distinct(), 1 - partial / 100
+
+    def torn(n: Column) -> Column:  # insertions and deletions of a pair of windows of n characters
+        return F.floor(2 * n * gap + 1e-9).cast("int")
+
+    anywhere = lambda n: F.lit(None).cast("int")
+    # the shorter of two titles has its pieces in the longer
+    ours = _pieces(texts.select(F.col("plain").alias("s")), titles.select("t"), lambda n: torn(n) + 1, anywhere).select(F.col("s").alias("plain"), "t")
+    theirs = _pieces(titles.select(F.col("t").alias("s")), texts.select(F.col("plain").alias("t")), lambda n: torn(n) + 1, anywhere).select(F.col("t").alias("plain"), F.col("s").alias("t"))
+    near = ours.where(F.length("plain") <= F.length("t")).unionByName(theirs.where(F.length("plain") > F.length("t")))
+    near = near.where(F.least(F.length("plain"), F.length("t")) * 2 > F.greatest(F.length("plain"), F.length("t")))
+    judged = near.withColumn("score", _partial("plain", "t")).where(F.col("score") >= partial)
+    second = judged.join(titles, "t").groupBy("plain").agg(F.max_by(F.struct("work", "score"), F.struct("score", -F.col("work"))).alias("m"))
+    return found.unionByName(rest.join(second, "plain").select("ref_id", "m.work", F.round("m.score", 6).alias("score")))
 
 
 def by_rarity(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -152,19 +202,27 @@ def overlap_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
     return out.where(F.col("common") > F.greatest("na", "nb") * share)
 
 
-def containing_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
-    """texts(a, words) x parts(b, words), ids being the blank-separated texts themselves: (a, b) where b stands in a and they share a word.
+def _substrings(x: Column, n: int) -> Column:
+    """The distinct substrings of n characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n))))
 
-    A part of three words or more has its inner words whole in the text, so its rarest inner word is joined; a shorter one is
-    joined by each of its words.
+
+def containing_pairs(texts: DataFrame, parts: DataFrame, gram: int = 4) -> DataFrame:
+    """texts(a) x parts(b), ids being the texts themselves and none empty: (a, b) where b stands in a, also inside words.
+
+    A part of `gram` characters or more has its substrings of that length in the text, so its rarest one is joined; a shorter
+    part is itself a substring of its length.
     """
-    words = parts.select("b", F.split("b", " ").alias("w"))
-    inner = words.select("b", F.when(F.size("w") >= 3, F.slice("w", F.lit(2), F.greatest(F.lit(1), F.size("w") - 2))).otherwise(F.col("w")).alias("w"), (F.size("w") >= 3).alias("one"))
-    often = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    keys = inner.select("b", "one", F.explode(F.array_distinct("w")).alias("word")).join(often, "word")
-    rarest = keys.where("one").groupBy("b").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    block = rarest.unionByName(keys.where("not one").select("b", "word"))
-    return texts.select("a", F.explode("words").alias("word")).join(block, "word").where(F.contains("a", "b")).select("a", "b").distinct()
+    words = texts.where(F.length("a") >= gram).select("a", F.explode(_substrings(F.col("a"), gram)).alias("key"))
+    often = words.groupBy("key").agg(F.count("*").alias("n"))
+    keys = parts.where(F.length("b") >= gram).select("b", F.explode(_substrings(F.col("b"), gram)).alias("key"))
+    # a part with a substring that no text has stands in none
+    ranked = keys.join(often, "key", "left").groupBy("b").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.count_if(F.col("n").isNull()).alias("lost")).where("lost = 0")
+    out = words.join(ranked.select("b", "key"), "key").where(F.contains("a", "b")).select("a", "b")
+    for n in range(1, gram):
+        short = parts.where(F.length("b") == n)
+        out = out.unionByName(texts.where(F.length("a") >= n).select("a", F.explode(_substrings(F.col("a"), n)).alias("b")).join(short, "b").select("a", "b"))
+    return out.distinct()
 
 
 def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
@@ -175,8 +233,8 @@ def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7)
     exact = forms.join(y, F.col("s") == F.col("t")).select("s", "b", F.lit(3).alias("tier"), F.lit(1.0).alias("score"))
     ours, theirs = (f.select(F.col(k).alias(n), F.array_distinct(F.split(k, " ")).alias("words")) for f, k, n in ((forms, "s", "a"), (y, "t", "b")))
     near = overlap_pairs(ours, theirs, least).select(F.col("a").alias("s"), F.col("b").alias("t"), F.lit(1).alias("tier"), (F.col("common") / F.greatest("na", "nb")).alias("score"))
-    down = containing_pairs(ours, theirs).select(F.col("a").alias("s"), F.col("b").alias("t"))
-    up = containing_pairs(theirs.withColumnRenamed("b", "a"), ours.withColumnRenamed("a", "b")).select(F.col("b").alias("s"), F.col("a").alias("t"))
+    down = containing_pairs(forms.select(F.col("s").alias("a")), y.select(F.col("t").alias("b"))).select(F.col("a").alias("s"), F.col("b").alias("t"))
+    up = containing_pairs(y.select(F.col("t").alias("a")), forms.select(F.col("s").alias("b"))).select(F.col("b").alias("s"), F.col("a").alias("t"))
     inside = down.unionByName(up).select("s", "t", F.lit(2).alias("tier"), F.least(F.length("s"), F.length("t")).cast("double").alias("score"))
     loose = near.unionByName(inside).join(y, "t").select("s", "b", "tier", "score")
     best = exact.unionByName(loose).groupBy("s").agg(F.max_by(F.struct("b", "tier", "score"), F.struct("tier", "score", -F.col("b"))).alias("m"))
@@ -196,16 +254,22 @@ def match_metadata_jaccard(papers: DataFrame, feed: DataFrame) -> DataFrame:
 
 
 def resolve_paper_keys(queries: DataFrame, papers: DataFrame) -> DataFrame:
-    """queries(q) x papers(paper_id, arxiv_id, doi, slug): exact id, preprint id without version, DOI without URL, then the slug that holds the query; the first strategy that hits wins, ties to the least id."""
+    """queries(q) x papers(paper_id, arxiv_id, doi, slug): an exact key, preprint id without version, DOI without URL, then a slug that holds
+    the query with blanks as `-`; the first strategy that hits wins, ties to the least id. Outer blanks do not count; an empty query finds nothing."""
     p = papers
-    exact = queries.join(p, F.col("q") == F.col("paper_id").cast("string")).select("q", "paper_id", F.lit(0).alias("way"))
-    arxiv = queries.withColumn("k", T.normalized_arxiv(F.col("q"))).join(p.select("paper_id", F.col("arxiv_id").alias("k")), "k").select("q", "paper_id", F.lit(1).alias("way"))
-    doi = queries.withColumn("k", T.normalized_doi(F.col("q"))).join(p.select("paper_id", F.lower("doi").alias("k")), "k").select("q", "paper_id", F.lit(2).alias("way"))
-    # a slug holds the query: queries of three characters or more meet slugs by their first three, at every place of the slug
-    open_q = queries.where(F.length("q") >= 3).select("q", F.lower("q").alias("low")).withColumn("gram", F.substring("low", 1, 3))
-    spots = p.select("paper_id", F.lower("slug").alias("slug")).where(F.length("slug") >= 3).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("slug") - 2), lambda i: F.substring(F.col("slug"), i, F.lit(3))))))
-    slug = open_q.join(spots, "gram").where(F.contains("slug", "low")).select("q", "paper_id", F.lit(3).alias("way"))
-    hits = exact.unionByName(arxiv).unionByName(doi).unionByName(slug)
+    asked = queries.select("q", F.trim("q").alias("bare")).where("bare <> ''")
+    keys = p.select("paper_id", F.explode(F.array(F.col("paper_id").cast("string"), "arxiv_id", "doi", "slug")).alias("bare")).where("bare is not null")
+    exact = asked.join(keys, "bare").select("q", "paper_id", F.lit(0).alias("way"))
+    arxiv = asked.withColumn("k", T.normalized_arxiv(F.col("bare"))).join(p.select("paper_id", F.col("arxiv_id").alias("k")), "k").select("q", "paper_id", F.lit(1).alias("way"))
+    doi = asked.withColumn("k", T.normalized_doi(F.col("bare"))).join(p.select("paper_id", F.lower("doi").alias("k")), "k").select("q", "paper_id", F.lit(2).alias("way"))
+    # queries meet slugs by their first characters, up to three, at every place of the slug; up to three characters this is containment itself
+    low = F.replace(F.lower("bare"), F.lit(" "), F.lit("-"))
+    open_q = asked.select("q", low.alias("low"), F.substring(low, 1, 3).alias("gram"))
+    slugs = p.select("paper_id", F.col("slug").alias("slug")).where(F.contains("slug", F.lit("-")) & ~F.startswith("slug", F.lit("10.")) & ~F.regexp_like("slug", F.lit(r"^[0-9]{4}\.")))
+    spots = slugs.select("paper_id", "slug", F.explode(F.concat(*[_substrings(F.col("slug"), n) for n in (1, 2, 3)])).alias("gram"))
+    long = open_q.where(F.length("low") > 3).join(spots, "gram").where(F.contains("slug", "low")).select("q", "paper_id", F.lit(3).alias("way"))
+    short = open_q.where(F.length("low") <= 3).join(spots.groupBy("gram").agg(F.min("paper_id").alias("paper_id")), "gram").select("q", "paper_id", F.lit(3).alias("way"))
+    hits = exact.unionByName(arxiv).unionByName(doi).unionByName(long).unionByName(short)
     best = hits.groupBy("q").agg(F.min(F.struct("way", "paper_id")).alias("m"))
     return queries.join(best, "q", "left").select("q", "m.paper_id", "m.way")
 

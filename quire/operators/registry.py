@@ -56,10 +56,10 @@ def sealed_build(registry: DataFrame, release: str, kind: str, digest: str) -> s
 
 
 def validate_builds(registry: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(kind, build_id) -> the violations of a set of builds: unknown, not sealed, of another kind, release or relational parent."""
-    j = wanted.join(registry.withColumnRenamed("kind", "real_kind"), "build_id", "left")
-    base = j.where("kind = 'relational'").agg(F.max("build_id").alias("base"), F.max("release").alias("base_release"))
-    k = j.join(base)  # one row
+    """wanted(kind, build_id), or wanted(snapshot, kind, build_id) for many sets -> the violations of each set of builds: unknown, not sealed, of another kind, release or relational parent."""
+    many = "snapshot" in wanted.columns
+    j = (wanted if many else wanted.withColumn("snapshot", F.lit(""))).join(registry.withColumnRenamed("kind", "real_kind"), "build_id", "left")
+    base = j.where("kind = 'relational'").groupBy("snapshot").agg(F.max("build_id").alias("base"), F.max("release").alias("base_release"))
     fault = (
         F.when(F.col("real_kind").isNull(), "unknown")
         .when(F.col("status") != "sealed", "not_sealed")
@@ -67,7 +67,7 @@ def validate_builds(registry: DataFrame, wanted: DataFrame) -> DataFrame:
         .when(F.col("release") != F.col("base_release"), "other_release")
         .when((F.col("kind") != "relational") & (F.col("parent") != F.col("base")), "other_parent")
     )
-    return k.select("kind", "build_id", fault.alias("fault")).where("fault is not null")
+    return j.join(base, "snapshot", "left").select(*wanted.columns, fault.alias("fault")).where("fault is not null")
 
 
 def create_snapshot(registry: DataFrame, wanted: DataFrame, snapshot: str) -> DataFrame:

@@ -13,11 +13,11 @@ def citation_contexts(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     return mentions.join(edges.select("src", F.explode("reference_ids").alias("ref")), "ref").distinct()
 
 
-def resolve_cascade(refs: DataFrame, papers: DataFrame) -> DataFrame:
-    """refs(ref_id, title, doi) -> (ref_id, work, level): by DOI, else by fuzzy title, else unresolved."""
+def resolve_cascade(refs: DataFrame, papers: DataFrame, partial: float | None = 95.0) -> DataFrame:
+    """refs(ref_id, title, doi) -> (ref_id, work, level): by DOI, else by fuzzy title (see resolve_refs_fuzzy), else unresolved."""
     by_doi = M.resolve_refs_doi(refs, papers).groupBy("ref_id").agg(F.min("work").alias("work")).withColumn("level", F.lit("doi"))
     rest = refs.join(by_doi.select("ref_id"), "ref_id", "left_anti")
-    by_title = M.resolve_refs_fuzzy(rest, papers).select("ref_id", "work", F.lit("title").alias("level"))
+    by_title = M.resolve_refs_fuzzy(rest, papers, partial=partial).select("ref_id", "work", F.lit("title").alias("level"))
     none = rest.join(by_title.select("ref_id"), "ref_id", "left_anti").select("ref_id", F.lit(None).cast("long").alias("work"), F.lit("unresolved").alias("level"))
     return by_doi.unionByName(by_title).unionByName(none)
 
@@ -27,23 +27,23 @@ def resolution_levels(resolved: DataFrame) -> DataFrame:
     return counts.select("level", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6).alias("share"))
 
 
-def merge_sources(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """primary(doc_id, venue, year, content) filled from fallback(doc_id, f_venue, f_year, f_content).
+def merge_sources(primary: DataFrame, fallback: DataFrame, fields: tuple[str, ...] = ("venue", "year"), wins: tuple[str, ...] = ("year",)) -> DataFrame:
+    """primary(doc_id, content, fields) filled from fallback(doc_id, f_content, f_<field>).
 
-    An empty venue is filled; the fallback's year wins where it has one; its content wins if longer by max(500, 20 %).
-    conflicts maps fields to the primary value that lost.
+    Empty fields are filled; of the fields in `wins` the fallback's value is taken where it has one; its content wins if
+    longer by max(500, 20 %). conflicts maps each field in which both have different values to the value that lost.
     """
     m = primary.join(fallback.withColumn("has_fallback", F.lit(True)), "doc_id", "left")
-    year = F.coalesce("f_year", "year")
     more = F.length("f_content") > F.length("content") + F.greatest(F.lit(500.0), F.length("content") * 0.2)
-    lost = F.map_from_entries(F.filter(F.array(F.when(F.col("f_year") != F.col("year"), F.struct(F.lit("year").alias("key"), F.col("year").cast("string").alias("value")))), lambda x: x.isNotNull()))
+    none = {c: F.col(c).isNull() | (F.col(c).cast("string") == "") for f in fields for c in (f, f"f_{f}")}
+    value = {f: F.when(none[f"f_{f}"], F.col(f)).otherwise(F.col(f"f_{f}")) if f in wins else F.when(none[f], F.col(f"f_{f}")).otherwise(F.col(f)) for f in fields}
+    lost = [F.when(~none[f] & ~none[f"f_{f}"] & (F.col(f) != F.col(f"f_{f}")), F.struct(F.lit(f).alias("key"), F.col(f if f in wins else f"f_{f}").cast("string").alias("value"))) for f in fields]
     return m.select(
         "doc_id",
-        F.coalesce(F.nullif("venue", F.lit("")), "f_venue").alias("venue"),
-        year.alias("year"),
+        *[value[f].alias(f) for f in fields],
         F.when(more, F.col("f_content")).otherwise(F.col("content")).alias("content"),
         F.when(more, "fallback").otherwise("primary").alias("content_from"),
-        lost.alias("conflicts"),
+        F.map_from_entries(F.filter(F.array(*lost), lambda x: x.isNotNull())).alias("conflicts"),
         F.coalesce("has_fallback", F.lit(False)).alias("has_fallback"),
     )
 
@@ -84,19 +84,6 @@ def route_health(routes: DataFrame, backends: DataFrame, fresh_from: Column) ->
     return routes.join(backends, "backend", "left").withColumn("reason", reason)
 
 
-def usage_by_tenant(events: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Counts by outcome, latency and bytes; tenants without events appear with zeros."""
-    by = events.groupBy("tenant").agg(F.count("*").alias("n"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("forwarded", "failed", "rejected")], F.round(F.avg("latency"), 2).alias("avg_latency"), F.max("latency").alias("max_latency"), F.sum("bytes").alias("bytes"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n", "forwarded", "failed", "rejected", "bytes")}
-    return tenants.join(by, "tenant", "left").withColumns(zero)
-
-
-def corpus_stats(papers: DataFrame) -> DataFrame:
-    """Totals, by source and by language in one pass."""
-    p = papers.select("source", "lang", F.size(F.split("text", "\n", -1)).alias("lines"), (F.col("abstract") != "").cast("int").alias("has"))
-    return p.groupingSets([["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"), F.sum("lines").alias("n_lines"), F.round(F.avg("has"), 2).alias("abstract_share"))
-
-
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, t in tables.items():
@@ -132,11 +119,19 @@ def char_budget(nodes: DataFrame, most: int) -> DataFrame:
     return n.withColumns({"text": F.left("line", (F.lit(most) - F.col("before")).cast("int")), "truncated": F.col("before") + F.length("line") > most})
 
 
-def admitted_requests(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """The first `limit` requests of a tenant in each fixed window are admitted; the rest learn when to come back."""
+def admitted_requests(events: DataFrame, limit: int, seconds: int, slots: int = 64) -> DataFrame:
+    """The first `limit` requests of a tenant in each fixed window are admitted; the rest learn when to come back.
+
+    A window is cut into `slots` equal times: requests are numbered within a slot and moved by the counts of the slots before,
+    so a busy tenant's window is many tasks.
+    """
     us, start = A.micros(F.col("ts")), A.window_start(F.col("ts"), seconds)
-    n = F.row_number().over(W.partitionBy("tenant", "start").orderBy("ts", "event_id"))
-    out = events.withColumn("start", start).withColumn("n", n)
+    key = ["tenant", "start", "slot"]
+    cut = events.withColumn("start", start).withColumn("slot", F.floor((us - F.col("start")) * slots / (seconds * 1_000_000)).cast("int"))
+    counts = cut.groupBy(*key).agg(F.count("*").alias("n"))
+    before = counts.select(*key, F.coalesce(F.sum("n").over(W.partitionBy("tenant", "start").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    local = cut.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("ts", "event_id")))
+    out = local.join(before, key).withColumn("n", F.col("n") + F.col("before")).drop("slot", "before")
     return out.withColumns({"admitted": F.col("n") <= limit, "remaining": A.remaining(F.lit(limit), F.col("n")).cast("long"), "retry_after": F.when(F.col("n") > limit, A.retry_after(us, F.col("start") + seconds * 1_000_000))})
 
 

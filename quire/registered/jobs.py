@@ -29,7 +29,15 @@ def _chunk_nodes(spark, d):
     return n.select("doc_id", F.floor(F.col("pos") / 5).cast("int").alias("section"), "pos", F.col("line").alias("text")).join(title, "doc_id")
 
 
-@query("job2_chunk")
+# Nodes of a section are taken one after another; a new chunk opens where prefix and texts would pass 1000 characters.
+_CHUNKS = f"""WITH RECURSIVE {V.NODES}, {V.PAPERS}, i AS (SELECT n.doc_id, (pos // 5)::INT AS section, pos, line, '[' || left(title, 40) || '] ' AS prefix, row_number() OVER (PARTITION BY n.doc_id, pos // 5 ORDER BY pos) AS k FROM nodes n JOIN papers p ON n.doc_id = p.doc_id WHERE line <> ''),
+f AS (SELECT doc_id, section, k, 0 AS chunk, length(prefix) + length(line) + 2 AS size FROM i WHERE k = 1 UNION ALL SELECT i.doc_id, i.section, i.k, chunk + (size + length(line) + 2 > 1000)::INT, CASE WHEN size + length(line) + 2 > 1000 THEN length(prefix) ELSE size END + length(line) + 2 FROM f JOIN i ON f.doc_id = i.doc_id AND f.section = i.section AND i.k = f.k + 1),
+c AS (SELECT i.doc_id, i.section, chunk, prefix || string_agg(line, chr(10) || chr(10) ORDER BY pos) AS content FROM f JOIN i ON f.doc_id = i.doc_id AND f.section = i.section AND f.k = i.k GROUP BY 1, 2, 3, prefix),
+o AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY section, chunk) - 1)::INT AS ordinal FROM c)
+"""
+
+
+@query("job2_chunk", _CHUNKS + "SELECT doc_id, section, ordinal, content, greatest(1, length(content) // 4)::INT AS tokens, sha256(content) AS content_sha256 FROM o")
 def job2(spark, d):
     return J.chunked(_chunk_nodes(spark, d), 1000).select("doc_id", "section", "ordinal", "content", "tokens", "content_sha256")
 
@@ -49,6 +57,13 @@ def job4(spark, d):
     return R.embedded(c).select("chunk_id", "embedding", "sound", "content_sha256")
 
 
+@query("job4_embedded_chunks", _CHUNKS + "SELECT doc_id || '-' || ordinal AS chunk_id, true AS sound, 1.0::DOUBLE AS length, sha256(content) AS content_sha256 FROM o")
+def job4_sound(spark, d):
+    """What holds of every embedding: its width, and that it has length one (every chunk has words)."""
+    length = F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 3)
+    return job4(spark, d).select("chunk_id", "sound", length.alias("length"), "content_sha256")
+
+
 @query("job5_reembed_changed", "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
 def job5(spark, d):
     docs = _t(spark, d, "documents")
@@ -120,7 +135,7 @@ def job8(spark, d):
     return c.select("doc_id", F.array_join("domains", "|").alias("domains"), F.array_join("sub_directions", "|").alias("subs"), F.array_join("methods", "|").alias("methods"))
 
 
-_J9A = "a0 AS (SELECT p_partkey AS a, lower(p_name || ' ' || p_brand[7:]) AS s, CASE WHEN p_size % 3 = 0 THEN 2000 + p_size END AS year, CASE WHEN p_size % 3 = 1 THEN 2017 + p_size % 3 END AS guess FROM part), b0 AS (SELECT min(p_partkey) AS b, t FROM (SELECT p_partkey, lower(p_name || ' ' || p_brand[7:] || ' ' || p_size) AS t FROM part WHERE p_partkey % 11 = 0) GROUP BY t), f0 AS (SELECT DISTINCT s FROM a0 WHERE year IS NULL), w0 AS (SELECT s, b, t, len(list_intersect(string_split(s, ' '), string_split(t, ' '))) AS c, len(list_distinct(string_split(s, ' '))) AS na, len(list_distinct(string_split(t, ' '))) AS nb FROM f0, b0), k0 AS (SELECT s, b, CASE WHEN s = t THEN 3 WHEN c > 0 AND (contains(s, t) OR contains(t, s)) THEN 2 WHEN c / greatest(na, nb) > 0.7 THEN 1 END AS tier, CASE WHEN s = t THEN 1.0 WHEN c > 0 AND (contains(s, t) OR contains(t, s)) THEN least(length(s), length(t)) ELSE c / greatest(na, nb) END AS score FROM w0), m0 AS (SELECT s, b FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tier DESC, score DESC, b) AS n FROM k0 WHERE tier IS NOT NULL) WHERE n = 1)"
+_J9A = "a0 AS (SELECT p_partkey AS a, lower(p_name || ' ' || p_brand[7:]) AS s, CASE WHEN p_size % 3 = 0 THEN 2000 + p_size END AS year, CASE WHEN p_size % 3 = 1 THEN 2017 + p_size % 3 END AS guess FROM part), b0 AS (SELECT min(p_partkey) AS b, t FROM (SELECT p_partkey, lower(p_name || ' ' || p_brand[7:] || ' ' || p_size) AS t FROM part) GROUP BY t), f0 AS (SELECT DISTINCT s FROM a0 WHERE year IS NULL), w0 AS (SELECT s, b, t, len(list_intersect(string_split(s, ' '), string_split(t, ' '))) AS c, len(list_distinct(string_split(s, ' '))) AS na, len(list_distinct(string_split(t, ' '))) AS nb FROM f0, b0), k0 AS (SELECT s, b, CASE WHEN s = t THEN 3 WHEN (contains(s, t) OR contains(t, s)) THEN 2 WHEN c / greatest(na, nb) > 0.7 THEN 1 END AS tier, CASE WHEN s = t THEN 1.0 WHEN (contains(s, t) OR contains(t, s)) THEN least(length(s), length(t)) ELSE c / greatest(na, nb) END AS score FROM w0), m0 AS (SELECT s, b FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tier DESC, score DESC, b) AS n FROM k0 WHERE tier IS NOT NULL) WHERE n = 1)"
 
 
 @query("job9_complete_years", f"WITH {_J9A} SELECT a0.a, coalesce(year, 1900 + b % 90, guess)::INT AS year, CASE WHEN year IS NOT NULL THEN 'present' WHEN b IS NOT NULL THEN 'fact' WHEN guess IS NOT NULL THEN 'inferred' ELSE 'missing' END AS way FROM a0 LEFT JOIN m0 ON a0.s = m0.s AND a0.year IS NULL")
@@ -128,7 +143,7 @@ def job9(spark, d):
     p, k, s = _t(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
     number = F.substring("p_brand", 7, 10)
     papers = p.select(k.alias("a"), F.concat_ws(" ", "p_name", number).alias("title"), F.when(s % 3 == 0, 2000 + s).cast("int").alias("year"), F.when(s % 3 == 1, F.concat(F.lit("in "), (2017 + s % 3).cast("string"), F.lit(" we"))).otherwise("no").alias("text"))
-    facts = p.where(k % 11 == 0).select(k.alias("b"), F.concat_ws(" ", "p_name", number, s.cast("string")).alias("title"), (1900 + k % 90).cast("int").alias("year"))
+    facts = p.select(k.alias("b"), F.concat_ws(" ", "p_name", number, s.cast("string")).alias("title"), (1900 + k % 90).cast("int").alias("year"))
     # equal titles stand for one fact, the least
     facts = facts.groupBy("title").agg(F.min("b").alias("b")).select("b", "title", (1900 + F.col("b") % 90).cast("int").alias("year"))
     return J.complete_years(papers, facts)
@@ -165,11 +180,11 @@ def job14(spark, d):
     return J.research_sync(directions, V.papers(spark, d).select("doc_id", "title"), _t(spark, d, "labels"))
 
 
-_J15 = "WITH a AS (SELECT p_partkey AS a, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ws, p_size FROM part), b AS (SELECT min(p_partkey) AS b, ws FROM (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_type || ' ' || p_name || ' ' || p_size), ' '))) AS ws FROM part WHERE p_partkey % 5 = 0) GROUP BY ws), f AS (SELECT DISTINCT ws FROM a WHERE {cond}), k AS (SELECT f.ws, b.b, len(list_intersect(f.ws, b.ws)) / (len(f.ws) + len(b.ws) - len(list_intersect(f.ws, b.ws))) AS score, len(f.ws) AS n FROM f, b), best AS (SELECT ws, b FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, b) AS r FROM k WHERE score > CASE WHEN n <= 4 THEN 0.5 ELSE 0.6 END) WHERE r = 1) "
+_J15 = "WITH a AS (SELECT p_partkey AS a, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ws, p_size FROM part), b AS (SELECT min(p_partkey) AS b, ws FROM (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_type || ' ' || p_name || ' ' || p_size), ' '))) AS ws FROM part) GROUP BY ws), f AS (SELECT DISTINCT ws FROM a WHERE {cond}), k AS (SELECT f.ws, b.b, len(list_intersect(f.ws, b.ws)) / (len(f.ws) + len(b.ws) - len(list_intersect(f.ws, b.ws))) AS score, len(f.ws) AS n FROM f, b), best AS (SELECT ws, b FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, b) AS r FROM k WHERE score > CASE WHEN n <= 4 THEN 0.5 ELSE 0.6 END) WHERE r = 1) "
 
 
 def _feed(spark, d):
-    p = _t(spark, d, "part").where("p_partkey % 5 = 0")
+    p = _t(spark, d, "part")
     title = F.concat_ws(" ", "p_type", "p_name", F.col("p_size").cast("string"))
     words = F.array_sort(T.word_set(title))
     return p.groupBy(words.alias("ws")).agg(F.min("p_partkey").alias("b"), F.min_by(title, "p_partkey").alias("title"))
@@ -216,7 +231,11 @@ def snk3(spark, d):
     return V.papers(spark, d).select("doc_id", J.bibtex(k.cast("string"), F.col("title"), F.slice(F.split("title", " ", -1), 1, 2), F.when(k % 2 == 0, 2000 + k % 20), F.col("source")).alias("entry"))
 
 
-@query("snk5_render_notes")
+_FIRST = "coalesce(list_filter(list_transform(string_split(regexp_replace(trim(abstract), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 30)[1], left(abstract, 200))"
+_FOUND = "list_concat(list_concat(" + ", ".join(f"regexp_extract_all(abstract, '{p}')" for p in (r"(?is)we\s+(?:propose|introduce|present|develop|design|show|demonstrate)\s+[^.]+", r"(?is)(?:our|the\s+main|a\s+key)\s+contribution[^.]*")) + r"), regexp_extract_all(abstract, '(?is)this\s+(?:paper|work|study)\s+(?:proposes|introduces|presents|develops|shows)[^.]+'))"
+
+
+@query("snk5_render_notes", f"WITH {V.PAPERS}, x AS (SELECT doc_id, title, abstract, string_split(title, ' ') AS a, {_FIRST} AS summary, list_transform(list_filter({_FOUND}, lambda s: length(trim(s)) > 20), lambda s: left(trim(s), 200))[1:5] AS points FROM papers) SELECT doc_id, '# ' || title || chr(10) || chr(10) || '**Authors:** ' || array_to_string(a[1:5], ', ') || CASE WHEN len(a) > 5 THEN ' et al. (' || len(a) || ')' ELSE '' END || chr(10) || '**Id:** `' || doc_id || '`' || chr(10) || chr(10) || '## Summary' || chr(10) || '> ' || CASE WHEN abstract = '' THEN '*No abstract available.*' ELSE summary END || chr(10) || chr(10) || '## Core Contributions' || chr(10) || CASE WHEN len(points) = 0 THEN '*None found.*' ELSE array_to_string(list_transform(points, lambda p, i: i || '. ' || p), chr(10)) END AS note FROM x")
 def snk5(spark, d):
     return V.papers(spark, d).select("doc_id", J.render_note(F.col("title"), F.split("title", " "), F.col("abstract"), F.col("doc_id").cast("string")).alias("note"))
 
@@ -262,11 +281,12 @@ def q4(spark, d):
     return reg.where((F.col("config_hash") == Q.config_hash("build", {"dim": 64})) & (F.col("status") == "sealed")).groupBy("release", "kind").agg(F.min("build_id").alias("build_id"))
 
 
-@query("q5_validate_builds", f"WITH {_REG}, w AS (SELECT k, build_id, CASE WHEN k % 11 = 0 THEN 'vector' ELSE kind END AS kind, release, status, kind AS real, parent FROM reg WHERE k BETWEEN 5 AND 60 AND (kind <> 'relational' OR k = 5)) SELECT kind, build_id, CASE WHEN status <> 'sealed' THEN 'not_sealed' WHEN real <> kind THEN 'wrong_kind' WHEN release <> 'r1' THEN 'other_release' WHEN kind <> 'relational' AND parent <> 'b5' THEN 'other_parent' END AS fault FROM w WHERE fault IS NOT NULL")
+@query("q5_validate_builds", f"WITH {_REG}, w AS (SELECT k // 5 AS s, build_id, CASE WHEN k % 11 = 0 THEN 'vector' ELSE kind END AS kind, release, status, kind AS real, parent FROM reg), b AS (SELECT s, max(build_id) AS base, max(release) AS base_release FROM w WHERE kind = 'relational' GROUP BY 1) SELECT 's' || s AS snapshot, kind, build_id, CASE WHEN status <> 'sealed' THEN 'not_sealed' WHEN real <> kind THEN 'wrong_kind' WHEN release <> base_release THEN 'other_release' WHEN kind <> 'relational' AND parent <> base THEN 'other_parent' END AS fault FROM w LEFT JOIN b USING (s) WHERE fault IS NOT NULL")
 def q5(spark, d):
+    """Every five builds are a snapshot; every eleventh is taken for a vector build."""
     reg = _registry(spark, d)
-    k = F.substring("build_id", 2, 10).cast("int")
-    wanted = reg.where(k.between(5, 60) & ((F.col("kind") != "relational") | (k == 5))).select(F.when(k % 11 == 0, "vector").otherwise(F.col("kind")).alias("kind"), "build_id")
+    k = F.substring("build_id", 2, 20).cast("long")
+    wanted = reg.select(F.concat(F.lit("s"), F.floor(k / 5)).alias("snapshot"), F.when(k % 11 == 0, "vector").otherwise(F.col("kind")).alias("kind"), "build_id")
     return Q.validate_builds(reg, wanted)
 
 

@@ -9,6 +9,7 @@ from quire.functions import text as T
 from quire.operators import lines as L
 from quire.operators import matching as M
 from quire.operators import papers as P
+from quire.operators import reports as R
 from quire.operators import sets as S
 from quire.operators import usage as U
 from quire.plans.session import table
@@ -37,7 +38,7 @@ def flt2(spark, d):
 
 @query("flt3_topic_filter", f"WITH {V.PAPERS} SELECT doc_id FROM papers WHERE contains(lower(title), 'ver') OR contains(lower(abstract), 'ver')")
 def flt3(spark, d):
-    return V.papers(spark, d).where(F.lower("title").contains("ver") | F.lower("abstract").contains("ver")).select("doc_id")
+    return R.topic_filter(V.papers(spark, d), "ver").select("doc_id")
 
 
 @query("flt4_outline", f"WITH {V.SECTIONS} SELECT ordinal, heading FROM sections WHERE doc_id = 7")
@@ -71,8 +72,7 @@ def flt7(spark, d):
 
 @query("flt8_sections_by_roles", f"WITH {V.SECTIONS}, s AS (SELECT {_SEC} FROM sections s) SELECT doc_id, ordinal, role FROM s WHERE role IN ('method', 'limitations') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def flt8(spark, d):
-    works = _t(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    return _with_roles(spark, d).where(F.col("role").isin("method", "limitations")).join(works, "doc_id", "left_semi").select("doc_id", "ordinal", "role")
+    return R.sections_by_roles(_with_roles(spark, d), ["method", "limitations"], _t(spark, d, "labels").where("quality = 1")).select("doc_id", "ordinal", "role")
 
 
 @query("flt9_audit_range", f"WITH {V.AUDIT} SELECT event_id FROM audit WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-10' AND tenant = 3")
@@ -105,29 +105,29 @@ def flt12(spark, d):
 
 @query("j1_papers_artifacts", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def j1(spark, d):
-    return _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return R.papers_with_artifacts(_t(spark, d, "orders"), _t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
 @query("j2_paper_detail", f"WITH {V.PAPERS}, l AS (SELECT doc_id, arg_max(quality, toxic) AS quality FROM labels GROUP BY 1), a AS (SELECT doc_id, string_agg(w, ';' ORDER BY i) AS authors FROM (SELECT doc_id, unnest(string_split(title, ' ')[1:3]) AS w, generate_subscripts(string_split(title, ' ')[1:3], 1) AS i FROM papers) GROUP BY 1) SELECT p.doc_id, quality, authors FROM papers p LEFT JOIN l USING (doc_id) LEFT JOIN a USING (doc_id)")
 def j2(spark, d):
     p = V.papers(spark, d)
-    latest = _t(spark, d, "labels").groupBy("doc_id").agg(F.max_by("quality", "toxic").alias("quality"))
-    bridge = p.select("doc_id", F.posexplode(F.slice(F.split("title", " ", -1), 1, 3)).alias("i", "w"))
-    authors = bridge.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]), ";").alias("authors"))
-    return p.join(latest, "doc_id", "left").join(authors, "doc_id", "left").select("doc_id", "quality", "authors")
+    assessments = _t(spark, d, "labels").select("doc_id", F.col("toxic").alias("at"), "quality")
+    authors = p.select("doc_id", F.posexplode(F.slice(F.split("title", " ", -1), 1, 3)).alias("position", "name"))
+    return R.paper_detail(p, assessments, authors).select("doc_id", "quality", "authors")
 
 
 @query("j3_passages_papers", f"WITH {V.SECTIONS}, {V.PAPERS} SELECT n.doc_id, n.pos, p.title, s.heading FROM nodes n JOIN papers p USING (doc_id) LEFT JOIN sections s ON s.doc_id = n.doc_id AND s.ordinal = n.pos // 5 AND n.pos % 5 = 0")
 def j3(spark, d):
-    n, p, s = V.nodes(spark, d).select("doc_id", "pos"), V.papers(spark, d).select("doc_id", "title"), V.sections(spark, d).select(F.col("doc_id").alias("sd"), "ordinal", "heading")
-    return n.join(p, "doc_id").join(s, (F.col("sd") == F.col("doc_id")) & (F.col("ordinal") == F.floor(F.col("pos") / 5)) & (F.col("pos") % 5 == 0), "left").select("doc_id", "pos", "title", "heading")
+    n = V.nodes(spark, d).select("doc_id", "pos", F.when(F.col("pos") % 5 == 0, F.floor(F.col("pos") / 5)).cast("int").alias("ordinal"))
+    return R.passages_in_context(n, V.papers(spark, d), V.sections(spark, d)).select("doc_id", "pos", "title", "heading")
 
 
-@query("j4_citation_contexts", "WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey AS ref FROM lineitem), e AS (SELECT p_partkey % 50 AS src, list(p_partkey) AS refs FROM part GROUP BY 1), x AS (SELECT src, unnest(refs) AS ref FROM e WHERE src < 10) SELECT DISTINCT l_orderkey, l_linenumber, ref, src AS target FROM m JOIN x USING (ref)")
+@query("j4_citation_contexts", "WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey AS ref FROM lineitem), x AS (SELECT p_partkey AS src, unnest([p_partkey + 1, p_partkey * 2]) AS ref FROM part) SELECT DISTINCT l_orderkey, l_linenumber, ref, src AS target FROM m JOIN x USING (ref)")
 def j4(spark, d):
     mentions = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("ref"))
-    edges = _t(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("src")).agg(F.collect_list("p_partkey").alias("reference_ids"))
-    return U.citation_contexts(mentions, edges.where("src < 10")).select("l_orderkey", "l_linenumber", "ref", F.col("src").alias("target"))
+    k = F.col("p_partkey")
+    edges = _t(spark, d, "part").select(k.alias("src"), F.array(k + 1, k * 2).alias("reference_ids"))
+    return U.citation_contexts(mentions, edges).select("l_orderkey", "l_linenumber", "ref", F.col("src").alias("target"))
 
 
 @query("j6_resolve_ids", "WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR WHEN p_partkey % 3 = 1 THEN upper(p_name) || '!' ELSE 'x' || p_partkey END AS q FROM part), i AS (SELECT p_partkey::VARCHAR AS v, p_partkey AS w FROM part), t AS (SELECT DISTINCT trim(regexp_replace(lower(p_name || CASE WHEN p_partkey < 64 THEN '' ELSE ' ' || p_partkey END), '[^a-z0-9]+', ' ', 'g')) AS n, p_partkey AS w FROM part), dd AS (SELECT q, count(DISTINCT w) AS n, min(w) AS w FROM q JOIN i ON q = v GROUP BY 1), f AS (SELECT q.q, count(DISTINCT t.w) AS n, min(t.w) AS w FROM q LEFT JOIN t ON trim(regexp_replace(lower(q.q), '[^a-z0-9]+', ' ', 'g')) = t.n WHERE q.q NOT IN (SELECT q FROM dd) GROUP BY 1) SELECT q, CASE WHEN n = 1 THEN w END AS work, n::INT AS n, CASE n WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS status FROM (SELECT * FROM dd UNION ALL SELECT * FROM f)")
@@ -139,11 +139,15 @@ def j6(spark, d):
     return M.resolve_ids(q, ids, titles)
 
 
-@query("j7_resolve_paper_keys", "WITH p AS (SELECT DISTINCT doc_id AS id, '24' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(doc_id::VARCHAR, 5, '0') AS arxiv, '10.1/d' || doc_id AS doi, 'slug-' || source || '-' || doc_id || '-end' AS slug FROM documents), q AS (SELECT DISTINCT CASE id % 5 WHEN 0 THEN id::VARCHAR WHEN 1 THEN 'arXiv:' || arxiv || 'v2' WHEN 2 THEN 'https://doi.org/' || upper(doi) WHEN 3 THEN upper(source_of) ELSE 'nothing-' || id END AS q FROM (SELECT *, 'SRC' || (id % 7) || '-' || id || '-E' AS source_of FROM p)), h AS (SELECT q, id, 0 AS way FROM q JOIN p ON q = id::VARCHAR UNION ALL SELECT q, id, 1 FROM q JOIN p ON regexp_replace(trim(q), '(?i)^(?:arxiv:)?([0-9]{4}\\.[0-9]{4,5})(?:v[0-9]+)?$', '\\1') = arxiv UNION ALL SELECT q, id, 2 FROM q JOIN p ON lower(regexp_replace(trim(q), '(?i)^https?://(?:dx\\.)?doi\\.org/', '')) = lower(doi) UNION ALL SELECT q, id, 3 FROM q JOIN p ON length(q) >= 3 AND contains(slug, lower(q))) SELECT q.q, arg_min(id, way * 1000000000::BIGINT + id) AS paper_id, min(way) AS way FROM q LEFT JOIN h ON q.q = h.q GROUP BY 1")
+@query("j7_resolve_paper_keys", "WITH p AS (SELECT DISTINCT doc_id AS id, '24' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(doc_id::VARCHAR, 5, '0') AS arxiv, '10.1/d' || doc_id AS doi, 'slug-' || source || '-' || doc_id || '-end' AS slug FROM documents), q AS (SELECT DISTINCT CASE id % 8 WHEN 0 THEN id::VARCHAR WHEN 1 THEN 'arXiv:' || arxiv || 'v2' WHEN 2 THEN 'https://doi.org/' || upper(doi) WHEN 3 THEN upper(source_of) WHEN 4 THEN ' ' || replace(source_of, '-', ' ') || ' ' WHEN 5 THEN chr(97 + (id % 26)::INT) || chr(97 + (id // 26 % 26)::INT) WHEN 6 THEN slug ELSE 'nothing-' || id END AS q FROM (SELECT *, 'SRC' || (id % 7) || '-' || id || '-E' AS source_of FROM p)), h AS (SELECT q, id, 0 AS way FROM q JOIN p ON trim(q) IN (id::VARCHAR, arxiv, doi, slug) UNION ALL SELECT q, id, 1 FROM q JOIN p ON regexp_replace(trim(q), '(?i)^(?:arxiv:)?([0-9]{4}\\.[0-9]{4,5})(?:v[0-9]+)?$', '\\1') = arxiv UNION ALL SELECT q, id, 2 FROM q JOIN p ON lower(regexp_replace(trim(q), '(?i)^https?://(?:dx\\.)?doi\\.org/', '')) = lower(doi) UNION ALL SELECT q, id, 3 FROM q JOIN p ON contains(slug, replace(lower(trim(q)), ' ', '-'))) SELECT q.q, arg_min(id, way * 1000000000::BIGINT + id) AS paper_id, min(way) AS way FROM q LEFT JOIN h ON q.q = h.q GROUP BY 1")
 def j7(spark, d):
     k = F.col("paper_id")
     p = _t(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("arxiv_id"), F.concat(F.lit("10.1/d"), "doc_id").alias("doi"), F.concat(F.lit("slug-"), "source", F.lit("-"), "doc_id", F.lit("-end")).alias("slug")).distinct()
-    q = p.select(F.when(k % 5 == 0, k.cast("string")).when(k % 5 == 1, F.concat(F.lit("arXiv:"), "arxiv_id", F.lit("v2"))).when(k % 5 == 2, F.concat(F.lit("https://doi.org/"), F.upper("doi"))).when(k % 5 == 3, F.concat(F.lit("SRC"), k % 7, F.lit("-"), k, F.lit("-E"))).otherwise(F.concat(F.lit("nothing-"), k)).alias("q")).distinct()
+    kind, tail = k % 8, F.concat(F.lit("SRC"), k % 7, F.lit("-"), k, F.lit("-E"))
+    letters = F.concat(F.char(F.lit(97) + k % 26), F.char(F.lit(97) + F.floor(k / 26) % 26))
+    q = F.when(kind == 0, k.cast("string")).when(kind == 1, F.concat(F.lit("arXiv:"), "arxiv_id", F.lit("v2"))).when(kind == 2, F.concat(F.lit("https://doi.org/"), F.upper("doi"))).when(kind == 3, tail)
+    q = q.when(kind == 4, F.concat(F.lit(" "), F.replace(tail, F.lit("-"), F.lit(" ")), F.lit(" "))).when(kind == 5, letters).when(kind == 6, F.col("slug")).otherwise(F.concat(F.lit("nothing-"), k))
+    q = p.select(q.alias("q")).distinct()
     return M.resolve_paper_keys(q, p)
 
 
@@ -184,40 +188,48 @@ _FUZZ_B = "p_type || ' ' || p_name"
 def _fuzzy(spark, d):
     p = _t(spark, d, "part")
     refs = p.select(F.col("p_partkey").alias("ref_id"), F.concat_ws(" ", "p_name", F.concat("p_type", F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(""))).alias("title"))
-    papers = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("work"), F.concat_ws(" ", "p_type", "p_name").alias("title"))
+    papers = p.select(F.col("p_partkey").alias("work"), F.concat_ws(" ", "p_type", "p_name").alias("title"))
     return refs, papers
 
 
-_J10 = f"a AS (SELECT p_partkey AS ref_id, {_srt(_FUZZ_A)} AS s FROM part), b AS (SELECT t, min(work) AS work FROM (SELECT p_partkey AS work, {_srt(_FUZZ_B)} AS t FROM part WHERE p_partkey % 7 = 0) GROUP BY 1), f AS (SELECT DISTINCT s FROM a), sc AS (SELECT s, work, 100.0 * (1.0 - levenshtein(s, t) / greatest(length(s), length(t))) AS score FROM f, b WHERE levenshtein(s, t) <= 0.2 * greatest(length(s), length(t))), best AS (SELECT s, work, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, work) AS n FROM sc WHERE score >= 85) WHERE n = 1)"
+_J10 = f"a AS (SELECT p_partkey AS ref_id, {_srt(_FUZZ_A)} AS s FROM part), b AS (SELECT t, min(work) AS work FROM (SELECT p_partkey AS work, {_srt(_FUZZ_B)} AS t FROM part) GROUP BY 1), f AS (SELECT DISTINCT s FROM a), sc AS (SELECT s, work, 100.0 * (1.0 - levenshtein(s, t) / greatest(length(s), length(t))) AS score FROM f, b WHERE levenshtein(s, t) <= 0.2 * greatest(length(s), length(t))), best AS (SELECT s, work, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, work) AS n FROM sc WHERE score >= 85) WHERE n = 1)"
 
 
 @query("j10_resolve_refs_fuzzy", f"WITH {_J10} SELECT ref_id, work, round(score, 6)::DOUBLE AS score FROM a JOIN best USING (s)")
 def j10(spark, d):
-    return M.resolve_refs_fuzzy(*_fuzzy(spark, d))
+    return M.resolve_refs_fuzzy(*_fuzzy(spark, d), partial=None)
+
+
+@query("j10_resolve_refs_partial")
+def j10_partial(spark, d):
+    """Names against the first eleven characters of other forms: only the second step finds them."""
+    p, k = _t(spark, d, "part"), F.col("p_partkey")
+    refs = p.select(k.alias("ref_id"), F.concat_ws(" ", "p_name", F.when(k % 2 == 0, F.lit("study"))).alias("title"))
+    return M.resolve_refs_fuzzy(refs, p.select(k.alias("work"), F.concat_ws(" ", F.lit("on"), "p_name", "p_brand").alias("title")))
 
 
-@query("j11_resolve_cascade", f"WITH {_J10}, lv AS (SELECT ref_id, CASE WHEN ref_id % 5 = 0 AND ref_id IN (SELECT p_partkey FROM part WHERE p_partkey % 7 = 0) THEN 'doi' WHEN s IN (SELECT s FROM best) THEN 'title' ELSE 'unresolved' END AS level FROM a) SELECT level, count(*) AS n, round(count(*) / (SELECT count(*) FROM a), 6)::DOUBLE AS share FROM lv GROUP BY 1")
+@query("j11_resolve_cascade", f"WITH {_J10}, lv AS (SELECT ref_id, CASE WHEN ref_id % 5 = 0 THEN 'doi' WHEN s IN (SELECT s FROM best) THEN 'title' ELSE 'unresolved' END AS level FROM a) SELECT level, count(*) AS n, round(count(*) / (SELECT count(*) FROM a), 6)::DOUBLE AS share FROM lv GROUP BY 1")
 def j11(spark, d):
     refs, papers = _fuzzy(spark, d)
     k = F.col("ref_id")
     refs = refs.withColumn("doi", F.when(k % 5 == 0, F.concat(F.lit("10.9/"), k)))
     papers = papers.withColumn("paper_doi", F.concat(F.lit("10.9/"), "work"))
-    return U.resolution_levels(U.resolve_cascade(refs, papers))
+    return U.resolution_levels(U.resolve_cascade(refs, papers, partial=None))
 
 
-@query("j12_match_titles_overlap", "WITH a AS (SELECT p_partkey AS a, lower(p_name || ' ' || p_brand[7:]) AS s FROM part), b AS (SELECT min(p_partkey) AS b, t FROM (SELECT p_partkey, lower(CASE p_partkey % 4 WHEN 0 THEN p_name ELSE p_name || ' ' || p_brand[7:] || ' ' || p_size END) AS t FROM part WHERE p_partkey % 11 = 0) GROUP BY t), f AS (SELECT DISTINCT s FROM a), w AS (SELECT s, b, t, len(list_intersect(string_split(s, ' '), string_split(t, ' '))) AS c, len(list_distinct(string_split(s, ' '))) AS na, len(list_distinct(string_split(t, ' '))) AS nb FROM f, b), k AS (SELECT s, b, CASE WHEN s = t THEN 3 WHEN c > 0 AND (contains(s, t) OR contains(t, s)) THEN 2 WHEN c / greatest(na, nb) > 0.7 THEN 1 END AS tier, CASE WHEN s = t THEN 1.0 WHEN c > 0 AND (contains(s, t) OR contains(t, s)) THEN least(length(s), length(t)) ELSE c / greatest(na, nb) END AS score FROM w), best AS (SELECT s, b, tier, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tier DESC, score DESC, b) AS n FROM k WHERE tier IS NOT NULL) WHERE n = 1) SELECT a.a, b, tier, round(score, 6)::DOUBLE AS score FROM a JOIN best USING (s)")
+@query("j12_match_titles_overlap", "WITH a AS (SELECT p_partkey AS a, lower(p_name || ' ' || p_brand[7:]) AS s FROM part), b AS (SELECT min(p_partkey) AS b, t FROM (SELECT p_partkey, lower(CASE p_partkey % 4 WHEN 0 THEN p_name ELSE p_name || ' ' || p_brand[7:] || ' ' || p_size END) AS t FROM part) GROUP BY t), f AS (SELECT DISTINCT s FROM a), w AS (SELECT s, b, t, len(list_intersect(string_split(s, ' '), string_split(t, ' '))) AS c, len(list_distinct(string_split(s, ' '))) AS na, len(list_distinct(string_split(t, ' '))) AS nb FROM f, b), k AS (SELECT s, b, CASE WHEN s = t THEN 3 WHEN (contains(s, t) OR contains(t, s)) THEN 2 WHEN c / greatest(na, nb) > 0.7 THEN 1 END AS tier, CASE WHEN s = t THEN 1.0 WHEN (contains(s, t) OR contains(t, s)) THEN least(length(s), length(t)) ELSE c / greatest(na, nb) END AS score FROM w), best AS (SELECT s, b, tier, score FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY tier DESC, score DESC, b) AS n FROM k WHERE tier IS NOT NULL) WHERE n = 1) SELECT a.a, b, tier, round(score, 6)::DOUBLE AS score FROM a JOIN best USING (s)")
 def j12(spark, d):
     p, k = _t(spark, d, "part"), F.col("p_partkey")
     number = F.substring("p_brand", 7, 10)
     left = p.select(k.alias("a"), F.concat_ws(" ", "p_name", number).alias("title"))
-    right = p.where(k % 11 == 0).select(k.alias("b"), F.when(k % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", number, F.col("p_size").cast("string"))).alias("title"))
+    right = p.select(k.alias("b"), F.when(k % 4 == 0, F.col("p_name")).otherwise(F.concat_ws(" ", "p_name", number, F.col("p_size").cast("string"))).alias("title"))
     return M.match_titles_overlap(left, right)
 
 
-@query("j13_match_metadata_jaccard", "WITH a AS (SELECT p_partkey AS a, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ws FROM part), b AS (SELECT min(p_partkey) AS b, ws FROM (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_type || ' ' || p_name || ' ' || p_size), ' '))) AS ws FROM part WHERE p_partkey % 5 = 0) GROUP BY ws), f AS (SELECT DISTINCT ws FROM a), k AS (SELECT f.ws, b.b, len(list_intersect(f.ws, b.ws)) / (len(f.ws) + len(b.ws) - len(list_intersect(f.ws, b.ws))) AS score, len(f.ws) AS n FROM f, b), best AS (SELECT ws, b, score FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, b) AS r FROM k WHERE score > CASE WHEN n <= 4 THEN 0.5 ELSE 0.6 END) WHERE r = 1) SELECT a.a, b, round(score, 6)::DOUBLE AS score FROM a JOIN best USING (ws)")
+@query("j13_match_metadata_jaccard", "WITH a AS (SELECT p_partkey AS a, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ws FROM part), b AS (SELECT min(p_partkey) AS b, ws FROM (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_type || ' ' || p_name || ' ' || p_size), ' '))) AS ws FROM part) GROUP BY ws), f AS (SELECT DISTINCT ws FROM a), k AS (SELECT f.ws, b.b, len(list_intersect(f.ws, b.ws)) / (len(f.ws) + len(b.ws) - len(list_intersect(f.ws, b.ws))) AS score, len(f.ws) AS n FROM f, b), best AS (SELECT ws, b, score FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY score DESC, b) AS r FROM k WHERE score > CASE WHEN n <= 4 THEN 0.5 ELSE 0.6 END) WHERE r = 1) SELECT a.a, b, round(score, 6)::DOUBLE AS score FROM a JOIN best USING (ws)")
 def j13(spark, d):
     p, k = _t(spark, d, "part"), F.col("p_partkey")
-    feed = p.where(k % 5 == 0).select(k.alias("b"), F.concat_ws(" ", "p_type", "p_name", F.col("p_size").cast("string")).alias("title"))
+    feed = p.select(k.alias("b"), F.concat_ws(" ", "p_type", "p_name", F.col("p_size").cast("string")).alias("title"))
     return M.match_metadata_jaccard(p.select(k.alias("a"), F.concat_ws(" ", "p_name", "p_type").alias("title")), feed)
 
 
@@ -240,7 +252,7 @@ def j16(spark, d):
     return S.unanalyzed_weeks(logs, done)
 
 
-@query("j17_merge_sources", "SELECT d.doc_id, coalesce(nullif(CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE d.source END, ''), p.url) AS venue, CASE WHEN p.page_id % 2 = 0 THEN 2000 + p.page_id % 20 ELSE 1990 END::INT AS year, CASE WHEN length(p.html) > length(d.text) + greatest(500, length(d.text) * 0.2) THEN 'fallback' ELSE 'primary' END AS content_from, CASE WHEN p.page_id % 2 = 0 AND 2000 + p.page_id % 20 <> 1990 THEN 'year' ELSE '' END AS conflicts FROM documents d JOIN pages p ON d.doc_id = p.page_id")
+@query("j17_merge_sources", "SELECT d.doc_id, coalesce(nullif(CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE d.source END, ''), p.url) AS venue, CASE WHEN p.page_id % 2 = 0 THEN 2000 + p.page_id % 20 ELSE 1990 END::INT AS year, CASE WHEN length(p.html) > length(d.text) + greatest(500, length(d.text) * 0.2) THEN 'fallback' ELSE 'primary' END AS content_from, concat_ws('|', CASE WHEN d.doc_id % 3 <> 0 AND d.source <> '' AND p.url <> '' AND d.source <> p.url THEN 'venue' END, CASE WHEN p.page_id % 2 = 0 AND 2000 + p.page_id % 20 <> 1990 THEN 'year' END) AS conflicts FROM documents d JOIN pages p ON d.doc_id = p.page_id")
 def j17(spark, d):
     primary = _t(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("venue"), F.lit(1990).alias("year"), F.col("text").alias("content"))
     fallback = _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("f_venue"), F.when(F.col("page_id") % 2 == 0, 2000 + F.col("page_id") % 20).cast("int").alias("f_year"), F.col("html").alias("f_content"))
@@ -272,8 +284,9 @@ def j20(spark, d):
 
 @query("j21_token_audit", "SELECT event_id, c_name, n_name FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def j21(spark, d):
-    e = _t(spark, d, "events").where((F.col("ts") >= F.lit("2024-01-05").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-25").cast("timestamp")))
-    return e.join(_t(spark, d, "customer"), F.col("user_id") == F.col("c_custkey")).join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "c_name", "n_name")
+    e = _t(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("principal"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("principal"), "c_name", F.col("c_nationkey").alias("tenant"))
+    return R.token_audit(e, c, _t(spark, d, "nation").select(F.col("n_nationkey").alias("tenant"), "n_name"), "2024-01-05", "2024-01-25").select("event_id", "c_name", "n_name")
 
 
 @query("j22_researcher_list", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 4 = 0 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 2)")
@@ -303,24 +316,26 @@ def j24(spark, d):
 @query("j25_mention_to_reference", "WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS target FROM pages), r AS (SELECT page_id, '/' || regexp_extract(html, 'href=\"/([^\"]*)\"', 1) AS xml_id FROM pages) SELECT m.page_id, m.target, count(*) AS n, (r.xml_id IS NOT NULL) AS resolved FROM m LEFT JOIN r ON m.page_id = r.page_id AND m.target = r.xml_id GROUP BY ALL")
 def j25(spark, d):
     p = _t(spark, d, "pages")
-    mentions = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'))).alias("target"))
-    refs = p.select(F.col("page_id").alias("r_page"), F.concat(F.lit("/"), F.regexp_extract("html", 'href="/([^"]*)"', 1)).alias("xml_id"))
-    met = mentions.join(refs, (F.col("page_id") == F.col("r_page")) & (F.col("target") == F.col("xml_id")), "left")
-    return met.groupBy("page_id", "target", F.col("xml_id").isNotNull().alias("resolved")).agg(F.count("*").alias("n"))
+    mentions = p.select(F.col("page_id").alias("work"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'))).alias("target"))
+    refs = p.select(F.col("page_id").alias("work"), F.concat(F.lit("/"), F.regexp_extract("html", 'href="/([^"]*)"', 1)).alias("xml_id"))
+    return R.mention_to_reference(mentions, refs).withColumnRenamed("work", "page_id").select("page_id", "target", "n", "resolved")
 
 
 # ---- aggregates -------------------------------------------------------------------------------------------------
 
 
-@query("agg1_usage_by_tenant", f"WITH {V.AUDIT}, u AS (SELECT tenant, count(*) AS n, count(*) FILTER (WHERE outcome = 'forwarded') AS forwarded, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'rejected') AS rejected, round(avg(latency), 2) AS avg_latency, max(latency) AS max_latency, sum(bytes) AS bytes FROM audit WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT n_nationkey AS tenant, coalesce(n, 0) AS n, coalesce(forwarded, 0) AS forwarded, coalesce(failed, 0) AS failed, coalesce(rejected, 0) AS rejected, avg_latency, max_latency, coalesce(bytes, 0)::BIGINT AS bytes FROM nation LEFT JOIN u ON n_nationkey = tenant")
+@query("agg1_usage_by_tenant", f"WITH {V.AUDIT}, u AS (SELECT tenant, count(*) AS n, count(*) FILTER (WHERE outcome = 'forwarded') AS forwarded, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'rejected') AS rejected, round(avg(latency), 2) AS avg_latency, max(latency) AS max_latency, count(latency) AS latencies, sum(bytes) AS bytes, sum(CASE WHEN outcome = 'forwarded' THEN 1 END) AS quota FROM audit WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1) SELECT n_nationkey AS tenant, coalesce(n, 0) AS n, coalesce(forwarded, 0) AS forwarded, coalesce(failed, 0) AS failed, coalesce(rejected, 0) AS rejected, avg_latency, max_latency, coalesce(latencies, 0)::BIGINT AS latencies, coalesce(bytes, 0)::BIGINT AS bytes, coalesce(quota, 0)::BIGINT AS quota FROM nation LEFT JOIN u ON n_nationkey = tenant")
 def agg1(spark, d):
     tenants = _t(spark, d, "nation").select(F.col("n_nationkey").alias("tenant"))
-    return U.usage_by_tenant(P.audit_range(V.audit(spark, d), "2024-01-01", "2024-01-15"), tenants)
+    events = V.audit(spark, d).withColumn("quota", F.when(F.col("outcome") == "forwarded", 1))
+    return R.usage_by_tenant(P.audit_range(events, "2024-01-01", "2024-01-15"), tenants)
 
 
-@query("agg3_corpus_stats", f"WITH {V.PAPERS} SELECT source, lang, count(*) AS n, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, round(avg((abstract <> '')::INT), 2) AS abstract_share FROM papers GROUP BY GROUPING SETS ((source), (lang), ())")
+@query("agg3_corpus_stats", f"WITH {V.PAPERS}, p AS (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 2000 + doc_id % 23 END AS year, len(string_split(text, chr(10))) AS n_sections, len(string_split(title, ' ')) AS n_authors FROM papers), y AS (SELECT 'by year' AS what, year::VARCHAR AS key, count(*)::DOUBLE AS value FROM p WHERE year IS NOT NULL GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10), v AS (SELECT 'by venue' AS what, source AS key, count(*)::DOUBLE AS value FROM p WHERE source <> '' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10) SELECT 'papers' AS what, '' AS key, count(*)::DOUBLE AS value FROM p UNION ALL SELECT 'total', 'sections', sum(n_sections)::DOUBLE FROM p UNION ALL SELECT 'total', 'authors', sum(n_authors)::DOUBLE FROM p UNION ALL SELECT 'coverage', 'year', round(avg((year IS NOT NULL)::INT), 2) FROM p UNION ALL SELECT 'coverage', 'abstract', round(avg((abstract <> '')::INT), 2) FROM p UNION ALL SELECT 'coverage', 'venue', round(avg((coalesce(source, '') <> '')::INT), 2) FROM p UNION ALL SELECT * FROM y UNION ALL SELECT * FROM v")
 def agg3(spark, d):
-    return U.corpus_stats(V.papers(spark, d))
+    k = F.col("doc_id")
+    p = V.papers(spark, d).select("doc_id", "abstract", F.col("source").alias("venue"), F.when(k % 4 != 0, 2000 + k % 23).alias("year"), F.split("title", " ", -1).alias("authors"), F.split("text", "\n", -1).alias("sections"))
+    return R.corpus_stats(p, ["year", "abstract", "venue"], ["sections", "authors"], ["year", "venue"])
 
 
 @query("agg4_snapshot_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'labels', count(*) FROM labels")
@@ -336,13 +351,13 @@ def agg5(spark, d):
 
 @query("agg6_grade_distribution", "SELECT coalesce(quality::VARCHAR, 'N/A') AS grade, count(*) AS n FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1")
 def agg6(spark, d):
-    grades = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return _t(spark, d, "documents").select("doc_id").join(grades, "doc_id", "left").groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("N/A")).alias("grade")).agg(F.count("*").alias("n"))
+    return R.grade_distribution(_t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id", F.col("quality").alias("grade")))
 
 
 @query("agg7_evidence_by_reference", "SELECT l_partkey, array_to_string(list_sort(list_distinct(list(l_orderkey))), ',') AS nodes FROM lineitem GROUP BY 1")
 def agg7(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_orderkey")), ",").alias("nodes"))
+    mentions = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("reference"), F.col("l_orderkey").alias("node"))
+    return R.evidence_by_reference(mentions).select(F.col("reference").alias("l_partkey"), F.array_join("nodes", ",").alias("nodes"))
 
 
 @query("agg8_citation_edges", "SELECT l_partkey AS src, l_suppkey AS dst, max(l_discount) AS confidence, array_to_string(list_sort(list(l_orderkey)), ',') AS reference_ids, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') AS evidence FROM lineitem GROUP BY 1, 2")
@@ -359,7 +374,8 @@ def agg9(spark, d):
 
 @query("agg10_build_totals", "SELECT count(DISTINCT o_orderkey) AS works, count(l_orderkey) AS nodes, count(DISTINCT l_partkey) AS refs FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def agg10(spark, d):
-    return _t(spark, d, "orders").join(_t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").agg(F.count_distinct("o_orderkey").alias("works"), F.count("l_orderkey").alias("nodes"), F.count_distinct("l_partkey").alias("refs"))
+    nodes = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("reference"))
+    return R.build_totals(_t(spark, d, "orders").select(F.col("o_orderkey").alias("work")), nodes)
 
 
 @query("agg12_key_usage_windows", "SELECT user_id AS key, epoch_us(ts) - epoch_us(ts) % 3600000000 AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
@@ -374,8 +390,7 @@ def agg13(spark, d):
 
 @query("agg14_log_week_summary", "SELECT conv_id % 5 AS project, turn % 3 AS week, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS n_other FROM conversations GROUP BY 1, 2")
 def agg14(spark, d):
-    c = _t(spark, d, "conversations").select((F.col("conv_id") % 5).alias("project"), (F.col("turn") % 3).alias("week"), "role")
-    return c.groupBy("project", "week").agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("n_user"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.count_if(~F.col("role").isin("user", "assistant")).alias("n_other"))
+    return R.log_week_summary(_t(spark, d, "conversations").select((F.col("conv_id") % 5).alias("project"), (F.col("turn") % 3).alias("week"), "role"))
 
 
 _TAGS = ("title", "h1", "p", "table", "math", "li", "a")
@@ -383,12 +398,12 @@ _TAGS = ("title", "h1", "p", "table", "math", "li", "a")
 
 @query("agg15_structural_counts", "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '<{t}[ >]'))::INT AS n_{t}" for t in _TAGS) + " FROM pages")
 def agg15(spark, d):
-    return _t(spark, d, "pages").select("page_id", *[F.regexp_count("html", F.lit(f"<{t}[ >]")).alias(f"n_{t}") for t in _TAGS])
+    return R.structural_counts(_t(spark, d, "pages"), _TAGS).select("page_id", *[f"n_{t}" for t in _TAGS])
 
 
 @query("agg16_log_line_counts", f"WITH {V.NODES} SELECT doc_id, count(*) FILTER (WHERE starts_with(line, 'E')) AS errors, count(*) FILTER (WHERE starts_with(line, 'T')) AS warnings FROM nodes GROUP BY 1")
 def agg16(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("(?m)^E")).cast("long").alias("errors"), F.regexp_count("text", F.lit("(?m)^T")).cast("long").alias("warnings"))
+    return R.log_line_counts(_t(spark, d, "documents"), {"errors": "E", "warnings": "T"}).select("doc_id", "errors", "warnings")
 
 
 # ---- windows ----------------------------------------------------------------------------------------------------
@@ -401,7 +416,7 @@ def win1(spark, d):
 
 @query("win2_latest_assessment", "SELECT user_id % 100 AS artifact, arg_max(value, ts) AS value FROM events GROUP BY 1")
 def win2(spark, d):
-    return _t(spark, d, "events").groupBy((F.col("user_id") % 100).alias("artifact")).agg(F.max_by("value", "ts").alias("value"))
+    return R.latest_assessment(_t(spark, d, "events").select((F.col("user_id") % 100).alias("artifact"), "value", "ts"), "artifact", "value", "ts")
 
 
 @query("win3_section_budget", f"WITH {V.NODES}, c AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM nodes) SELECT doc_id, pos, left(line, greatest(1000 - before, 0)::INT) AS text, before + length(line) > 1000 AS truncated FROM c WHERE before < 1000")
@@ -438,13 +453,13 @@ def win8(spark, d):
 
 @query("win9_dense_reordinal", f"WITH {V.NODES} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ordinal FROM nodes WHERE length(line) > 20")
 def win9(spark, d):
-    return V.nodes(spark, d).where(F.length("line") > 20).select("doc_id", "pos", (F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1).cast("long").alias("ordinal"))
+    return R.dense_reordinal(V.nodes(spark, d), F.length("line") > 20).select("doc_id", "pos", "ordinal")
 
 
 @query("win10_sibling_pointer", "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1), 1) AS pos FROM pages) SELECT page_id, pos, '/' || tag || '[' || row_number() OVER (PARTITION BY page_id, tag ORDER BY pos) || ']' AS pointer FROM t")
 def win10(spark, d):
     tags = _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)[ >]"))).alias("p", "tag"))
-    return tags.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), F.concat(F.lit("/"), "tag", F.lit("["), F.row_number().over(W.partitionBy("page_id", "tag").orderBy("p")), F.lit("]")).alias("pointer"))
+    return R.sibling_pointer(tags).select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "pointer")
 
 
 # ---- sorts, pages and top-k -------------------------------------------------------------------------------------
@@ -464,8 +479,8 @@ def top2(spark, d):
 
 @query("top4_key_papers", "SELECT d.doc_id, q AS quality FROM documents d JOIN (SELECT doc_id, max(quality) * 10 + max(toxic) AS q FROM labels GROUP BY 1) USING (doc_id) ORDER BY q DESC, doc_id LIMIT 20")
 def top4(spark, d):
-    q = _t(spark, d, "labels").groupBy("doc_id").agg((F.max("quality") * 10 + F.max("toxic")).alias("quality"))
-    return _t(spark, d, "documents").select("doc_id").join(q, "doc_id").orderBy(F.desc("quality"), "doc_id").limit(20)
+    q = _t(spark, d, "labels").groupBy("doc_id").agg((F.max("quality") * 10 + F.max("toxic")).alias("score"))
+    return R.key_papers(_t(spark, d, "documents"), q).withColumnRenamed("score", "quality")
 
 
 @query("top5_top_formulas", f"WITH {V.NODES}, s AS (SELECT doc_id, pos, (pos % 3 = 0)::INT * 10 + least(length(line) / 20.0, 5.0) + (pos % 2 = 0)::INT * 3 AS score FROM nodes) SELECT doc_id, pos, round(score, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS n FROM s) WHERE n <= 5")
@@ -476,16 +491,16 @@ def top5(spark, d):
 
 @query("top6_main_document", "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, n_chars DESC, lower(doc_id::VARCHAR)) AS n FROM documents) WHERE n = 1")
 def top6(spark, d):
-    rank = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    return _t(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct(rank, -F.col("n_chars"), F.lower(F.col("doc_id").cast("string")))).alias("doc_id"))
+    files = _t(spark, d, "documents").select(F.col("source").alias("work"), F.col("doc_id").alias("file"), F.col("n_chars").alias("size"), "lang")
+    return R.main_document(files, F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).otherwise(2)).select(F.col("work").alias("source"), F.col("file").alias("doc_id"))
 
 
 @query("top7_tables_of", "SELECT o_orderkey, array_to_string(list(l_linenumber || ':' || l_quantity::INT ORDER BY l_linenumber, l_partkey, l_quantity), ',') AS cells FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
 def top7(spark, d):
-    o, li = _t(spark, d, "orders").where("o_orderstatus = 'F'"), _t(spark, d, "lineitem")
-    cells = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
-    text = F.transform(cells, lambda c: F.concat_ws(":", c["l_linenumber"].cast("string"), c["l_quantity"].cast("int").cast("string")))
-    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.array_join(text, ",").alias("cells"))
+    works = _t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("work"))
+    text = F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"))
+    found = R.tables_of(works, _t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "work"), ["l_linenumber", "l_partkey", "l_quantity"], text)
+    return found.select(F.col("work").alias("o_orderkey"), F.array_join("cells", ",").alias("cells"))
 
 
 # ---- sets -------------------------------------------------------------------------------------------------------
@@ -583,8 +598,9 @@ def fn6(spark, d):
 
 @query("fn7_json_access", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) + i AS ref FROM events, (SELECT unnest([0, 1]) AS i)")
 def fn7(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    return _t(spark, d, "events").select("event_id", F.explode(F.array(k, k + 1)).alias("ref"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    properties = F.to_json(F.struct(F.array(k, k + 1).alias("reference_ids")))
+    return _t(spark, d, "events").select("event_id", F.explode(R.reference_ids(properties, "reference_ids array<bigint>")).alias("ref"))
 
 
 @query("fn8_merge_json", "SELECT event_id, event_type || ',' || user_id AS merged FROM events")
@@ -600,13 +616,16 @@ def fn9(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(A.evidence_ids(F.array(F.array(s, k), F.array(s, F.lit(7).cast("long")))), ",").alias("ids"))
 
 
-@query("fn10_metadata_assertions", f"WITH {V.PAPERS}, a AS (SELECT doc_id, 'title' AS field, title AS value FROM papers UNION ALL SELECT doc_id, 'abstract', abstract FROM papers UNION ALL SELECT doc_id, 'lang', lang FROM papers) SELECT doc_id, field, value, 'assert_' || left(sha256(doc_id || chr(31) || field || chr(31) || value), 32) AS id, CASE field WHEN 'title' THEN 0.95 WHEN 'abstract' THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM a WHERE value <> ''")
+@query("fn10_metadata_assertions", f"WITH {V.PAPERS}, a AS (SELECT doc_id, 'title' AS field, title AS value FROM papers UNION ALL SELECT doc_id, 'abstract', abstract FROM papers UNION ALL SELECT doc_id, 'venue', source FROM papers UNION ALL SELECT doc_id, 'year', (1990 + doc_id % 30)::VARCHAR FROM papers WHERE doc_id % 2 = 0), b AS (SELECT *, CASE WHEN field = 'title' AND doc_id % 3 = 0 THEN 'pdf' ELSE 'tex' END AS source_kind, CASE WHEN field = 'title' AND doc_id % 6 = 0 THEN doc_id || '.pdf' ELSE doc_id || '.tex' END AS source_path FROM a WHERE value <> '') SELECT *, CASE field WHEN 'title' THEN 0.85 WHEN 'abstract' THEN 0.8 WHEN 'venue' THEN 0.4 ELSE 0.35 END::DOUBLE AS confidence, true AS selected, 'metadata-assertion_' || left(sha256(concat_ws(chr(31), doc_id, field, value, source_kind, source_path)), 32) AS id FROM b")
 def fn10(spark, d):
-    p = V.papers(spark, d).unpivot(["doc_id"], ["title", "abstract", "lang"], "field", "value").where("value <> ''")
-    return p.select("doc_id", "field", "value", T.stable_id("assert", F.col("doc_id"), F.col("field"), F.col("value")).alias("id"), A.confidence(F.col("field")).alias("confidence"))
+    k = F.col("doc_id")
+    p = V.papers(spark, d).select(k, "title", "abstract", F.col("source").alias("venue"), F.when(k % 2 == 0, 1990 + k % 30).alias("year"))
+    sources = F.when(k % 3 == 0, F.create_map(F.lit("title"), F.lit("pdf:first-page")))
+    found = R.metadata_assertions(p, "doc_id", ["title", "abstract", "venue", "year"], sources, F.concat(k, F.lit(".tex")), F.when(k % 6 == 0, F.concat(k, F.lit(".pdf"))))
+    return found.select(F.col("paper").alias("doc_id"), "field", "value", "source_kind", "source_path", "confidence", "selected", "id")
 
 
-@query("fn11_confidence", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.99 WHEN 1 THEN 0.92 ELSE 0.5 END::DOUBLE AS value FROM part")
+@query("fn11_confidence", "SELECT p_partkey, ([0.99, 0.92, 0.85, 0.65, 0.35, 0.4, 0.8, 0.8, 0.0])[(p_partkey % 9 + 1)::INT]::DOUBLE AS value FROM part")
 def fn11(spark, d):
-    k = F.col("p_partkey") % 3
-    return _t(spark, d, "part").select("p_partkey", A.confidence(F.when(k == 0, "exact").when(k == 1, "substring").otherwise("none")).alias("value"))
+    names = F.array(*map(F.lit, ("normalized-title-exact", "normalized-title-substring", "title", "authors", "year", "venue", "arxiv_id", "abstract", "other")))
+    return _t(spark, d, "part").select("p_partkey", A.confidence(F.get(names, (F.col("p_partkey") % 9).cast("int"))).alias("value"))

@@ -215,10 +215,14 @@ def gr6(spark, d):
     return G.citations_by_key(refs, docs)
 
 
-@query("gr7_degrees", f"WITH {_NODES}, {_EDGES}, o AS (SELECT src AS node, count(*) AS n FROM ge GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM ge GROUP BY 1) SELECT node, coalesce(o.n, 0)::BIGINT AS n_out, coalesce(i.n, 0)::BIGINT AS n_in, 0.0::DOUBLE AS bridge, (o.n IS NULL AND i.n IS NULL) AS isolated FROM gn LEFT JOIN o USING (node) LEFT JOIN i USING (node)")
+@query("gr7_degrees", "WITH n AS (SELECT 'd' || doc_id AS node FROM documents), e AS (SELECT DISTINCT 'd' || doc_id AS src, 'd' || dst AS dst FROM (SELECT doc_id, unnest([doc_id * 2, doc_id // 3, doc_id + 7]) AS dst FROM documents WHERE doc_id % 5 <> 0) WHERE dst IN (SELECT doc_id FROM documents)), o AS (SELECT src AS node, count(*) AS n FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY 1) SELECT node, coalesce(o.n, 0)::BIGINT AS n_out, coalesce(i.n, 0)::BIGINT AS n_in, round(CASE WHEN o.n IS NULL OR i.n IS NULL THEN 0.0 ELSE i.n * o.n / (i.n + o.n) END, 6)::DOUBLE AS bridge, (o.n IS NULL AND i.n IS NULL) AS isolated FROM n LEFT JOIN o USING (node) LEFT JOIN i USING (node)")
 def gr7(spark, d):
-    n = _nodes(spark, d)
-    return G.degrees(G.build_authorship_edges(_authorship(spark, d), n), n)
+    """Documents that cite others by a rule on their ids; every fifth cites none."""
+    k, docs = F.col("doc_id"), table(spark, d, "documents").select("doc_id").distinct()
+    name = lambda x: F.concat(F.lit("d"), x)
+    cited = docs.where("doc_id % 5 <> 0").select(k.alias("by"), F.explode(F.array(k * 2, F.floor(k / 3), k + 7)).alias("doc_id")).distinct()
+    edges = cited.join(docs, "doc_id", "left_semi").select(name(F.col("by")).alias("src"), name(k).alias("dst"))
+    return G.degrees(edges, docs.select(name(k).alias("node")))
 
 
 @query("gr8_cocitation", "WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem) SELECT x.dst AS a, y.dst AS b, count(*) AS n FROM e x JOIN e y ON x.src = y.src AND x.dst < y.dst GROUP BY 1, 2 HAVING n >= 2")
@@ -226,8 +230,22 @@ def gr8(spark, d):
     return G.cocitation(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
-@query("gr8_pagerank")
+# Five rounds one after another; every node has links out, as each link goes both ways.
+_RANK = "WITH l AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), e AS (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l), o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), r0 AS (SELECT src AS node, 1.0::DOUBLE / (SELECT count(*) FROM o) AS rank FROM o), " + ", ".join(f"r{k} AS (SELECT dst AS node, 0.15 / (SELECT count(*) FROM o) + 0.85 * sum(rank / n) AS rank FROM e JOIN r{k - 1} ON src = node JOIN o USING (src) GROUP BY 1)" for k in range(1, 6))
+
+
+@query("gr8_pagerank", f"{_RANK} SELECT node, round(rank, 9) AS rank FROM r5")
 def gr8_rank(spark, d):
     li = table(spark, d, "lineitem")
     e = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return G.pagerank(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=5)
+    return G.pagerank(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=5).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query("gr8_coupling", "WITH e AS (SELECT DISTINCT l_orderkey % 2000 AS src, l_partkey AS dst FROM lineitem) SELECT x.src AS a, y.src AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2 HAVING n >= 4")
+def gr8_coupling(spark, d):
+    return G.coupling(table(spark, d, "lineitem").select((F.col("l_orderkey") % 2000).alias("src"), F.col("l_partkey").alias("dst")), 4)
+
+
+@query("gr8_concept_pairs", "WITH w AS (SELECT DISTINCT l_orderkey AS work, l_suppkey AS concept FROM lineitem) SELECT x.concept AS a, y.concept AS b, count(*) AS n FROM w x JOIN w y ON x.work = y.work AND x.concept < y.concept GROUP BY 1, 2 HAVING n >= 2")
+def gr8_concepts(spark, d):
+    return G.concept_pairs(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_suppkey").alias("concept")))

@@ -36,14 +36,31 @@ def st2(spark, d):
     return _drain(S.stream_admission(_events(spark, d), 20, 86_400), "admission").select("event_id", "admitted", "remaining", "retry_after")
 
 
-@query("st3_stream_leases")
+_LEASES = """WITH RECURSIVE e AS (SELECT event_id, user_id || '-' || event_id // 500 AS lease, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'refresh' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'reserve' END AS action, row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT lease, 0::BIGINT AS n, 'none' AS state, 0::BIGINT AS expiry, NULL::BIGINT AS event_id, '' AS result FROM (SELECT DISTINCT lease FROM e) UNION ALL
+SELECT lease, n, CASE WHEN action = 'reserve' AND was = 'none' THEN 'active' WHEN action = 'complete' AND was = 'active' THEN 'completed' WHEN action = 'fail' AND was = 'active' THEN 'failed' ELSE was END,
+CASE WHEN (action = 'reserve' AND was = 'none') OR (action = 'refresh' AND was = 'active') THEN us + 86400000000 WHEN action IN ('complete', 'fail') AND was = 'active' THEN us ELSE expiry END, event_id,
+CASE WHEN action = 'reserve' AND was = 'none' THEN 'active' WHEN action = 'refresh' AND was = 'active' THEN 'extended' WHEN action = 'complete' AND was = 'active' THEN 'completed' WHEN action = 'fail' AND was = 'active' THEN 'failed' ELSE 'ignored_' || was END
+FROM (SELECT e.*, r.expiry, CASE WHEN r.state = 'active' AND e.us >= r.expiry THEN 'expired' ELSE r.state END AS was FROM r JOIN e ON e.lease = r.lease AND e.n = r.n + 1)),
+last AS (SELECT lease, arg_max(state, n) AS state, arg_max(expiry, n) AS expiry FROM r GROUP BY 1)
+SELECT event_id, lease, result FROM r WHERE n > 0 UNION ALL SELECT NULL, lease, 'expired' FROM last WHERE state = 'active' AND expiry < (SELECT epoch_us(max(ts)) - 600000000 FROM events)"""
+
+
+@query("st3_stream_leases", _LEASES)
 def st3(spark, d):
     e = _events(spark, d)
     action = F.when(F.col("event_type") == "signup", "refresh").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("reserve")
     return _drain(S.stream_leases(e.select("event_id", "ts", F.concat_ws("-", F.col("user_id"), F.floor(F.col("event_id") / 500)).alias("lease"), action.alias("action")), 86_400), "leases")
 
 
-@query("st4_stream_circuit")
+_CIRCUIT = """WITH RECURSIVE e AS (SELECT event_id, user_id % 10 AS backend, epoch_us(ts) AS us, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT backend, 0::BIGINT AS n, 0 AS failures, 0::BIGINT AS until, NULL::BIGINT AS event_id, '' AS state FROM (SELECT DISTINCT backend FROM e) UNION ALL
+SELECT backend, n, CASE WHEN st = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN st = 'open' THEN until WHEN ok THEN 0 WHEN failures + 1 >= 2 THEN us + 3600000000 ELSE until END, event_id, st
+FROM (SELECT e.*, r.failures, r.until, CASE WHEN r.failures < 2 THEN 'closed' WHEN e.us < r.until THEN 'open' ELSE 'half_open' END AS st FROM r JOIN e ON e.backend = r.backend AND e.n = r.n + 1))
+SELECT event_id, backend, state, state <> 'open' AS allowed FROM r WHERE n > 0"""
+
+
+@query("st4_stream_circuit", _CIRCUIT)
 def st4(spark, d):
     e = _events(spark, d)
     return _drain(S.stream_circuit(e.select("event_id", "ts", F.col("tenant").alias("backend"), (F.col("event_type") != "error").alias("ok")), 2, 3600), "circuit")
@@ -71,14 +88,13 @@ def src1(spark, d):
     return readers.read_manifest(spark, path)
 
 
-@query("src3_read_week_logs", "SELECT 'p' || (conv_id % 3) AS project, role, trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')) AS text FROM conversations")
+@query("src3_read_week_logs", "SELECT 'p' || (conv_id % 3) AS project, role, trim(regexp_replace(text, '[\\x00-\\x1f\\x7f]', ' ', 'g')) AS text FROM conversations WHERE text IS NOT NULL")
 def src3(spark, d):
     path = fresh_path(spark, "logs")
     c = table(spark, d, "conversations").select(F.concat(F.lit("p"), F.col("conv_id") % 3).alias("p"), "role", F.trim(F.regexp_replace("text", "[\\x00-\\x1f\\x7f]", " ")).alias("text"))
     for k in range(3):
-        c.where(F.col("p") == f"p{k}").drop("p").coalesce(1).write.json(f"{path}/p{k}/week-1.jsonl")
-    rows = spark.read.json(f"{path}/*/week-*.jsonl", schema=readers.LOG, mode="DROPMALFORMED")
-    return rows.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/week-", 1).alias("project"), "role", "text")
+        c.where(F.col("p") == f"p{k}").drop("p").write.json(f"{path}/p{k}/week-1.jsonl")
+    return readers.read_week_logs(spark, path).select("project", "role", "text")
 
 
 @query("src7_clean_turns", "SELECT conv_id, turn, t AS text FROM (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), ' +', ' ', 'g')), CASE role WHEN 'user' THEN 500 ELSE 2000 END) AS t FROM conversations WHERE role IN ('user', 'assistant')) WHERE t <> ''")

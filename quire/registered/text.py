@@ -119,7 +119,7 @@ def str13(spark, d):
     return V.papers(spark, d).select("doc_id", F.round(T.word_jaccard(a, b), 6).alias("jaccard"), F.round(T.word_overlap_max(a, b), 6).alias("overlap"))
 
 
-@query("str14_extract_year", "SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 2000 + p_size % 20 WHEN 1 THEN 2010 + p_size % 10 WHEN 2 THEN 2015 WHEN 3 THEN 2020 + p_size % 5 WHEN 4 THEN 1999 WHEN 5 THEN 2016 WHEN 6 THEN 2019 WHEN 7 THEN 2023 END AS year, CASE p_size % 8 WHEN 0 THEN 'tex:acm_year' WHEN 1 THEN 'tex:conference_style' WHEN 2 THEN 'tex:document_style' WHEN 3 THEN 'tex:year_comment' WHEN 4 THEN 'tex:date' WHEN 5 THEN 'tex:conference_text' WHEN 6 THEN 'tex:year_macro' ELSE 'tex:arxiv_submission' END AS place FROM part")
+@query("str14_extract_year", "SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 2000 + p_size % 20 WHEN 1 THEN 2010 + p_size % 10 WHEN 2 THEN 2015 WHEN 3 THEN 2020 + p_size % 5 WHEN 4 THEN 1999 WHEN 5 THEN 2016 WHEN 6 THEN 2019 WHEN 7 THEN 2023 WHEN 8 THEN 2018 ELSE 2012 END AS year, CASE p_size % 10 WHEN 0 THEN 'tex:acm_year' WHEN 1 THEN 'tex:conference_style' WHEN 2 THEN 'tex:document_style' WHEN 3 THEN 'tex:year_comment' WHEN 4 THEN 'tex:date' WHEN 5 THEN 'tex:conference_text' WHEN 6 THEN 'tex:year_macro' WHEN 7 THEN 'tex:arxiv_submission' ELSE 'tex:document_style' END AS place FROM part")
 def str14(spark, d):
     n = F.col("p_size")
     forms = (
@@ -131,10 +131,12 @@ def str14(spark, d):
         F.lit("In NeurIPS 2016 and ICML 2017"),
         F.lit("\\newcommand{\\confyear}{2019}"),
         F.lit("see arXiv:2304.01234v2"),
+        F.lit("\\usepackage{geometry}\\usepackage[b5]{conf2009v2018-2020}"),
+        F.lit("\\documentclass[draft2012]{x1998}"),
     )
-    x = forms[7]
-    for k in range(7):
-        x = F.when(n % 8 == k, forms[k]).otherwise(x)
+    x = forms[9]
+    for k in range(9):
+        x = F.when(n % 10 == k, forms[k]).otherwise(x)
     return table(spark, d, "part").select("p_partkey", T.year_of(x).alias("y")).select("p_partkey", "y.year", "y.place")
 
 
@@ -146,7 +148,13 @@ def str15(spark, d):
     return table(spark, d, "part").select("p_partkey", T.infer_year(_made(_YEARS)).alias("value"))
 
 
-_parts("str16_detect_venue", ["Appeared at ", "p_type", " ICML workshop of ", "p_brand", " in Nature"], T.detect_venue, "'ICML'")
+@query("str16_detect_venue", "SELECT p_partkey, (['NeurIPS', 'ICML', 'CVPR', NULL])[(p_partkey % 4 + 1)::INT] AS value FROM part")
+def str16(spark, d):
+    names = F.array(*map(F.lit, ("Advances in NeurIPS 32", "an ICML workshop, not in Nature", "Proc. CVPR", "a journal of its own")))
+    x = F.concat(F.lit("x"), "p_size", F.lit(" "), F.get(names, (F.col("p_partkey") % 4).cast("int")))
+    return table(spark, d, "part").select("p_partkey", T.detect_venue(x).alias("value"))
+
+
 _titles("str16_detect_venue_titles", T.detect_venue, "CASE " + " ".join(f"WHEN regexp_matches(lower(left(title, 5000)), '{p}') THEN '{v}'" for p, v in T.VENUES) + " END")
 _parts("str17_arxiv_id", ["see arXiv:24", ("p_size2",), ".", "p_partkey", "00000v3"], T.arxiv_id, "nullif(regexp_extract(x, '(?i)arxiv(?:\\.org/abs/)?[:/]?\\s*([0-9]{4}\\.[0-9]{4,5})(?:v[0-9]+)?', 1), '')")
 _parts("str17_normalized_arxiv", ["arXiv:24", ("p_size2",), ".1234v", "p_size"], T.normalized_arxiv, "'24' || lpad((p_size % 25)::VARCHAR, 2, '0') || '.1234'")
@@ -180,7 +188,16 @@ def str31(spark, d):
 
 
 _AUTHORS = ["Ann Lee, ", "p_name", " University and Bo Chu; MIT, 12 Main Street way ", "p_size", "0, Carl ", "p_brand"]
-_parts("str32_is_affiliation", ["p_name", " ", "p_type", " lab"], T.is_affiliation, "true")
+
+
+@query("str32_is_affiliation", "SELECT p_partkey, p_partkey % 10 NOT IN (0, 7, 8) AS value FROM part")
+def str32(spark, d):
+    """Short signs count as words of their own only, and one that ends in a point only before a letter or digit."""
+    n = F.col("p_size").cast("string")
+    forms = F.array(F.concat(F.lit("Maxime Oquab "), n), F.concat(F.lit("Meta "), n), F.concat(F.lit("Digital Economy Group "), n), F.concat(F.lit("1"), n, F.lit(" Elm Street")), F.lit("Mountain Top, CA"), F.lit("UAB"), F.concat(F.lit("["), n, F.lit("] Someone")), F.lit("Jane Doe"), F.lit("Acme inc. of"), F.lit("Villa Tech"))
+    return table(spark, d, "part").select("p_partkey", T.is_affiliation(F.get(forms, (F.col("p_partkey") % 10).cast("int"))).alias("value"))
+
+
 _parts("str33_split_authors", _AUTHORS, lambda x: F.array_join(T.split_authors(x), "|"), "'Ann Lee|Bo Chu|Carl ' || p_brand")
 _parts("str34_heading_level", ["p_size", ".2 Proposed Method"], T.heading_level, "2")
 _lines("str34_heading_level_lines", T.heading_level, "CASE WHEN trim(regexp_replace(line, '\\s+', ' ', 'g')) = '' OR length(trim(regexp_replace(line, '\\s+', ' ', 'g'))) > 110 THEN NULL WHEN regexp_replace(upper(trim(regexp_replace(line, '\\s+', ' ', 'g'))), ':+$', '') IN (" + ", ".join(f"'{h}'" for h in T.KNOWN_HEADINGS) + ") THEN 1 END::INT")
@@ -214,6 +231,6 @@ def str27(spark, d):
     return tag_balance(V.nodes(spark, d).withColumn("line", made))
 
 
-@query("str2_normalized_name")
+@query("str2_normalized_name", "SELECT c_custkey, trim(regexp_replace(lower(nfc_normalize(c_name)), '[^a-z0-9_]+', ' ', 'g')) AS value FROM customer")
 def str2(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.normalized_name(F.col("c_name")).alias("value"))

@@ -28,9 +28,9 @@ def read_parsed_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_week_logs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines in <project>/week-*.jsonl; malformed lines are dropped, and a missing project is the folder's name."""
+    """JSON lines in <project>/week-*.jsonl, files or folders of files; malformed lines are dropped, and a missing project is the folder's name."""
     rows = spark.read.json(f"{path}/*/week-*.jsonl", schema=LOG, mode="DROPMALFORMED")
-    return rows.withColumn("project", F.coalesce("project", F.regexp_extract(F.input_file_name(), r"/([^/]+)/week-[^/]*$", 1))).where("text is not null")
+    return rows.withColumn("project", F.coalesce("project", F.regexp_extract(F.input_file_name(), r"/([^/]+)/week-[^/]*\.jsonl", 1))).where("text is not null")
 
 
 def read_documents_xml(spark: SparkSession, path: str) -> DataFrame:

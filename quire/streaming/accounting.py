@@ -25,27 +25,42 @@ def stream_dedup(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def _stateful(events: DataFrame, key: str, step: Callable, out: str, state: str) -> DataFrame:
-    """Runs `step(rows, state) -> (rows out, state)` for each key over its events in (ts, event_id) order of a micro-batch."""
+def _stateful(events: DataFrame, key: str, late: str, step: Callable, timer: Callable, out: str, state: str) -> DataFrame:
+    """Runs `step(key, rows, state)` for each key over its events in (ts, event_id) order of a micro-batch, and `timer(key, state, now)`
+    once the watermark has passed the time that the last call asked for.
+
+    Both return (rows out, state, time): a state of None is forgotten; a time (microseconds) of None sets no timer. Events behind the watermark
+    are dropped. A key's events of one micro-batch are held together; maxFilesPerTrigger or the like bounds them.
+    """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        frames = [p for p in parts if len(p)]
-        if not frames:
-            return
-        rows = pd.concat(frames).sort_values(["ts", "event_id"])
-        got, now = step(k[0], rows, held.get if held.exists else None)
-        held.update(now)
+        if held.hasTimedOut:
+            got, now, at = timer(k[0], held.get, held.getCurrentWatermarkMs() * 1000)
+        else:
+            frames = [p for p in parts if len(p)]
+            if not frames:
+                return
+            rows = pd.concat(frames).sort_values(["ts", "event_id"])
+            got, now, at = step(k[0], rows, held.get if held.exists else None)
+        if now is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update(now)
+            if at is not None:
+                held.setTimeoutTimestamp(max(at // 1000 + 1, held.getCurrentWatermarkMs() + 1))
         if got is not None and len(got):
             yield got
 
-    return events.groupBy(key).applyInPandasWithState(run, out, state, "append", "NoTimeout")
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
 
 
-def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: int = 0, ttl: int = 600) -> DataFrame:
+def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: int = 0, ttl: int = 600, late: str = "10 minutes") -> DataFrame:
     """events(event_id, ts, tenant) -> (event_id, tenant, admitted, reason, remaining, retry_after): a request and a concurrency limit for each fixed
     window of a tenant. A concurrency of 0 is no limit; else an admitted request holds its place for ttl seconds.
 
-    The state of a tenant is its newest window, the count in it, and the expiry times of held places (at most `concurrency`).
+    The state of a tenant is its newest window, the count in it, and the expiry times of held places (at most `concurrency`); it is
+    forgotten when the watermark has passed the window and all places.
     """
     import json
     import math
@@ -70,15 +85,20 @@ def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: i
                     places.append(us + ttl * 1_000_000)
                 out.append((event, tenant, True, "ok", limit - used, None))
         frame = pd.DataFrame(out, columns=["event_id", "tenant", "admitted", "reason", "remaining", "retry_after"]).astype({"retry_after": "Int32"})
-        return frame, (int(window), int(used), json.dumps(places))
+        return frame, (int(window), int(used), json.dumps(places)), int(max([window + seconds * 1_000_000, *places]))
+
+    def timer(tenant, held, now):
+        return None, None, None
 
-    return _stateful(events, "tenant", step, "event_id long, tenant long, admitted boolean, reason string, remaining int, retry_after int", "start long, used int, places string")
+    return _stateful(events, "tenant", late, step, timer, "event_id long, tenant long, admitted boolean, reason string, remaining int, retry_after int", "start long, used int, places string")
 
 
-def stream_leases(events: DataFrame, ttl: int = 600) -> DataFrame:
+def stream_leases(events: DataFrame, ttl: int = 600, keep: int = 86_400, late: str = "10 minutes") -> DataFrame:
     """events(event_id, ts, lease, action) with actions reserve, refresh, complete, fail -> (event_id, lease, result).
 
-    A lease ends once; a refresh within its time extends it; after its time it is expired, and what comes later is told so.
+    A lease ends once; a refresh within its time extends it. When the watermark has passed its time it expires without
+    another event, told by a row without event_id. An ended lease is remembered for `keep` seconds, so that what
+    comes later is told so, then forgotten.
     """
 
     def step(lease, rows: pd.DataFrame, held):
@@ -93,18 +113,28 @@ def stream_leases(events: DataFrame, ttl: int = 600) -> DataFrame:
             elif action == "refresh" and state == "active":
                 expiry, result = us + ttl * 1_000_000, "extended"
             elif action in ("complete", "fail") and state == "active":
-                state = result = "completed" if action == "complete" else "failed"
+                state, expiry = "completed" if action == "complete" else "failed", us
+                result = state
             else:
                 result = f"ignored_{state}"
             out.append((event, lease, result))
-        return pd.DataFrame(out, columns=["event_id", "lease", "result"]), (state, int(expiry))
+        frame = pd.DataFrame(out, columns=["event_id", "lease", "result"]).astype({"event_id": "Int64"})
+        if state == "none":
+            return frame, None, None
+        return frame, (state, int(expiry)), int(expiry if state == "active" else expiry + keep * 1_000_000)
 
-    return _stateful(events, "lease", step, "event_id long, lease string, result string", "state string, expiry long")
+    def timer(lease, held, now):
+        state, expiry = held
+        if state != "active":
+            return None, None, None
+        return pd.DataFrame({"event_id": pd.array([None], "Int64"), "lease": [lease], "result": ["expired"]}), ("expired", int(expiry)), int(expiry + keep * 1_000_000)
 
+    return _stateful(events, "lease", late, step, timer, "event_id long, lease string, result string", "state string, expiry long")
 
-def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60) -> DataFrame:
+
+def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """events(event_id, ts, backend, ok) -> (event_id, backend, state, allowed): `threshold` failures in a row open the circuit for a time; then one
-    probe is let through, whose success closes it and whose failure opens it again."""
+    probe is let through, whose success closes it and whose failure opens it again. Only backends with failures have a state."""
 
     def step(backend, rows: pd.DataFrame, held):
         failures, until = held if held else (0, 0)
@@ -121,9 +151,12 @@ def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60
                 failures += 1
                 if failures >= threshold:
                     until = us + open_seconds * 1_000_000
-        return pd.DataFrame(out, columns=["event_id", "backend", "state", "allowed"]), (int(failures), int(until))
+        return pd.DataFrame(out, columns=["event_id", "backend", "state", "allowed"]), (int(failures), int(until)) if failures else None, None
+
+    def timer(backend, held, now):
+        return None, held, None
 
-    return _stateful(events, "backend", step, "event_id long, backend long, state string, allowed boolean", "failures int, until long")
+    return _stateful(events, "backend", late, step, timer, "event_id long, backend long, state string, allowed boolean", "failures int, until long")
 
 
 def stream_ingest(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
@@ -146,6 +179,8 @@ def _has_rows(spark, path: str) -> bool:
     return fs.exists(p) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p))
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Runs a stream over all that is there into Parquet files."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def drained(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Runs a stream over all that is there into Parquet files; how many late events its stateful operators dropped."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])

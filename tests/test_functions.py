@@ -37,6 +37,20 @@ def one(spark, make, *values):
         (T.is_affiliation, "MIT", True),
         (T.is_affiliation, "Oquab Maxime", False),
         (T.is_affiliation, "Mountain View, CA", True),
+        (T.replace_citations, "\\cite{" + ",".join(f"k{i}" for i in range(25)) + "} \\cite{ }", "[cite:" + "; ".join(f"k{i}" for i in range(25)) + "] [cite]"),
+        (T.heading_level, "ABSTRACT", None),
+        (T.heading_level, "Limitations", 1),
+        (T.heading_level, "EXPERIMENTAL SETUP:", 1),
+        (T.heading_level, "3 a Method", None),
+        (T.is_affiliation, "Group of Engineering", True),
+        (T.is_affiliation, "Acme inc. of", False),
+        (T.is_affiliation, "Ann New York", True),
+        (A.confidence, "title", 0.85),
+        (A.confidence, "venue", 0.4),
+        (A.confidence, "normalized-title-substring", 0.92),
+        (A.confidence, "lang", 0.0),
+        (lambda x: T.year_of(x)["year"], "\\usepackage{a2009b2017-2021}", 2017),
+        (lambda x: T.year_of(x)["year"], "\\documentclass[draft1999]{x2012}", 1999),
         (T.replace_citations, "a \\citep[see][]{x, y,z} b \\ref{s:1}", "a [cite:x; y; z] b [ref:s:1]"),
     ],
 )

@@ -9,6 +9,7 @@ from quire.operators import graph as G
 from quire.operators import jobs as J
 from quire.operators import matching as M
 from quire.operators import registry as Q
+from quire.operators import reports as R_
 from quire.operators import retrieval as R
 from quire.sources import readers, sinks
 from quire.streaming import accounting as S
@@ -36,7 +37,7 @@ def test_fuzzy_block_loses_no_match(spark):
     key = lambda t: " ".join(sorted(" ".join(t.lower().split()).split(" ")))
     refs = spark.createDataFrame(list(enumerate(edited)), "ref_id long, title string")
     papers = spark.createDataFrame(list(enumerate(base)), "work long, title string")
-    got = {r["ref_id"]: r["score"] for r in M.resolve_refs_fuzzy(refs, papers).collect()}
+    got = {r["ref_id"]: r["score"] for r in M.resolve_refs_fuzzy(refs, papers, partial=None).collect()}
     want = {}
     for i, e in enumerate(edited):
         scores = [100 * (1 - levenshtein(key(e), key(b)) / max(len(key(e)), len(key(b)))) for b in base if key(e) and key(b)]
@@ -216,7 +217,7 @@ def test_title_matches_against_all_pairs(spark):
         ws = set(s.split())
         for t in right.values():
             wt, common = set(t.split()), ws & set(t.split())
-            tier = (3, 1.0) if s == t and s else (2, float(min(len(s), len(t)))) if common and (s in t or t in s) else (1, round(len(common) / max(len(ws), len(wt)), 6)) if common and len(common) / max(len(ws), len(wt)) > 0.7 else None
+            tier = (3, 1.0) if s == t and s else (2, float(min(len(s), len(t)))) if s and (s in t or t in s) else (1, round(len(common) / max(len(ws), len(wt)), 6)) if common and len(common) / max(len(ws), len(wt)) > 0.7 else None
             if tier:
                 want[a] = max(want.get(a, tier), tier)
             score = len(common) / len(ws | wt) if ws else 0
@@ -224,3 +225,108 @@ def test_title_matches_against_all_pairs(spark):
                 want_jac[a] = max(want_jac.get(a, 0), round(score, 6))
     assert got == want
     assert jac == pytest.approx(want_jac)
+
+
+def test_titles_inside_words_and_short_keys(spark):
+    """Containment needs no common word, and a slug may hold a query with blanks or of few characters."""
+    left = spark.createDataFrame([(1, "net"), (2, "ab"), (3, "zzz")], "a long, title string")
+    right = spark.createDataFrame([(10, "resnet"), (11, "x cab y")], "b long, title string")
+    assert {r["a"]: (r["b"], r["tier"]) for r in M.match_titles_overlap(left, right).collect()} == {1: (10, 2), 2: (11, 2)}
+    papers = spark.createDataFrame([(1, "2401.00001", "10.1/A", "a-deep-net"), (2, None, None, "no_hyphen"), (3, None, None, "10.x-deep")], "paper_id long, arxiv_id string, doi string, slug string")
+    q = spark.createDataFrame([("deep net",), (" Deep-NET ",), ("ne",), ("p",), ("a-deep-net",), ("2401.00001",), ("10.1/A",), ("hyphen",), ("",), (None,)], "q string")
+    got = {r["q"]: (r["paper_id"], r["way"]) for r in M.resolve_paper_keys(q, papers).collect()}
+    assert got == {"deep net": (1, 3), " Deep-NET ": (1, 3), "ne": (1, 3), "p": (1, 3), "a-deep-net": (1, 0), "2401.00001": (1, 0), "10.1/A": (1, 0), "hyphen": (None, None), "": (None, None), None: (None, None)}
+
+
+def brute_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_partial(a, b):
+    short, long = sorted((a, b), key=len)
+    n = len(short)
+    windows = [long[max(0, i) : i + n] for i in range(1 - n, len(long))]
+    return max(200.0 * brute_common(short, w) / (n + len(w)) for w in windows)
+
+
+def test_fuzzy_titles_against_all_pairs(spark):
+    rng = random.Random(21)
+    base = ["deep residual learning for images", "graph networks of many kinds", "a study of fast attention", "on word vectors"]
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice("abcxyz ")
+        return "".join(t)
+
+    papers = {i: changed(rng.choice(base)) for i in range(30)}
+    refs = {100 + i: rng.choice([lambda t: t, lambda t: t[4:], lambda t: t + " and more", lambda t: " ".join(reversed(t.split())), lambda t: t[: len(t) // 3]])(changed(rng.choice(base))) for i in range(60)} | {900: "", 901: "unlike all"}
+    norm = lambda t: " ".join(t.split())
+    tokens = lambda t: " ".join(sorted(norm(t).split()))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for r, t in refs.items():
+        if not norm(t):
+            continue
+        scored = [(round(100 * (1 - distance(tokens(t), tokens(p)) / max(len(tokens(t)), len(tokens(p)))), 6), -w) for w, p in papers.items()]
+        best = max(x for x in scored)
+        if best[0] < 85:
+            n = len(norm(t))
+            scored = [(round(brute_partial(norm(t), norm(p)), 6), -w) for w, p in papers.items() if 2 * min(n, len(norm(p))) > max(n, len(norm(p)))]
+            best = max(scored, default=(0, 0))
+            if best[0] < 95:
+                continue
+        want[r] = (-best[1], best[0])
+    table = lambda rows, k: spark.createDataFrame(list(rows.items()), f"{k} long, title string")
+    got = {r["ref_id"]: (r["work"], r["score"]) for r in M.resolve_refs_fuzzy(table(refs, "ref_id"), table(papers, "work")).collect()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
+    assert all(norm(papers[got[k][0]]) == norm(papers[v[0]]) or got[k] == v for k, v in want.items())
+
+
+def test_lease_expires_by_the_watermark(spark, tmp_path):
+    """No event of lease b comes after its time, and one of lease c comes too late."""
+    rows = [(1, at(0), "b", "reserve"), (2, at(0), "a", "reserve"), (3, at(9000), "a", "refresh"), (4, at(9001), "d", "reserve"), (7, at(9001), "e", "reserve"), (8, at(9001), "e", "fail"), (5, at(1), "c", "reserve"), (6, at(9002), "d", "complete")]
+    got = {(r["event_id"], r["lease"]): r["result"] for r in stream_rows(spark, tmp_path, rows, "event_id long, ts timestamp, lease string, action string", lambda s: S.stream_leases(s, 10), batches=4)}
+    assert got[(None, "b")] == "expired" and (5, "c") not in got and got[(6, "d")] == "completed"
+
+
+def test_late_events_are_counted(spark, tmp_path):
+    schema = "ts timestamp, tenant long, outcome string, bytes long"
+    for b, rows in enumerate([[(at(10_000), 1, "forwarded", 1)], [(at(20_000), 1, "forwarded", 1)], [(at(5), 1, "failed", 1), (at(20_001), 1, "failed", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{b}"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    assert S.drained(S.stream_usage(s, 3600), str(tmp_path / "out"), str(tmp_path / "state")) == 1
+
+
+def test_reports(spark):
+    sections = spark.createDataFrame([(1, 0, "method"), (1, 1, "limitations"), (2, 0, "method"), (3, 0, "conclusion")], "doc_id long, ordinal int, role string")
+    assert sorted(r["doc_id"] for r in R_.compare_methods(sections, [1, 2]).collect()) == [1, 2]
+    with pytest.raises(ValueError, match="2 to 10"):
+        R_.compare_methods(sections, [1])
+    assert sorted((r["doc_id"], r["role"]) for r in R_.gap_evidence(sections).collect()) == [(1, "limitations"), (3, "conclusion")]
+    assert R_.method_sections(sections, spark.createDataFrame([(2,)], "doc_id long")).count() == 1
+    events = spark.createDataFrame([(1, "forwarded", 5.0, 10, 1), (1, "failed", None, None, None)], "tenant long, outcome string, latency double, bytes long, quota long")
+    got = {r["tenant"]: (r["n"], r["latencies"], r["avg_latency"], r["bytes"], r["quota"]) for r in R_.usage_by_tenant(events, spark.createDataFrame([(1,), (2,)], "tenant long")).collect()}
+    assert got == {1: (2, 1, 5.0, 10, 1), 2: (0, 0, None, 0, 0)}
+
+
+def test_common_neighbours_are_bounded(spark):
+    e = spark.createDataFrame([(s, t) for s in (1, 2, 3) for t in (10, 11, 12)] + [(3, 13)], "src long, dst long")
+    assert {(r["a"], r["b"]): r["n"] for r in G.coupling(e).collect()} == {(1, 2): 3, (1, 3): 3, (2, 3): 3}
+    assert {(r["a"], r["b"]) for r in G.cocitation(e, 3).collect()} == {(10, 11), (10, 12), (11, 12)}
+    assert G.concept_pairs(e.select(F.col("src").alias("work"), F.col("dst").alias("concept"))).count() == 3
+    with pytest.raises(Exception, match="more than 2 entries"):
+        G.cocitation(e, 1, most=2).collect()
