@@ -165,7 +165,7 @@ def resembling(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     often, hits = resemblance.frequent(texts)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), resemblance.marks(F.col(text).cast("string"), often, hits, least).alias("m"))
     marked = written(rows.select("doc_id", "text_key", "m.*"), "marked")
-    classes = written(marked.groupBy("class", "n", "print", "sketch").agg(F.min("text_key").alias("text_key")), "classes")
+    classes = written(marked.groupBy("class", "n", "print", "sketch", "parity").agg(F.min("text_key").alias("text_key")), "classes")
     # classes of one print meet its least class, and the least classes of linked prints meet
     least_of = written(classes.groupBy("print").agg(F.min("class").alias("b")), "prints")
     same = classes.select("print", F.col("class").alias("a")).join(least_of, "print").where("a <> b").select("a", "b")
