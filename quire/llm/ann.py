@@ -4,6 +4,10 @@ The tree is fitted on a bounded sample of vectors; every vector is then assigned
 the tree best bin first: a priority queue holds unopened branches by their centre's distance, the nearest is
 opened, and leaves come out in the order to visit. How many leaves a query visits is widened until the
 measured recall of calibration queries, whose true neighbours are found by brute force, reaches TARGET.
+
+Neighbouring leaves share a bin of at most BLOCK_ROWS rows (a larger leaf has several), and queries of neighbouring
+leaves share a part of at most QUERY_ROWS queries. A bin is sent to those parts alone that visit one of its
+leaves, and a query once to each bin that it visits.
 """
 
 from __future__ import annotations
@@ -17,18 +21,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.plans.materialize import written
 
-#: Vectors that the tree is fitted on at most, children of a node, leaves at most, and calibration queries at most.
-SAMPLE, BRANCH, MAX_LEAVES, CALIBRATION = 20_000, 12, 1_024, 128
-LEAF_SAMPLE = 40
+#: Vectors that the tree is fitted on at most, children of a node, and calibration queries at most.
+SAMPLE, BRANCH, CALIBRATION = 40_000, 12, 128
+#: Leaves are this times the root of the rows, as far as the sample has LEAF_SAMPLE vectors for each.
+LEAVES_ROOT, LEAF_SAMPLE = 4, 16
 TARGET = 0.97
-#: Rows of a block of a leaf, and queries of a block of the query set.
+#: Rows of a bin, and queries of a part of the query set.
 BLOCK_ROWS, QUERY_ROWS = 4_096, 4_096
 
 
 class Tree:
     """Nested k-means: centres of each node's children; children are nodes or leaf numbers."""
 
-    def __init__(self, points: np.ndarray, branch: int = BRANCH, leaf: int = LEAF_SAMPLE, most: int = MAX_LEAVES, seed: int = 5):
+    def __init__(self, points: np.ndarray, most: int, branch: int = BRANCH, leaf: int = LEAF_SAMPLE, seed: int = 5):
         self.nodes: list = []
         self.leaves = 0
         rng = np.random.default_rng(seed)
@@ -70,6 +75,17 @@ class Tree:
                 at[rows] = np.array(kids)[_nearest(points[rows], centres)]
         return at
 
+    def neighbours(self) -> list[int]:
+        """All leaves in an order that keeps those of one branch together."""
+        out, open_ = [], [self.root]
+        while open_:
+            at = open_.pop()
+            if at >= 0:
+                out.append(at)
+            else:
+                open_.extend(reversed(self.nodes[~at][1]))
+        return out
+
     def order(self, query: np.ndarray, visits: int) -> list[int]:
         """The first `visits` leaves in best-bin-first order."""
         heap, out, n = [(0.0, 0, self.root)], [], 0
@@ -115,18 +131,34 @@ def _matrix(rows) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in rows])
 
 
-def _top(ids: np.ndarray, points: np.ndarray, queries: list, k: int) -> Iterator[pd.DataFrame]:
-    """The k nearest points of each (query id, query) by exact double distance, its own id left out; ties to smaller ids."""
-    out = []
-    for qid, q in queries:
-        d = np.sqrt(((points - q) ** 2).sum(axis=1))
-        d[ids == qid] = np.inf
-        some = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k else np.arange(len(d))
-        some = some[np.lexsort((ids[some], d[some]))][:k]
-        some = some[np.isfinite(d[some])]
-        out.append(pd.DataFrame({"query_id": np.full(len(some), qid), "vec_id": ids[some], "score": d[some]}))
-    if out:
-        yield pd.concat(out)
+def _distances(points: np.ndarray, q: np.ndarray) -> np.ndarray:
+    apart = points - q
+    d = np.sqrt((apart**2).sum(axis=1))
+    if not np.isfinite(d).all():  # squares that overflow are taken of scaled differences
+        most = np.abs(apart).max(axis=1, keepdims=True)
+        with np.errstate(all="ignore"):
+            d = np.where(np.isfinite(d), d, most[:, 0] * np.sqrt(((apart / most) ** 2).sum(axis=1)))
+    return d
+
+
+def _least(ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Where the k least distances stand, ties to smaller ids."""
+    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+    return some[np.lexsort((ids[some], d[some]))][:k]
+
+
+def _runs(order: list[int], sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """leaf -> (first group, groups): leaves in order fill groups of at most `most` rows; a leaf with more has groups of its own."""
+    out, at, held = {}, 0, 0
+    for leaf in order:
+        n = sizes.get(leaf, 0)
+        if held and held + n > most:
+            at, held = at + 1, 0
+        out[leaf] = (at, max(1, -(-n // most)))
+        held += n
+        if n > most:
+            at, held = at + out[leaf][1], 0
+    return out
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -135,36 +167,45 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scan(index: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """index(leaf, block, part, vec_id, v) and visits(query_id, q, leaf, block, part): blocks of points meet parts of the query set, both bounded."""
+def _scan(binned: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    """binned(bin, leaf, vec_id, v) and visits(part, query_id, q, bin, leaves): bins meet the parts that visit them, both bounded."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(left) or not len(right):
-            return none
-        return next(_top(left["vec_id"].to_numpy(), _matrix(left["v"]), list(zip(right["query_id"], _matrix(right["q"]), strict=True)), k), none)
-
-    return index.groupBy("leaf", "block", "part").cogroup(visits.groupBy("leaf", "block", "part")).applyInPandas(meet, "query_id long, vec_id long, score double")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            ids, x, leaf = left["vec_id"].to_numpy(), _matrix(left["v"]), left["leaf"].to_numpy()
+            by_leaf = {n: np.flatnonzero(leaf == n) for n in np.unique(leaf).tolist()}
+            for qid, q, leaves in zip(right["query_id"], _matrix(right["q"]), right["leaves"], strict=True):
+                rows = np.concatenate([np.zeros(0, np.int64), *[by_leaf[n] for n in leaves if n in by_leaf]])
+                rows = rows[ids[rows] != qid]
+                d = _distances(x[rows], q) if len(rows) else np.zeros(0)
+                best = _least(ids[rows], d, k)
+                out.append((np.full(len(best), qid), ids[rows][best], d[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    asked = visits.select(F.col("bin").alias("to"), F.col("part").alias("by")).distinct()
+    sent = binned.join(asked, F.col("bin") == F.col("to")).select("bin", F.col("by").alias("part"), "leaf", "vec_id", "v")
+    return sent.groupBy("bin", "part").cogroup(visits.groupBy("bin", "part")).applyInPandas(meet, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> tuple[DataFrame, dict]:
     """(query_id, rank, vec_id, score) of the rows that `queries` picks against all rows but their own, and the calibration report.
 
-    Rows without id, or with a vector that is null, empty, zero, of another length than most of the sample, or with null or
+    Rows without id, or with a vector that is null, empty, zero, of another length than most rows, or with null or
     non-finite components take no part. Repeated vectors are all candidates. Ties go to the smaller vec_id. A query with
-    fewer than k candidates gets all. Scores are exact Euclidean distances in double precision. Empty tables give empty results.
+    fewer than k candidates gets all. Scores are exact Euclidean distances in double precision (infinite where a double cannot hold them). Empty tables give empty results.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     spark = rows.sparkSession
-    n = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
+    widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    if widths is None:
         return empty, {"rows": 0}
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()["w"]
-    rows = rows.where(F.size("v") == width)
-    sample = _matrix(r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(BRANCH, n))).select("v").collect())
-    tree = Tree(sample)
+    rows, n = rows.where(F.size("v") == widths["w"]), widths["count"]
+    most = max(BRANCH, min(int(LEAVES_ROOT * n**0.5), SAMPLE // LEAF_SAMPLE))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(n, most * LEAF_SAMPLE)).select("v").toArrow()["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    tree = Tree(sample.reshape(-1, widths["w"]), most)
 
     @F.pandas_udf("int")
     def leaf_of(vs: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -172,35 +213,48 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec
             yield pd.Series(tree.assign(_matrix(s)) if len(s) else [], dtype="int32")
 
     index = written(rows.select("vec_id", "v", "asks", leaf_of("v").alias("leaf")), "leaves")
-    sizes = {r["leaf"]: -(-r["n"] // BLOCK_ROWS) for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    blocks = [sizes.get(leaf, 0) for leaf in range(tree.leaves)]
-    of_leaf = F.element_at(F.array(*map(F.lit, blocks)), F.col("leaf") + 1)
-    blocked = index.select("leaf", F.pmod(F.xxhash64("vec_id", F.lit(3)), of_leaf).alias("block"), "vec_id", "v")
+    counts = index.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("asks").alias("m")).collect()  # a row a leaf
+    leaves = tree.neighbours()
+    bins, parts = _runs(leaves, {r["leaf"]: r["n"] for r in counts}, BLOCK_ROWS), _runs(leaves, {r["leaf"]: r["m"] for r in counts}, QUERY_ROWS)
+    filled = {r["leaf"] for r in counts}
+    places = F.broadcast(spark.createDataFrame([(leaf, *bins[leaf], *parts[leaf]) for leaf in leaves], "leaf int, bin int, bins int, part int, parts int"))
+    placed = index.join(places, "leaf")
 
-    asked = index.where("asks").select("vec_id", "v")
-    parts = max(1, -(-asked.count() // QUERY_ROWS))
+    def spread(first: str, many: str, seed: int) -> Column:
+        return (F.col(first) + F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(many))).cast("int")
 
-    def visits_of(asked: DataFrame, visits: int, parts: int) -> DataFrame:
-        @F.pandas_udf("array<struct<turn:int,leaf:int>>")
+    binned = placed.select("vec_id", "v", "leaf", spread("bin", "bins", 3).alias("bin"))
+    asked = placed.where("asks").select("vec_id", "v", spread("part", "parts", 5).alias("part"))
+
+    def visits_of(asked: DataFrame, visits: int) -> DataFrame:
+        @F.pandas_udf("array<struct<bin:int,leaves:array<int>>>")
         def walk(vs: pd.Series) -> pd.Series:
-            return pd.Series([[{"turn": i, "leaf": leaf} for i, leaf in enumerate(tree.order(np.asarray(v, np.float64), visits))] for v in vs])
+            out = []
+            for v in vs:
+                by: dict[int, list[int]] = {}
+                for leaf in tree.order(np.asarray(v, np.float64), visits):
+                    first, many = bins[leaf]
+                    for b in range(first, first + many) if leaf in filled else ():
+                        by.setdefault(b, []).append(leaf)
+                out.append([{"bin": b, "leaves": found} for b, found in by.items()])
+            return pd.Series(out)
+
+        seen = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "part", F.explode(walk("v")).alias("s")).select("part", "query_id", "q", "s.bin", "s.leaves")
+        return written(seen, "visits")
 
-        seen = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), F.explode(walk("v")).alias("s")).select("query_id", "q", "part", "s.leaf", "s.turn")
-        return seen.where(of_leaf > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), of_leaf.cast("long") - 1)))
+    probe = written(asked.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(CALIBRATION), "calibration")
 
-    def in_parts(parts: int) -> DataFrame:
-        return blocked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    @F.pandas_udf("array<struct<turn:int,leaf:int>>")
+    def turns_of(vs: pd.Series) -> pd.Series:
+        return pd.Series([[{"turn": i, "leaf": leaf} for i, leaf in enumerate(tree.order(np.asarray(v, np.float64), tree.leaves))] for v in vs])
 
-    probe = written(asked.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(CALIBRATION), "calibration")
     # every leaf for the calibration queries: brute force, each hit with the turn at which its leaf came
-    turns = visits_of(probe, tree.leaves, 1)
-    truth = _best(_scan(in_parts(1), turns, k), k)
-    at = truth.join(index.select("vec_id", "leaf"), "vec_id").join(turns.select("query_id", "leaf", "turn").distinct(), ["query_id", "leaf"])
-    hits = at.groupBy("turn").count().orderBy("turn").collect()
+    truth = _best(_scan(binned, visits_of(probe, tree.leaves), k), k)
+    turns = probe.select(F.col("vec_id").alias("query_id"), F.explode(turns_of("v")).alias("t")).select("query_id", "t.turn", "t.leaf").distinct()
+    hits = truth.join(index.select("vec_id", "leaf").distinct(), "vec_id").join(turns, ["query_id", "leaf"]).groupBy("turn").count().orderBy("turn").collect()
     total, seen, visits = sum(r["count"] for r in hits), 0, 1
     for r in hits:
         if seen >= target * total:
             break
         seen, visits = seen + r["count"], r["turn"] + 1
-    found = _best(_scan(in_parts(parts), visits_of(asked, visits, parts), k), k)
-    return found, {"rows": n, "leaves": tree.leaves, "visits": visits, "recall": seen / max(1, total)}
+    return _best(_scan(binned, visits_of(asked, visits), k), k), {"rows": n, "leaves": tree.leaves, "visits": visits, "recall": seen / max(1, total)}
