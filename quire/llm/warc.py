@@ -25,21 +25,22 @@ _DATE = "2024-01-01T00:00:00Z"
 CHUNKS = "page_id long, record_id string, record_type string, url string, refers_to long, declared_digest string, declared_bytes long, chunk_no int, is_last boolean, payload binary, payload_upto long, digest_upto string"
 
 
-def record_id(page_id: int) -> str:
+def record_id(page: object) -> str:
     """An id that is a function of the page's."""
-    h = hashlib.sha256(b"page %d" % page_id).hexdigest()
+    h = hashlib.sha256(f"page {page}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}>"
 
 
 def classified(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = MIN_SHARED) -> DataFrame:
     """(page_id, digest, size, refers_to): of equal payloads of at least `least` bytes the least page_id is kept, others refer to it.
 
-    Null payloads are empty. Only ids and digests are moved; equal digests meet as partial minima.
+    Null payloads are empty. A page without id refers to the least id of its payload, if there is one. Only ids and digests are
+    moved; equal digests meet as partial minima, which are a table when they are joined, so that a frequent one can be split.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     marks = pages.select(F.col(page_id).cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    first = marks.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    return marks.join(first, "digest", "left").select("page_id", "digest", "size", F.when(F.col("page_id") != F.col("kept"), F.col("kept")).alias("refers_to"))
+    first = marks.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").select("digest", "kept")
+    return marks.join(written(first, "first"), "digest", "left").select("page_id", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
 def _open(path: str):
@@ -48,9 +49,11 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _record(out, page, url: str | None, payload: bytes, refers: int | None, digest: str, size: int) -> None:
+def _record(out, page: int | None, name: str, url: str | None, payload: bytes, refers: int | None, digest: str, size: int) -> None:
     """One gzip member, the payload fed in chunks; a revisit declares its payload and holds none of it."""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {page}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
+    if page is not None:
+        head.append(f"X-Page-ID: {page}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -75,13 +78,15 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
-        name = f"{base}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        task = TaskContext.get().partitionId()
+        name = f"{base}/part-{task:06d}.warc.gz"
         own = f"{name}.{uuid.uuid4().hex}"
         n, out = 0, None
         for p in parts:
             for page, url, html, digest, size, refers in zip(p["page_id"], p["url"], p["html"], p["digest"], p["size"], p["refers_to"], strict=True):
                 out = out or store.open_output_stream(own, compression=None)
-                _record(out, int(page), url if isinstance(url, str) else None, html.encode() if isinstance(html, str) else b"", None if pd.isna(refers) else int(refers), digest, int(size))
+                page = None if pd.isna(page) else int(page)
+                _record(out, page, record_id(f"without id: {task}, {n}" if page is None else page), url if isinstance(url, str) else None, html.encode() if isinstance(html, str) else b"", None if pd.isna(refers) else int(refers), digest, int(size))
                 n += 1
         if out:
             out.close()
@@ -145,7 +150,8 @@ def records_of(file, chunk: int = CHUNK_BYTES) -> Iterator[tuple]:
             if not line:
                 break
         refers = head.get("x-refers-to-page-id")
-        fixed = (int(head["x-page-id"]), head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), int(refers) if refers else None, head["warc-payload-digest"].partition(":")[2], int(head["x-payload-length"]))
+        page = head.get("x-page-id")
+        fixed = (int(page) if page else None, head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), int(refers) if refers else None, head["warc-payload-digest"].partition(":")[2], int(head["x-payload-length"]))
         digest, upto, no, held = hashlib.sha256(), 0, 0, b""
         while left:
             got = s.take(min(left, chunk - len(held)))
@@ -169,7 +175,7 @@ def read_archives(paths: DataFrame, payload: bool = True, chunk: int = CHUNK_BYT
     def get(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def frame(rows: list) -> pd.DataFrame:
             out = pd.DataFrame(rows, columns=names)
-            return out.astype({"refers_to": "Int64"})
+            return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
         for p in parts:
             for path in p["path"]:
@@ -191,14 +197,14 @@ def read_archives(paths: DataFrame, payload: bool = True, chunk: int = CHUNK_BYT
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> DataFrame:
     """pages -> (path, n_records) of the archives written in `folder` (a new one in the shared folder if not given).
 
-    page_id must not be null (rows without it are left out) and names a record; of rows that repeat a page_id every
-    one becomes a record. Null URLs give records without a target; null pages have empty payloads; an empty table gives no archive.
+    Every row becomes a record, rows that repeat a page_id and rows without one among them; the latter's records have ids of
+    their own and no page id. Null URLs give records without a target; null pages have empty payloads; an empty table gives no archive.
     """
     spark = pages.sparkSession
-    rows = pages.where(F.col(page_id).isNotNull()).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     kinds = classified(rows).distinct()
-    same = (F.col("page_id") == F.col("_p")) & (F.col("_d") == F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    joined = rows.join(kinds.withColumnsRenamed({"page_id": "_p", "digest": "_d"}), same).withColumnRenamed("_d", "digest")
+    same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_d") == F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+    joined = rows.join(kinds.withColumnsRenamed({"page_id": "_p", "digest": "_d"}), same).drop("_p").withColumnRenamed("_d", "digest")
     return written(write_archives(joined, folder or fresh_path(spark, "warc")), "archives")
 
 
