@@ -26,7 +26,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     A host has at most (distinct lines a page) / ratio such lines on average, so the list of one host is bounded.
     """
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")  # as a table: the join can split a host of many lines
     per_page = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))).alias("key"))
     counts = per_page.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(totals, counts["host"].eqNullSafe(totals["host"])).where(F.col("n") > F.col("pages") * F.lit(ratio))
@@ -38,18 +38,20 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
 
     Pages are rows; a line counts once a page, compared without outer spaces; blank lines never count
     and are never dropped. Null hosts form one site of their own. A null text stays null with 0 lines; an
-    empty text has one blank line. Repeated rows are pages of their own. All other columns stay, except
-    that ones named n_lines, n_dropped, _bad or _host are replaced or must not exist.
+    empty text has one blank line. Repeated rows are pages of their own. All other columns stay, whatever their names; columns
+    named n_lines or n_dropped are replaced.
     """
     # a table of known size: Spark sees whether it can be sent to the texts instead of moving them
-    marks = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
-    joined = docs.join(marks, F.col(host).eqNullSafe(F.col("_host")), "left")
-    bad = F.coalesce("_bad", F.array().cast("array<struct<x:bigint,y:bigint>>"))
-    kept = F.filter(_lines(F.col(text)), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text))))
-    out = joined.withColumn("_kept", F.when(F.size(bad) > 0, kept).otherwise(_lines(F.col(text))))
-    out = out.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("_kept"))})
-    return out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_kept", "_bad", "_host")
+    marks = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("site"), F.col(text).alias("body"))
+    joined = rows.join(marks, rows["site"].eqNullSafe(marks["host"]), "left")
+    bad = F.coalesce("bad", F.array().cast("array<struct<x:bigint,y:bigint>>"))
+    kept = F.filter(_lines(F.col("body")), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))
+    out = joined.withColumn("kept", F.when(F.size(bad) > 0, kept).otherwise(_lines(F.col("body"))))
+    n_lines = F.when(F.col("body").isNull(), 0).otherwise(F.size(_lines(F.col("body"))))
+    out = out.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("body").isNull(), 0).otherwise(n_lines - F.size("kept"))})
+    new = {text: F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("body")), "n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
+    return out.select(*[new.pop(c).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns], *[v.alias(c) for c, v in new.items()])
 
 
 SQL = """
