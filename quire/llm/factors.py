@@ -126,7 +126,7 @@ def _packed_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=3)
     for p in parts:
         p["packed"] = [pack.compress(t.encode("utf-8", "surrogatepass")) if isinstance(t, str) else None for t in p["text"]]
-        yield p[["doc_id", "packed"]].astype({"doc_id": "Int64"})
+        yield p[["doc_id", "shown", "packed"]].astype({"doc_id": "Int64", "shown": "Int64"})
 
 
 def _unpacked(packed, unpack: zstandard.ZstdDecompressor) -> bytes:
@@ -172,19 +172,26 @@ def _anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"anchor": g.view(np.int64), "stretch": c.view(np.int64), "doc": ids[doc], "first": local.astype(np.int32), "count": count.astype(np.int32)})
 
 
-def _finish(words: list[bytes], starts: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple:
-    """n_words, n_removed, digest of what is left, and the factors, from the phrases that start earlier elsewhere (sorted, distinct)."""
-    n = len(words)
-    if not len(starts):
-        return n, 0, hashlib.sha256(b" ".join(words)).hexdigest(), []
-    change = np.zeros(n + 1, np.int64)
-    change[starts] += 1
-    change[starts + PHRASE] -= 1
-    kept = np.cumsum(change)[:n] == 0
-    opens = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_start) != 1)]))
+def _parse(starts: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The factors (start, length, ref_doc, ref_start) of a document from its phrases with an earlier start, in order.
+
+    A factor opens at the first such phrase that no factor holds and grows word by word while the next phrase goes on in its
+    reference block; where it ends, the phrases over its border are looked up as all others, and open the next factor.
+    """
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_start) != 1)])) if len(starts) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([opens, [len(starts)]])) + PHRASE - 1
-    factors = [{"start": int(s), "length": int(k), "ref_doc": int(d), "ref_start": int(r)} for s, k, d, r in zip(starts[opens], length, ref_doc[opens], ref_start[opens], strict=True)]
-    return n, int(n - kept.sum()), hashlib.sha256(b" ".join([w for w, k in zip(words, kept.tolist(), strict=True) if k])).hexdigest(), factors
+    return starts[opens], length, ref_doc[opens], ref_start[opens]
+
+
+def _finish(words: list[bytes], starts: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray) -> tuple:
+    """n_words, n_removed, digest of what is left, and the factors: the words that factors cover are removed."""
+    found = _parse(starts, ref_doc, ref_start)
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, found[0], 1)
+    np.add.at(change, found[0] + found[1], -1)
+    kept = np.cumsum(change)[:-1] == 0
+    factors = [{"start": int(s), "length": int(k), "ref_doc": int(d), "ref_start": int(r)} for s, k, d, r in zip(*found, strict=True)]
+    return len(words), int(len(words) - kept.sum()), hashlib.sha256(b" ".join([w for w, k in zip(words, kept.tolist(), strict=True) if k])).hexdigest(), factors
 
 
 def _spread(first: np.ndarray, count: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,10 +251,17 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     A word is removed if a phrase of 20 words that covers it also starts earlier in the corpus; factors tell where. Words are
     runs of characters other than ASCII white space; kept words are joined by one space. Null, empty and shorter texts lose
-    nothing. Rows without doc_id lose nothing and are no reference. Rows that repeat a doc_id stand for one document, are not
-    duplicates of each other and must hold one text. Other columns are left aside; an empty table gives an empty table.
+    nothing. Rows without doc_id lose nothing and are no reference. Rows that repeat a doc_id with the same text stand for one
+    document and are not duplicates of each other; if a doc_id has several texts, the one of the least hash is its document, and
+    the others are treated as rows without doc_id. Other columns are left aside; an empty table gives an empty table.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    key = F.xxhash64("text")
+    told = base.where("doc_id is not null and text is not null").select("doc_id", key.alias("key"))
+    several = written(told.groupBy("doc_id").agg(F.min("key").alias("own"), F.max("key").alias("last")).where("own <> last").select("doc_id", "own"), "several")
+    # ids that other texts share are few, so this is a broadcast; their other texts go through without id
+    other = base.join(several, "doc_id", "left").select("doc_id", "text", (key != F.col("own")).alias("other"))
+    base = other.select(F.when(~F.coalesce("other", F.lit(False)), F.col("doc_id")).alias("doc_id"), "text", F.col("doc_id").alias("shown"))
     named = base.where("doc_id is not null and text is not null")
     anchors = named.mapInPandas(_anchor_rows, "anchor long, stretch long, doc long, first int, count int")
     again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
@@ -263,8 +277,8 @@ def factored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     later = place != F.col("at")
     runs = told.select("doc", F.struct("first", "count", F.when(later, F.col("at.doc")).otherwise(F.lit(-1)).alias("ref_doc"), F.when(later, F.col("at.first")).otherwise(F.lit(-1)).alias("ref_first")).alias("run"))
     runs = runs.groupBy("doc").agg(F.collect_list("run").alias("runs")).select("doc", F.col("runs.first").alias("firsts"), F.col("runs.count").alias("counts"), F.col("runs.ref_doc").alias("ref_docs"), F.col("runs.ref_first").alias("ref_firsts"))
-    packed = base.mapInPandas(_packed_rows, "doc_id long, packed binary")
-    judged = packed.join(runs, packed["doc_id"] == runs["doc"], "left").select("doc_id", "packed", "firsts", "counts", "ref_docs", "ref_firsts")
+    packed = base.mapInPandas(_packed_rows, "doc_id long, shown long, packed binary")
+    judged = packed.join(runs, packed["doc_id"] == runs["doc"], "left").select(F.col("shown").alias("doc_id"), "packed", "firsts", "counts", "ref_docs", "ref_firsts")
     judged = written(judged.mapInPandas(_judge_rows, _OPEN), "judged")
     undone = judged.where("open_starts is not null")
     phrases = undone.select("doc_id", F.explode(F.arrays_zip("open_starts", "open_x", "open_y")).alias("p")).select("doc_id", F.col("p.open_starts").alias("start"), F.col("p.open_x").alias("x"), F.col("p.open_y").alias("y"))
