@@ -125,6 +125,10 @@ def test_line_dedup(spark):
     assert out[21] == [("menu\nother 1", 2, 0)]
     assert out[30] == [(None, 0, 0)] and out[31] == [("", 1, 0)] and out[32] == [("x\n" * 20_000, 20_001, 0)] and out[40] == [("menu\nq", 2, 0)]
     assert len(out[0]) == 2
+    clashing = docs(spark, rows).withColumns({c: F.lit(c) for c in ("_bad", "_host", "_kept", "row", "bad", "pages")})
+    again = lines.drop_boilerplate(clashing).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["n_dropped"]) for r in again) == sorted((k, t or "", n) for k, v in out.items() for t, _, n in v)
+    assert all(r["_bad"] == "_bad" and r["row"] == "row" and r["pages"] == "pages" for r in again)
     assert lines.drop_boilerplate(docs(spark, [])).count() == 0
     plan = lines.drop_boilerplate(docs(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
@@ -297,11 +301,11 @@ def test_mined_rules(spark):
 def test_warc_round_trip(spark, tmp_path):
     big = "é<p>" * 400_000
     html = ["x" * 100, "x" * 100, "x" * 99, "x" * 99, None, "", big, big, "a\r\n\r\nWARC/1.1\r\n" * 20]
-    pages = spark.createDataFrame([(10 - i, f"http://h/{i}\nq" if i % 2 else None, h, "z") for i, h in enumerate(html)] + [(None, "u", "h", "z")], "page_id long, url string, html string, record_type string")
+    pages = spark.createDataFrame([(10 - i, f"http://h/{i}\nq" if i % 2 else None, h, "z") for i, h in enumerate(html)] + [(None, "u", "h", "z"), (None, None, html[0], "z"), (None, None, "q" * 200, "z"), (None, None, "q" * 200, "z")], "page_id long, url string, html string, record_type string")
     paths = warc.archive(pages)
     chunks = warc.read_archives(paths).collect()
     bodies = {}
-    for c in sorted(chunks, key=lambda c: (c["page_id"], c["chunk_no"])):
+    for c in sorted((c for c in chunks if c["page_id"] is not None), key=lambda c: (c["page_id"], c["chunk_no"])):
         bodies.setdefault(c["page_id"], []).append(c)
     for i, h in enumerate(html):
         rows, raw = bodies[10 - i], (h or "").encode()
@@ -310,7 +314,8 @@ def test_warc_round_trip(spark, tmp_path):
             assert b"".join(bytes(r["payload"]) for r in rows) == raw and len(rows) == max(1, -(-len(raw) // warc.CHUNK_BYTES))
             for r in rows:
                 assert r["digest_upto"] == hashlib.sha256(raw[: r["payload_upto"]]).hexdigest()
-    got = {r["page_id"]: tuple(r)[1:] for r in warc.round_trip(pages).collect()}
+    rows = warc.round_trip(pages).collect()
+    got = {r["page_id"]: tuple(r)[1:] for r in rows if r["page_id"] is not None}
     first = {}
     for i, h in sorted(enumerate(html), key=lambda x: 10 - x[0]):
         first.setdefault((h or "").encode(), 10 - i)
@@ -319,6 +324,10 @@ def test_warc_round_trip(spark, tmp_path):
         kept = first[raw] if len(raw) >= 100 else 10 - i
         assert got[10 - i] == (len(raw), hashlib.sha256(raw).hexdigest(), "response" if kept == 10 - i else "revisit", None if kept == 10 - i else kept)
     assert len(got) == len(html)
+    # pages without id become records too
+    without = sorted((r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows if r["page_id"] is None)
+    assert without == [(1, "response", None), (100, "revisit", 9), (200, "response", None), (200, "response", None)]
+    assert len({c["record_id"] for c in chunks}) == len(rows)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
