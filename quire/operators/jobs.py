@@ -176,7 +176,8 @@ def quality_score(papers: DataFrame) -> DataFrame:
         return F.array_join(F.transform(hit, lambda x: x["c"]), " ")
 
     abstract = F.lower(F.coalesce("abstract", F.lit("")))
-    p = papers.withColumn("_s", low).withColumns({"_reproducibility": text(None), "_problem": F.concat(abstract, F.lit(" "), text("introduction|problem|motivation")), "_innovation": F.concat(abstract, F.lit(" "), text(None)), "_experiments": text("experiment|result|evaluation|analysis")})
+    p = papers.withColumn("_s", low).withColumns({"_reproducibility": text(None), "_problem": F.concat(abstract, F.lit(" "), text("introduction|problem|motivation")), "_experiments": text("experiment|result|evaluation|analysis"), "_heads": F.array_join(F.transform("_s", lambda x: x["h"]), "\n")})
+    p = p.withColumn("_innovation", F.concat(abstract, F.lit(" "), "_reproducibility"))  # the whole body is put together once
 
     def points(dim: str) -> Column:
         out = F.lit(0)
@@ -188,7 +189,7 @@ def quality_score(papers: DataFrame) -> DataFrame:
     n, levels = F.size(s), F.size(F.array_distinct(F.transform(s, lambda x: x["level"])))
     found = F.lit(0)
     for k in KEY_SECTIONS:
-        found = found + F.array_join(F.transform("_s", lambda x: x["h"]), "\n").contains(k).cast("int")
+        found = found + F.col("_heads").contains(k).cast("int")
     structure = F.when(n >= 5, 4).when(n >= 3, 3).when(n >= 1, 2).otherwise(0) + found + F.when(levels >= 2, 2).when((levels == 1) & (n > 3), 1).otherwise(0)
     c = F.col("n_citations")
     full = ((F.coalesce("title", F.lit("")) != "").cast("int") + (F.coalesce("n_authors", F.lit(0)) > 0).cast("int") + F.col("year").isNotNull().cast("int") + (F.coalesce("venue", F.lit("")) != "").cast("int") + (F.length(abstract) > 50).cast("int")) * 2
@@ -198,7 +199,7 @@ def quality_score(papers: DataFrame) -> DataFrame:
     grade = F.lit("F")
     for g, least in reversed(GRADES):
         grade = F.when(F.col("total") / 70 >= least, F.lit(g)).otherwise(grade)
-    return out.withColumn("total", total).withColumn("grade", grade).drop("_s", "_reproducibility", "_problem", "_innovation", "_experiments")
+    return out.withColumn("total", total).withColumn("grade", grade).drop("_s", "_heads", "_reproducibility", "_problem", "_innovation", "_experiments")
 
 
 def classify(papers: DataFrame, taxonomy: list[tuple[str, str, str]], hints: dict[str, str] | None = None) -> DataFrame:
