@@ -133,6 +133,58 @@ def grade_structure(pages: DataFrame, least_paragraphs: int = 10, most_errors: i
     return p.withColumns({"reasons": reasons, "tier": F.when(F.size(hard) > 0, "failed").when(F.size(soft) > 0, "degraded").otherwise("clean")})
 
 
+STRUCTURE = "doc_id long, valid boolean, title string, has_abstract boolean, abstract_chars int, creators int, sections int, paragraphs int, body_chars int, figures int, tables int, maths int, has_bibliography boolean, bibitems int"
+#: Elements that are sections of a structured document. Fixed values.
+SECTION_KINDS = ("part", "chapter", "section", "subsection", "subsubsection", "appendix")
+
+
+def structure_stats(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """Counts of each structured XML document from one parse of it; namespaces do not matter. A document that is no XML has valid = false and zeros."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xml.etree.ElementTree as ET
+
+        for p in parts:
+            rows = []
+            for k, text in zip(p["doc_id"], p["xml"], strict=True):
+                try:
+                    root = ET.fromstring(text or "")
+                except ET.ParseError:
+                    rows.append((k, False, "", False, 0, 0, 0, 0, 0, 0, 0, 0, False, 0))
+                    continue
+                held = {}
+                for e in root.iter():
+                    held.setdefault(str(e.tag).rpartition("}")[2], []).append(e)
+                n = lambda *names: sum(len(held.get(x, ())) for x in names)
+                plain = lambda e: " ".join("".join(e.itertext()).split()) if e is not None else ""
+                title = next((e for e in root if str(e.tag).rpartition("}")[2] == "title"), None)
+                abstract = held.get("abstract", [None])[0]
+                rows.append((k, True, plain(title), abstract is not None, len(plain(abstract)), n("creator"), n(*SECTION_KINDS), n("para"), len(plain(root)), n("figure"), n("table"), n("Math"), n("bibliography") > 0, n("bibitem")))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in STRUCTURE.split(", ")])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(xml).alias("xml")).mapInPandas(parse, STRUCTURE)
+
+
+def grade_documents(docs: DataFrame, least_paragraphs: int = 10, most_errors: int = 50) -> DataFrame:
+    """docs(doc_id, xml, log) -> their structure with tier clean, degraded or failed, the reasons, and the log's errors and warnings.
+
+    No XML, title, sections or too few paragraphs fail a document; a fatal log, many errors, a bibliography without items, no abstract or a
+    supplement's title degrade it.
+    """
+    logs = docs.select("doc_id", F.regexp_count(F.coalesce("log", F.lit("")), F.lit("(?m)^Error:")).alias("errors"), F.regexp_count(F.coalesce("log", F.lit("")), F.lit("(?m)^Warning:")).alias("warnings"), F.contains(F.coalesce("log", F.lit("")), F.lit("Fatal:")).alias("fatal"))
+    p = structure_stats(docs).join(logs, "doc_id")
+
+    def of(*rules: tuple[Column, str]) -> Column:
+        return F.filter(F.array(*[F.when(c, r) for c, r in rules]), lambda x: x.isNotNull())
+
+    hard = F.when(~F.col("valid"), F.array(F.lit("invalid_xml"))).otherwise(of((F.col("title") == "", "no_title"), (F.col("sections") == 0, "no_sections"), (F.col("paragraphs") < least_paragraphs, "too_few_paragraphs")))
+    soft = of((F.col("fatal"), "fatal"), (F.col("errors") > most_errors, f"errors_gt_{most_errors}"), (F.col("has_bibliography") & (F.col("bibitems") == 0), "bib_lost"), (~F.col("has_abstract"), "abstract_lost"), (F.startswith(F.lower("title"), F.lit("supplementary")), "title_supplement"))
+    p = p.withColumns({"hard": hard, "soft": soft})
+    failed = F.size("hard") > 0
+    tier = F.when(failed, "failed").when(F.size("soft") > 0, "degraded").otherwise("clean")
+    return p.withColumns({"tier": tier, "reasons": F.when(failed, F.col("hard")).otherwise(F.col("soft"))}).drop("hard", "soft", "fatal")
+
+
 def ingest_status(graded: DataFrame) -> DataFrame:
     """Documents by tier and by reason."""
     tiers = graded.groupBy(F.concat(F.lit("tier:"), "tier").alias("what")).agg(F.count("*").alias("n"))

@@ -83,6 +83,29 @@ def job6(spark, d):
     return J.grade_structure(_t(spark, d, "pages")).select("page_id", "tier", F.array_join("reasons", ";").alias("reasons"))
 
 
+# Documents as structured XML: sections of five lines, with a title, abstract, bibliography and log by rules on the id.
+_DOCX = f"""{V.NODES}, c AS (SELECT doc_id, count(*) AS lines, max(pos // 5) + 1 AS sections FROM nodes GROUP BY 1),
+g AS (SELECT doc_id, sections::INT AS sections, lines::INT AS paragraphs, (CASE WHEN doc_id % 7 = 0 THEN 60 ELSE doc_id % 3 END)::INT AS errors,
+CASE WHEN doc_id % 29 = 0 THEN ['invalid_xml'] ELSE list_filter([CASE WHEN doc_id % 13 = 0 THEN 'no_title' END, CASE WHEN lines < 10 THEN 'too_few_paragraphs' END], lambda x: x IS NOT NULL) END AS hard,
+list_filter([CASE WHEN doc_id % 11 = 0 THEN 'fatal' END, CASE WHEN doc_id % 7 = 0 THEN 'errors_gt_50' END, CASE WHEN doc_id % 2 = 0 AND doc_id % 4 <> 0 THEN 'bib_lost' END, CASE WHEN doc_id % 5 = 0 THEN 'abstract_lost' END, CASE WHEN doc_id % 17 = 0 THEN 'title_supplement' END], lambda x: x IS NOT NULL) AS soft FROM c)"""
+
+
+@query("job6_grade_documents", f"WITH {_DOCX} SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 0 ELSE sections END::INT AS sections, CASE WHEN doc_id % 29 = 0 THEN 0 ELSE paragraphs END::INT AS paragraphs, errors, CASE WHEN len(hard) > 0 THEN 'failed' WHEN len(soft) > 0 THEN 'degraded' ELSE 'clean' END AS tier, array_to_string(CASE WHEN len(hard) > 0 THEN hard ELSE soft END, ';') AS reasons FROM g")
+def job6_documents(spark, d):
+    k = F.col("doc_id")
+    lines = F.split("text", "\n", -1)
+    paras = F.transform(lines, lambda x: F.concat(F.lit("<para>"), F.regexp_replace(x, r"[^A-Za-z0-9 ]", " "), F.lit("</para>")))
+    sections = T.once(paras, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 5).cast("int")), lambda i: F.concat(F.lit("<section>"), F.array_join(F.slice(p, i * 5 + 1, F.lit(5)), ""), F.lit("</section>"))))
+    title = F.when(k % 13 == 0, "").when(k % 17 == 0, "<title>Supplementary &amp; more</title>").otherwise("<title>On <b>things</b></title>")
+    abstract = F.when(k % 5 == 0, "").otherwise("<abstract>short</abstract>")
+    refs = F.when(k % 4 == 0, "<bibliography><bibitem/></bibliography>").when(k % 2 == 0, "<bibliography/>").otherwise("")
+    end = F.when(k % 29 == 0, "</doc>").otherwise("</document>")
+    xml = F.concat(F.lit('<document xmlns="urn:x">'), title, abstract, F.array_join(sections, ""), refs, end)
+    log = F.concat(F.when(k % 11 == 0, "Fatal: stop\n").otherwise("ok\n"), F.repeat(F.lit("Error: bad\n"), F.when(k % 7 == 0, 60).otherwise(k % 3).cast("int")), F.lit("Warning: w"))
+    found = J.grade_documents(_t(spark, d, "documents").select(k, xml.alias("xml"), log.alias("log")))
+    return found.select("doc_id", "sections", "paragraphs", "errors", "tier", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query("agg11_ingest_status", f"WITH {_GRADE} SELECT 'tier:' || tier AS what, count(*) AS n FROM g GROUP BY 1 UNION ALL SELECT 'reason:' || r, count(*) FROM (SELECT unnest(reasons) AS r FROM g) GROUP BY 1")
 def agg11(spark, d):
     return J.ingest_status(J.grade_structure(_t(spark, d, "pages")))
