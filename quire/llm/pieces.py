@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
-CACHE_CELLS, TOGETHER, LONGEST = 120_000, 400_000, 32
+CACHE_CELLS, TOGETHER, LONGEST = 40_000, 200_000, 32
 UNKNOWN_COST = 10.0
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
