@@ -15,10 +15,11 @@ PARTS = "page_id long, kind string, ordinal int, parent int, tag string, text st
 
 
 def project_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html) -> rows of kinds section, node, link and cell, from one parse of each page.
+    """pages(page_id, html) -> rows of kinds section, node, link, cell, math, cite and reference, from one parse of each page.
 
-    ordinal counts a page's rows in document order; parent is the ordinal of the section (nodes, cells) or node (links) it is in.
-    Unclosed tags end where the next block begins. Broken markup never fails a page.
+    ordinal counts a page's rows in document order; parent is the ordinal of the section (nodes, cells) or node (links, math, cites) it is in.
+    target is a link's address, a formula's TeX, the ids that a cite names, or a reference's key. In texts formulas stand as `$tex$`
+    and cites as `[ids]`. Unclosed tags end where the next block begins. Broken markup never fails a page.
     """
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,6 +49,17 @@ def page_rows(page: int, html: str) -> list[tuple]:
         def handle_starttag(self, tag, attrs):
             if tag in ("script", "style"):
                 self.quiet += 1
+            elif tag == "math":
+                tex = dict(attrs).get("tex") or dict(attrs).get("alttext") or ""
+                self.add("math", self.node and self.node[2], tag, tex)
+                self.handle_data(f"${tex}$")
+                self.quiet += 1
+            elif tag in ("bibref", "ref"):
+                ids = next((v for k, v in attrs if k in ("bibrefs", "labelref", "idref") and v), "")
+                self.add("cite", self.node and self.node[2], tag, ids)
+                self.handle_data(f"[{ids}]")
+            elif tag == "bibitem":
+                self.node = self.add("reference", None, tag, next((v for k, v in attrs if k in ("key", "xml:id", "id") and v), None))
             elif tag in ("h1", "h2", "h3", "h4", "title"):
                 self.node = self.section = self.add("section", None, tag)
             elif tag in ("p", "li", "blockquote", "pre"):
@@ -63,9 +75,9 @@ def page_rows(page: int, html: str) -> list[tuple]:
                 self.node = self.add("cell", self.section and self.section[2], tag, None, self.line, self.column)
 
         def handle_endtag(self, tag):
-            if tag in ("script", "style"):
+            if tag in ("script", "style", "math"):
                 self.quiet = max(0, self.quiet - 1)
-            elif tag in ("p", "li", "blockquote", "pre", "td", "th", "h1", "h2", "h3", "h4", "title"):
+            elif tag in ("p", "li", "blockquote", "pre", "td", "th", "h1", "h2", "h3", "h4", "title", "bibitem"):
                 self.node = None
 
         def handle_data(self, data):

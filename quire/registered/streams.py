@@ -140,7 +140,7 @@ def snk7(spark, d):
 @query("job1_text_rows", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:h1|h2|h3|h4|title|p|li|blockquote|pre|td|th)[ >]')) FROM pages) GROUP BY 1")
 def job1_rows(spark, d):
     """The parser's text rows, counted: each block tag gives one."""
-    return J.project_pages(table(spark, d, "pages")).where(F.col("kind") != "link").groupBy("page_id").agg(F.count("*").alias("n"))
+    return J.project_pages(table(spark, d, "pages")).where(F.col("kind").isin("section", "node", "cell")).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 # ---- sources that read one document a file: suppliers become small files ----------------------------------------

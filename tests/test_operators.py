@@ -92,6 +92,9 @@ def test_page_rows():
     assert [(r[7], r[8]) for r in rows if r[1] == "cell"] == [(0, 0), (0, 1), (1, 0)]
     assert rows[3][3] == rows[2][2] and rows[3][6] == "/x"
     assert J.page_rows(1, "<<<>&#x; <p") is not None
+    rows = J.page_rows(8, '<section><title>S</title><p>as <Math tex="x^2"><mi>x</mi></Math> in <cite><bibref bibrefs="a,b"/></cite> and <ref labelref="eq1"/>.</p><bibliography><bibitem key="a">A. Lee, <i>Title</i></bibitem></bibliography></section>')
+    assert [(r[1], r[5], r[6]) for r in rows] == [("section", "S", None), ("node", "as $x^2$ in [a,b] and [eq1].", None), ("math", "", "x^2"), ("cite", "", "a,b"), ("cite", "", "eq1"), ("reference", "A. Lee, Title", "a")]
+    assert [r[3] for r in rows if r[1] in ("math", "cite")] == [1, 1, 1]
 
 
 def test_lexical_forms(spark):
