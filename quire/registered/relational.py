@@ -75,6 +75,12 @@ def flt8(spark, d):
     return R.sections_by_roles(_with_roles(spark, d), ["method", "limitations"], _t(spark, d, "labels").where("quality = 1")).select("doc_id", "ordinal", "role")
 
 
+@query("ret7_gap_evidence", f"WITH {V.SECTIONS} SELECT doc_id, ordinal, (['method', 'limitations', 'conclusion'])[ordinal % 3 + 1] AS role FROM sections WHERE ordinal % 3 > 0")
+def ret7_gaps(spark, d):
+    roles = F.array(*map(F.lit, ("method", "limitations", "conclusion")))
+    return R.gap_evidence(V.sections(spark, d).withColumn("role", F.get(roles, F.col("ordinal") % 3))).select("doc_id", "ordinal", "role")
+
+
 @query("flt9_audit_range", f"WITH {V.AUDIT} SELECT event_id FROM audit WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-10' AND tenant = 3")
 def flt9(spark, d):
     return P.audit_range(V.audit(spark, d), "2024-01-03", "2024-01-10", 3).select("event_id")
@@ -202,7 +208,7 @@ def j10(spark, d):
 
 @query("j10_resolve_refs_partial")
 def j10_partial(spark, d):
-    """Names against the first eleven characters of other forms: only the second step finds them."""
+    """Names, every other one with a word more, against longer titles: the second step finds names that are part of a title."""
     p, k = _t(spark, d, "part"), F.col("p_partkey")
     refs = p.select(k.alias("ref_id"), F.concat_ws(" ", "p_name", F.when(k % 2 == 0, F.lit("study"))).alias("title"))
     return M.resolve_refs_fuzzy(refs, p.select(k.alias("work"), F.concat_ws(" ", F.lit("on"), "p_name", "p_brand").alias("title")))
