@@ -21,5 +21,12 @@ def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> S
     return spark
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most so many rows in a batch between Spark and its Python workers from now on: texts are long, and a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
