@@ -14,6 +14,8 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quire.plans.session import small_batches
+
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Bytes of a language's dictionary at most, labelled texts sampled for it at most, characters of a piece of such a text, and languages at most.
@@ -104,6 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     nothing was learned). accepted is false for `und` and where the margin is below `margin`. Ties go to
     the first language by name. Null values in other columns, repeated rows and empty tables pass through.
     """
+    small_batches(docs.sparkSession)
     marked = docs.withColumn("_found", predicted(F.col(text), dictionaries))
     return marked.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).drop("_found")
 

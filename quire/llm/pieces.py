@@ -24,10 +24,12 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.plans.session import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
-CACHE_CELLS, TOGETHER, LONGEST = 40_000, 200_000, 32
+CACHE_CELLS, TOGETHER, LONGEST = 120_000, 400_000, 32
 UNKNOWN_COST = 10.0
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -297,6 +299,7 @@ def encode(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL,
                     rows[k] = (best if ids else None, nbest, units.decode(best.tolist()) == some[k].replace(SPACE, " "))
                 yield pd.DataFrame(rows, columns=["ids", "nbest", "round_trip"])
 
+    small_batches(docs.sparkSession)
     return docs.select(*keep, of(F.col(text)).alias("_e")).select(*keep, "_e.ids", "_e.nbest", "_e.round_trip")
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.llm import resemblance
 from quire.llm.components import components
 from quire.plans.materialize import written
+from quire.plans.session import small_batches
 
 #: Generator polynomial of the binary Golay code [23, 12, 7]: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1. A fixed value.
 GENERATOR = 0b110001110101
@@ -144,6 +145,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows each give a row. Other columns of docs are left aside; an empty table gives an empty table.
     Equal fingerprints are one class before keys are made, so copies never meet in pairs.
     """
+    small_batches(docs.sparkSession)
     marked = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprints(F.col(text), shingle).alias("print")), "prints")
     classes = written(marked.groupBy("print").agg(F.min("doc_id").alias("first")), "classes")
     named = classes.where("first is not null")
@@ -161,6 +163,7 @@ def resembling(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     make the links complete; every link is verified on whole sets. text_key is the XXH64 of the text. Null and word-free texts are one class. Null doc_ids and repeated rows
     stay as they are; other columns are left aside. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("text_key"))
     often, hits = resemblance.frequent(texts)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), resemblance.marks(F.col(text).cast("string"), often, hits, least).alias("m"))
