@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import ann, binary, factors, langid, lines, mixing, pieces, simhash, urls, warc
+from quire.llm import ann, binary, bpe, factors, langid, lines, mixing, pieces, simhash, urls, warc
 from quire.plans.session import table
 
 
@@ -57,5 +57,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_substrings": op9_substrings, "op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op13_bpe": op13_bpe, "op9_substrings": op9_substrings, "op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
 ORACLE = {"op9_substrings": factors.SQL, "op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
