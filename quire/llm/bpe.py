@@ -290,7 +290,8 @@ def encode(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", model
     library; a text of any length is encoded whole. Repeated rows give a row each; other columns are left aside; an empty table
     gives an empty table. `ids` and `decoded` must not be among `keep`.
     """
-    some = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    # numbered names, as names with dots do not pass through mapInArrow
+    some = docs.select(*[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("_text"))
     schema = T.StructType([*some.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +307,7 @@ def encode(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", model
                 at += len(run)
                 yield pa.RecordBatch.from_arrays([*held, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
-    return some.mapInArrow(of, schema)
+    return some.mapInArrow(of, schema).select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "ids", "decoded")
 
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
