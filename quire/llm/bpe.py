@@ -17,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -312,8 +313,6 @@ def encode(docs: DataFrame, keep: tuple = ("doc_id",), text: str = "text", model
 
 def decoded(ids: Column, model: str = MODEL) -> Column:
     """The text of a column of id arrays (null: null)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         units = codec(model)
