@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import ann, binary, bpe, factors, langid, lines, mixing, pieces, runs, simhash, urls, warc
+from quire.llm import ann, binary, bpe, factors, langid, lines, mixing, negatives, pieces, runs, simhash, urls, warc
 from quire.plans.session import table
 
 
@@ -76,10 +76,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "most.start", "most.length", "most.period", F.expr("most.length * 1000 div most.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    sound = F.col("label").isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").where(sound).select("vec_id", label.alias("label"), F.transform(x, lambda c: F.floor(256 * c)).alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op11_periodic_runs": op11_periodic_runs, "op13_bpe": op13_bpe, "op9_substrings": op9_substrings, "op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
-ORACLE = {"op9_substrings": factors.SQL, "op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
+QUERIES = {"op12_hard_negatives": op12_hard_negatives, "op11_periodic_runs": op11_periodic_runs, "op13_bpe": op13_bpe, "op9_substrings": op9_substrings, "op2_hamming_topk": op2_hamming_topk, "op5_nearest": op5_nearest, "op4_url_filter": op4_url_filter, "op10_warc": op10_warc, "op1_sentencepiece": op1_sentencepiece, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op7_line_dedup": op7_line_dedup, "op8_langid": op8_langid}
+ORACLE = {"op12_hard_negatives": negatives.SQL, "op9_substrings": factors.SQL, "op2_hamming_topk": binary.SQL, "op7_line_dedup": lines.SQL, "op10_warc": warc.SQL}
