@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import negatives, queries
 from tests.compare import duck_rows, rows_of
@@ -47,11 +48,11 @@ def test_nulls_and_empty_tables(spark):
     schema = "vec_id long, label int, vector array<long>"
     rows = [(0, 1, [3, 4]), (1, 1, [3, 3]), (2, 2, [3, 2]), (3, None, [3, 3]), (None, 2, [3, 3]), (4, 2, None), (5, 2, [1, None]), (6, 2, [3, 3, 3]), (7, 2, []), (8, 1, [-9, -9])]
     table = spark.createDataFrame(rows, schema)
-    asks = table["vec_id"] == 0
+    asks = F.col("vec_id") == 0
     assert [tuple(r) for r in negatives.hard_negatives(table, asks, low=85).collect()] == []  # 17 is below 85 % of 21
     assert [tuple(r) for r in negatives.hard_negatives(table, asks).collect()] == [(0, 1, 1, 2, 21, 17)]
     assert negatives.hard_negatives(table.limit(0), asks).count() == 0
-    assert negatives.hard_negatives(table, table["vec_id"] == 99).count() == 0
+    assert negatives.hard_negatives(table, F.col("vec_id") == 99).count() == 0
     with pytest.raises(ValueError):
         negatives.hard_negatives(spark.createDataFrame([(0, 1, [2**40, 1])], schema), asks)
 
