@@ -111,21 +111,27 @@ def chunked(nodes: DataFrame, most: int = 4000) -> DataFrame:
     return out.withColumn("ordinal", F.row_number().over(order) - 1).withColumns({"content_sha256": F.sha2("content", 256), "tokens": T.token_estimate(F.col("content"))}).drop("n")
 
 
-def chunk_eligible(nodes: DataFrame, depth: int = 32) -> DataFrame:
+def chunk_eligible(nodes: DataFrame) -> DataFrame:
     """nodes(doc_id, node, parent, kind) -> the ones that chunks are made of: paragraphs and equations outside p, table and figure; tables,
-    figures and formulas; theorems and proofs without children. Ancestors are found by joining one level a round."""
-    inside = ("p", "table", "figure")
-    up = nodes.select("doc_id", F.col("node").alias("above"), F.col("kind").alias("above_kind"), F.col("parent").alias("next"))
-    walk = written(nodes.where(F.col("kind").isin("p", "equation", "equationgroup") & F.col("parent").isNotNull()).select("doc_id", "node", F.col("parent").alias("above")), "walk")
-    held = []
-    for _ in range(depth):
-        met = written(walk.join(up, ["doc_id", "above"]), "walk")
-        held.append(met.where(F.col("above_kind").isin(*inside)).select("doc_id", "node"))
-        walk = met.where(~F.col("above_kind").isin(*inside) & F.col("next").isNotNull()).select("doc_id", "node", F.col("next").alias("above"))
-        if walk.isEmpty():
+    figures and formulas; theorems and proofs without children. A node's ancestors are looked through twice as far every round, so
+    any depth takes its logarithm in joins; parents that form a circle are an error."""
+    inside = F.col("kind").isin("p", "table", "figure")
+    up = nodes.select("doc_id", F.col("node").alias("above"), inside.alias("hit"))
+    # bound: whether an ancestor below `above` holds the node; above: the next to look at, from where 2^round more are known
+    walk = nodes.where("parent is not null").select("doc_id", "node", F.col("parent").alias("above")).join(up, ["doc_id", "above"]).select("doc_id", "node", "above", F.col("hit").alias("bound"))
+    walk = written(walk, "walk")
+    for turn in range(64):
+        further = walk.select("doc_id", F.col("node").alias("above"), F.col("above").alias("next"), F.col("bound").alias("more"))
+        joined = walk.where("not bound and above is not null").join(further, ["doc_id", "above"], "left")
+        fresh = joined.select("doc_id", "node", F.col("next").alias("above"), F.coalesce("more", F.lit(False)).alias("bound"))
+        if fresh.where("above is not null and not bound").isEmpty():
+            walk = fresh.unionByName(walk.where("bound or above is null"))
             break
-    bound = M.union_matches(*held)
-    parents = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct().withColumn("full", F.lit(True))
+        walk = written(fresh.unionByName(walk.where("bound or above is null")), "walk")
+    else:
+        raise ValueError("parents form a circle")
+    bound = walk.where("bound").select("doc_id", "node")
+    parents = nodes.where("parent is not null").select("doc_id", F.col("parent").alias("node")).distinct()
     free = nodes.where(F.col("kind").isin("p", "equation", "equationgroup")).join(bound, ["doc_id", "node"], "left_anti")
     plain = nodes.where(F.col("kind").isin("table", "figure", "formula"))
     childless = nodes.where(F.col("kind").isin("theorem", "proof")).join(parents, ["doc_id", "node"], "left_anti")
