@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch at most, and the setting's name.
+BATCH_BYTES, BATCHES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 SETTINGS = {
+    BATCHES: str(BATCH_BYTES),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -21,11 +25,15 @@ def local_session(cpus: str = "*", memory: str = "8g", partitions: int = 8) -> S
     return spark
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """At most so many rows in a batch between Spark and its Python workers from now on: texts are long, and a batch is held whole on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """A batch between Spark and its Python workers holds at most BATCH_BYTES, however long its texts are, as a batch is held whole on both sides.
+
+    `local_session` has this setting; a session of another making that allows more gets it from here on.
+    """
+    size = str(spark.conf.get(BATCHES, "64m")).lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(size[-1:], 1)
+    if not 0 < int(size.rstrip("kmg") or 0) * unit <= BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
