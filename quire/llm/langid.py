@@ -107,8 +107,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     the first language by name. Null values in other columns, repeated rows and empty tables pass through.
     """
     small_batches(docs.sparkSession)
-    marked = docs.withColumn("_found", predicted(F.col(text), dictionaries))
-    return marked.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).drop("_found")
+    taken, name = {c.lower() for c in docs.columns}, "_found"
+    while name in taken:
+        name += "_"
+    marked = docs.withColumn(name, predicted(F.col(f"`{text}`"), dictionaries))
+    return marked.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= margin)).drop(name)
 
 
 def fold(doc_id: Column) -> Column:

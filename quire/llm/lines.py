@@ -43,7 +43,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     # a table of known size: Spark sees whether it can be sent to the texts instead of moving them
     marks = written(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host).alias("site"), F.col(text).alias("body"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).alias("site"), F.col(text).alias("body"))
     joined = rows.join(marks, rows["site"].eqNullSafe(marks["host"]), "left")
     bad = F.coalesce("bad", F.array().cast("array<struct<x:bigint,y:bigint>>"))
     kept = F.filter(_lines(F.col("body")), lambda x: (F.trim(x) == "") | ~F.array_contains(bad, _key(x)))

@@ -136,10 +136,10 @@ def times(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     _, read = mix(docs, doc_id, source, text, block)
     passes = read.groupBy("doc_id", "key", "source", "size", "copy", "copies", "pass").agg(F.sum("n").alias("n")).where(F.col("n") * 2 >= F.col("size"))
     sums = passes.groupBy("doc_id", "key", "source", "copies").agg(F.count("*").alias("times"))
-    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text).cast("string")).alias("k"), F.col(source).alias("s"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("d"), F.xxhash64(F.col(text).cast("string")).alias("k"), F.col(source).alias("s"))
     met = row.join(sums, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key")) & F.col("s").eqNullSafe(F.col("source"))).select("row", "d", "k", "s", "times", "copies")
     alone, several = met.where("copies = 1"), met.where("copies > 1")
-    nth = F.row_number().over(W.partitionBy("d", "k", "s").orderBy(F.xxhash64("row")))
+    nth = F.row_number().over(W.partitionBy("d", "k", "s").orderBy(F.xxhash64(F.to_json("row"))))  # maps have no hash
     several = several.withColumn("nth", nth).withColumn("times", (F.floor(F.col("times") / F.col("copies")) + (F.col("nth") <= F.col("times") % F.col("copies")).cast("int")).cast("long"))
     both = alone.select("row", "times").unionByName(several.where("times > 0").select("row", "times"))
     return both.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("pass")).select("row.*")

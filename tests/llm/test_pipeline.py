@@ -147,3 +147,20 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tiny):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == df.columns
         out.collect()
+
+
+def test_stages_leave_every_other_column(spark, tiny):
+    """Columns named as the stages' own, with dots, and maps pass through all stages unchanged."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(40)
+    own = {"score": F.col("doc_id") + 7.0, "accepted": F.lit("x"), "n_lines": -F.col("doc_id"), "_found": F.lit("f"), "lang_pred": F.lit("p"), "row": F.lit("r"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "text_key": F.lit("t"), "kept": F.lit("z")}
+    wide = docs.withColumns(own).withColumn("a.b", F.lit("dot"))
+    wide = wide.unionByName(wide.limit(3)).unionByName(wide.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    out = wide
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, tiny)
+        assert out.columns == wide.columns
+    rows = out.collect()
+    assert len(rows) > 10
+    for r in rows:
+        k = r["m"]["k"]
+        assert (r["score"], r["accepted"], r["n_lines"], r["_found"], r["lang_pred"], r["row"], r["text_key"], r["kept"], r["a.b"]) == (k + 7.0, "x", -k, "f", "p", "r", "t", "z", "dot")
