@@ -11,6 +11,7 @@ from quire.queries import query
 from quire.registered import views as V
 from quire.sources import readers, sinks
 from quire.streaming import accounting as S
+from quire.streaming import quota as Q
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +54,29 @@ def st3(spark, d):
     return _drain(S.stream_leases(e.select("event_id", "ts", F.concat_ws("-", F.col("user_id"), F.floor(F.col("event_id") / 500)).alias("lease"), action.alias("action")), 86_400), "leases")
 
 
+# Windows of a day, leases of six hours; every tenth tenant is not limited. Per tenant one event after another, with the list of active leases.
+_QUOTA = """WITH RECURSIVE e AS (SELECT event_id, user_id % 10 AS tenant, user_id || '-' || event_id // 500 AS lease, epoch_us(ts) AS us, epoch_us(ts) - epoch_us(ts) % 86400000000 AS ws, CASE event_type WHEN 'signup' THEN 'refresh' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'reserve' END AS action, CASE WHEN user_id % 10 < 9 THEN 4 + user_id % 10 END AS lim, 1 + user_id % 3 AS conc, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT tenant, 0::BIGINT AS n, 0::BIGINT AS cur, 0::BIGINT AS used, []::STRUCT(l VARCHAR, w BIGINT, x BIGINT)[] AS ls, []::STRUCT(l VARCHAR, w BIGINT, x BIGINT)[] AS gone, NULL::BIGINT AS event_id, NULL::VARCHAR AS lease, NULL::VARCHAR AS result, NULL::BIGINT AS lim, 0::BIGINT AS us, 0::BIGINT AS ws FROM (SELECT DISTINCT tenant FROM e) UNION ALL
+SELECT tenant, n, greatest(cur, ws), used + (result = 'admitted')::BIGINT,
+CASE WHEN result = 'admitted' THEN list_append(live, {'l': lease, 'w': ws, 'x': us + 21600000000}) WHEN result = 'extended' THEN list_transform(live, lambda y: CASE WHEN y.l = lease THEN {'l': y.l, 'w': y.w, 'x': us + 21600000000} ELSE y END) WHEN result IN ('completed', 'failed') THEN list_filter(live, lambda y: y.l <> lease) ELSE live END,
+gone, event_id, lease, result, lim, us, ws
+FROM (SELECT *, CASE WHEN action = 'reserve' THEN CASE WHEN lim IS NULL THEN 'unlimited' WHEN has THEN 'ignored' WHEN used >= lim THEN 'request_limit_exceeded' WHEN len(list_filter(live, lambda y: y.w = ws)) >= conc THEN 'concurrency_limit_exceeded' ELSE 'admitted' END WHEN NOT has THEN 'ignored' WHEN action = 'refresh' THEN 'extended' WHEN action = 'complete' THEN 'completed' ELSE 'failed' END AS result
+FROM (SELECT *, len(list_filter(live, lambda y: y.l = lease)) > 0 AS has FROM (SELECT e.tenant, e.n, r.cur, CASE WHEN e.ws > r.cur THEN 0 ELSE r.used END AS used, list_filter(r.ls, lambda y: y.x > e.us) AS live, list_filter(r.ls, lambda y: y.x <= e.us) AS gone, e.event_id, e.lease, e.action, e.us, e.ws, e.lim, e.conc FROM r JOIN e ON e.tenant = r.tenant AND e.n = r.n + 1)))),
+final AS (SELECT tenant, arg_max(ls, n) AS ls FROM r GROUP BY 1)
+SELECT event_id, tenant, lease, result, CASE WHEN result IN ('admitted', 'request_limit_exceeded', 'concurrency_limit_exceeded') THEN greatest(0, lim - used)::INT END AS remaining, len(list_filter(ls, lambda y: y.w = ws))::INT AS active, CASE result WHEN 'request_limit_exceeded' THEN greatest(1, least(86400, ceil((ws + 86400000000 - us) / 1000000.0)))::INT WHEN 'concurrency_limit_exceeded' THEN 1 END AS retry_after FROM r WHERE n > 0
+UNION ALL SELECT NULL, tenant, g.l, 'expired', NULL, NULL, NULL FROM (SELECT tenant, unnest(gone) AS g FROM r)
+UNION ALL SELECT NULL, tenant, g.l, 'expired', NULL, NULL, NULL FROM (SELECT tenant, unnest(ls) AS g FROM final) WHERE g.x <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)"""
+
+
+@query("st2_stream_quota", _QUOTA)
+def st2_quota(spark, d):
+    e, t = _events(spark, d), F.col("tenant")
+    action = F.when(F.col("event_type") == "signup", "refresh").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("reserve")
+    limits = F.when(t < 9, 4 + t).cast("int"), (1 + F.col("user_id") % 3).cast("int")
+    asked = e.select("event_id", "ts", "tenant", F.concat_ws("-", F.col("user_id"), F.floor(F.col("event_id") / 500)).alias("lease"), action.alias("action"), limits[0].alias("request_limit"), limits[1].alias("concurrency_limit"))
+    return _drain(Q.stream_quota(asked, 86_400, 21_600), "quota")
+
+
 _CIRCUIT = """WITH RECURSIVE e AS (SELECT event_id, user_id % 10 AS backend, epoch_us(ts) AS us, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT backend, 0::BIGINT AS n, 0 AS failures, 0::BIGINT AS until, NULL::BIGINT AS event_id, '' AS state FROM (SELECT DISTINCT backend FROM e) UNION ALL
 SELECT backend, n, CASE WHEN st = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN st = 'open' THEN until WHEN ok THEN 0 WHEN failures + 1 >= 2 THEN us + 3600000000 ELSE until END, event_id, st
@@ -76,7 +100,7 @@ def st5(spark, d):
 def st6(spark, d):
     path = fresh_path(spark, "ingested")
     docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/[d]ocuments.parquet")
-    S.stream_ingest(docs, lambda x: x.select("doc_id", F.sha2("text", 256).alias("sha")), path, fresh_path(spark, "ingest-state")).awaitTermination()
+    S.stream_ingest(docs, lambda x: x.select("doc_id", "row_key", F.sha2("text", 256).alias("sha")), path, fresh_path(spark, "ingest-state")).awaitTermination()
     return spark.read.schema("doc_id long, sha string").parquet(path)
 
 

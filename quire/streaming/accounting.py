@@ -5,10 +5,11 @@ State is kept by key. Times are event times; events later than the watermark are
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -159,28 +160,48 @@ def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60
     return _stateful(events, "backend", late, step, timer, "event_id long, backend long, state string, allowed boolean", "failures int, until long")
 
 
-def stream_ingest(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """New documents -> enriched -> appended; ones that the target already holds are left out, so a batch that runs again adds nothing."""
+#: Folders that the rows of an ingest are dealt into by their key.
+BUCKETS = 64
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["doc_id"])
-        known = spark.read.parquet(path).select("doc_id") if _has_rows(spark, path) else None
-        if known is not None:
-            fresh = fresh.join(known, "doc_id", "left_anti")
-        enrich(fresh).write.mode("append").parquet(path)
+
+def row_key(*columns: str) -> Column:
+    """A SHA-256 that tells rows apart by these columns; nulls are values of their own."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def stream_ingest(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: tuple = ("doc_id", "text"), buckets: int = BUCKETS):
+    """New rows -> enriched -> kept in `path`, each once: rows equal in `keys` are one, in a batch, across batches and across streams.
+
+    enrich gets rows with a column row_key, which its result must keep. What is kept lies in folders by batch and bucket of the key, so
+    a batch reads, of what is there, only the keys in the buckets that it touches, and one that runs again replaces what it had
+    written. Rows without doc_id or with a doc_id of several texts are all kept, once each.
+    """
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    bucket = F.pmod(F.xxhash64("row_key"), F.lit(buckets)).cast("int")
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{own}-{number}"
+        fresh = batch.withColumn("row_key", row_key(*keys)).dropDuplicates(["row_key"])
+        if _has_batches(spark, path, name):
+            touched = [r["b"] for r in fresh.select(bucket.alias("b")).distinct().collect()]  # at most `buckets`
+            known = spark.read.schema("row_key string, batch string, bucket int").parquet(path).where((F.col("batch") != name) & F.col("bucket").isin(touched))
+            fresh = fresh.join(known.select("row_key"), "row_key", "left_anti")
+        enrich(fresh).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={name}")
 
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _has_rows(spark, path: str) -> bool:
+def _has_batches(spark, path: str, but: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p))
+    return fs.exists(p) and any(s.getPath().getName() not in (f"batch={but}", "_temporary") for s in fs.listStatus(p))
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> int:
-    """Runs a stream over all that is there into Parquet files; how many late events its stateful operators dropped."""
+    """Runs a stream over all that is there into Parquet files; how many late events its stateful operators dropped in all batches."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    dropped, over = {}, False
+    while not over:  # the query itself remembers its last batches only
+        over = query.awaitTermination(1)
+        dropped |= {p["batchId"]: sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"]) for p in query.recentProgress}
+    return sum(dropped.values())
