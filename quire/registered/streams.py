@@ -101,7 +101,7 @@ def st6(spark, d):
     path = fresh_path(spark, "ingested")
     docs = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/[d]ocuments.parquet")
     S.stream_ingest(docs, lambda x: x.select("doc_id", "row_key", F.sha2("text", 256).alias("sha")), path, fresh_path(spark, "ingest-state")).awaitTermination()
-    return spark.read.schema("doc_id long, sha string").parquet(path)
+    return spark.read.schema("doc_id long, sha string").parquet(path).select("doc_id", "sha")
 
 
 @query("src1_read_manifest", "SELECT p_partkey::VARCHAR AS paper_id, p_name AS title, p_size::BIGINT AS size_bytes, sha256(p_name) AS sha256, 'clean' AS quality_tier FROM part")
