@@ -9,6 +9,7 @@ from quire.operators import graph as G
 from quire.operators import matching as M
 from quire.operators import retrieval as R
 from quire.operators import usage as U
+from quire.plans.materialize import fresh_path
 from quire.plans.session import table
 from quire.queries import query
 from quire.registered import relational, views as V
@@ -49,6 +50,32 @@ def ret2(spark, d):
     return R.lexical_search(_questions(spark, d), p, 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
+# A cover ends where the earliest of the last hits of all groups moves on.
+def _cover_sql(passages: str, k: int) -> str:
+    return f"""p AS ({passages}), tok AS (SELECT id, unnest(string_split(norm, ' ')) AS term, generate_subscripts(string_split(norm, ' '), 1) AS pos FROM p), h AS (SELECT DISTINCT g.query_id, id, g.g, pos FROM g JOIN tok USING (term)),
+    ok AS (SELECT h.query_id, h.id FROM h JOIN needs USING (query_id) LEFT JOIN phrase USING (query_id) JOIN p ON p.id = h.id WHERE phrase.p IS NULL OR contains(' ' || norm || ' ', ' ' || phrase.p || ' ') GROUP BY h.query_id, h.id, needs HAVING count(DISTINCT g) = needs),
+    o AS (SELECT query_id, id FROM ok WHERE NOT EXISTS (SELECT 1 FROM never n JOIN tok t ON n.term = t.term WHERE n.query_id = ok.query_id AND t.id = ok.id)),
+    l AS (SELECT h.query_id, h.id, h.pos, gg.g, max(CASE WHEN h.g = gg.g THEN h.pos END) OVER (PARTITION BY h.query_id, h.id, gg.g ORDER BY h.pos) AS last FROM h JOIN o ON h.query_id = o.query_id AND h.id = o.id JOIN (SELECT DISTINCT query_id, g FROM g) gg ON gg.query_id = h.query_id),
+    c AS (SELECT query_id, id, pos, CASE WHEN count(*) = count(last) THEN min(last) END AS low FROM l GROUP BY 1, 2, 3),
+    s AS (SELECT c.query_id, id, round(sum(CASE WHEN low > coalesce(was, -1) THEN 1.0::DOUBLE / (1 + greatest(0, pos - low + 1 - needs)) ELSE 0 END), 6) AS score FROM (SELECT *, lag(low) OVER (PARTITION BY query_id, id ORDER BY pos) AS was FROM c) c JOIN needs USING (query_id) GROUP BY 1, 2),
+    lex AS (SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= {k})"""
+
+
+@query("ret1_cover_papers", f"WITH {_ASK}, {_cover_sql(_DOCS, 10)} SELECT query_id, id, round(score, 4) AS score, rank FROM lex")
+def ret1_cover(spark, d):
+    """Whole documents, so that covers are many and long."""
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.cover_search(_questions(spark, d), p, 10).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+@query("ret2_cover_passages", f"WITH {V.NODES}, {_ASK}, {_cover_sql('SELECT doc_id * 100000 + pos AS id, ' + _N.format('line') + ' AS norm FROM nodes', 10)} SELECT query_id, id, round(score, 4) AS score, rank FROM lex")
+def ret2_cover(spark, d):
+    """Passages are indexed once as a build; the search reads the build alone."""
+    p = V.nodes(spark, d).select((F.col("doc_id") * 100_000 + F.col("pos")).alias("id"), F.col("line").alias("text"))
+    index = R.index_passages(p, fresh_path(spark, "index"))
+    return R.cover_search(_questions(spark, d), p, 10, index).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
 def _vectors(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return e, e.where("id % 100 = 0").withColumnRenamed("id", "query_id")
