@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.queries import ORACLE, QUERIES
-from quire.registered import jobs as _jobs, projection as _projection, relational as _relational, search_graph as _search_graph, streams as _streams, text as _text  # noqa: F401
+from quire.registered import jobs as _jobs, projection as _projection, relational as _relational, reports as _reports, search_graph as _search_graph, streams as _streams, text as _text  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 

@@ -485,3 +485,22 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 def canonical_digest(record: Column) -> Column:
     """SHA-256 of a struct as JSON; its fields are in the order given, so callers name them sorted."""
     return F.sha2(F.to_json(record), 256)
+
+
+def canonical_xml(x: Column) -> Column:
+    """The canonical form (C14N 2.0) of XML text: attributes in order, entities and empty tags written out, so that serialisations of one document are equal. Null if it is no XML."""
+
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xml.etree.ElementTree as ET
+
+        def one(text):
+            try:
+                return ET.canonicalize(xml_data=text) if isinstance(text, str) else None
+            except ET.ParseError:
+                return None
+
+        for s in batches:
+            yield pd.Series([one(t) for t in s], dtype=object)
+
+    return of(x)

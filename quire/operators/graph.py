@@ -101,28 +101,38 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return all_.select("node", "n_out", "n_in", F.round(F.coalesce(F.try_divide(F.col("n_in") * F.col("n_out"), F.col("n_in") + F.col("n_out")), F.lit(0.0)), 6).alias("bridge"), ((F.col("n_in") + F.col("n_out")) == 0).alias("isolated"))
 
 
-def _common(links: DataFrame, least: int, most: int) -> DataFrame:
-    """links(at, x) -> (a, b, n): the pairs of x that at least `least` values of `at` have in common; more than `most` x of one `at` raise an error."""
+#: Entries of a list that are paired in one task; longer lists are cut into blocks, and blocks are paired.
+LIST = 1_000
+
+
+def _common(links: DataFrame, least: int, most: int = LIST) -> DataFrame:
+    """links(at, x) -> (a, b, n): the pairs of x that at least `least` values of `at` have in common.
+
+    A list of more than `most` x of one `at` is cut into blocks by a hash of x; each block is sent to each other, so that a pair meets once
+    and no task holds more than about two blocks. All pairs of a list are made: their number is that of the result before counting.
+    """
     lists = links.distinct()
-    wide = lists.groupBy("at").agg(F.count("*").alias("n"))
-    checked = wide.select("at", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("more than "), F.lit(most), F.lit(" entries at "), F.col("at").cast("string"))).cast("long")).otherwise(F.col("n")).alias("n")).where("n > 1")
-    sound = lists.join(checked.select("at"), "at")
-    pairs = sound.select("at", F.col("x").alias("a")).join(sound.select("at", F.col("x").alias("b")), "at").where("a < b")
+    wide = lists.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    cut = lists.join(wide, "at").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = cut.select("at", F.col("x").alias("a"), F.col("block").alias("i"), every.alias("j"))
+    right = cut.select("at", F.col("x").alias("b"), F.col("block").alias("j"), every.alias("i"))
+    pairs = left.join(right, ["at", "i", "j"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def cocitation(edges: DataFrame, least: int = 2, most: int = 1_000) -> DataFrame:
-    """edges(src, dst) -> (a, b, n): targets that at least `least` sources cite together. Pairs are made within a source's list, of at most `most` targets."""
+def cocitation(edges: DataFrame, least: int = 2, most: int = LIST) -> DataFrame:
+    """edges(src, dst) -> (a, b, n): targets that at least `least` sources cite together."""
     return _common(edges.select(F.col("src").alias("at"), F.col("dst").alias("x")), least, most)
 
 
-def coupling(edges: DataFrame, least: int = 2, most: int = 10_000) -> DataFrame:
-    """edges(src, dst) -> (a, b, n): sources that cite at least `least` targets in common. Pairs are made among the sources of a target, of which there are at most `most`."""
+def coupling(edges: DataFrame, least: int = 2, most: int = LIST) -> DataFrame:
+    """edges(src, dst) -> (a, b, n): sources that cite at least `least` targets in common."""
     return _common(edges.select(F.col("dst").alias("at"), F.col("src").alias("x")), least, most)
 
 
-def concept_pairs(mentions: DataFrame, least: int = 2, most: int = 1_000) -> DataFrame:
-    """mentions(work, concept) -> (a, b, n): concepts that at least `least` works name together; a work names at most `most`."""
+def concept_pairs(mentions: DataFrame, least: int = 2, most: int = LIST) -> DataFrame:
+    """mentions(work, concept) -> (a, b, n): concepts that at least `least` works name together."""
     return _common(mentions.select(F.col("work").alias("at"), F.col("concept").alias("x")), least, most)
 
 

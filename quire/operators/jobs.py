@@ -359,15 +359,25 @@ def bibtex(key: Column, title: Column, authors: Column, year: Column, venue: Col
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
 
-def scan_status(papers: DataFrame, source: DataFrame, page: DataFrame) -> DataFrame:
-    """Which of its parts each paper has: papers(doc_id), source(doc_id), page(doc_id)."""
-    flags = [(n, t.select("doc_id").distinct().withColumn(n, F.lit(True))) for n, t in (("has_source", source), ("has_page", page))]
+def scan_status(papers: DataFrame, **parts: DataFrame) -> DataFrame:
+    """Which of its parts each paper has: papers(doc_id), and for each flag a table of (doc_id)."""
+    flags = [(n, t.select("doc_id").distinct().withColumn(n, F.lit(True))) for n, t in parts.items()]
     out = papers.select("doc_id")
     for n, t in flags:
         out = out.join(t, "doc_id", "left").withColumn(n, F.coalesce(n, F.lit(False)))
     return out
 
 
+def scan_totals(status: DataFrame) -> DataFrame:
+    """The flags of `scan_status` in numbers: (what, n) for all papers, each flag, all flags and none."""
+    flags = [c for c in status.columns if c != "doc_id"]
+    every, none = F.lit(True), F.lit(True)
+    for c in flags:
+        every, none = every & F.col(c), none & ~F.col(c)
+    sums = [F.count("*").alias("total"), *[F.count_if(c).alias(c) for c in flags], F.count_if(every).alias("complete"), F.count_if(none).alias("bare")]
+    return status.agg(*sums).unpivot([], ["total", *flags, "complete", "bare"], "what", "n")
+
+
 def research_sync(directions: DataFrame, feed: DataFrame, corpus: DataFrame) -> DataFrame:
     """directions(category, keywords) and feed(doc_id, title): per category, papers whose title has a keyword as a word, once a category, and how many the corpus lacks."""
     keys = directions.select("category", F.explode(F.split("keywords", r"\s*[;,]\s*")).alias("k")).select("category", F.lower(F.trim("k")).alias("word")).where("word <> ''").distinct()
@@ -377,6 +387,35 @@ def research_sync(directions: DataFrame, feed: DataFrame, corpus: DataFrame) ->
     return new.groupBy("category").agg(F.count("*").alias("matched"), F.count_if(F.col("known").isNull()).alias("new"))
 
 
+def sync_directions(directions: DataFrame, feed: DataFrame, corpus: DataFrame, day: str, asked: DataFrame | None = None, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """directions(category, keywords, search_count, last_searched), feed(doc_id, title, fault), corpus(doc_id) -> (summary, errors).
+
+    Each keyword of a category takes the first `most` papers by doc_id whose title has it as a word; what several keywords take counts
+    once, and what the corpus holds is left out. A paper without fault is ingested, one with a fault is an error. summary: category,
+    keywords, found, downloaded, ingested, failed, the direction's new search_count and last_searched (which stay if all that was
+    downloaded failed), and its history row. errors: (category, doc_id, error), also for a category of asked(category) that no direction
+    has; categories compare without case.
+    """
+    name = F.lower("category")
+    wanted = directions if asked is None else directions.join(asked.select(name.alias("c")).distinct(), name == F.col("c"), "left_semi")
+    keys = wanted.select("category", F.explode(F.split("keywords", r"\s*[;,]\s*")).alias("k")).select("category", F.lower(F.trim("k")).alias("word")).where("word <> ''").distinct()
+    words = feed.select("doc_id", F.explode(F.array_distinct(F.split(T.normalized_title(F.col("title")), " "))).alias("word"))
+    nth = F.row_number().over(W.partitionBy("category", "word").orderBy("doc_id"))
+    taken = words.join(keys, "word").withColumn("nth", nth).where(F.col("nth") <= most).select("category", "doc_id").distinct()
+    known = corpus.select("doc_id").distinct().withColumn("known", F.lit(True))
+    met = written(taken.join(known, "doc_id", "left").join(feed.select("doc_id", "title", "fault"), "doc_id").select("category", "doc_id", "title", "fault", F.col("known").isNull().alias("new")), "taken")
+    sums = met.groupBy("category").agg(F.count("*").alias("found"), F.count_if("new").alias("downloaded"), F.count_if(F.col("new") & F.col("fault").isNull()).alias("ingested"), F.count_if(F.col("new") & F.col("fault").isNotNull()).alias("failed"))
+    counted = wanted.join(keys.groupBy("category").agg(F.count("*").alias("n_keywords")), "category", "left").join(sums, "category", "left").na.fill(0, ["n_keywords", "found", "downloaded", "ingested", "failed"])
+    done = (F.col("ingested") > 0) | (F.col("downloaded") == 0)
+    history = F.struct(F.lit("sync").alias("action"), F.lit(day).alias("date"), F.col("downloaded").alias("papers_found"), "ingested")
+    summary = counted.select("category", F.col("n_keywords").alias("keywords"), "found", "downloaded", "ingested", "failed", (F.coalesce("search_count", F.lit(0)) + done.cast("int")).alias("search_count"), F.when(done, F.lit(day)).otherwise(F.col("last_searched")).alias("last_searched"), history.alias("history"))
+    errors = met.where(F.col("new") & F.col("fault").isNotNull()).select("category", "doc_id", F.concat("title", F.lit(": "), "fault").alias("error"))
+    if asked is not None:
+        lost = asked.select("category").distinct().join(directions.select(name.alias("c")).distinct(), name == F.col("c"), "left_anti")
+        errors = errors.unionByName(lost.select("category", F.lit(None).cast("long").alias("doc_id"), F.lit("unknown direction").alias("error")))
+    return summary, errors
+
+
 def complete_authors(papers: DataFrame, feed: DataFrame) -> DataFrame:
     """papers(a, title, authors) x feed(b, title, authors): empty lists filled by title match, with status."""
     m = M.match_metadata_jaccard(papers.where(F.size("authors") <= 0).select("a", "title"), feed.select("b", "title")).select("a", "b")
@@ -385,13 +424,43 @@ def complete_authors(papers: DataFrame, feed: DataFrame) -> DataFrame:
     return j.select("a", F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.col("found")).alias("authors"), F.when(F.size("authors") > 0, "present").when(F.col("found").isNotNull(), "filled").otherwise("skipped").alias("status"))
 
 
+#: What a match in the feed can fill.
+ENRICHED = ("arxiv_id", "doi", "year", "venue", "authors")
+
+
+def _blank(c: str, kind: str) -> Column:
+    return F.size(F.coalesce(F.col(c), F.array().cast(kind))) == 0 if kind.startswith("array") else F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+
+
 def enrich_metadata(papers: DataFrame, feed: DataFrame) -> DataFrame:
-    """papers(a, title, arxiv_id) x feed(b, title, arxiv_id): ids of the best title match, with status."""
-    have, untitled = F.coalesce("arxiv_id", F.lit("")) != "", F.coalesce("title", F.lit("")) == ""
-    m = M.match_metadata_jaccard(papers.where(~have & ~untitled).select("a", "title"), feed.select("b", "title")).select("a", "b")
-    got = m.join(feed.select("b", F.col("arxiv_id").alias("found")), "b").select("a", "found")
-    j = papers.join(got, "a", "left")
-    return j.select("a", F.when(have, F.col("arxiv_id")).otherwise(F.col("found")).alias("arxiv_id"), F.when(have, "already_have").when(untitled, "no_title").when(F.col("found").isNotNull(), "enriched").otherwise("no_match").alias("status"))
+    """papers(a, title, arxiv_id, ...) x feed(b, title, arxiv_id, ...) -> papers' fields of ENRICHED with what is missing filled, `filled` (its names), matched_year and status.
+
+    A paper without arXiv id takes from the feed's best title match whatever field of ENRICHED both have and it lacks; the venue of a
+    match, and of a paper with an id but no venue, is arXiv where the feed names none. Status: already_have, no_title, enriched or no_match.
+    """
+    kinds = dict(papers.dtypes)
+    fields = [f for f in ENRICHED if f in kinds and (f in feed.columns or f == "venue")]
+    have, untitled = ~_blank("arxiv_id", "string"), F.coalesce("title", F.lit("")) == ""
+    m = M.match_metadata_jaccard(papers.where(~have & ~untitled).select("a", "title"), feed.where(~_blank("arxiv_id", "string")).select("b", "title")).select("a", "b")
+    named = {f: F.col(f) if f in feed.columns else F.lit("arXiv") for f in fields}
+    got = m.join(feed.select("b", *[x.alias(f"m_{f}") for f, x in named.items()]), "b").drop("b").withColumn("met", F.lit(True))
+    if "venue" in fields:  # an id tells the venue without a match
+        j = papers.join(got, "a", "left").withColumn("m_venue", F.when(have, F.lit("arXiv")).otherwise(F.col("m_venue")))
+    else:
+        j = papers.join(got, "a", "left")
+    takes = {f: _blank(f, kinds[f]) & ~_blank(f"m_{f}", kinds[f]) for f in fields}
+    filled = F.filter(F.array(*[F.when(t, F.lit(f)) for f, t in takes.items()]), lambda x: x.isNotNull())
+    status = F.when(have, "already_have").when(untitled, "no_title").when(F.col("met"), "enriched").otherwise("no_match")
+    year = F.col("m_year") if "year" in fields else F.lit(None).cast("int")
+    return j.select("a", *[F.when(takes[f], F.col(f"m_{f}")).otherwise(F.col(f)).alias(f) for f in fields], filled.alias("filled"), year.alias("matched_year"), status.alias("status"))
+
+
+def enrichment_totals(enriched: DataFrame) -> DataFrame:
+    """(what, n) of `enrich_metadata`: all papers, each status, venues filled without a match, and matches that know a year."""
+    status, names = F.col("status"), ["already_have", "no_title", "enriched", "no_match"]
+    venue = (status == "already_have") & F.array_contains("filled", "venue")
+    sums = [F.count("*").alias("total"), *[F.count_if(status == n).alias(n) for n in names], F.count_if(venue).alias("venue_filled"), F.count_if((status == "enriched") & F.col("matched_year").isNotNull()).alias("year_filled")]
+    return enriched.agg(*sums).unpivot([], ["total", *names, "venue_filled", "year_filled"], "what", "n")
 
 
 def on_topics(papers: DataFrame, topics: list[str]) -> DataFrame:
@@ -413,3 +482,55 @@ def landscape_report(papers: DataFrame, topics: list[str], most: int = 20) -> Da
     w = W.partitionBy("topic").orderBy(F.desc_nulls_last("total"), "doc_id")
     key = t.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
     return grades.unionByName(key.select("topic", F.lit("paper").alias("part"), F.col("doc_id").cast("string").alias("item"), F.col("place").cast("long").alias("n")))
+
+
+_REPORT = ("topic", "part", "item", "place", "n", "text")
+
+
+def survey(papers: DataFrame, topics: list[str], most: int = 20) -> DataFrame:
+    """papers(doc_id, title, abstract, year, authors, venue, grade, domains) -> the parts of a survey of each topic: (topic, part, item, place, n, text).
+
+    A survey takes the first `most` papers of a topic by doc_id. Parts: `papers` (how many), `domain` (domains of the first ten, the most frequent
+    first), `year` (papers of a year, with the first five titles) and `paper` (a line for each). Papers without a year are on no timeline.
+    """
+    place = F.row_number().over(W.partitionBy("topic").orderBy("doc_id"))
+    p = on_topics(papers, topics).withColumn("place", place).where(F.col("place") <= most)
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled"))
+    count = p.groupBy("topic").agg(F.count("*").alias("n")).select("topic", F.lit("papers").alias("part"), F.lit("").alias("item"), F.lit(1).alias("place"), "n", F.lit(None).cast("string").alias("text"))
+    tags = p.where("place <= 10").select("topic", F.explode("domains").alias("item")).groupBy("topic", "item").agg(F.count("*").alias("n"))
+    tags = tags.select("topic", F.lit("domain").alias("part"), "item", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("n"), "item")).alias("place"), "n", F.lit(None).cast("string").alias("text"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("place", F.left(title, F.lit(80)).alias("title")))), 1, 5)  # at most `most`
+    years = p.where("year > 0").groupBy("topic", "year").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("text"))
+    years = years.select("topic", F.lit("year").alias("part"), F.col("year").cast("string").alias("item"), F.row_number().over(W.partitionBy("topic").orderBy("year")).alias("place"), "n", "text")
+    line = F.concat(F.lit("**"), F.left(title, F.lit(100)), F.lit("** ("), F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit(") "), F.array_join(F.slice("authors", 1, 3), ", "), F.coalesce(F.concat(F.lit(" | "), F.nullif("venue", F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit(" | Grade: "), F.nullif("grade", F.lit(""))), F.lit("")))
+    listed = p.select("topic", F.lit("paper").alias("part"), F.col("doc_id").cast("string").alias("item"), "place", F.lit(1).cast("long").alias("n"), line.alias("text"))
+    return count.unionByName(tags).unionByName(years).unionByName(listed).select(*_REPORT)
+
+
+def landscape(papers: DataFrame, topics: list[str], most: int = 20) -> DataFrame:
+    """papers(doc_id, title, year, grade, total, domains, sub_directions) -> the parts of a landscape of each topic, by tags: (topic, part, item, place, n, text).
+
+    A paper belongs to a topic whose text one of its tags contains (any case). Parts: `matched` (the most frequent domain that contains the
+    topic, else sub-direction, else the topic itself; n: all papers), `year`, `grade` (A to F, then N/A) and `paper` (the best by total).
+    """
+    wanted = F.array(*map(F.lit, topics))
+
+    def holds(tags: str):
+        return lambda t: F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.contains(F.lower(x), F.lower(t)))
+
+    p = papers.withColumn("topic", F.explode(F.filter(wanted, lambda t: holds("domains")(t) | holds("sub_directions")(t))))
+    named = None
+    for turn, tags in enumerate(("domains", "sub_directions")):
+        some = papers.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("c")).withColumn("topic", F.explode(F.filter(wanted, lambda t: F.contains(F.lower("tag"), F.lower(t))))).withColumn("turn", F.lit(turn))
+        named = some if named is None else named.unionByName(some)
+    matched = named.groupBy("topic").agg(F.min(F.struct("turn", (-F.col("c")).alias("c"), "tag"))["tag"].alias("tag"))
+    every = papers.sparkSession.createDataFrame([(t,) for t in topics], "topic string").join(matched, "topic", "left").join(p.groupBy("topic").agg(F.count("*").alias("n")), "topic", "left")
+    none = F.lit(None).cast("string").alias("text")
+    head = every.select("topic", F.lit("matched").alias("part"), F.coalesce("tag", "topic").alias("item"), F.lit(1).alias("place"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), none)
+    years = p.where("year > 0").groupBy("topic", "year").agg(F.count("*").alias("n")).select("topic", F.lit("year").alias("part"), F.col("year").cast("string").alias("item"), F.row_number().over(W.partitionBy("topic").orderBy("year")).alias("place"), "n", none)
+    grade = F.coalesce("grade", F.lit("N/A"))
+    grades = p.groupBy("topic", grade.alias("item")).agg(F.count("*").alias("n")).select("topic", F.lit("grade").alias("part"), "item", F.row_number().over(W.partitionBy("topic").orderBy(F.col("item") == "N/A", "item")).alias("place"), "n", none)
+    best = p.withColumn("place", F.row_number().over(W.partitionBy("topic").orderBy(F.desc(F.coalesce("total", F.lit(0))), "doc_id"))).where(F.col("place") <= most)
+    line = F.concat(F.lit("**"), F.left(F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")), F.lit(80)), F.lit("** ("), F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit(") -- Grade "), F.coalesce("grade", F.lit("?")))
+    listed = best.select("topic", F.lit("paper").alias("part"), F.col("doc_id").cast("string").alias("item"), "place", F.lit(1).cast("long").alias("n"), line.alias("text"))
+    return head.unionByName(years).unionByName(grades).unionByName(listed).select(*_REPORT)

@@ -289,3 +289,13 @@ def chunk_projected(projected: dict[str, DataFrame], most: int = 4000) -> DataFr
     made = made.withColumns({"a": F.get("nodes", F.lit(0)), "b": F.get("nodes", F.size("nodes") - 1)})
     made = made.join(pointers.select("doc_id", F.col("n").alias("a"), F.col("pointer").alias("first")), ["doc_id", "a"]).join(pointers.select("doc_id", F.col("n").alias("b"), F.col("pointer").alias("last")), ["doc_id", "b"])
     return made.select("doc_id", F.col("of").alias("section"), "role", "kind", "ordinal", "content", "content_sha256", "tokens", "nodes", "first", "last")
+
+
+def paper_tables(projected: dict[str, DataFrame], most: int = 50) -> DataFrame:
+    """The first `most` tables of each document: (doc_id, place, pointer, caption, section_title, role, cells), cells by row and column as structs with spans and header flag."""
+    tables = projected["contents"].where("kind = 'table'").withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("place") <= most)
+    titles = projected["sections"].select("doc_id", F.col("pre").alias("section"), F.col("title").alias("section_title"))
+    entry = F.struct("row", "col", "row_span", "col_span", "text", "header")
+    held = projected["cells"].groupBy("doc_id", F.col("table").alias("pre")).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
+    out = tables.join(titles, ["doc_id", "section"], "left").join(held, ["doc_id", "pre"], "left")
+    return out.select("doc_id", "place", "pointer", F.col("title").alias("caption"), "section_title", "role", "cells")

@@ -25,10 +25,17 @@ def validate_manifest(rows: DataFrame, required: list[str], key: str = "paper_id
 
 
 def verify_artifacts(files: DataFrame, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """files(key, content) against manifest(key, size_bytes, sha256): the first fault of each file. Contents are digested where they are read."""
-    seen = files.select(key, F.octet_length("content").alias("_size"), F.sha2("content", 256).alias("_sha"))
+    """files(key, content) against manifest(key, size_bytes, sha256): the first fault of each file: missing, size, sha256. Contents are digested where they are read.
+
+    Where the manifest has canonical_sha256, contents are also read as XML: no_xml, and canonical if the digest of the canonical form differs.
+    """
+    known = "canonical_sha256" in manifest.columns
+    form = T.canonical_xml(F.decode("content", "UTF-8")) if known else F.lit(None).cast("string")
+    seen = files.select(key, F.octet_length("content").alias("_size"), F.sha2("content", 256).alias("_sha"), F.sha2(form, 256).alias("_form"))
     j = manifest.join(seen, key, "left")
     fault = F.when(F.col("_sha").isNull(), "missing").when(F.col("_size") != F.col("size_bytes"), "size").when(F.col("_sha") != F.col("sha256"), "sha256")
+    if known:
+        fault = fault.when(F.col("_form").isNull(), "no_xml").when(F.col("_form") != F.col("canonical_sha256"), "canonical")
     return j.select(key, fault.alias("fault")).where("fault is not null")
 
 

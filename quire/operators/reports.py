@@ -39,11 +39,16 @@ def papers_with_artifacts(papers: DataFrame, artifacts: DataFrame, on: Column) -
     return papers.join(artifacts, on)
 
 
-def paper_detail(papers: DataFrame, assessments: DataFrame, authors: DataFrame) -> DataFrame:
-    """papers(doc_id), assessments(doc_id, at, quality), authors(doc_id, position, name): the latest assessment and the names in order, joined by `;`."""
+def paper_detail(papers: DataFrame, assessments: DataFrame, authors: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """papers(doc_id, ...), assessments(doc_id, at, quality), authors(doc_id, position, name), identifiers(doc_id, scheme, value, is_primary): each
+    paper with its latest assessment, its authors in order and its identifiers by scheme, both as arrays of structs (empty: none)."""
     latest = assessments.groupBy("doc_id").agg(F.max_by("quality", "at").alias("quality"))
-    names = authors.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda s: s["name"]), ";").alias("authors"))
-    return papers.join(latest, "doc_id", "left").join(names, "doc_id", "left")
+    out = papers.join(latest, "doc_id", "left")
+    for name, rows, fields in (("authors", authors, ("position", "name")), ("identifiers", identifiers, ("scheme", "value", "is_primary"))):
+        entry = F.struct(*fields)
+        kind = rows.select(F.array(entry).alias("x")).schema["x"].dataType
+        out = out.join(rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    return out
 
 
 def passages_in_context(nodes: DataFrame, papers: DataFrame, sections: DataFrame) -> DataFrame:
@@ -149,6 +154,12 @@ def main_document(files: DataFrame, rank: Column) -> DataFrame:
     return files.groupBy("work").agg(F.min_by("file", F.struct(rank.alias("r"), (-F.col("size")).alias("s"), F.lower(F.col("file").cast("string")).alias("f"))).alias("file"))
 
 
+def main_by_includes(files: DataFrame) -> DataFrame:
+    """files(work, file, text): the main TeX file of each work: of those with a document class the one that includes most files, then the longest, then the first by name."""
+    r = files.where(F.contains("text", F.lit("\\documentclass"))).withColumn("n", F.regexp_count("text", F.lit(r"\\(?:input|include)\{")))
+    return r.groupBy("work").agg(F.min_by("file", F.struct((-F.col("n")).alias("n"), (-F.length("text")).alias("size"), F.lower(F.col("file").cast("string")).alias("f"))).alias("file"), F.max("n").alias("includes"))
+
+
 def tables_of(works: DataFrame, cells: DataFrame, order: list[str], text: Column) -> DataFrame:
     """works(work), cells(work, ...) -> the texts of each work's cells in order."""
     rows = works.join(cells, "work").withColumn("text", text)

@@ -101,6 +101,13 @@ def citation_edges(refs: DataFrame) -> DataFrame:
     return refs.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_list("reference_id")).alias("reference_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
 
 
+def edge_references(refs: DataFrame) -> DataFrame:
+    """(src, dst, place, reference_id, confidence): the references of each edge as rows in order from 0, each once with its best confidence; an edge may have any number."""
+    best = refs.groupBy("src", "dst", "reference_id").agg(F.max("confidence").alias("confidence"))
+    place = (F.row_number().over(W.partitionBy("src", "dst").orderBy("reference_id")) - 1).alias("place")
+    return best.select("src", "dst", place, "reference_id", "confidence")
+
+
 def section_text(nodes: DataFrame, keep: Column, most: int = 20_000) -> DataFrame:
     """The kept nodes of each (doc_id, ordinal) in order, joined by blank lines, cut to `most`; null if none is kept."""
     parts = F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "line"))))

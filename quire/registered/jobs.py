@@ -194,7 +194,16 @@ def job12(spark, d):
 
 @query("job13_scan_status", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS has_source, doc_id IN (SELECT page_id FROM pages) AS has_page FROM documents")
 def job13(spark, d):
-    return J.scan_status(_t(spark, d, "documents"), _t(spark, d, "labels"), _t(spark, d, "pages").select(F.col("page_id").alias("doc_id")))
+    return _scanned(spark, d)
+
+
+def _scanned(spark, d):
+    return J.scan_status(_t(spark, d, "documents"), has_source=_t(spark, d, "labels"), has_page=_t(spark, d, "pages").select(F.col("page_id").alias("doc_id")))
+
+
+@query("job13_scan_totals", "WITH f AS (SELECT doc_id IN (SELECT doc_id FROM labels) AS s, doc_id IN (SELECT page_id FROM pages) AS p FROM documents) SELECT unnest(['total', 'has_source', 'has_page', 'complete', 'bare']) AS what, unnest([count(*), count(*) FILTER (WHERE s), count(*) FILTER (WHERE p), count(*) FILTER (WHERE s AND p), count(*) FILTER (WHERE NOT s AND NOT p)]) AS n FROM f")
+def job13_totals(spark, d):
+    return J.scan_totals(_scanned(spark, d))
 
 
 @query("job14_research_sync", f"WITH {V.PAPERS}, k AS (SELECT DISTINCT lang AS category, unnest(['the', 'les', lang, 'und', 'of']) AS word FROM documents), w AS (SELECT DISTINCT doc_id, unnest(string_split({REL._N.format('title')}, ' ')) AS word FROM papers), m AS (SELECT DISTINCT category, doc_id FROM w JOIN k USING (word)) SELECT category, count(*) AS matched, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS new FROM m GROUP BY 1")

@@ -119,7 +119,26 @@ def j2(spark, d):
     p = V.papers(spark, d)
     assessments = _t(spark, d, "labels").select("doc_id", F.col("toxic").alias("at"), "quality")
     authors = p.select("doc_id", F.posexplode(F.slice(F.split("title", " ", -1), 1, 3)).alias("position", "name"))
-    return R.paper_detail(p, assessments, authors).select("doc_id", "quality", "authors")
+    ids = p.select("doc_id", F.explode(_identifiers()).alias("i")).select("doc_id", "i.*")
+    found = R.paper_detail(p, assessments, authors, ids)
+    return found.select("doc_id", "quality", F.when(F.size("authors") > 0, F.array_join(F.transform("authors", lambda a: a["name"]), ";")).alias("authors"))
+
+
+def _identifiers():
+    k = F.col("doc_id")
+    entry = lambda cond, scheme, value: F.when(cond, F.struct(F.lit(scheme).alias("scheme"), F.concat(F.lit(value), k.cast("string")).alias("value"), F.lit(scheme == "arxiv").alias("is_primary")))
+    return F.filter(F.array(entry(k % 2 == 0, "doi", "10.1/"), entry(k % 3 == 0, "arxiv", "2401.")), lambda x: x.isNotNull())
+
+
+@query("j2_paper_identifiers", "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'arxiv=2401.' || doc_id || '!' END, CASE WHEN doc_id % 2 = 0 THEN 'doi=10.1/' || doc_id END], lambda x: x IS NOT NULL), ';') AS identifiers, least(3, len(string_split(string_split(text, chr(10))[1], ' ')))::INT AS n_authors FROM documents")
+def j2_identifiers(spark, d):
+    p = V.papers(spark, d)
+    assessments = _t(spark, d, "labels").select("doc_id", F.col("toxic").alias("at"), "quality")
+    authors = p.select("doc_id", F.posexplode(F.slice(F.split("title", " ", -1), 1, 3)).alias("position", "name"))
+    ids = p.select("doc_id", F.explode(_identifiers()).alias("i")).select("doc_id", "i.*")
+    found = R.paper_detail(p, assessments, authors, ids)
+    shown = F.transform("identifiers", lambda i: F.concat(i["scheme"], F.lit("="), i["value"], F.when(i["is_primary"], "!").otherwise("")))
+    return found.select("doc_id", F.array_join(shown, ";").alias("identifiers"), F.size("authors").alias("n_authors"))
 
 
 @query("j3_passages_papers", f"WITH {V.SECTIONS}, {V.PAPERS} SELECT n.doc_id, n.pos, p.title, s.heading FROM nodes n JOIN papers p USING (doc_id) LEFT JOIN sections s ON s.doc_id = n.doc_id AND s.ordinal = n.pos // 5 AND n.pos % 5 = 0")
@@ -312,11 +331,11 @@ def j23(spark, d):
     return U.route_health(routes, backends, F.lit("2024-01-28").cast("timestamp")).select("route", "reason")
 
 
-@query("j24_reference_evidence", f"WITH {V.NODES}, i AS (SELECT DISTINCT unnest([item_id, item_id + 1, item_id * 3]) AS doc_id FROM benchmark) SELECT n.doc_id, left(n.line, 500) AS quote FROM nodes n JOIN i USING (doc_id) WHERE n.pos = 0")
+@query("j24_reference_evidence", f"WITH {V.NODES}, i AS (SELECT DISTINCT unnest([item_id, item_id + 1, item_id * 3]) AS doc_id FROM benchmark) SELECT n.doc_id, n.pos, left(n.line, 500) AS quote FROM nodes n JOIN i USING (doc_id)")
 def j24(spark, d):
     i = F.col("item_id")
     ids = _t(spark, d, "benchmark").select(F.explode(F.array(i, i + 1, i * 3)).alias("doc_id")).distinct()
-    return V.nodes(spark, d).where("pos = 0").join(ids, "doc_id").select("doc_id", T.quote(F.col("line")).alias("quote"))
+    return V.nodes(spark, d).join(ids, "doc_id").select("doc_id", "pos", T.quote(F.col("line")).alias("quote"))
 
 
 @query("j25_mention_to_reference", "WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS target FROM pages), r AS (SELECT page_id, '/' || regexp_extract(html, 'href=\"/([^\"]*)\"', 1) AS xml_id FROM pages) SELECT m.page_id, m.target, count(*) AS n, (r.xml_id IS NOT NULL) AS resolved FROM m LEFT JOIN r ON m.page_id = r.page_id AND m.target = r.xml_id GROUP BY ALL")

@@ -45,6 +45,22 @@ def sync_report(papers: DataFrame, day: str) -> DataFrame:
     return g.select("category", F.concat(F.lit(f"# {day}: "), "category", F.lit("\n\n## Synced ("), F.size("ok"), F.lit(")\n"), F.array_join("ok", "\n"), errors).alias("report"))
 
 
+def write_sync_report(papers: DataFrame, day: str, path: str) -> None:
+    """The reports of `sync_report` as one text file a category, in folders of its name.
+
+    Lines of a category are sorted by the shuffle and written one after another, so a report of any length takes no array; only
+    the number of its titles is counted before.
+    """
+    ok = F.col("status") == "ok"
+    counts = papers.groupBy("category").agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("bad"))
+    head = F.array(F.concat(F.lit(f"# {day}: "), "category"), F.lit(""), F.concat(F.lit("## Synced ("), "n", F.lit(")")))
+    tail = F.when(F.col("bad") > 0, F.array(F.lit(""), F.lit("## Errors"))).otherwise(F.array().cast("array<string>"))
+    fixed = counts.select("category", F.lit(0).alias("part"), F.posexplode(head).alias("place", "value")).unionByName(counts.select("category", F.lit(2).alias("part"), F.posexplode(tail).alias("place", "value")))
+    rows = papers.select("category", F.when(ok, 1).otherwise(3).alias("part"), F.lit(0).alias("place"), F.concat(F.lit("- "), "title").alias("value"))
+    # the writer needs rows by category; sorted by it first, they stay in the order given here
+    rows.unionByName(fixed).repartition("category").sortWithinPartitions("category", "part", "place", "value").select("category", "value").write.partitionBy("category").mode("overwrite").text(path)
+
+
 def new_turns(turns: DataFrame, logged: DataFrame) -> DataFrame:
     """turns(project, week, session, seq, ...) beyond the number that logged(project, week, session) already holds for the session and week."""
     keys = ["project", "week", "session"]
