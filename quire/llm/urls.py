@@ -1,23 +1,24 @@
 """URL filters: fixed host and path rules first, then association rules mined from labels.
 
-Combinations of at most MAX_TOKENS tokens are counted over whole URLs, with and without the bad label; tokens too rare
-among bad URLs are left out first, which loses no combination (Apriori). Those whose confidence for the bad label reaches CONFIDENCE become block rules; a rule whose
-subset is already as confident is dropped. Rules match by an inverted index: each stands in the
-posting list of its rarest token only, is met by an equi-join on tokens, and is verified against the URL's token set.
+FP-growth mines the combinations of tokens that stand in enough bad URLs, of any length; how many good URLs hold each tells its
+confidence. Those that reach CONFIDENCE become block rules; a rule of which a shorter part is as confident is dropped. Rules match by
+an inverted index: each stands in the posting list of its rarest token only, is met by an equi-join on tokens, and is
+verified against the URL's token set.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.plans.materialize import written
 
 #: (host, path, verdict). Fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SUPPORT, MIN_HITS, CONFIDENCE, MAX_TOKENS = 0.002, 20, 0.5, 3
-#: A combination must hold in this share of the labelled URLs and in MIN_HITS of them.
+#: A combination must be bad in this share of the labelled URLs and in MIN_HITS of them, and this share of its URLs must be bad.
+SUPPORT, MIN_HITS, CONFIDENCE = 0.002, 20, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -58,40 +59,37 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(first, words, keys, mark))
 
 
-def _combinations(items: Column, most: int) -> Column:
-    """All combinations of 1 to `most` of the items, in their order."""
-    found = F.transform(items, lambda x, i: F.struct((i + 1).alias("at"), F.array(x).alias("set")))
-    out = [found]
-    for _ in range(most - 1):
-        found = F.flatten(F.transform(found, lambda s: F.transform(F.slice(items, s["at"] + 1, F.size(items)), lambda y, j: F.struct((s["at"] + j + 1).alias("at"), F.concat(s["set"], F.array(y)).alias("set")))))
-        out.append(found)
-    return F.transform(F.concat(*out), lambda s: s["set"])
+def mine(labelled: DataFrame, support: float = SUPPORT, hits: int = MIN_HITS, confidence: float = CONFIDENCE) -> DataFrame:
+    """labelled(tokens, bad boolean) -> (rule_id, tokens, size, support, confidence): the pruned block rules, of any number of tokens.
 
-
-def mine(labelled: DataFrame, support: float = SUPPORT, hits: int = MIN_HITS, confidence: float = CONFIDENCE, most: int = MAX_TOKENS) -> DataFrame:
-    """labelled(tokens, bad boolean) -> (rule_id, tokens, size, support, confidence): the pruned block rules.
-
-    A labelled URL gives all combinations of its tokens that stand in enough bad URLs, so at most C(such tokens of a URL, <= most) rows.
-    Null labels and null token lists teach nothing; without bad rows there are no rules.
+    A rule is a combination of tokens that at least `hits` bad URLs and a share of `support` of all labelled ones are bad with, of whose
+    URLs at least a share of `confidence` is bad, and of whose shorter parts none is as confident. Null labels and null token lists teach nothing;
+    without bad rows there are no rules.
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, size int, support double, confidence double")
-    rows = labelled.where("bad is not null and tokens is not null")
+    rows = written(labelled.where("bad is not null and tokens is not null").select(F.monotonically_increasing_id().alias("row"), "bad", F.array_distinct("tokens").alias("tokens")), "labelled")
     n, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
-    if n_bad < hits or not n:
-        return empty
-    # at most (tokens of a URL) / support tokens stand in enough bad URLs, so these can be sent to all tasks
     least = max(math.ceil(support * n - 1e-9), hits)
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "bad", F.array_distinct("tokens").alias("tokens")), "labelled")
-    often = rows.where("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("token")
-    kept = rows.select("row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(often), "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    sets = kept.select("bad", F.explode(_combinations(F.col("tokens"), most)).alias("tokens")).groupBy("tokens").agg(F.count_if("bad").alias("hits"), F.count("*").alias("freq"))
-    both = written(sets.where(F.col("hits") >= least), "itemsets")
-    good = both.select("tokens", F.size("tokens").alias("size"), (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence")).where(F.col("confidence") >= confidence)
-    # a rule adds nothing to a shorter one that is as confident: shorter ones are met through each subset, made by leaving tokens out
-    subsets = good.where("size > 1").select(F.col("tokens").alias("whole"), F.col("confidence").alias("c"), F.explode(F.concat(F.transform("tokens", lambda x: F.array(x)), F.when(F.col("size") > 2, F.transform("tokens", lambda x: F.array_remove("tokens", x))).otherwise(F.array().cast("array<array<string>>")))).alias("tokens"))
-    covered = subsets.join(good.select("tokens", "confidence"), "tokens").where("confidence >= c").select(F.col("whole").alias("tokens")).distinct()
-    return good.join(covered, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens")).select("rule_id", "tokens", "size", "support", "confidence")
+    if n_bad < least:
+        return empty
+    # FP-growth over the bad URLs; the share is kept below `least`, as it is compared after division
+    tree = FPGrowth(itemsCol="tokens", minSupport=(least - 0.5) / n_bad).fit(rows.where("bad").select("tokens"))
+    sets = written(tree.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hits")).withColumn("set_id", F.xxhash64("tokens")), "itemsets")
+    # how many good URLs hold a set: each set waits at its token that fewest good URLs hold
+    good = rows.where("not bad").select("row", "tokens")
+    held = written(good.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    posted = sets.select("set_id", F.explode("tokens").alias("token")).join(held, "token", "left").groupBy("set_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    posted = written(posted.join(sets.select("set_id", F.col("tokens").alias("needs")), "set_id"), "posted")
+    met = good.select("tokens", F.explode("tokens").alias("token")).join(posted, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
+    counted = sets.join(met.groupBy("set_id").agg(F.count("*").alias("good")), "set_id", "left").withColumn("freq", F.col("hits") + F.coalesce("good", F.lit(0)))
+    rules = written(counted.where(F.col("hits") >= confidence * F.col("freq")).select("set_id", "tokens", F.size("tokens").alias("size"), "hits", "freq"), "rules")
+    # a rule adds nothing to a shorter one that is as confident: every set of it is met at its least token
+    first = rules.select(F.col("set_id").alias("part"), F.col("tokens").alias("held"), F.col("size").alias("less"), F.col("hits").alias("h"), F.col("freq").alias("f"), F.array_min("tokens").alias("token"))
+    whole = rules.where("size > 1").select("set_id", "tokens", "size", "hits", "freq", F.explode("tokens").alias("token"))
+    covered = whole.join(first, "token").where((F.col("less") < F.col("size")) & (F.col("h") * F.col("freq") >= F.col("hits") * F.col("f")) & (F.size(F.array_except("held", "tokens")) == 0)).select("set_id").distinct()
+    kept = rules.join(covered, "set_id", "left_anti")
+    return kept.select(F.col("set_id").alias("rule_id"), "tokens", "size", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
