@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +33,10 @@ _U = np.uint64
 #: Odd multipliers.
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _RUN_FACTORS = [(_B2 * (2 * k + 1) ** 3) & (2**64 - 1) | 1 for k in range(RUN)]
+#: Words whose hashes a worker remembers, and the longest of them.
+CACHE_WORDS, CACHED = 400_000, 64
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+_known: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,31 +46,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-
-    def __init__(self, base: int):
-        self.bases, self.rows = (base, pow(base, -1, 2**64)), [np.ones(1, _U), np.ones(1, _U)]
-
-    def upto(self, n: int) -> list[np.ndarray]:
-        if len(self.rows[0]) < n:
-            size = max(n, 2 * len(self.rows[0]), 4096)
-            self.rows = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]), dtype=_U) for b in self.bases]
-        return self.rows
+def _word_hash(word: bytes) -> int:
+    found = _known[word] = xxhash.xxh3_64_intdigest(word)
+    return found
 
 
-_P1, _P2, _PB = _Powers(_B1), _Powers(_B2), _Powers(_B1)
-#: A 64-bit number for each byte, and which bytes are white space.
-_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(_B2))
-_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """The XXH3 of each word; those of short words are remembered."""
+    if len(_known) > CACHE_WORDS:
+        _known.clear()
+    look = _known.get
+    return np.array([look(w) or (_word_hash(w) if len(w) <= CACHED else xxhash.xxh3_64_intdigest(w)) for w in words], _U)
 
 
-def _ranges(x: np.ndarray, powers: _Powers, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the word ranges [a, b): equal sequences have equal hashes wherever they stand."""
-    up, down = powers.upto(len(x) + 1)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(x * up[: len(x)], dtype=_U)])
-    return _mix((sums[b] - sums[a]) * down[a])
+def _phrases(x: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the PHRASE words from each place on: of 1, 2, 4, 8 and 16 words, then of 16 and 4, mixed between, so nothing cancels out."""
+    factor, by = _U(seed), {1: _mix(x + _U(seed))}
+    for k in (1, 2, 4, 8):
+        low = by[k]
+        by[2 * k] = _mix(low[: len(low) - k] * factor + low[k:]) if len(low) > k else low[:0]
+    n = max(0, len(x) - PHRASE + 1)
+    return _mix(by[16][:n] * factor + by[4][16 : 16 + n])
 
 
 def _slices(raw: bytes) -> Iterator[bytes]:
@@ -78,18 +79,8 @@ def _slices(raw: bytes) -> Iterator[bytes]:
         at = to
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start, and a 64-bit hash of each."""
-    b = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate([[0], (~_SPACE[b]).view(np.int8), [0]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _PB.upto(len(b) + 1)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[b] * up[: len(b)], dtype=_U)])
-    return starts, _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-
-
 def _hashes(raw: bytes) -> np.ndarray:
-    parts = [_word_hashes(piece)[1] for piece in _slices(raw)]
+    parts = [_word_hashes(piece.split()) for piece in _slices(raw)]
     return np.concatenate(parts) if parts else np.zeros(0, _U)
 
 
@@ -117,7 +108,9 @@ def _stretches(x: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np
         opens = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.concatenate([opens, [len(at)]]))
         first, anchor = starts[opens], at[opens]
-        stretch = _ranges(own, _P1, first, first + count + PHRASE - 1) ^ _mix((count * 64 + anchor - first).astype(_U))
+        # a stretch has fewer phrases than a phrase has words, so its first and last phrase hold all its words
+        whole = _phrases(own, _B1)
+        stretch = _mix(_mix(whole[first] * _U(_B2) + whole[first + count - 1]) + (count * 64 + anchor - first).astype(_U))
         yield grams[anchor], stretch, first + lo, count
 
 
@@ -138,11 +131,9 @@ def _groups(docs: np.ndarray, texts) -> Iterator[tuple[np.ndarray, np.ndarray, n
     ids, raws, size = [], [], 0
 
     def flush() -> Iterator[tuple]:
-        if not ids:
-            return
-        starts, x = _word_hashes(b"\n".join(raws))
-        edges = np.cumsum([0] + [len(r) + 1 for r in raws])
-        yield np.array(ids), x, np.diff(np.searchsorted(starts, edges))
+        if ids:
+            split = [r.split() for r in raws]
+            yield np.array(ids), _word_hashes([w for words in split for w in words]), np.array(list(map(len, split)), np.int64)
 
     for doc, text in zip(docs, texts, strict=True):
         if not isinstance(text, str):
@@ -228,7 +219,7 @@ def _judge_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             opens, _, _ = _spread(first[own], count[own], ref_doc[own], ref_start[own], len(words))
             x = _hashes(raw)
-            hx, hy = _ranges(x, _P1, opens, opens + PHRASE), _ranges(_mix(x), _P2, opens, opens + PHRASE)
+            hx, hy = _phrases(x, _B1)[opens], _phrases(x, _B2)[opens]
             rows.append((doc, len(words), None, None, None, packed, starts, docs, refs, opens, hx.view(np.int64), hy.view(np.int64)))
         out = pd.DataFrame(rows, columns=names)
         yield out.astype({"doc_id": "Int64", "n_words": "Int64", "n_removed": "Int64"})

@@ -47,13 +47,13 @@ def test_a_rule_of_four_tokens(spark):
 
 def test_query_with_planted_labels(spark, tiny, tmp_path):
     """Pages of a planted site and path are labelled bad: the registered query learns it and blocks the pages without a label too."""
-    pages = [(10_000 + k, f"http://www.planted.org/{'offer' if k % 2 == 0 else 'news'}/{k}") for k in range(200)]
+    pages = [(10_000 + k, f"http://www.planted.org/{'offer' if k % 4 == 0 else 'news'}/{k}") for k in range(200)]
     shutil.copytree(tiny, tmp_path / "in")
     own = spark.read.parquet(f"{tiny}/pages.parquet")
     more = spark.createDataFrame(pages, "page_id long, url string").withColumn("html", F.lit("<p>x</p>"))
     own.unionByName(more.select(*own.columns)).coalesce(1).write.parquet(str(tmp_path / "pages"))
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
-    told = spark.createDataFrame([(k, 0 if k % 2 == 0 else 1, 0) for k, _ in pages if k % 5], "doc_id long, quality long, toxic long")
+    told = spark.createDataFrame([(k, 0 if k % 4 == 0 else 1, 0) for k, _ in pages if k % 5], "doc_id long, quality long, toxic long")
     labels.unionByName(told.select(*[F.col(c).cast(labels.schema[c].dataType) for c in labels.columns])).coalesce(1).write.parquet(str(tmp_path / "labels"))
     for name in ("pages", "labels"):
         (tmp_path / "in" / f"{name}.parquet").unlink()
@@ -61,4 +61,4 @@ def test_query_with_planted_labels(spark, tiny, tmp_path):
     got = {r["page_id"]: r for r in queries.op4_url_filter(spark, str(tmp_path / "in")).collect()}
     assert len(got) == own.count() + len(pages)
     for k, _ in pages:
-        assert got[k]["rule"] is None and got[k]["verdict"] == ("block" if k % 2 == 0 else "allow"), k
+        assert got[k]["rule"] is None and got[k]["verdict"] == ("block" if k % 4 == 0 else "allow"), k
