@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch at most, and the setting's name.
-BATCH_BYTES, BATCHES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCHES = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SETTINGS = {
     BATCHES: str(BATCH_BYTES),
