@@ -29,7 +29,7 @@ from quire.plans.session import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
-CACHE_CELLS, TOGETHER, LONGEST = 120_000, 400_000, 32
+CACHE_CELLS, TOGETHER, LONGEST = 60_000, 400_000, 32
 UNKNOWN_COST = 10.0
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -109,8 +109,8 @@ class Lattice:
         for c in cells:
             by_length.setdefault(len(c), []).append(c)
         for n, same in by_length.items():
-            for at in range(0, len(same), 8192):
-                some = same[at : at + 8192]
+            for at in range(0, len(same), 4096):
+                some = same[at : at + 4096]
                 if n > LONGEST or len(some) < 4:
                     for c in some:
                         self._learn_one(c)
@@ -298,6 +298,9 @@ def encode(docs: DataFrame, text: str = "text", n: int = 4, model: str = MODEL,
                     nbest = [{"score": score, "n_pieces": len(raw) // 4, "sha256": hashlib.sha256(raw).hexdigest()} for (score, _), raw in zip(found, raws, strict=True)]
                     rows[k] = (best if ids else None, nbest, units.decode(best.tolist()) == some[k].replace(SPACE, " "))
                 yield pd.DataFrame(rows, columns=["ids", "nbest", "round_trip"])
+        # the worker may serve other stages next: it keeps the model, not what it remembered of these texts
+        units.best.clear()
+        units.several.clear()
 
     small_batches(docs.sparkSession)
     return docs.select(*keep, of(F.col(text)).alias("_e")).select(*keep, "_e.ids", "_e.nbest", "_e.round_trip")
