@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
+from quire.plans.materialize import written
+from quire.plans.session import small_batches
 
 
 def union_matches(*parts: DataFrame) -> DataFrame:
@@ -39,15 +43,52 @@ def grams(text: Column, n: int) -> Column:
     return T.once(F.split(text, " "), runs)
 
 
+#: Characters of titles, and titles, that one automaton holds; it is sent to all tasks, at some 100 bytes a character.
+AUTOMATON_CHARS, AUTOMATON_TITLES = 400_000, 20_000
+
+
 def contained_titles(texts: DataFrame, titles: DataFrame, least: int = 24) -> DataFrame:
     """(text_id, title_id): titles of at least `least` characters that stand in a normalized text, also inside words.
 
+    Titles that fit one automaton (AUTOMATON_CHARS and AUTOMATON_TITLES, counted first) are all looked for in one pass over each text, which is
+    not moved; more are met by equi-joins on runs of words.
+    """
+    fitting = written(titles.where(F.length("norm") >= least).select("title_id", "norm").distinct(), "titles")
+    chars, n = fitting.agg(F.coalesce(F.sum(F.length("norm")), F.lit(0)), F.count("*")).first()
+    if chars > AUTOMATON_CHARS or n > AUTOMATON_TITLES:
+        return _contained_by_blocks(texts, fitting)
+    known: dict[str, list] = {}
+    for r in fitting.collect():  # bounded by AUTOMATON_TITLES
+        known.setdefault(r["norm"], []).append(r["title_id"])
+    kind = fitting.schema["title_id"].dataType.simpleString()
+
+    @F.pandas_udf(f"array<struct<title_id:{kind},length:int>>")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for title in known:
+            found.add_word(title, title)
+        if known:
+            found.make_automaton()
+        for s in parts:
+            hits = [dict.fromkeys(t for _, t in found.iter(x)) if known and x else () for x in s]
+            yield pd.Series([[{"title_id": k, "length": len(t)} for t in some for k in known[t]] for some in hits], dtype=object)
+
+    small_batches(texts.sparkSession)
+    met = texts.select("text_id", F.explode(of("norm")).alias("hit"))
+    return met.select("text_id", "hit.title_id", "hit.length").distinct()
+
+
+def _contained_by_blocks(texts: DataFrame, fitting: DataFrame) -> DataFrame:
+    """contained_titles for any number of titles, by equi-joins.
+
     Only a title's first and last word can be cut by a word of the text, so words 2 to 4 of a title of five words or more
     are a run of the text. Such runs are joined, then containment is verified: no text meets all titles. Shorter
     titles are blocked by their longest inner word, and ones of one or two words by equal prefixes of six characters at every place.
     """
     words = F.split("norm", " ")
-    fit = titles.where(F.length("norm") >= least).select("title_id", F.col("norm").alias("title"), words.alias("w"), F.size(words).alias("n"))
+    fit = fitting.select("title_id", F.col("norm").alias("title"), words.alias("w"), F.size(words).alias("n"))
     text = texts.select("text_id", "norm")
 
     def places() -> Column:
@@ -60,7 +101,7 @@ def contained_titles(texts: DataFrame, titles: DataFrame, least: int = 24) -> Da
         (F.col("n") <= 2, F.substring("title", 1, 6), places),
     )
     has = fit.agg(*[F.count_if(c).alias(f"k{i}") for i, (c, _, _) in enumerate(kinds)]).first()
-    met = text.select("text_id", "norm").withColumns({"title_id": F.lit(None).cast(titles.schema["title_id"].dataType), "title": F.lit(None).cast("string")}).limit(0)
+    met = text.select("text_id", "norm").withColumns({"title_id": F.lit(None).cast(fitting.schema["title_id"].dataType), "title": F.lit(None).cast("string")}).limit(0)
     for i, (c, block, blocks) in enumerate(kinds):
         if has[i]:
             mine = fit.where(c).select("title_id", "title", block.alias("block"))
@@ -90,19 +131,31 @@ def resolve_refs_doi(refs: DataFrame, papers: DataFrame) -> DataFrame:
     return refs.withColumn("k", key("doi")).where("k <> ''").join(papers.select("work", key("paper_doi").alias("k")), "k").drop("k")
 
 
-def _pieces(left: DataFrame, right: DataFrame, parts: Column, shift: Column) -> DataFrame:
-    """left(s) x right(t): the pairs (s, t) that share one of `parts` equal pieces of s, at most `shift` places away from where it stands in s (anywhere if shift is null).
+#: The longest piece of a title that is looked up.
+PIECE = 5
+
 
-    Both are columns of n, the length of s. Pieces of s are joined to the substrings of their lengths in t.
+def _pieces(left: DataFrame, right: DataFrame, parts: Column, shift: Column, near: float | None = None) -> DataFrame:
+    """left(s) x right(t): a superset of the pairs (s, t) in which fewer than `parts` edits turn s into t, or into a part of t where shift is null.
+
+    s is cut into pieces of one width, at most PIECE and so that there are `parts` of them; an edit touches one piece, so one of any `parts`
+    of them stands untouched in t, at most `shift` places away. The ones that t's hold least often are looked up. Both are columns of n,
+    the length of s. With `near`, the shorter of a pair has at least this share of the longer's length. A t gives its substrings of
+    one width or, where two widths are in use for lengths like its own, of both.
     """
     n = F.length("s")
-    known = left.select("s", parts(n).alias("parts"), shift(n).alias("shift")).withColumn("size", F.greatest(F.lit(1), F.floor(n / F.col("parts"))).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct((k * F.col("size")).alias("at"), F.substring(F.col("s"), k * F.col("size") + 1, F.when(k == F.col("parts") - 1, n).otherwise(F.col("size"))).alias("part")))
-    pieces = known.select("s", "shift", F.explode(cut).alias("c")).select("s", "shift", "c.at", "c.part").where("part <> ''")
-    widths = [r["w"] for r in pieces.select(F.length("part").alias("w")).distinct().collect()]  # no more than a title has characters
-    places = right.select("t", F.explode(F.filter(F.array(*map(F.lit, sorted(widths))).cast("array<int>"), lambda w: w <= F.length("t"))).alias("w"))
-    spots = places.select("t", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("w") + 1), lambda i: F.substring(F.col("t"), i, F.col("w")))).alias("i", "part"))
-    return pieces.join(spots, "part").where(F.col("shift").isNull() | (F.abs(F.col("i") - F.col("at")) <= F.col("shift"))).select("s", "t").distinct()
+    known = left.select("s", n.alias("n"), parts(n).alias("parts"), shift(n).alias("shift")).withColumn("width", F.greatest(F.lit(1), F.least(F.lit(PIECE), F.floor(F.col("n") / F.col("parts")))).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("n") / F.col("width")).cast("int") - 1)), lambda k: F.struct((k * F.col("width")).alias("at"), F.substring(F.col("s"), k * F.col("width") + 1, F.col("width")).alias("part")))
+    pieces = written(known.select("s", "n", "parts", "shift", "width", F.explode(cut).alias("c")).select("s", "n", "parts", "shift", "width", "c.at", "c.part"), "pieces")
+    used = [(r["width"], r["lo"], r["hi"]) for r in pieces.groupBy("width").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()]  # at most PIECE rows
+    m = F.length("t")
+    fits = [F.when((m >= w) & ((m <= hi / near) & (m >= lo * near) if near else F.lit(True)), F.lit(w)) for w, lo, hi in sorted(used)] or [F.lit(None).cast("int")]
+    places = right.select("t", F.explode(F.filter(F.array(*fits), lambda w: w.isNotNull())).alias("w"))
+    spots = written(places.select("t", F.posexplode(F.transform(F.sequence(F.lit(1), m - F.col("w") + 1), lambda i: F.substring(F.col("t"), i, F.col("w")))).alias("i", "part")), "spots")
+    often = spots.groupBy("part").agg(F.count("*").alias("often"))
+    turn = F.row_number().over(W.partitionBy("s").orderBy(F.coalesce("often", F.lit(0)), "at"))
+    asked = pieces.join(often, "part", "left").withColumn("turn", turn).where((F.col("turn") <= F.col("parts")) & F.col("often").isNotNull())
+    return asked.join(spots, "part").where(F.col("shift").isNull() | (F.abs(F.col("i") - F.col("at")) <= F.col("shift"))).select("s", "t").distinct()
 
 
 def _partial_ratio(a: str, b: str) -> float:
@@ -138,8 +191,8 @@ def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0,
     ratio is at least `least`, else the best whose partial ratio is at least `partial` and whose shorter title is more than half
     of the longer; equal scores go to the least work. Without `partial` the second step is left out.
 
-    Titles are compared once for each distinct form. Of k + 1 equal pieces of a form, k edits leave one untouched, so two similar forms share
-    a piece; pieces are joined at the places where they can stand. No candidates are lost and nothing is compared with everything.
+    Titles are compared once for each distinct form. Of any k + 1 pieces of a form, k edits leave one untouched, so two similar forms share
+    one of the k + 1 rarest; these are joined at the places where they can stand. No candidates are lost and nothing is compared with everything.
     """
     share = 1 - least / 100
 
@@ -149,7 +202,7 @@ def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0,
     a = refs.select("ref_id", T.token_sorted(F.col("title")).alias("s"), T.normalized_cite(F.col("title")).alias("plain"))
     b = papers.select("work", T.token_sorted(F.col("title")).alias("t")).groupBy("t").agg(F.min("work").alias("work"))
     forms = a.select("s").where("s <> ''").distinct()
-    met = _pieces(forms, b.select("t").where("t <> ''"), lambda n: edits(F.ceil(n / (1 - share))) + 1, lambda n: edits(F.ceil(n / (1 - share))))
+    met = _pieces(forms, b.select("t").where("t <> ''"), lambda n: edits(F.ceil(n / (1 - share))) + 1, lambda n: edits(F.ceil(n / (1 - share))), 1 - share)
     met = met.where(F.least(F.length("s"), F.length("t")) >= F.greatest(F.length("s"), F.length("t")) * (1 - share) - 1e-9)
     longest = F.greatest(F.length("s"), F.length("t"))
     scored = met.withColumn("score", F.lit(100.0) * (F.lit(1.0) - F.levenshtein("s", "t") / longest)).where(F.col("score") >= least)
@@ -175,16 +228,12 @@ def resolve_refs_fuzzy(refs: DataFrame, papers: DataFrame, least: float = 85.0,
     return found.unionByName(rest.join(second, "plain").select("ref_id", "m.work", F.round("m.score", 6).alias("score")))
 
 
-def by_rarity(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """left(a, words) and right(b, words), words distinct, with the words of each row in the order of how many rows of both hold them."""
-    sides = [x.select(F.lit(k).alias("side"), F.col(n).alias("id"), F.explode("words").alias("word")) for k, (x, n) in enumerate(((left, "a"), (right, "b")))]
-    rows = sides[0].select("side", F.col("id").cast("string").alias("id"), "word").unionByName(sides[1].select("side", F.col("id").cast("string").alias("id"), "word"))
+def by_rarity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(a, words) and right(b, words), words distinct and ids of one type -> (side, id, words): 0 or 1, and the words of each row in the order of how many rows of both hold them."""
+    rows = written(left.select(F.lit(0).alias("side"), F.col("a").alias("id"), F.explode("words").alias("word")).unionByName(right.select(F.lit(1).alias("side"), F.col("b").alias("id"), F.explode("words").alias("word"))), "words")
     often = rows.groupBy("word").agg(F.count("*").alias("n"))
-    out = []
-    for side, name in zip(sides, ("a", "b"), strict=True):
-        ranked = side.join(often, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
-        out.append(ranked.select(F.col("id").alias(name), F.transform("w", lambda x: x["word"]).alias("words")))
-    return out[0], out[1]
+    ranked = rows.join(often, "word").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    return written(ranked.select("side", "id", F.transform("w", lambda x: x["word"]).alias("words")), "ranked")
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
@@ -193,10 +242,10 @@ def overlap_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
     Such pairs share one of the first n - floor(share n) words of each, in one order of all words; the order is by rarity, so
     words that many titles hold are hardly ever joined. The full sets are compared only where such a word is shared.
     """
-    firsts = []
-    for x, k in zip(by_rarity(left, right), ("a", "b"), strict=True):
-        n = F.size("words")
-        firsts.append(x.select(k, F.col("words").alias(f"w{k}"), F.explode(F.slice("words", F.lit(1), n - F.floor(n * share + 1e-9).cast("int"))).alias("word")))
+    ranked, firsts = by_rarity(left, right), []
+    n = F.size("words")
+    for side, k in enumerate("ab"):
+        firsts.append(ranked.where(F.col("side") == side).select(F.col("id").alias(k), F.col("words").alias(f"w{k}"), F.explode(F.slice("words", F.lit(1), n - F.floor(n * share + 1e-9).cast("int"))).alias("word")))
     met = firsts[0].join(firsts[1], "word").drop("word").distinct()
     out = met.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), F.size("wa").alias("na"), F.size("wb").alias("nb"))
     return out.where(F.col("common") > F.greatest("na", "nb") * share)
@@ -207,35 +256,35 @@ def _substrings(x: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n))))
 
 
-def containing_pairs(texts: DataFrame, parts: DataFrame, gram: int = 4) -> DataFrame:
-    """texts(a) x parts(b), ids being the texts themselves and none empty: (a, b) where b stands in a, also inside words.
+def containing_pairs(left: DataFrame, right: DataFrame, gram: int = 4) -> DataFrame:
+    """left(s) x right(t), distinct texts, none empty: the pairs (s, t) of which one stands in the other, also inside words.
 
-    A part of `gram` characters or more has its substrings of that length in the text, so its rarest one is joined; a shorter
-    part is itself a substring of its length.
+    A text of `gram` characters or more has its substrings of that length in a text around it, so its rarest one there is looked up;
+    a shorter one is itself a substring of its length. Both directions come from one table of substrings.
     """
-    words = texts.where(F.length("a") >= gram).select("a", F.explode(_substrings(F.col("a"), gram)).alias("key"))
-    often = words.groupBy("key").agg(F.count("*").alias("n"))
-    keys = parts.where(F.length("b") >= gram).select("b", F.explode(_substrings(F.col("b"), gram)).alias("key"))
-    # a part with a substring that no text has stands in none
-    ranked = keys.join(often, "key", "left").groupBy("b").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.count_if(F.col("n").isNull()).alias("lost")).where("lost = 0")
-    out = words.join(ranked.select("b", "key"), "key").where(F.contains("a", "b")).select("a", "b")
-    for n in range(1, gram):
-        short = parts.where(F.length("b") == n)
-        out = out.unionByName(texts.where(F.length("a") >= n).select("a", F.explode(_substrings(F.col("a"), n)).alias("b")).join(short, "b").select("a", "b"))
-    return out.distinct()
+    rows = written(left.select(F.lit(0).alias("side"), F.col("s").alias("x")).unionByName(right.select(F.lit(1).alias("side"), F.col("t").alias("x"))), "texts")
+    short = [r["n"] for r in rows.where(F.length("x") < gram).select(F.length("x").alias("n")).distinct().collect()]  # fewer than `gram`
+    cut = F.explode(F.concat(*[F.when(F.length("x") >= n, _substrings(F.col("x"), n)).otherwise(F.array().cast("array<string>")) for n in sorted({gram, *short})]))
+    keys = written(rows.select("side", "x", cut.alias("key")), "substrings")
+    held = keys.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    there = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))  # how many of the other side have it
+    # the longest keys of a text tell where it can stand; one that the other side lacks tells that it stands nowhere
+    own = keys.where(F.length("key") == F.least(F.length("x"), F.lit(gram))).join(held, "key").groupBy("side", "x").agg(F.min_by("key", F.struct(there, "key")).alias("key"), F.min(there).alias("least")).where("least > 0")
+    around = keys.select((1 - F.col("side")).alias("side"), F.col("x").alias("y"), "key")
+    met = own.join(around, ["side", "key"]).where(F.contains("y", "x"))
+    first = F.col("side") == 0
+    return met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("s"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("t")).distinct()
 
 
 def match_titles_overlap(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
     """left(a, title) x right(b, title): exact, else containment (the longer shared part wins), else word overlap over the larger set above `least`; one best row each."""
-    x = left.select("a", T.normalized_cite(F.col("title")).alias("s"))
-    y = right.select("b", T.normalized_cite(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("b").alias("b"))
-    forms = x.select("s").where("s <> ''").distinct()
+    x = written(left.select("a", T.normalized_cite(F.col("title")).alias("s")), "left")
+    y = written(right.select("b", T.normalized_cite(F.col("title")).alias("t")).where("t <> ''").groupBy("t").agg(F.min("b").alias("b")), "right")
+    forms = written(x.select("s").where("s <> ''").distinct(), "forms")
     exact = forms.join(y, F.col("s") == F.col("t")).select("s", "b", F.lit(3).alias("tier"), F.lit(1.0).alias("score"))
     ours, theirs = (f.select(F.col(k).alias(n), F.array_distinct(F.split(k, " ")).alias("words")) for f, k, n in ((forms, "s", "a"), (y, "t", "b")))
     near = overlap_pairs(ours, theirs, least).select(F.col("a").alias("s"), F.col("b").alias("t"), F.lit(1).alias("tier"), (F.col("common") / F.greatest("na", "nb")).alias("score"))
-    down = containing_pairs(forms.select(F.col("s").alias("a")), y.select(F.col("t").alias("b"))).select(F.col("a").alias("s"), F.col("b").alias("t"))
-    up = containing_pairs(y.select(F.col("t").alias("a")), forms.select(F.col("s").alias("b"))).select(F.col("b").alias("s"), F.col("a").alias("t"))
-    inside = down.unionByName(up).select("s", "t", F.lit(2).alias("tier"), F.least(F.length("s"), F.length("t")).cast("double").alias("score"))
+    inside = containing_pairs(forms, y.select("t")).select("s", "t", F.lit(2).alias("tier"), F.least(F.length("s"), F.length("t")).cast("double").alias("score"))
     loose = near.unionByName(inside).join(y, "t").select("s", "b", "tier", "score")
     best = exact.unionByName(loose).groupBy("s").agg(F.max_by(F.struct("b", "tier", "score"), F.struct("tier", "score", -F.col("b"))).alias("m"))
     return x.join(best, "s").select("a", "m.b", "m.tier", F.round("m.score", 6).alias("score"))
