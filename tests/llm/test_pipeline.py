@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import langid, mixing, pieces, queries
+from quire.plans.materialize import shared_dir
 from tests.compare import duck_rows, rows_of
 from tests.llm.test_resemblance import brute_groups
 from tests.llm.test_small import brute_print, brute_targets
@@ -133,7 +135,10 @@ def test_pipeline(spark, tiny):
         score, cells = units.encode(d["text"], 1)[0]
         raw = b"".join(cells)
         want += [(d["doc_id"], len(raw) // 4, score, hashlib.sha256(raw).hexdigest())] * times[d["doc_id"]]
+    tables = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file:"), "quire").glob("*")}
+    before = tables()
     got = sorted((r["doc_id"], r["n_pieces"], r["score"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, tiny).collect())
+    assert [n.split("-")[0] for n in tables() - before] == ["encode"]
     assert got == sorted(want) and len(got) > 200
 
 
