@@ -50,32 +50,32 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
 
     Both ends grow in turn, each by nodes it has not seen, so a side has at most half the hops to fan out. What grows belongs to
     an end, not to a pair, so pairs with a common end share it; a pair leaves as soon as its sides meet, an end with its
-    last pair. Every step is a written table.
+    last pair. A step writes its frontier and the pairs.
     """
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit(">")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit("<")).alias("step")))
-    back = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.concat("edge", F.lit("<")).alias("step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.concat("edge", F.lit(">")).alias("step")))
+    there, back = F.concat("edge", F.lit(">")), F.concat("edge", F.lit("<"))
+    walked = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), there.alias("src_step"), back.alias("dst_step")).unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), back.alias("src_step"), there.alias("dst_step")))
     # a node with one edge lies on no path but at its ends
-    leaves = edges.select(F.col("src").alias("to")).unionByName(edges.select(F.col("dst").alias("to"))).groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to", F.lit(True).alias("leaf"))
-    both, back = (written(x.join(leaves, "to", "left").na.fill(False, ["leaf"]), "steps") for x in (both, back))
+    leaves = walked.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to", F.lit(True).alias("leaf"))
+    steps = written(walked.join(leaves, "to", "left").na.fill(False, ["leaf"]), "steps")
     empty = F.array().cast("array<string>")
-    open_pairs = written(pairs.select("src", "dst").distinct(), "pairs")
-    done = [open_pairs.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), empty.alias("path"))]
-    live = open_pairs.where("src <> dst")
+    state = written(pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), empty).alias("path")).distinct(), "pairs")  # a pair without path is still open
+    done, live = [state.where("path is not null").select("src", "dst", F.lit(0).alias("hops"), "path")], state.where("path is null").select("src", "dst")
     near = {k: live.select(F.col(k).alias("end"), F.col(k).alias("at"), empty.alias("path")).distinct() for k in ("src", "dst")}
     seen = {k: v.select("end", "at") for k, v in near.items()}
     for h in range(1, hops + 1):
         side, other = ("src", "dst") if h % 2 else ("dst", "src")
-        step, grown = (both, F.concat("path", F.array("step"))) if side == "src" else (back, F.concat(F.array("step"), "path"))
+        step = F.array(f"{side}_step")
+        grown = F.concat("path", step) if side == "src" else F.concat(step, "path")
         ends = live.select(F.col(side).alias("end"), F.col(other).alias("at"))
-        ahead = near[side].join(ends.select("end").distinct(), "end", "left_semi").join(step, "at").select("end", F.col("to").alias("at"), grown.alias("path"), "leaf")
+        ahead = near[side].join(ends.select("end").distinct(), "end", "left_semi").join(steps, "at").select("end", F.col("to").alias("at"), grown.alias("path"), "leaf")
         ahead = ahead.where("not leaf").drop("leaf").unionByName(ahead.where("leaf").drop("leaf").join(ends, ["end", "at"], "left_semi"))
         near[side] = written(ahead.groupBy("end", "at").agg(F.min("path").alias("path")).join(seen[side], ["end", "at"], "left_anti"), "frontier")
         seen[side] = seen[side].unionByName(near[side].select("end", "at"))
         a = live.join(near["src"].withColumnsRenamed({"end": "src"}), "src")
         met = a.join(near["dst"].withColumnsRenamed({"end": "dst", "path": "rest"}), ["dst", "at"]).groupBy("src", "dst").agg(F.min(F.concat("path", "rest")).alias("path"))
-        met = written(met, "met")
-        done.append(met.select("src", "dst", F.lit(h).alias("hops"), "path"))
-        live = written(live.join(met, ["src", "dst"], "left_anti"), "pairs")
+        state = written(live.join(met, ["src", "dst"], "left"), "pairs")
+        done.append(state.where("path is not null").select("src", "dst", F.lit(h).alias("hops"), "path"))
+        live = state.where("path is null").select("src", "dst")
         if live.isEmpty():
             break
     out = done[0]
