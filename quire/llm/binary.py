@@ -10,13 +10,20 @@ taken in the first round and segment that meet it, which its bits tell, so none
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import combinations, islice
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.plans.materialize import written
 
 
+#: Masks that a task holds at once.
+RUN = 1 << 14
+
+
 def sign_code(vector: Column, bits: int = 64) -> Column:
     """A long whose bit i is set if component i is above zero; null if the vector is null, of another length, or holds null or NaN."""
     sound = (F.size(vector) == bits) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
@@ -38,6 +45,29 @@ def _part(code: Column, at: int, length: int) -> Column:
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << length) - 1))
 
 
+def _masks(length: int, ones: int) -> Iterator[np.ndarray]:
+    """All numbers of `length` bits of which `ones` are set, in runs of at most RUN."""
+    every = combinations(range(length), ones)
+    while some := list(islice(every, RUN)):
+        yield (np.int64(1) << np.array(some, np.int64)).sum(axis=1) if ones else np.zeros(1, np.int64)
+
+
+def _probes(lengths: list[int], ones: int) -> Callable:
+    """Rows (code, kth, seg, value) -> the same with every value of the segment that differs from it in `ones` bits; made by the tasks, a bounded run at a time."""
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for seg, rows in p.groupby("seg"):
+                for masks in _masks(lengths[seg], ones):
+                    step = max(1, 8 * RUN // len(masks))
+                    for lo in range(0, len(rows), step):
+                        some = rows.iloc[lo : lo + step]
+                        again = some.loc[some.index.repeat(len(masks))]
+                        yield pd.DataFrame({"code": again["code"].to_numpy(), "kth": again["kth"].to_numpy(), "seg": again["seg"].to_numpy(), "value": (some["value"].to_numpy()[:, None] ^ masks[None, :]).ravel()})
+
+    return of
+
+
 def search(codes: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> DataFrame:
     """codes(vec_id, code) and a condition that picks the queries -> (query_id, rank, vec_id, distance): the k nearest rows but the query's own, ties to smaller vec_id.
 
@@ -57,9 +87,9 @@ def search(codes: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> Da
     state = spark.createDataFrame([], "code long, vec_id long, distance int")
     done = []
     for r in range(widest + 1):
-        masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s, (_, n) in enumerate(cuts) for c in combinations(range(n), r)] or [(-1, 0)], "seg int, mask long")
         values = F.array(*[_part(F.col("code"), at, n) for at, n in cuts])
-        probes = live.select("code", "kth", "upto", values.alias("own")).join(F.broadcast(masks), F.col("seg") < F.col("upto")).where("seg >= 0").select("code", "kth", "seg", F.element_at("own", F.col("seg") + 1).bitwiseXOR(F.col("mask")).alias("value"))
+        asked = live.select("code", "kth", "upto", F.posexplode(values).alias("seg", "value")).where("seg < upto").select("code", "kth", "seg", "value")
+        probes = asked.mapInPandas(_probes([n for _, n in cuts], r), "code long, kth int, seg int, value long")
         met = probes.join(index, ["seg", "value"])
         apart = [F.bit_count(_part(F.col("code").bitwiseXOR(F.col("found")), at, n)) for at, n in cuts]
         low = F.least(*apart) if m > 1 else apart[0]
