@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import accounting as A
@@ -126,12 +128,14 @@ def char_budget(nodes: DataFrame, most: int) -> DataFrame:
     return n.withColumns({"text": F.left("line", (F.lit(most) - F.col("before")).cast("int")), "truncated": F.col("before") + F.length("line") > most})
 
 
-def admitted_requests(events: DataFrame, limit: int, seconds: int, slots: int = 64) -> DataFrame:
+def admitted_requests(events: DataFrame, limit: int, seconds: int, slots: int | None = None) -> DataFrame:
     """The first `limit` requests of a tenant in each fixed window are admitted; the rest learn when to come back.
 
     A window is cut into `slots` equal times: requests are numbered within a slot and moved by the counts of the slots before,
-    so a busy tenant's window is many tasks.
+    so a busy tenant's window is many tasks. By default slots follow the root of the events, at least 64: neither a slot nor the list of slots
+    of a window grows with all events.
     """
+    slots = slots or max(64, math.isqrt(events.count()))
     us, start = A.micros(F.col("ts")), A.window_start(F.col("ts"), seconds)
     key = ["tenant", "start", "slot"]
     cut = events.withColumn("start", start).withColumn("slot", F.floor((us - F.col("start")) * slots / (seconds * 1_000_000)).cast("int"))

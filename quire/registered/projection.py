@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import text as T
 from quire.operators import jobs as J, projection as P, retrieval as R
+from quire.plans.materialize import written
 from quire.plans.session import table
 from quire.queries import query
 from quire.registered import views as V
@@ -45,6 +46,10 @@ def structured(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.concat(head, T.once(F.split("text", "\n", -1), cut), item, end).alias("xml"))
 
 
+def _elements(spark, d) -> DataFrame:
+    return written(P.elements(structured(spark, d)), "elements")
+
+
 def _projected(spark, d) -> dict[str, DataFrame]:
     return P.project(structured(spark, d))
 
@@ -67,12 +72,12 @@ _PRIOR = "A BC Prior ' || doc_id || ', 1999. 10.1/' || doc_id"
 
 @query("job1_papers", "SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'Paper ' || doc_id || ' on it' END AS title, CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'short ' || doc_id END AS abstract, CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'Ann ' || doc_id % 7 || '|Bo' END AS authors, CASE WHEN doc_id % 29 <> 0 THEN 2000 + doc_id % 20 END::INT AS year, CASE WHEN doc_id % 29 = 0 THEN '' ELSE 'J ' || doc_id % 5 END AS venue, doc_id % 29 = 0 AS broken FROM documents")
 def job1_papers(spark, d):
-    return _projected(spark, d)["papers"].select("doc_id", "title", "abstract", F.array_join("authors", "|").alias("authors"), "year", "venue", F.col("fault").isNotNull().alias("broken"))
+    return P.papers(_elements(spark, d)).select("doc_id", "title", "abstract", F.array_join("authors", "|").alias("authors"), "year", "venue", F.col("fault").isNotNull().alias("broken"))
 
 
 @query("job1_sections", f"WITH {_LINES}, r AS (SELECT doc_id, -1 AS place, 0 AS sub, 'abstract' AS kind, 0 AS level, 'Abstract' AS title, NULL AS parent, '/document[1]/abstract[1]' AS pointer FROM documents WHERE doc_id % 29 <> 0 UNION ALL SELECT doc_id, pos, 0, 'section', 1, c, NULL, s FROM l WHERE j = 0 UNION ALL SELECT doc_id, pos, 1, 'subsection', 2, 'Results ' || pos, s, s || '/subsection[1]' FROM l WHERE j = 4) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) - 1)::INT AS ordinal, kind, level::INT AS level, title, {_ROLE.format('lower(title)')} AS role, parent, pointer FROM r")
 def job1_sections(spark, d):
-    s = _projected(spark, d)["sections"]
+    s = written(P.sections(_elements(spark, d)), "sections")
     up = s.select("doc_id", F.col("pre").alias("parent"), F.col("pointer").alias("above"))
     return s.join(up, ["doc_id", "parent"], "left").select("doc_id", "ordinal", "kind", "level", "title", "role", F.col("above").alias("parent"), "pointer")
 
@@ -88,7 +93,7 @@ def job1_contents(spark, d):
 
 @query("job1_cells", f"WITH {_LINES} SELECT doc_id, s || '/table[1]/tabular[1]/' || p AS pointer, row::INT AS row, col::INT AS col, span::INT AS col_span, header, text FROM (SELECT doc_id, s, unnest([{{'p': 'tr[1]/th[1]', 'row': 0, 'col': 0, 'span': 1, 'header': true, 'text': 'k'}}, {{'p': 'tr[1]/td[1]', 'row': 0, 'col': 1, 'span': 2, 'header': false, 'text': pos::VARCHAR}}, {{'p': 'tr[1]/td[2]', 'row': 0, 'col': 3, 'span': 1, 'header': true, 'text': c}}, {{'p': 'tr[2]/td[1]', 'row': 1, 'col': 0, 'span': 1, 'header': false, 'text': 'z'}}], recursive := true) FROM l WHERE j = 2)")
 def job1_cells(spark, d):
-    return _projected(spark, d)["cells"].select("doc_id", "pointer", "row", "col", "col_span", "header", "text")
+    return P.cells(_elements(spark, d)).select("doc_id", "pointer", "row", "col", "col_span", "header", "text")
 
 
 @query("job1_formulas", f"WITH {_LINES} SELECT doc_id, s || '/p[1]/Math[1]' AS pointer, s || '/p[1]' AS owner, 'x_' || pos AS tex, k % 2 = 0 AS sound, 'inline' AS mode FROM l WHERE j = 1")
@@ -100,7 +105,7 @@ def job1_formulas(spark, d):
 
 @query("job1_references", f"SELECT doc_id, 'b1' AS xml_id, 'k' || doc_id AS key, '{_PRIOR} AS raw, 'Prior ' || doc_id AS title, 'A B|C' AS authors, 1999 AS year, '10.1/' || doc_id AS doi FROM documents WHERE doc_id % 29 <> 0")
 def job1_references(spark, d):
-    return _projected(spark, d)["references"].select("doc_id", "xml_id", "key", "raw", "title", F.array_join("authors", "|").alias("authors"), "year", F.col("identifiers")["doi"].alias("doi"))
+    return P.references(_elements(spark, d)).select("doc_id", "xml_id", "key", "raw", "title", F.array_join("authors", "|").alias("authors"), "year", F.col("identifiers")["doi"].alias("doi"))
 
 
 @query("job1_mentions", f"WITH {_CONTENT} SELECT m.doc_id, m.s || '/p[1]/cite[1]' AS pointer, b AS target, c0.pointer AS owner, left(c0.text, 1000) AS context FROM m JOIN c0 ON m.doc_id = c0.doc_id AND m.pos = c0.place WHERE j = 1")

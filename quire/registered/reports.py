@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from quire.functions import text as T
 from quire.operators import jobs as J, projection as P, registry as Q, reports as R, sets as S, usage as U
@@ -10,7 +10,7 @@ from quire.plans.materialize import fresh_path
 from quire.plans.session import table
 from quire.queries import query
 from quire.registered import jobs as JOBS, projection as PROJ, relational as REL, views as V
-from quire.sources import sinks
+from quire.sources import readers, sinks
 
 
 def _t(spark, d, name):
@@ -170,3 +170,47 @@ def snk6_files(spark, d):
 @query("agg8_edge_references", "SELECT l_partkey AS src, l_suppkey AS dst, (row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey) - 1)::INT AS place, l_orderkey AS reference_id, l_discount AS confidence FROM (SELECT l_partkey, l_suppkey, l_orderkey, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL)")
 def agg8_references(spark, d):
     return U.edge_references(_t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("reference_id")))
+
+
+# ---- steps of an ingest, and writers read back ------------------------------------------------------------------
+
+_NO_HINTS = JOBS._CLASS[: JOBS._CLASS.index("UNION ALL SELECT doc_id, CASE source")] + JOBS._CLASS[JOBS._CLASS.index(") GROUP BY 1, 2, 3)") :]
+
+
+@query("job12_ingest_steps", f"WITH {V.PAPERS}, {_NO_HINTS}, e AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b20[12][0-9]\\b'))::INT AS y, generate_subscripts(regexp_extract_all(text, '\\b20[12][0-9]\\b'), 1) AS i FROM documents), c AS (SELECT doc_id, y, count(*) AS n, min(i) AS f FROM e WHERE y >= 2017 GROUP BY 1, 2), y AS (SELECT doc_id, arg_max(y, n * 1000000 - f)::INT AS year FROM c GROUP BY 1), r AS (SELECT p.doc_id, year, title, (SELECT string_agg(dom, '|' ORDER BY r) FROM dt WHERE dt.doc_id = p.doc_id) AS domains, coalesce((SELECT string_agg(kw, '|' ORDER BY r) FROM mt WHERE mt.doc_id = p.doc_id AND r <= 10), '') AS methods FROM papers p LEFT JOIN y USING (doc_id)) SELECT doc_id, year, coalesce(domains, '') AS domains, methods, CASE WHEN year IS NULL THEN 'missing' ELSE 'ok' END AS year_status, CASE WHEN domains IS NULL THEN 'untagged' ELSE 'ok' END AS tag_status, CASE WHEN title = '' THEN 'no_title' ELSE 'ok' END AS status FROM r")
+def job12_steps(spark, d):
+    found = J.ingest(V.papers(spark, d), JOBS.TAXONOMY)
+    return found.select("doc_id", "year", F.array_join("domains", "|").alias("domains"), F.array_join("methods", "|").alias("methods"), "year_status", "tag_status", "status")
+
+
+@query("src7_read_transcripts", "SELECT role, left(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g'), ' +', ' ', 'g')), CASE role WHEN 'user' THEN 500 ELSE 2000 END) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\\x00-\\x1f\\x7f]', ' ', 'g')) <> ''")
+def src7_transcripts(spark, d):
+    """Every second turn is a list of typed parts."""
+    path = fresh_path(spark, "transcripts")
+    part = F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")))
+    lines = _t(spark, d, "conversations").select(F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", F.col("text").alias("content")))).otherwise(F.to_json(F.struct("role", part.alias("content")))).alias("value"))
+    lines.write.text(path)
+    return readers.read_transcripts(spark, path)
+
+
+@query("snk7_append_week_log", "SELECT conv_id::VARCHAR AS session, turn::BIGINT AS seq, 'p' || conv_id % 3 AS project FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
+def snk7_append(spark, d):
+    """The first two turns are logged first, then all turns: the log holds each once."""
+    path = fresh_path(spark, "weeks")
+    turns = _t(spark, d, "conversations").select(F.concat(F.lit("p"), F.col("conv_id") % 3).alias("project"), F.lit("2024-W01").alias("week"), F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("seq"))
+    none = turns.limit(0)
+    first = turns.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy("seq"))).where("n <= 2").drop("n")
+    sinks.append_week_log(first, none, path)
+    logged = spark.read.schema("session string, seq long, project string, week string").json(path)
+    sinks.append_week_log(turns, logged, path)
+    return spark.read.schema("session string, seq long, project string, week string").json(path).select("session", "seq", "project")
+
+
+@query("snk2_write_manifest", "WITH g AS (SELECT page_id, list_filter([CASE WHEN trim(regexp_extract(html, '(?is)<title>([^<]*)', 1)) = '' THEN 'no_title' END, CASE WHEN len(regexp_extract_all(html, '(?i)<(?:h[1-6])[ >]')) = 0 THEN 'no_sections' END, CASE WHEN len(regexp_extract_all(html, '(?i)<(?:p)[ >]')) < 10 THEN 'too_few_paragraphs' END], lambda x: x IS NOT NULL) AS r FROM pages) SELECT 'failed' AS file, page_id::VARCHAR AS page_id, array_to_string(r, ';') AS reasons FROM g WHERE len(r) > 0 UNION ALL SELECT 'manifest', page_id::VARCHAR, NULL FROM g WHERE len(r) = 0")
+def snk2_write(spark, d):
+    path = fresh_path(spark, "manifests")
+    graded = J.grade_structure(_t(spark, d, "pages")).select("page_id", "tier", "reasons")
+    sinks.write_manifest(graded, f"{path}/m")
+    sinks.write_failed(graded, f"{path}/f")
+    failed = spark.read.csv(f"{path}/f", header=True).select(F.lit("failed").alias("file"), "page_id", "reasons")
+    return failed.unionByName(spark.read.csv(f"{path}/m", header=True).select(F.lit("manifest").alias("file"), "page_id", F.lit(None).cast("string").alias("reasons")))
