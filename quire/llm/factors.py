@@ -33,10 +33,7 @@ _U = np.uint64
 #: Odd multipliers.
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _RUN_FACTORS = [(_B2 * (2 * k + 1) ** 3) & (2**64 - 1) | 1 for k in range(RUN)]
-#: Words whose hashes a worker remembers, and the longest of them.
-CACHE_WORDS, CACHED = 400_000, 64
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
-_known: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,17 +43,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def _word_hash(word: bytes) -> int:
-    found = _known[word] = xxhash.xxh3_64_intdigest(word)
-    return found
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """The XXH3 of each word; those of short words are remembered."""
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    look = _known.get
-    return np.array([look(w) or (_word_hash(w) if len(w) <= CACHED else xxhash.xxh3_64_intdigest(w)) for w in words], _U)
+    """The XXH3 of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), _U)
 
 
 def _phrases(x: np.ndarray, seed: int) -> np.ndarray:
