@@ -83,13 +83,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, hits: int = MIN_HITS, co
     posted = written(posted.join(sets.select("set_id", F.col("tokens").alias("needs")), "set_id"), "posted")
     met = good.select("tokens", F.explode("tokens").alias("token")).join(posted, "token").where(F.size(F.array_except("needs", "tokens")) == 0)
     counted = sets.join(met.groupBy("set_id").agg(F.count("*").alias("good")), "set_id", "left").withColumn("freq", F.col("hits") + F.coalesce("good", F.lit(0)))
-    rules = written(counted.where(F.col("hits") >= confidence * F.col("freq")).select("set_id", "tokens", F.size("tokens").alias("size"), "hits", "freq"), "rules")
-    # a rule adds nothing to a shorter one that is as confident: every set of it is met at its least token
-    first = rules.select(F.col("set_id").alias("part"), F.col("tokens").alias("held"), F.col("size").alias("less"), F.col("hits").alias("h"), F.col("freq").alias("f"), F.array_min("tokens").alias("token"))
-    whole = rules.where("size > 1").select("set_id", "tokens", "size", "hits", "freq", F.explode("tokens").alias("token"))
-    covered = whole.join(first, "token").where((F.col("less") < F.col("size")) & (F.col("h") * F.col("freq") >= F.col("hits") * F.col("f")) & (F.size(F.array_except("held", "tokens")) == 0)).select("set_id").distinct()
-    kept = rules.join(covered, "set_id", "left_anti")
-    return kept.select(F.col("set_id").alias("rule_id"), "tokens", "size", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence"))
+    known = written(counted.select("set_id", "tokens", F.size("tokens").alias("size"), "hits", "freq", (F.col("hits") / F.col("freq")).alias("c")), "counted")
+    # a rule adds nothing to a shorter part that is as confident; parts of a mined set are mined too, so the best of them comes from the
+    # sets with one token less and from their best, one size after another
+    longest = known.agg(F.max("size")).first()[0] or 0
+    best = written(known.where("size = 1").select("set_id", "c"), "best")
+    out = known.where((F.col("size") == 1) & (F.col("c") >= confidence)).drop("c")
+    for n_tokens in range(2, longest + 1):
+        whole = known.where(F.col("size") == n_tokens)
+        parts = whole.select("set_id", F.explode(F.transform("tokens", lambda t: F.xxhash64(F.array_remove("tokens", t)))).alias("part"))
+        above = parts.join(best.select(F.col("set_id").alias("part"), F.col("c").alias("most")), "part").groupBy("set_id").agg(F.max("most").alias("most"))
+        state = written(whole.join(above, "set_id"), "best")
+        out = out.unionByName(state.where((F.col("c") >= confidence) & (F.col("c") > F.col("most"))).select(*out.columns))
+        best = state.select("set_id", F.greatest("c", "most").alias("c"))
+    return out.select(F.col("set_id").alias("rule_id"), "tokens", "size", (F.col("hits") / n).alias("support"), (F.col("hits") / F.col("freq")).alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
