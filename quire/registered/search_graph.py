@@ -24,7 +24,8 @@ def _questions(spark, d):
     w = F.split(T.normalized_title(F.col("text")), " ")
     k = F.col("item_id") % 3
     a, b, c = (F.get(w, F.lit(i)) for i in range(3))
-    q = F.when(k == 0, F.concat_ws(" ", a, b, c)).when(k == 1, F.concat(a, F.lit(" or "), b, F.lit(" -"), c)).otherwise(F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
+    x, y, z = map(R.literal, (a, b, c))
+    q = F.when(k == 0, F.concat_ws(" ", x, y, z)).when(k == 1, F.concat(x, F.lit(" or "), y, F.lit(" -"), c)).otherwise(F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("q"))
 
 
@@ -105,7 +106,7 @@ _FUSE = "rr AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score F
 
 def _asked(spark, d):
     w = F.split(T.normalized_title(F.col("text")), " ")
-    docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(w, 1, 3), " ").alias("q"))
+    docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.transform(F.slice(w, 1, 3), R.literal), " ").alias("q"))
     _, v = _vectors(spark, d)
     return docs.join(v, "query_id", "left")
 

@@ -335,3 +335,17 @@ def test_common_neighbours_are_bounded(spark):
     assert G.concept_pairs(e.select(F.col("src").alias("work"), F.col("dst").alias("concept"))).count() == 3
     for most in (1, 2):
         assert sorted(map(tuple, G.cocitation(e, 1, most=most).collect())) == sorted(map(tuple, G.cocitation(e, 1).collect()))
+
+
+def test_words_that_are_operators_or_repeated(spark):
+    """A quoted `or` is a word; a term that is asked for twice in one group counts twice; words that cancel out still give a unit vector."""
+    from quire.operators import retrieval as R
+
+    p = spark.createDataFrame([(1, "annt or oferen"), (2, "annt oferen")], "id long, text string")
+    q = spark.createDataFrame([(1, 'annt "or" oferen'), (2, "annt or annt"), (3, "annt"), (4, '"or" or "zz"'), (5, '"annt oferen"')], "query_id long, q string")
+    got = {(r["query_id"], r["id"]): r["score"] for r in R.lexical_search(q, p, 9).collect()}
+    assert set(got) == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (4, 1), (5, 2)}
+    assert got[2, 1] == round(2 * got[3, 1], 6)
+    text = spark.createDataFrame([("[Ereaea.] Ereaea.",), ("",)], "text string")
+    lengths = [round(sum(x * x for x in r["v"]), 6) for r in text.select(R.hashed_embedding(text["text"]).alias("v")).collect()]
+    assert lengths == [1.0, 0.0]
