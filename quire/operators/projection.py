@@ -1,7 +1,10 @@
-"""Structured XML documents as rows: one parse gives every element with its place in the tree, the rest are joins on these rows.
+"""Structured XML documents as rows: one parse gives every element with its place in the tree and what is around it.
+
+A document is parsed whole, and the parser knows what is open when an element starts, so sections, containers, texts and contexts
+come with the rows; the tables are then selections, and groups or windows within a document.
 
 An element has `pre`, its number in document order, and `last`, the greatest number within it, so what it contains is the
-interval pre + 1 .. last. Sections, containers and texts of elements are containment of such intervals. To find it with an equi-join
+interval pre + 1 .. last. For containment among rows of other kinds (`within`) with an equi-join
 an interval is cut into the few aligned stretches of 2^level numbers that make it up, and a place asks for the one
 stretch of each level that holds it: both sides grow with the logarithm of a document's size, at any depth of nesting.
 """
@@ -10,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
-from quire.operators.jobs import SECTION_KINDS, chunk_eligible, chunked
+from quire.operators.jobs import SECTION_KINDS, chunked
 from quire.plans.materialize import written
+from quire.plans.session import small_batches
 
 #: Elements that are content of a document, of its sections, and references to its literature. Fixed values.
 CONTENT_KINDS = ("p", "table", "figure", "theorem", "proof", "equation", "equationgroup")
@@ -23,68 +26,199 @@ LITERATURE = ("bibliography", "biblist", "bibitem")
 VENUE_ROLES, IDENTIFIER_ROLES = ("journal", "venue", "conference"), ("doi", "arxiv", "url")
 YEAR = r"\b(?:19|20)[0-9]{2}\b"
 XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
-ELEMENTS = "doc_id long, pre int, last int, parent int, depth int, size int, tag string, pointer string, xml_id string, attrs map<string,string>, head string, tail string, quiet int, above_quiet int, mark string, fault string"
-_NAMES = [x.split()[0] for x in ELEMENTS.replace("map<string,string>", "map").split(", ")]
+ELEMENTS = (
+    "doc_id long, pre int, last int, parent int, depth int, size int, tag string, pointer string, xml_id string, attrs map<string,string>, "
+    "above int, above_pointer string, level int, section int, section_pointer string, section_title string, held int, held_pointer string, bound boolean, "
+    "ordinal int, paper string, title string, caption string, text string, childless boolean, sound boolean, items array<int>, "
+    "lines array<struct<table:int,row:int>>, cites array<struct<pointer:string,owner:int,place:string,context:string>>, fault string"
+)
+#: Rows of a batch that leaves the parser.
+OUT_ROWS = 4_096
+
+
+class _Element:
+    """What is known of an element; what it lacks is null."""
+
+    last = parent = depth = size = tag = pointer = xml_id = attrs = above = above_pointer = level = section = section_pointer = section_title = None
+    pre = held = held_pointer = bound = ordinal = paper = title = caption = text = childless = sound = items = lines = cites = fault = person = None
+    head = tail = ""
+
+    def __init__(self, doc: int):
+        self.doc_id = doc
 
 
 class _Reader:
-    """Rows of one document from the parser's events, in document order."""
+    """The elements of one document from the parser's events, in document order. What is around an element is handed down by its parent."""
 
     def __init__(self, doc: int):
-        self.doc, self.rows, self.open, self.texts, self.ended = doc, [], [], [], None
+        self.doc, self.rows, self.open, self.plain, self.mixed, self.ended = doc, [], [], [], [], None
+        self.errors, self.contents, self.abstract = 0, 0, None
 
     def start(self, name: str, attrs: dict) -> None:
-        tag, up = name.rpartition("}")[2], self.open[-1] if self.open else None
-        counts = up["counts"] if up else {}
-        counts[tag] = counts.get(tag, 0) + 1
-        pre = len(self.rows)
-        quiet = pre if tag in ("Math", "cite", "tags", "tag") else up["quiet"] if up else -1
-        row = {"doc_id": self.doc, "pre": pre, "parent": up["pre"] if up else None, "depth": len(self.open), "tag": tag, "pointer": f"{up['pointer'] if up else ''}/{tag}[{counts[tag]}]"}
-        row |= {"xml_id": attrs.get(XML_ID), "attrs": {k.rpartition("}")[2]: v for k, v in attrs.items()}, "head": "", "tail": "", "quiet": quiet, "above_quiet": up["quiet"] if up else -1, "mark": None, "fault": None, "counts": {}, "from": len(self.texts)}
-        self.rows.append(row)
-        self.open.append(row)
+        e, up, tag = _Element(self.doc), self.open[-1] if self.open else None, name.rpartition("}")[2]
+        e.pre, e.tag, e.depth, e.xml_id, e.counts = len(self.rows), tag, len(self.open), attrs.get(XML_ID), {}
+        e.attrs = [(k.rpartition("}")[2], v) for k, v in attrs.items()] if attrs else []
+        e.here = len(self.plain), len(self.mixed)
+        if up is None:
+            e.pointer, e.quiet, e.own, e.around, e.inner, e.cited, e.noted, e.tables = f"/{tag}[1]", -1, None, None, None, (), (), ()
+        else:
+            counts = up.counts
+            counts[tag] = n = counts.get(tag, 0) + 1
+            e.parent, e.pointer = up.pre, f"{up.pointer}/{tag}[{n}]"
+            # own: the innermost section; around: that or the abstract; inner: the innermost content element; all with the parent itself
+            e.quiet, e.own, e.around, e.inner, e.cited, e.noted, e.tables = up.quiet, up.own, up.around, up.inner, up.cited, up.noted, up.tables
+        if e.inner is not None:
+            e.held, e.held_pointer = e.inner.pre, e.inner.pointer
+        if e.around is not None:
+            e.section, e.section_pointer = e.around.pre, e.around.pointer
+        e.outer, e.sec = e.inner, e.around
+        if tag in CONTENT_KINDS:
+            e.ordinal, e.childless, e.bound = self.contents, True, e.inner is not None and (e.inner.bound or e.inner.tag in ("p", "table", "figure"))
+            self.contents += 1
+            if e.inner is not None:
+                e.inner.childless = False
+            e.inner = e
+        elif tag in SECTION_KINDS:
+            e.level = 1
+            if e.own is not None:
+                e.above, e.above_pointer, e.level = e.own.pre, e.own.pointer, e.own.level + 1
+            e.own = e.around = e
+        elif tag == "Math":
+            e.quiet = e.pre
+            if e.inner is None:
+                e.ordinal = self.contents
+                self.contents += 1
+        elif tag == "cite":
+            e.quiet = e.pre
+            if not e.noted:
+                e.cited = (*e.cited, e)
+        elif tag in ("tags", "tag"):
+            e.quiet = e.pre
+        elif tag == "abstract" and e.parent == 0 and self.abstract is None:
+            self.abstract = e.around = e
+        elif tag == "merror":
+            self.errors += 1
+        elif tag == "tr":
+            e.lines = []
+            for t in e.tables:
+                e.lines.append((t.pre, t.trs))
+                t.trs += 1
+        elif tag in ("td", "th") and up is not None and up.tag == "tr":
+            e.lines = up.lines
+        if tag == "table":
+            e.trs, e.tables = 0, (*e.tables, e)
+        elif tag in LITERATURE:
+            e.noted = (*e.noted, e)
+        elif tag == "math":
+            e.before = self.errors
+        if e.noted and tag != "bibitem":
+            e.items = [x.pre for x in e.noted if x.tag == "bibitem"]
+        self.rows.append(e)
+        self.open.append(e)
         self.ended = None
 
+    def _text(self, e: _Element) -> str:
+        """All text within an element that has just ended."""
+        return " ".join("".join(self.plain[e.here[0] :]).split())
+
+    def _mixed(self, e: _Element) -> str:
+        """The same with marks for formulas and cites within it, without number tags."""
+        return " ".join("".join([t for t, quiet in self.mixed[e.here[1] :] if quiet <= e.pre]).split())
+
     def end(self, _: str) -> None:
-        row = self.ended = self.open.pop()
-        row["last"] = len(self.rows) - 1
-        if row["tag"] == "Math":
-            row["mark"] = f" ${row['attrs'].get('tex') or ' '.join(''.join(self.texts[row['from'] :]).split())}$ "
-        elif row["tag"] == "cite":
-            row["mark"] = " [" + ",".join(r["attrs"]["idref"] for r in self.rows[row["pre"] :] if r["tag"] == "ref" and r["attrs"].get("idref")) + "] "
+        e = self.ended = self.open.pop()
+        up, tag = self.open[-1] if self.open else None, e.tag
+        e.last = len(self.rows) - 1
+        if tag in CONTENT_KINDS or tag in ("td", "th") or e is self.abstract:
+            e.text = self._mixed(e)
+        elif tag in ("date", "note", "bibitem") or (tag == "creator" and e.parent == 0) or (e.items and tag in ("title", "bib-title", "bib-name", "personname", "bib-data", "ref")):
+            e.text = (e.person if tag == "creator" else None) or self._text(e)
+        if up is None:
+            return
+        if tag == "Math":
+            tex = dict(e.attrs).get("tex") or self._text(e)
+            self.mixed.append((f" ${tex}$ ", up.quiet))
+        elif tag == "cite":
+            ids = [v for r in self.rows[e.pre :] if r.tag == "ref" for k, v in r.attrs if k == "idref" and v]
+            self.mixed.append((f" [{','.join(ids)}] ", up.quiet))
+        elif tag == "title" and up.title is None:
+            parts = [e.head]
+            for kid in self.rows[e.pre + 1 :]:
+                if kid.parent == e.pre:
+                    parts += [kid.head if kid.tag != "tag" else "", kid.tail]
+            up.title = " ".join(" ".join(parts).split())
+        elif tag == "caption" and up.caption is None:
+            up.caption = self._text(e)
+        elif tag == "personname" and up.tag == "creator" and up.person is None:
+            up.person = self._text(e)
+        elif tag == "math" and up.tag == "Math" and up.sound is None:
+            up.sound = self.errors == e.before
 
     def data(self, text: str) -> None:
-        self.texts.append(text)
+        self.plain.append(text)
+        if self.open:
+            self.mixed.append((text, self.open[-1].quiet))
         if self.ended is not None:
-            self.ended["tail"] += text
+            self.ended.tail += text
         elif self.open:
-            self.open[-1]["head"] += text
+            self.open[-1].head += text
+
+    def close(self) -> list[_Element]:
+        """The rows, with what is only known at the end."""
+        for e in self.rows:
+            e.size = len(self.rows)
+            if e.ordinal is not None:
+                e.paper = self.rows[0].title or ""
+                if e.sec is not None:
+                    e.section_title = "Abstract" if e.sec is self.abstract else e.sec.title or ""
+            if e.tag == "ref" and e.cited:
+                e.cites = [(c.pointer, c.held, c.held_pointer, c.outer.text[:1000] if c.outer is not None else "") for c in e.cited]
+        return self.rows
 
 
 def elements(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> DataFrame:
     """docs -> one row for each element of each document, from one parse; tags and attributes without namespace.
 
-    `pointer` is the path of sibling numbers for each tag (`/document[1]/section[2]/p[1]`), head the text before the first child, tail the text after
-    the element, mark what stands for a formula or cite in running text; quiet and above_quiet number the innermost formula, cite or tag that the
-    element, or its parent, is in (-1: none). A document that is null or no XML gives one row without pre and with the fault.
+    `pointer` is the path of sibling numbers for each tag (`/document[1]/section[2]/p[1]`). What is around an element, the parser knows when it starts:
+    above and above_pointer name the innermost section around a section, level its depth; section, section_pointer and section_title the innermost section or
+    abstract around any element; held and held_pointer the innermost content element around it; items the bibliography items around it, lines the tables around a
+    cell's row with its number in each, cites the cites outside the bibliography around a reference, with content element and context. Of a content element, or a
+    formula outside of them: ordinal and paper (the document's title), bound (whether it is in a paragraph, table or figure) and childless. text is that of content
+    elements, cells and the abstract (`$tex$` for formulas, `[ids]` for cites, no number tags), and of what papers and references are read from. sound tells
+    whether a formula's MathML is free of errors. A document that is null or no XML gives one row without pre and with the fault.
     """
-    import xml.etree.ElementTree as ET
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ELEMENTS))
+
+    def batch(rows: list[_Element]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([getattr(r, f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xml.etree.ElementTree as ET
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[_Element] = []
         for p in parts:
-            for doc, text in zip(p["doc_id"], p["xml"], strict=True):
-                reader = _Reader(int(doc))
+            for doc, text in zip(p.column(0), p.column(1), strict=True):
+                reader = _Reader(doc.as_py())
                 try:
                     parser = ET.XMLParser(target=reader)
-                    parser.feed(text or "")
-                    parser.close()
-                    rows = [r | {"size": len(reader.rows)} for r in reader.rows]
+                    parser.feed(text.as_py() or "")
+                    rows += parser.close()
                 except ET.ParseError as e:
-                    rows = [dict.fromkeys(_NAMES) | {"doc_id": int(doc), "fault": str(e)}]
-                yield pd.DataFrame(rows, columns=_NAMES).astype(dict.fromkeys(("pre", "last", "parent", "depth", "size", "quiet", "above_quiet"), "Int32"))
-
+                    rows.append(_Element(reader.doc))
+                    rows[-1].fault = str(e)
+                if len(rows) >= OUT_ROWS:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    small_batches(docs.sparkSession)
     some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(xml).cast("string").alias("xml"))
-    return some.mapInPandas(parse, ELEMENTS)
+    return some.mapInArrow(parse, ELEMENTS)
 
 
 def _cover(first: Column, after: Column) -> Column:
@@ -112,153 +246,90 @@ def within(places: DataFrame, outer: DataFrame) -> DataFrame:
     return asks.join(held, ["doc_id", "_s"]).drop("_s")
 
 
-def nearest(places: DataFrame, outer: DataFrame, name: str) -> DataFrame:
-    """places with the innermost of outer that holds them, as a struct (null: none). places need a column `key` that tells them apart."""
-    found = within(places.select("doc_id", "key", "at", "size"), outer).groupBy("doc_id", "key").agg(F.max_by("outer", "outer.pre").alias(name))
-    return places.join(found, ["doc_id", "key"], "left")
-
-
-def _squeezed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"[\s\u0085\p{Z}]+", " "))
-
-
-def texts_of(e: DataFrame, wanted: DataFrame, mixed: bool) -> DataFrame:
-    """wanted(doc_id, pre, last) -> (doc_id, pre, text): all text within each, blanks collapsed.
-
-    Mixed text has `$tex$` for formulas and `[ids]` for cites, and leaves out number tags. An element's pieces are put in order within one row, as long as its text.
-    """
-    head = e.where("head <> ''").select("doc_id", "size", F.col("pre").alias("at"), "quiet", F.struct(F.col("pre").alias("place"), F.lit(0).alias("turn"), F.lit(0).alias("up"), F.col("head").alias("text")).alias("piece"))
-    tail = e.where("tail <> '' and parent is not null").select("doc_id", "size", F.col("parent").alias("at"), F.col("above_quiet").alias("quiet"), F.struct(F.col("last").alias("place"), F.lit(1).alias("turn"), (-F.col("depth")).alias("up"), F.col("tail").alias("text")).alias("piece"))
-    pieces = head.unionByName(tail)
-    if mixed:
-        mark = e.where("mark is not null and parent is not null").select("doc_id", "size", F.col("parent").alias("at"), F.col("above_quiet").alias("quiet"), F.struct(F.col("pre").alias("place"), F.lit(0).alias("turn"), F.lit(0).alias("up"), F.col("mark").alias("text")).alias("piece"))
-        pieces = pieces.unionByName(mark)
-    met = within(pieces, wanted.select("doc_id", "pre", "last"))
-    if mixed:
-        met = met.where(F.col("quiet") <= F.col("outer.pre"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), "")
-    found = met.groupBy("doc_id", F.col("outer.pre").alias("pre")).agg(_squeezed(joined).alias("text"))
-    return wanted.select("doc_id", "pre").join(found, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _titles(e: DataFrame) -> DataFrame:
-    """(doc_id, parent, title) of the first title of each element: its text, and that of its children but number tags."""
-    first = e.where("tag = 'title' and parent is not null").groupBy("doc_id", "parent").agg(F.min("pre").alias("pre"), F.min_by("head", "pre").alias("head"))
-    kids = e.select("doc_id", F.col("parent").alias("pre"), F.struct(F.col("pre").alias("place"), F.concat_ws(" ", F.when((F.col("tag") != "tag") & (F.col("head") != ""), F.col("head")), F.when(F.col("tail") != "", F.col("tail"))).alias("text")).alias("kid"))
-    more = kids.join(first.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi").groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list("kid")), lambda k: k["text"]), " ").alias("more"))
-    return first.join(more, ["doc_id", "pre"], "left").select("doc_id", "parent", _squeezed(F.concat_ws(" ", "head", "more")).alias("title"))
-
-
-def _abstracts(e: DataFrame) -> DataFrame:
-    """The first abstract right below each root."""
-    first = e.where("tag = 'abstract' and parent = 0").groupBy("doc_id").agg(F.min("pre").alias("pre"))
-    return e.join(first, ["doc_id", "pre"], "left_semi")
-
-
 def sections(e: DataFrame) -> DataFrame:
-    """(doc_id, pre, last, ordinal, level, kind, title, role, parent, pointer, xml_id): the abstract at level 0, then sections in document order, level and parent by nesting."""
-    own = e.where(F.col("tag").isin(*SECTION_KINDS))
-    around = within(own.select("doc_id", F.col("pre").alias("key"), F.col("parent").alias("at"), "size").where("at is not null"), own.select("doc_id", "pre", "last"))
-    around = around.groupBy("doc_id", F.col("key").alias("pre")).agg(F.count("*").alias("n"), F.max("outer.pre").alias("above"))
-    titled = own.join(_titles(e).withColumnRenamed("parent", "pre"), ["doc_id", "pre"], "left").join(around, ["doc_id", "pre"], "left")
-    titled = titled.select("doc_id", "pre", "last", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("level"), F.col("tag").alias("kind"), F.coalesce("title", F.lit("")).alias("title"), F.col("above").alias("parent"), "pointer", "xml_id")
-    abstract = _abstracts(e).select("doc_id", "pre", "last", F.lit(0).alias("level"), F.lit("abstract").alias("kind"), F.lit("Abstract").alias("title"), F.lit(None).cast("int").alias("parent"), "pointer", "xml_id")
-    both = abstract.unionByName(titled)
+    """(doc_id, pre, last, ordinal, level, kind, title, role, parent, above, pointer, xml_id): the first abstract right below the root at level 0, then sections in document order, level and parent by nesting; above is the parent's pointer."""
+    abstract = (F.col("tag") == "abstract") & F.col("text").isNotNull()
+    own = e.where(F.col("tag").isin(*SECTION_KINDS) | abstract)
+    none = F.lit(None)
+    both = own.select(
+        "doc_id", "pre", "last", F.when(abstract, 0).otherwise(F.col("level")).cast("int").alias("level"), F.col("tag").alias("kind"), F.when(abstract, "Abstract").otherwise(F.coalesce("title", F.lit(""))).alias("title"),
+        F.when(abstract, none).otherwise(F.col("above")).alias("parent"), F.when(abstract, none).otherwise(F.col("above_pointer")).alias("above"), "pointer", "xml_id",
+    )
     order = W.partitionBy("doc_id").orderBy(F.col("kind") != "abstract", "pre")
     return both.withColumns({"ordinal": F.row_number().over(order) - 1, "role": T.semantic_role(F.col("title"))})
 
 
-def contents(e: DataFrame, secs: DataFrame) -> DataFrame:
-    """(doc_id, pre, last, size, ordinal, kind, title, text, tex, section, role, parent, pointer, xml_id): content elements and formulas outside of them, in document order.
+def contents(e: DataFrame, secs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pre, last, size, ordinal, kind, title, text, tex, section, section_pointer, section_title, role, parent, parent_pointer, pointer, xml_id, eligible, paper): content elements and formulas outside of them.
 
-    section and parent are numbers of the innermost section and content element around; title is the caption.
+    section and parent are numbers of the innermost section and content element around; title is the caption. All is known from the parse,
+    so rows are not moved (`secs` is no longer needed). eligible is what `chunk_eligible` finds by parent and kind; paper is the document's title.
     """
-    own = e.where(F.col("tag").isin(*CONTENT_KINDS))
-    math = e.where("tag = 'Math'").withColumns({"key": F.col("pre"), "at": F.col("pre")})
-    alone = nearest(math, own.select("doc_id", "pre", "last"), "held").where("held is null").drop("key", "at", "held")
-    both = own.unionByName(alone)
-    placed = both.withColumns({"key": F.col("pre"), "at": F.coalesce("parent", F.lit(0))})
-    placed = nearest(placed, secs.select("doc_id", "pre", "last", "role"), "sec")
-    placed = nearest(placed, own.select("doc_id", "pre", "last"), "up").drop("key", "at")
-    caption = e.where("tag = 'caption' and parent is not null").groupBy("doc_id", "parent").agg(F.min(F.struct("pre", "last")).alias("c")).select("doc_id", F.col("parent").alias("owner"), "c.pre", "c.last")
-    caption = texts_of(e, caption, mixed=False).join(caption, ["doc_id", "pre"]).select("doc_id", F.col("owner").alias("pre"), F.col("text").alias("caption"))
-    out = placed.join(texts_of(e, own, mixed=True), ["doc_id", "pre"], "left").join(caption, ["doc_id", "pre"], "left")
-    formula, tex = F.col("tag") == "Math", F.col("attrs")["tex"]
-    order = F.row_number().over(W.partitionBy("doc_id").orderBy("pre")) - 1
-    return out.select("doc_id", "pre", "last", "size", order.alias("ordinal"), F.when(formula, "formula").otherwise(F.col("tag")).alias("kind"), F.coalesce("caption", F.lit("")).alias("title"), F.when(formula, F.concat(F.lit("$"), F.coalesce(tex, F.lit("")), F.lit("$"))).otherwise(F.col("text")).alias("text"), tex.alias("tex"), F.col("sec.pre").alias("section"), F.col("sec.role").alias("role"), F.when(~formula, F.col("up.pre")).alias("parent"), "pointer", "xml_id")
-
-
-def formulas(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, owner, mode, tex, sound, pointer): sound tells whether its MathML is free of errors (null: it has none)."""
-    math = e.where("tag = 'Math'").withColumns({"key": F.col("pre"), "at": F.col("pre")})
-    owned = nearest(math, nodes.select("doc_id", "pre", "last"), "own")
-    tree = e.where("tag = 'math'").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.min(F.struct("pre", "last")).alias("m")).select("doc_id", F.col("pre").alias("owner"), "m.pre", "m.last")
-    wrong = within(e.where("tag = 'merror'").select("doc_id", F.col("pre").alias("at"), "size"), tree.select("doc_id", "pre", "last", "owner")).select("doc_id", F.col("outer.owner").alias("pre")).distinct().withColumn("wrong", F.lit(True))
-    out = owned.join(tree.select("doc_id", F.col("owner").alias("pre"), F.lit(True).alias("has")), ["doc_id", "pre"], "left").join(wrong, ["doc_id", "pre"], "left")
-    return out.select("doc_id", "pre", F.col("own.pre").alias("owner"), F.col("attrs")["mode"].alias("mode"), F.coalesce(F.col("attrs")["tex"], F.lit("")).alias("tex"), F.when(F.col("has"), F.col("wrong").isNull()).alias("sound"), "pointer")
+    formula, tex, kind = F.col("tag") == "Math", F.col("attrs")["tex"], F.col("tag")
+    able = F.when(kind.isin("table", "figure", "Math"), True).when(kind.isin("theorem", "proof"), F.col("childless")).otherwise(~F.col("bound"))
+    return e.where("ordinal is not null").select(
+        "doc_id", "pre", "last", "size", "ordinal", F.when(formula, "formula").otherwise(kind).alias("kind"), F.coalesce("caption", F.lit("")).alias("title"),
+        F.when(formula, F.concat(F.lit("$"), F.coalesce(tex, F.lit("")), F.lit("$"))).otherwise(F.col("text")).alias("text"), tex.alias("tex"),
+        "section", "section_pointer", "section_title", T.semantic_role(F.col("section_title")).alias("role"), F.col("held").alias("parent"), F.col("held_pointer").alias("parent_pointer"), "pointer", "xml_id", able.alias("eligible"), "paper",
+    )
+
+
+def formulas(e: DataFrame) -> DataFrame:
+    """(doc_id, pre, owner, place, mode, tex, sound, pointer): owner and place are the content element around, or the formula itself; sound tells whether its MathML is free of errors (null: it has none)."""
+    math = e.where("tag = 'Math'")
+    return math.select("doc_id", "pre", F.coalesce("held", "pre").alias("owner"), F.coalesce("held_pointer", "pointer").alias("place"), F.col("attrs")["mode"].alias("mode"), F.coalesce(F.col("attrs")["tex"], F.lit("")).alias("tex"), "sound", "pointer")
 
 
 def cells(e: DataFrame) -> DataFrame:
     """(doc_id, table, row, col, row_span, col_span, header, text, pointer): cells of the rows within each table; a column's number counts the spans before it."""
-    tables = e.where("tag = 'table'").select("doc_id", "pre", "last")
-    lines = within(e.where("tag = 'tr'").select("doc_id", F.col("pre").alias("at"), "size"), tables)
-    lines = lines.select("doc_id", F.col("outer.pre").alias("table"), F.col("at").alias("line"), (F.row_number().over(W.partitionBy("doc_id", "outer.pre").orderBy("at")) - 1).alias("row"))
-    own = e.where(F.col("tag").isin("td", "th"))
     span = lambda name: F.coalesce(F.nullif(F.col("attrs")[name], F.lit("")).try_cast("int"), F.lit(1))
-    flat = own.join(texts_of(e, own, mixed=True), ["doc_id", "pre"]).select("doc_id", F.col("parent").alias("line"), "pre", span("rowspan").alias("row_span"), span("colspan").alias("col_span"), ((F.col("tag") == "th") | F.col("attrs")["thead"].isNotNull()).alias("header"), "text", "pointer")
+    own = e.where(F.col("tag").isin("td", "th")).select("doc_id", F.explode("lines").alias("l"), F.col("parent").alias("line"), "pre", span("rowspan").alias("row_span"), span("colspan").alias("col_span"), ((F.col("tag") == "th") | F.col("attrs")["thead"].isNotNull()).alias("header"), "text", "pointer")
     before = F.sum("col_span").over(W.partitionBy("doc_id", "table", "line").orderBy("pre").rowsBetween(W.unboundedPreceding, -1))
-    return lines.join(flat, ["doc_id", "line"]).select("doc_id", "table", "row", F.coalesce(before, F.lit(0)).cast("int").alias("col"), "row_span", "col_span", "header", "text", "pointer")
+    return own.select("*", "l.table", "l.row").select("doc_id", "table", "row", F.coalesce(before, F.lit(0)).cast("int").alias("col"), "row_span", "col_span", "header", "text", "pointer")
 
 
 def references(e: DataFrame) -> DataFrame:
-    """(doc_id, pre, key, xml_id, raw, title, authors, year, identifiers, pointer): one row a bibliography item."""
-    items = e.where("tag = 'bibitem'").select("doc_id", "pre", "last", F.col("attrs")["key"].alias("key"), "xml_id", "pointer")
-    roles = F.lower(F.coalesce(F.col("attrs")["role"], F.lit("")))
-    parts = e.where(F.col("tag").isin("bib-title", "title", "bib-name", "personname") | (F.col("tag").isin("bib-data", "ref") & roles.isin(*IDENTIFIER_ROLES)))
-    told = parts.join(texts_of(e, parts, mixed=False), ["doc_id", "pre"])
-    kind = F.when(F.col("tag").isin("bib-title", "title"), "title").when(F.col("tag").isin("bib-name", "personname"), "author").otherwise(roles)
-    met = within(told.select("doc_id", F.col("pre").alias("at"), "size", kind.alias("kind"), "text"), items.select("doc_id", "pre", "last")).where("text <> '' or kind = 'title'")
-    some = met.groupBy("doc_id", F.col("outer.pre").alias("pre")).agg(
-        F.min_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("at"))).alias("title"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "author", F.struct("at", "text")))), lambda a: a["text"]).alias("authors"),
-        *[F.max_by(F.when(F.col("kind") == r, F.col("text")), F.when(F.col("kind") == r, F.col("at"))).alias(r) for r in IDENTIFIER_ROLES],
-    )
-    out = items.join(texts_of(e, items, mixed=False).withColumnRenamed("text", "raw"), ["doc_id", "pre"]).join(some, ["doc_id", "pre"], "left")
+    """(doc_id, pre, key, xml_id, raw, title, authors, year, identifiers, pointer): one row a bibliography item. Its year is the first that is in neither
+    its title nor its identifiers, else the first of all."""
+    roles, item, at = F.lower(F.coalesce(F.col("attrs")["role"], F.lit(""))), F.col("tag") == "bibitem", F.col("pre")
+    kind = F.when(item, "item").when(F.col("tag").isin("bib-title", "title"), "title").when(F.col("tag").isin("bib-name", "personname"), "author").when(F.col("tag").isin("bib-data", "ref") & roles.isin(*IDENTIFIER_ROLES), roles)
+    told = e.where(item | (F.size("items") > 0)).withColumn("kind", kind).where("kind in ('item', 'title') or (kind is not null and text <> '')")
+    told = told.select("doc_id", F.explode(F.when(item, F.array("pre")).otherwise(F.col("items"))).alias("item"), "pre", "kind", "text", F.when(item, F.struct(F.col("attrs")["key"].alias("key"), "xml_id", "pointer")).alias("own"))
+    of = lambda k: F.when(F.col("kind") == k, at)
+    some = told.groupBy("doc_id", F.col("item").alias("pre")).agg(
+        F.max("own").alias("own"), F.max(F.when(F.col("kind") == "item", F.col("text"))).alias("raw"), F.nullif(F.min_by("text", of("title")), F.lit("")).alias("title"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "author", F.struct(at.alias("at"), "text")))), lambda a: a["text"]).alias("authors"),
+        *[F.max_by("text", of(r)).alias(r) for r in IDENTIFIER_ROLES],
+    )
     ids = F.map_filter(F.create_map(*[x for r in IDENTIFIER_ROLES for x in (F.lit(r), F.col(r))]), lambda _, v: v.isNotNull())
-    year = F.nullif(F.regexp_extract("raw", YEAR, 0), F.lit("")).cast("int")
-    return out.select("doc_id", "pre", "key", "xml_id", "raw", F.nullif("title", F.lit("")).alias("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), year.alias("year"), ids.alias("identifiers"), "pointer")
+    rest = F.col("raw")
+    for part in ("title", *IDENTIFIER_ROLES):
+        rest = F.when(F.col(part).isNull(), rest).otherwise(F.replace(rest, F.col(part), F.lit(" ")))
+    year = F.coalesce(*[F.nullif(F.regexp_extract(x, YEAR, 0), F.lit("")) for x in (rest, F.col("raw"))]).cast("int")
+    return some.select("doc_id", "pre", "own.key", "own.xml_id", "raw", "title", "authors", year.alias("year"), ids.alias("identifiers"), "own.pointer")
 
 
-def mentions(e: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, at, target, owner, context, pointer): what each cite outside the bibliography refers to, with up to 1000 characters of the content element around."""
-    cites = e.where("tag = 'cite'")
-    places = cites.select("doc_id", F.col("pre").alias("key"), F.col("pre").alias("at"), "size")
-    listed = within(places, e.where(F.col("tag").isin(*LITERATURE)).select("doc_id", "pre", "last")).select("doc_id", "key").distinct()
-    places = places.join(listed, ["doc_id", "key"], "left_anti")
-    owned = nearest(places, nodes.where("kind <> 'formula'").select("doc_id", "pre", "last", "text"), "own")
-    targets = e.where("tag = 'ref'").select("doc_id", F.col("pre").alias("at"), "size", F.col("attrs")["idref"].alias("target")).where("target <> ''")
-    met = within(targets, cites.select("doc_id", "pre", "last", "pointer")).select("doc_id", F.col("outer.pre").alias("key"), F.col("at").alias("ref"), "target", F.col("outer.pointer").alias("pointer"))
-    return met.join(owned.select("doc_id", "key", "own"), ["doc_id", "key"]).select("doc_id", F.col("ref").alias("at"), "target", F.col("own.pre").alias("owner"), F.left(F.coalesce("own.text", F.lit("")), F.lit(1000)).alias("context"), "pointer")
+def mentions(e: DataFrame) -> DataFrame:
+    """(doc_id, at, target, owner, place, context, pointer): what each cite outside the bibliography refers to, with number and pointer of the content element around and up to 1000 characters of it."""
+    refs = e.where("tag = 'ref' and cites is not null").select("doc_id", F.col("pre").alias("at"), F.col("attrs")["idref"].alias("target"), F.explode("cites").alias("c")).where("target <> ''")
+    return refs.select("doc_id", "at", "target", "c.owner", "c.place", "c.context", "c.pointer")
 
 
 def papers(e: DataFrame) -> DataFrame:
     """(doc_id, title, abstract, authors, year, venue, fault), one row a document: names once each by their normal form, the year of the first date or note that has one, the first note with a venue's role."""
-    roots = e.where("pre = 0 or fault is not null").select("doc_id", "fault")
-    title = _titles(e).where("parent = 0").select("doc_id", "title")
-    abstract = texts_of(e, _abstracts(e), mixed=True).select("doc_id", F.col("text").alias("abstract"))
-    creators = e.where("tag = 'creator' and parent = 0").select("doc_id", "pre", "last")
-    person = e.where("tag = 'personname'").join(creators.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"]).groupBy("doc_id", "parent").agg(F.min(F.struct("pre", "last")).alias("p")).select("doc_id", F.col("parent").alias("creator"), "p.pre", "p.last")
-    told = texts_of(e, person, mixed=False).join(person, ["doc_id", "pre"]).select("doc_id", F.col("creator").alias("pre"), F.col("text").alias("person"))
-    names = texts_of(e, creators, mixed=False).join(told, ["doc_id", "pre"], "left").select("doc_id", "pre", F.coalesce(F.nullif("person", F.lit("")), "text").alias("name"))
-    names = names.withColumn("same", T.normalized_name(F.col("name"))).where("same <> ''").groupBy("doc_id", "same").agg(F.min(F.struct("pre", "name")).alias("n"))
-    authors = names.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["name"]).alias("authors"))
-    notes = e.where(F.col("tag").isin("date", "note"))
-    notes = notes.join(texts_of(e, notes, mixed=False), ["doc_id", "pre"]).select("doc_id", "pre", "text", F.regexp_extract("text", YEAR, 0).alias("year"), ((F.col("tag") == "note") & F.col("attrs")["role"].isin(*VENUE_ROLES)).alias("where"))
-    dated = notes.groupBy("doc_id").agg(F.min_by("year", F.when(F.col("year") != "", F.col("pre"))).cast("int").alias("year"), F.min_by("text", F.when(F.col("where"), F.col("pre"))).alias("venue"))
-    out = roots
-    for part in (title, abstract, authors, dated):
-        out = out.join(part, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), "year", F.coalesce("venue", F.lit("")).alias("venue"), "fault")
+    tag, creator, first = F.col("tag"), (F.col("tag") == "creator") & (F.col("parent") == 0), lambda c, when: F.min(F.when(when, F.struct("pre", c.alias("x"))))
+    own = e.where((F.col("pre") == 0) | F.col("fault").isNotNull() | creator | tag.isin("date", "note") | ((tag == "abstract") & F.col("text").isNotNull()))
+    # a document's rows meet once: names are grouped within it, then all
+    own = own.select("doc_id", "pre", "tag", "fault", "title", "text", creator.alias("named"), F.col("attrs")["role"].alias("role")).repartition("doc_id").withColumn("same", F.when(F.coalesce("named", F.lit(False)), T.normalized_name(F.col("text"))))
+    year = F.when(tag.isin("date", "note"), F.regexp_extract("text", YEAR, 0))
+    parts = own.groupBy("doc_id", "same").agg(
+        F.max("fault").alias("fault"), F.max(F.when(F.col("pre") == 0, F.col("title"))).alias("title"), F.max(F.when(tag == "abstract", F.col("text"))).alias("abstract"),
+        first(F.col("text"), F.col("same") != "").alias("name"), first(year, year != "").alias("year"), first(F.col("text"), (tag == "note") & F.col("role").isin(*VENUE_ROLES)).alias("venue"),
+    )
+    names = F.transform(F.array_sort(F.collect_list("name")), lambda n: n["x"])
+    out = parts.groupBy("doc_id").agg(F.max("fault").alias("fault"), F.max("title").alias("title"), F.max("abstract").alias("abstract"), names.alias("authors"), F.min("year").alias("year"), F.min("venue").alias("venue"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return out.select("doc_id", text("title").alias("title"), text("abstract").alias("abstract"), "authors", F.col("year.x").cast("int").alias("year"), text("venue.x").alias("venue"), "fault")
 
 
 def project(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> dict[str, DataFrame]:
@@ -267,35 +338,27 @@ def project(docs: DataFrame, doc_id: str = "doc_id", xml: str = "xml") -> dict[s
     Rows without doc_id are left out; doc_id must tell documents apart. A document that is no XML has a row in papers with its fault, and no others.
     """
     e = written(elements(docs, doc_id, xml), "elements")
-    secs = written(sections(e), "sections")
-    nodes = written(contents(e, secs), "contents")
-    return {"elements": e, "papers": papers(e), "sections": secs, "contents": nodes, "formulas": formulas(e, nodes), "cells": cells(e), "references": references(e), "mentions": mentions(e, nodes)}
+    return {"elements": e, "papers": papers(e), "sections": sections(e), "contents": contents(e), "formulas": formulas(e), "cells": cells(e), "references": references(e), "mentions": mentions(e)}
 
 
 def chunk_projected(projected: dict[str, DataFrame], most: int = 4000) -> DataFrame:
     """Chunks of eligible content elements by section, prefixed by `[title > heading] `: (doc_id, section, role, kind, ordinal, content, content_sha256, tokens, nodes, first, last)."""
-    nodes = projected["contents"]
-    able = chunk_eligible(nodes.select("doc_id", F.col("pre").alias("node"), "parent", "kind")).select("doc_id", F.col("node").alias("pre"))
-    heads = projected["sections"].select("doc_id", F.col("pre").alias("section"), F.col("title").alias("heading"), F.col("kind").alias("section_kind"))
-    picked = nodes.join(able, ["doc_id", "pre"], "left_semi").where("text <> ''").join(heads, ["doc_id", "section"], "left").join(projected["papers"].select("doc_id", F.col("title").alias("paper")), "doc_id")
-    prefix = F.concat(F.lit("["), "paper", F.when(F.coalesce("heading", F.lit("")) != "", F.concat(F.lit(" > "), F.col("heading"))).otherwise(""), F.lit("] "))
-    # groups come in the order of their first node
+    nodes = projected["contents"].where("eligible and text <> ''")
+    prefix = F.concat(F.lit("["), "paper", F.when(F.coalesce("section_title", F.lit("")) != "", F.concat(F.lit(" > "), F.col("section_title"))).otherwise(""), F.lit("] "))
+    # a document's rows meet once; groups come in the order of their first node
     first = F.min("ordinal").over(W.partitionBy("doc_id", "section"))
-    picked = picked.withColumns({"prefix": prefix, "group": first})
-    made = chunked(picked.select("doc_id", F.col("group").alias("section"), F.col("ordinal").alias("pos"), "text", "prefix"), most)
-    about = picked.select("doc_id", F.col("group"), F.col("section").alias("of"), "role", F.when(F.col("section_kind") == "abstract", "abstract").otherwise("section").alias("kind")).distinct()
-    pointers = nodes.select("doc_id", F.col("ordinal").alias("n"), "pointer")
-    made = made.withColumnRenamed("section", "group").join(about, ["doc_id", "group"])
-    made = made.withColumns({"a": F.get("nodes", F.lit(0)), "b": F.get("nodes", F.size("nodes") - 1)})
-    made = made.join(pointers.select("doc_id", F.col("n").alias("a"), F.col("pointer").alias("first")), ["doc_id", "a"]).join(pointers.select("doc_id", F.col("n").alias("b"), F.col("pointer").alias("last")), ["doc_id", "b"])
-    return made.select("doc_id", F.col("of").alias("section"), "role", "kind", "ordinal", "content", "content_sha256", "tokens", "nodes", "first", "last")
+    kind = F.when(F.startswith(F.substring_index("section_pointer", "/", -1), F.lit("abstract[")), "abstract").otherwise("section")
+    picked = nodes.select("doc_id", F.col("section").alias("of"), "ordinal", "text", "pointer", prefix.alias("prefix"), "role", kind.alias("kind")).repartition("doc_id")
+    picked = picked.withColumnsRenamed({"of": "section", "ordinal": "pos"}).withColumn("ordinal", F.col("pos"))
+    picked = picked.withColumn("group", first).select("doc_id", F.col("group").alias("section"), "pos", "text", "pointer", "prefix", F.struct(F.col("section").alias("of"), "role", "kind").alias("about"))
+    made = chunked(picked, most)
+    return made.select("doc_id", F.col("about.of").alias("section"), "about.role", "about.kind", "ordinal", "content", "content_sha256", "tokens", "nodes", F.get("pointers", F.lit(0)).alias("first"), F.get("pointers", F.size("pointers") - 1).alias("last"))
 
 
 def paper_tables(projected: dict[str, DataFrame], most: int = 50) -> DataFrame:
     """The first `most` tables of each document: (doc_id, place, pointer, caption, section_title, role, cells), cells by row and column as structs with spans and header flag."""
     tables = projected["contents"].where("kind = 'table'").withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("place") <= most)
-    titles = projected["sections"].select("doc_id", F.col("pre").alias("section"), F.col("title").alias("section_title"))
     entry = F.struct("row", "col", "row_span", "col_span", "text", "header")
     held = projected["cells"].groupBy("doc_id", F.col("table").alias("pre")).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
-    out = tables.join(titles, ["doc_id", "section"], "left").join(held, ["doc_id", "pre"], "left")
+    out = tables.join(held, ["doc_id", "pre"], "left")
     return out.select("doc_id", "place", "pointer", F.col("title").alias("caption"), "section_title", "role", "cells")

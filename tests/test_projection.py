@@ -108,3 +108,16 @@ def test_eligibility_of_long_chains(spark):
     table = [(1, k, k - 1 if k else None, "table" if k == 200 else "p" if k in (399, 150) else "section") for k in range(400)]
     got = jobs.chunk_eligible(spark.createDataFrame(table, "doc_id long, node int, parent int, kind string"))
     assert sorted(r["node"] for r in got.collect()) == [150, 200]
+
+
+def test_year_outside_title_and_identifiers(spark):
+    doc = '<document><bibliography><bibitem key="a"><title>Before 1984</title>, 1999. <bib-data role="DOI">10.1/1900</bib-data></bibitem><bibitem key="b"><title>In 1984</title></bibitem></bibliography></document>'
+    assert sorted(rows(tables(spark, doc)["references"], "key", "year")) == [("a", 1999), ("b", 1984)]
+
+
+def test_projection_moves_no_text(spark):
+    """Contents, formulas, mentions and eligibility come from the parse: no exchange; chunks move a document's rows once."""
+    e = projection.elements(spark.createDataFrame([(1, DOC)], "doc_id long, xml string"))
+    for df in (projection.contents(e), projection.formulas(e), projection.mentions(e)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert projection.chunk_projected({"contents": projection.contents(e)})._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
