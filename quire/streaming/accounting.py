@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,12 +27,17 @@ def stream_dedup(events: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def _stateful(events: DataFrame, key: str, late: str, step: Callable, timer: Callable, out: str, state: str) -> DataFrame:
+#: Events that go through a step together, and buckets of leases.
+STEP_ROWS, LEASE_BUCKETS = 20_000, 1_024
+
+
+def _stateful(events: DataFrame, keys: list[str], late: str, step: Callable, timer: Callable, out: str, state: str, sweeps: bool = False) -> DataFrame:
     """Runs `step(key, rows, state)` for each key over its events in (ts, event_id) order of a micro-batch, and `timer(key, state, now)`
     once the watermark has passed the time that the last call asked for.
 
     Both return (rows out, state, time): a state of None is forgotten; a time (microseconds) of None sets no timer. Events behind the watermark
-    are dropped. A key's events of one micro-batch are held together; maxFilesPerTrigger or the like bounds them.
+    are dropped. A key's events of one micro-batch are held together as columns, to be put in order, and go through in steps of STEP_ROWS;
+    maxFilesPerTrigger or the like bounds them. With `sweeps` a key's timer also runs after its events.
     """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
@@ -41,8 +47,17 @@ def _stateful(events: DataFrame, key: str, late: str, step: Callable, timer: Cal
             frames = [p for p in parts if len(p)]
             if not frames:
                 return
-            rows = pd.concat(frames).sort_values(["ts", "event_id"])
-            got, now, at = step(k[0], rows, held.get if held.exists else None)
+            rows = pd.concat(frames, ignore_index=True)
+            frames.clear()
+            order = np.lexsort((rows["event_id"], rows["ts"]))
+            now = held.get if held.exists else None
+            for lo in range(0, len(rows), STEP_ROWS):
+                got, now, at = step(k[0], rows.iloc[order[lo : lo + STEP_ROWS]], now)
+                if got is not None and len(got):
+                    yield got
+            got = None
+            if sweeps and now is not None:
+                got, now, at = timer(k[0], now, held.getCurrentWatermarkMs() * 1000)
         if now is None:
             if held.exists:
                 held.remove()
@@ -53,7 +68,7 @@ def _stateful(events: DataFrame, key: str, late: str, step: Callable, timer: Cal
         if got is not None and len(got):
             yield got
 
-    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+    return events.withWatermark("ts", late).groupBy(*keys).applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
 
 
 def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: int = 0, ttl: int = 600, late: str = "10 minutes") -> DataFrame:
@@ -61,7 +76,7 @@ def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: i
     window of a tenant. A concurrency of 0 is no limit; else an admitted request holds its place for ttl seconds.
 
     The state of a tenant is its newest window, the count in it, and the expiry times of held places (at most `concurrency`); it is
-    forgotten when the watermark has passed the window and all places.
+    forgotten when the watermark has passed the window and all places. Without concurrency windows share nothing: each is a key of its own.
     """
     import json
     import math
@@ -91,7 +106,10 @@ def stream_admission(events: DataFrame, limit: int, seconds: int, concurrency: i
     def timer(tenant, held, now):
         return None, None, None
 
-    return _stateful(events, "tenant", late, step, timer, "event_id long, tenant long, admitted boolean, reason string, remaining int, retry_after int", "start long, used int, places string")
+    asked, keys = events.select("event_id", "ts", "tenant"), ["tenant"]
+    if not concurrency:
+        asked, keys = asked.withColumn("window", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))), ["tenant", "window"]
+    return _stateful(asked, keys, late, step, timer, "event_id long, tenant long, admitted boolean, reason string, remaining int, retry_after int", "start long, used int, places string")
 
 
 def stream_leases(events: DataFrame, ttl: int = 600, keep: int = 86_400, late: str = "10 minutes") -> DataFrame:
@@ -99,14 +117,22 @@ def stream_leases(events: DataFrame, ttl: int = 600, keep: int = 86_400, late: s
 
     A lease ends once; a refresh within its time extends it. When the watermark has passed its time it expires without
     another event, told by a row without event_id. An ended lease is remembered for `keep` seconds, so that what
-    comes later is told so, then forgotten.
+    comes later is told so, then forgotten. Leases are many and have few events each, so those of a bucket (a hash of the lease) share a
+    state, a mapping of lease to its state and expiry, and a timer, the first time of any.
     """
+    import json
 
-    def step(lease, rows: pd.DataFrame, held):
-        state, expiry = held if held else ("none", 0)
-        out = []
-        for event, ts, action in zip(rows["event_id"], rows["ts"], rows["action"], strict=True):
-            us = ts.value // 1000
+    def due(state: str, expiry: int) -> int:
+        return expiry if state == "active" else expiry + keep * 1_000_000
+
+    def told(rows: list[tuple], leases: dict):
+        frame = pd.DataFrame(rows, columns=["event_id", "lease", "result"]).astype({"event_id": "Int64"})
+        return (frame, (json.dumps(leases),), min(due(*x) for x in leases.values())) if leases else (frame, None, None)
+
+    def step(bucket, rows: pd.DataFrame, held):
+        leases, out = json.loads(held[0]) if held else {}, []
+        for event, us, lease, action in zip(rows["event_id"].tolist(), (rows["ts"].astype("int64") // unit(rows["ts"])).tolist(), rows["lease"].tolist(), rows["action"].tolist(), strict=True):
+            state, expiry = leases.get(lease, ("none", 0))
             if state == "active" and us >= expiry:
                 state = "expired"
             if action == "reserve" and state == "none":
@@ -119,18 +145,27 @@ def stream_leases(events: DataFrame, ttl: int = 600, keep: int = 86_400, late: s
             else:
                 result = f"ignored_{state}"
             out.append((event, lease, result))
-        frame = pd.DataFrame(out, columns=["event_id", "lease", "result"]).astype({"event_id": "Int64"})
-        if state == "none":
-            return frame, None, None
-        return frame, (state, int(expiry)), int(expiry if state == "active" else expiry + keep * 1_000_000)
-
-    def timer(lease, held, now):
-        state, expiry = held
-        if state != "active":
-            return None, None, None
-        return pd.DataFrame({"event_id": pd.array([None], "Int64"), "lease": [lease], "result": ["expired"]}), ("expired", int(expiry)), int(expiry + keep * 1_000_000)
+            if state != "none":
+                leases[lease] = state, expiry
+        return told(out, leases)
+
+    def unit(ts: pd.Series) -> int:
+        """Its steps in a microsecond."""
+        return 1_000 if "ns" in str(ts.dtype) else 1
+
+    def timer(bucket, held, now):
+        leases, out = json.loads(held[0]), []
+        for lease, (state, expiry) in list(leases.items()):
+            if state == "active" and expiry // 1000 + 1 < now // 1000:
+                state = "expired"
+                leases[lease] = state, expiry
+                out.append((None, lease, "expired"))
+            if state != "active" and due(state, expiry) // 1000 + 1 < now // 1000:
+                del leases[lease]
+        return told(out, leases)
 
-    return _stateful(events, "lease", late, step, timer, "event_id long, lease string, result string", "state string, expiry long")
+    dealt = events.select("event_id", "ts", "lease", "action", F.pmod(F.xxhash64("lease"), F.lit(LEASE_BUCKETS)).alias("bucket"))
+    return _stateful(dealt, ["bucket"], late, step, timer, "event_id long, lease string, result string", "leases string", sweeps=True)
 
 
 def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60, late: str = "10 minutes") -> DataFrame:
@@ -157,7 +192,7 @@ def stream_circuit(events: DataFrame, threshold: int = 3, open_seconds: int = 60
     def timer(backend, held, now):
         return None, held, None
 
-    return _stateful(events, "backend", late, step, timer, "event_id long, backend long, state string, allowed boolean", "failures int, until long")
+    return _stateful(events.select("event_id", "ts", "backend", "ok"), ["backend"], late, step, timer, "event_id long, backend long, state string, allowed boolean", "failures int, until long")
 
 
 #: Folders that the rows of an ingest are dealt into by their key.

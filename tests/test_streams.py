@@ -101,3 +101,19 @@ def test_ingest_keeps_each_row_once(spark, tmp_path):
     assert ingest("two") == want  # another stream over the same rows
     spark.createDataFrame([(9, "z"), (4, "d")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
     assert ingest("one") == sorted([*want, repr((9, "z"))])
+
+
+def test_many_leases_share_few_states(spark, tmp_path):
+    """5,000 leases of one event each are held in no more states than there are buckets, and each expires once."""
+    from pyspark.sql import functions as F
+
+    from quire.streaming import accounting as S
+
+    e = spark.range(5_001).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.when(F.col("id") < 5_000, F.col("id") % 60).otherwise(100_000)).alias("ts"), F.concat(F.lit("l"), "id").alias("lease"), F.lit("reserve").alias("action"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = S.stream_leases(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= S.LEASE_BUCKETS
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("event_id is not null and result = 'active'").count() == 5_001
+    assert got.where("event_id is null and result = 'expired'").select("lease").distinct().count() == got.where("event_id is null").count() == 5_000
