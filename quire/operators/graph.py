@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quire.plans.materialize import written
@@ -57,6 +59,7 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
     # a node with one edge lies on no path but at its ends
     leaves = walked.groupBy("to").agg(F.count("*").alias("n")).where("n = 1").select("to", F.lit(True).alias("leaf"))
     steps = written(walked.join(leaves, "to", "left").na.fill(False, ["leaf"]), "steps")
+    hubs, tips = steps.where("not leaf").drop("leaf"), steps.where("leaf").drop("leaf")
     empty = F.array().cast("array<string>")
     state = written(pairs.select("src", "dst", F.when(F.col("src") == F.col("dst"), empty).alias("path")).distinct(), "pairs")  # a pair without path is still open
     done, live = [state.where("path is not null").select("src", "dst", F.lit(0).alias("hops"), "path")], state.where("path is null").select("src", "dst")
@@ -66,9 +69,10 @@ def lineage(pairs: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
         side, other = ("src", "dst") if h % 2 else ("dst", "src")
         step = F.array(f"{side}_step")
         grown = F.concat("path", step) if side == "src" else F.concat(step, "path")
-        ends = live.select(F.col(side).alias("end"), F.col(other).alias("at"))
-        ahead = near[side].join(ends.select("end").distinct(), "end", "left_semi").join(steps, "at").select("end", F.col("to").alias("at"), grown.alias("path"), "leaf")
-        ahead = ahead.where("not leaf").drop("leaf").unionByName(ahead.where("leaf").drop("leaf").join(ends, ["end", "at"], "left_semi"))
+        ends = live.select(F.col(side).alias("end"), F.col(other).alias("to"))
+        grows = near[side].join(ends.select("end").distinct(), "end", "left_semi")
+        # an end that is such a leaf is reached by its one edge: that is looked up by the pair, so a node's leaves are never gone through
+        ahead = grows.join(hubs, "at").unionByName(grows.join(ends.join(tips, "to"), ["end", "at"])).select("end", F.col("to").alias("at"), grown.alias("path"))
         near[side] = written(ahead.groupBy("end", "at").agg(F.min("path").alias("path")).join(seen[side], ["end", "at"], "left_anti"), "frontier")
         seen[side] = seen[side].unionByName(near[side].select("end", "at"))
         a = live.join(near["src"].withColumnsRenamed({"end": "src"}), "src")
@@ -103,22 +107,28 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 #: Entries of a list that are paired in one task; longer lists are cut into blocks, and blocks are paired.
 LIST = 1_000
+#: Pairs that one task counts.
+PAIRS = 1_000_000
 
 
 def _common(links: DataFrame, least: int, most: int = LIST) -> DataFrame:
     """links(at, x) -> (a, b, n): the pairs of x that at least `least` values of `at` have in common.
 
     A list of more than `most` x of one `at` is cut into blocks by a hash of x; each block is sent to each other, so that a pair meets once
-    and no task holds more than about two blocks. All pairs of a list are made: their number is that of the result before counting.
+    and no task holds more than about two blocks. All pairs of a list are made: their number is that of the result before counting. It is
+    known from the lists, and pairs are dealt to as many tasks as it asks for before they are counted, so a task's counts do not grow with the input.
     """
-    lists = links.distinct()
-    wide = lists.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    lists = written(links.distinct(), "lists")
+    wide = lists.groupBy("at").agg(F.count("*").alias("n")).where("n > 1")
+    total = wide.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PAIRS))
+    wide = wide.select("at", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
     cut = lists.join(wide, "at").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = cut.select("at", F.col("x").alias("a"), F.col("block").alias("i"), every.alias("j"))
     right = cut.select("at", F.col("x").alias("b"), F.col("block").alias("j"), every.alias("i"))
     pairs = left.join(right, ["at", "i", "j"]).where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return pairs.repartition(tasks, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def cocitation(edges: DataFrame, least: int = 2, most: int = LIST) -> DataFrame:

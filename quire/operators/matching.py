@@ -304,23 +304,30 @@ def match_metadata_jaccard(papers: DataFrame, feed: DataFrame) -> DataFrame:
 
 def resolve_paper_keys(queries: DataFrame, papers: DataFrame) -> DataFrame:
     """queries(q) x papers(paper_id, arxiv_id, doi, slug): an exact key, preprint id without version, DOI without URL, then a slug that holds
-    the query with blanks as `-`; the first strategy that hits wins, ties to the least id. Outer blanks do not count; an empty query finds nothing."""
+    the query with blanks as `-`; the first strategy that hits wins, ties to the least id. Outer blanks do not count; an empty query finds nothing.
+
+    Only queries without a key are looked for in slugs: of up to three characters as a substring of their length, longer ones by their rarest
+    substring of four or, from eight characters on, of eight, so that what all slugs have in common joins nothing."""
     p = papers
     asked = queries.select("q", F.trim("q").alias("bare")).where("bare <> ''")
     keys = p.select("paper_id", F.explode(F.array(F.col("paper_id").cast("string"), "arxiv_id", "doi", "slug")).alias("bare")).where("bare is not null")
     exact = asked.join(keys, "bare").select("q", "paper_id", F.lit(0).alias("way"))
     arxiv = asked.withColumn("k", T.normalized_arxiv(F.col("bare"))).join(p.select("paper_id", F.col("arxiv_id").alias("k")), "k").select("q", "paper_id", F.lit(1).alias("way"))
     doi = asked.withColumn("k", T.normalized_doi(F.col("bare"))).join(p.select("paper_id", F.lower("doi").alias("k")), "k").select("q", "paper_id", F.lit(2).alias("way"))
-    # queries meet slugs by their first characters, up to three, at every place of the slug; up to three characters this is containment itself
+    known = written(exact.unionByName(arxiv).unionByName(doi).groupBy("q").agg(F.min(F.struct("way", "paper_id")).alias("m")), "keys")
     low = F.replace(F.lower("bare"), F.lit(" "), F.lit("-"))
-    open_q = asked.select("q", low.alias("low"), F.substring(low, 1, 3).alias("gram"))
+    open_q = asked.select("q", low.alias("low")).join(known.select("q"), "q", "left_anti")
     slugs = p.select("paper_id", F.col("slug").alias("slug")).where(F.contains("slug", F.lit("-")) & ~F.startswith("slug", F.lit("10.")) & ~F.regexp_like("slug", F.lit(r"^[0-9]{4}\.")))
-    spots = slugs.select("paper_id", "slug", F.explode(F.concat(*[_substrings(F.col("slug"), n) for n in (1, 2, 3)])).alias("gram"))
-    long = open_q.where(F.length("low") > 3).join(spots, "gram").where(F.contains("slug", "low")).select("q", "paper_id", F.lit(3).alias("way"))
-    short = open_q.where(F.length("low") <= 3).join(spots.groupBy("gram").agg(F.min("paper_id").alias("paper_id")), "gram").select("q", "paper_id", F.lit(3).alias("way"))
-    hits = exact.unionByName(arxiv).unionByName(doi).unionByName(long).unionByName(short)
-    best = hits.groupBy("q").agg(F.min(F.struct("way", "paper_id")).alias("m"))
-    return queries.join(best, "q", "left").select("q", "m.paper_id", "m.way")
+    spots = slugs.select("paper_id", F.explode(F.concat(*[_substrings(F.col("slug"), n) for n in (1, 2, 3)])).alias("low"))
+    hits = open_q.where(F.length("low") <= 3).join(spots.groupBy("low").agg(F.min("paper_id").alias("paper_id")), "low").select("q", "paper_id")
+    for n, some in ((4, open_q.where(F.length("low").between(4, 7))), (8, open_q.where(F.length("low") >= 8))):
+        own = some.select("q", "low", F.explode(_substrings(F.col("low"), n)).alias("gram"))
+        spots = slugs.where(F.length("slug") >= n).select("paper_id", "slug", F.explode(_substrings(F.col("slug"), n)).alias("gram"))
+        held = spots.groupBy("gram").agg(F.count("*").alias("n"))
+        rare = own.join(held, "gram", "left").groupBy("q", "low").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+        hits = hits.unionByName(rare.select("q", "low", "r.gram").join(spots, "gram").where(F.contains("slug", "low")).select("q", "paper_id"))
+    found = hits.groupBy("q").agg(F.min(F.struct(F.lit(3).alias("way"), "paper_id")).alias("m"))
+    return queries.join(known.unionByName(found), "q", "left").select("q", "m.paper_id", "m.way")
 
 
 def latest_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:

@@ -349,3 +349,25 @@ def test_words_that_are_operators_or_repeated(spark):
     text = spark.createDataFrame([("[Ereaea.] Ereaea.",), ("",)], "text string")
     lengths = [round(sum(x * x for x in r["v"]), 6) for r in text.select(R.hashed_embedding(text["text"]).alias("v")).collect()]
     assert lengths == [1.0, 0.0]
+
+
+def test_slugs_by_rare_substrings(spark):
+    """What all slugs have in common joins nothing: 400 queries that begin like all of 400 slugs meet their own slug alone."""
+    from quire.operators import matching as M
+
+    p = spark.range(400).selectExpr("id as paper_id", "cast(null as string) as arxiv_id", "cast(null as string) as doi", "concat('slug-src-', id + 1000, '-end') as slug")
+    q = p.selectExpr("concat('SRC ', paper_id + 1000, ' e') as q").unionByName(spark.createDataFrame([("src-1",), ("nowhere-1",), ("ug",), ("1007-en",)], "q string"))
+    got = {r["q"]: (r["paper_id"], r["way"]) for r in M.resolve_paper_keys(q, p).collect()}
+    assert all(got[f"SRC {k + 1000} e"] == (k, 3) for k in range(400))
+    assert (got["src-1"], got["nowhere-1"], got["ug"], got["1007-en"]) == ((0, 3), (None, None), (0, 3), (7, 3))
+
+
+def test_lineage_does_not_go_through_leaves(spark):
+    """A hub with 20,000 leaves: pairs of leaves of two hubs are found, and no step makes more rows than there are pairs and edges."""
+    from quire.operators import graph as G
+
+    e = spark.range(20_000).selectExpr("concat('e', id) as edge", "concat('c', id) as src", "concat('n', id % 2) as dst").unionByName(spark.createDataFrame([("r0", "n0", "r"), ("r1", "n1", "r")], "edge string, src string, dst string"))
+    pairs = spark.range(19_999).selectExpr("concat('c', id) as src", "concat('c', id + 1) as dst")
+    got = G.lineage(pairs, e)
+    assert got.where("hops = 4").count() == 19_999
+    assert got.where("src = 'c4'").first()["path"] == ["e4>", "r0>", "r1<", "e5<"]
