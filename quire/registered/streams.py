@@ -171,8 +171,10 @@ def job1_rows(spark, d):
 
 
 def _files(df: DataFrame, name: str, kind: str = "text") -> str:
+    """One file a row, written by all tasks, each of which puts its files in place itself; a folder is read by its name, as a pattern would list every file for itself."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("maxRecordsPerFile", 1).format(kind).save(path)
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").format(kind).save(path)
     return path
 
 
@@ -185,15 +187,17 @@ def src2(spark, d):
 @query("src4_read_documents_xml", "SELECT sha256('<document><title>' || s_name || '</title></document>' || chr(10)) AS sha256, s_name AS title FROM supplier")
 def src4(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lit("<document><title>"), "s_name", F.lit("</title></document>")).alias("value"))
-    return readers.read_documents_xml(spark, _files(s, "xml") + "/*.txt").select("sha256", F.xpath_string("content", F.lit("document/title")).alias("title"))
+    return readers.read_documents_xml(spark, _files(s, "xml")).select("sha256", F.xpath_string("content", F.lit("document/title")).alias("title"))
 
 
 @query("src5_read_arxiv_atom", "SELECT s_name AS title, 'N' || s_nationkey || '|Co Author' AS authors, (2000 + s_suppkey % 20)::INT AS year, '24' || lpad((s_suppkey % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(s_suppkey::VARCHAR, 5, '0') AS arxiv_id, 'about ' || s_suppkey AS abstract, 'http://x/' || s_suppkey AS pdf_url FROM supplier")
 def src5(spark, d):
     k = F.col("s_suppkey")
     arxiv = F.concat(F.lit("24"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad(k.cast("string"), 5, "0"))
-    entry = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>'), "s_name", F.lit("</title><author><name>N"), "s_nationkey", F.lit("</name></author><author><name>Co  Author</name></author><published>"), 2000 + k % 20, F.lit("-03-01T00:00:00Z</published><id>http://a/abs/"), arxiv, F.lit("v3</id><summary> about "), k, F.lit('</summary><link title="pdf" href="http://x/'), k, F.lit('"/></entry></feed>'))
-    feed = readers.read_arxiv_atom(spark, _files(table(spark, d, "supplier").select(entry.alias("value")), "feed") + "/*.txt")
+    entry = F.concat(F.lit("<entry><title>"), "s_name", F.lit("</title><author><name>N"), "s_nationkey", F.lit("</name></author><author><name>Co  Author</name></author><published>"), 2000 + k % 20, F.lit("-03-01T00:00:00Z</published><id>http://a/abs/"), arxiv, F.lit("v3</id><summary> about "), k, F.lit('</summary><link title="pdf" href="http://x/'), k, F.lit('"/></entry>'))
+    # a feed holds a page of entries, as arXiv answers
+    page = table(spark, d, "supplier").groupBy(F.floor(k / 100)).agg(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    feed = readers.read_arxiv_atom(spark, _files(page.select("value"), "feed"))
     return feed.select("title", F.array_join("authors", "|").alias("authors"), "year", "arxiv_id", "abstract", "pdf_url")
 
 
