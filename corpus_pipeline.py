@@ -52,9 +52,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pieces.encode(docs, keep=("doc_id",), n=1)
+    found = pieces.encode(docs, keep=("doc_id",))
     best = F.get("nbest", F.lit(0))
-    return found.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["sha256"].alias("ids_sha256"), "ids")
+    return found.select("doc_id", best["n_pieces"].alias("n_pieces"), best["score"].alias("score"), best["sha256"].alias("ids_sha256"), "ids", "nbest")
 
 
 STAGES = [("language_id", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
