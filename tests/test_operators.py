@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,3 +372,46 @@ def test_lineage_does_not_go_through_leaves(spark):
     got = G.lineage(pairs, e)
     assert got.where("hops = 4").count() == 19_999
     assert got.where("src = 'c4'").first()["path"] == ["e4>", "r0>", "r1<", "e5<"]
+
+
+def brute_covers(words, groups):
+    last, low, score = [-1] * len(groups), -1, 0.0
+    for at, w in enumerate(words):
+        if any(w in g for g in groups):
+            last = [at if w in g else x for x, g in zip(last, groups, strict=True)]
+            if min(last) > low:
+                low = min(last)
+                score += 1 / (1 + max(0, at - low + 1 - len(groups)))
+    return score
+
+
+def test_search_by_segments(spark, tmp_path):
+    """Postings are made without a shuffle; segments, searched apart, give what a search of each text gives, with an index and without."""
+    rng = random.Random(5)
+    texts = [(k, " ".join(rng.choice(["a", "b", "c", "or", f"w{rng.randint(0, 3)}"]) for _ in range(rng.randint(0, 30)))) for k in range(120)] + [(500, None), (501, ""), (502, "?!")]
+    p = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    assert "Exchange" not in R.postings(spark.createDataFrame(texts, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert R.postings(p).where("term = ''").count() == 3
+    asked = {1: ("a b", [["a"], ["b"]], [], None), 2: ("a or b -w1", [["a", "b"]], ["w1"], None), 3: ("a a w2", [["a"], ["a"], ["w2"]], [], None), 4: ('"a b c"', [["a"], ["b"], ["c"]], [], "a b c"), 5: ("a or b b or c", [["a", "b"], ["b", "c"]], [], None), 6: ("zz a", [["zz"], ["a"]], [], None)}
+    asked[7] = ('"a or b"', [["a", "b"]], [], "a or b")  # `or` is an operator, but a word of the phrase
+    want = {}
+    for qid, (_, groups, never, phrase) in asked.items():
+        for k, t in texts:
+            words = (t or "").split()
+            if all(set(g) & set(words) for g in groups) and not set(never) & set(words) and (phrase is None or f" {phrase} " in f" {t} "):
+                want[qid, k] = round(brute_covers(words, groups), 6)
+    q = spark.createDataFrame([(k, v[0]) for k, v in asked.items()], "query_id long, q string")
+    index = R.index_passages(p, str(tmp_path / "index"))
+    for rows in (R.cover_search(q, p, 200), R.cover_search(q, p, 200, index)):
+        assert {(r["query_id"], r["id"]): r["score"] for r in rows.collect()} == pytest.approx(want)
+    assert {qid for qid, _ in want} == {1, 2, 3, 4, 5, 7}
+    best = {(r["query_id"], r["rank"]): r["id"] for r in R.cover_search(q, p, 3).collect()}
+    for qid in (1, 2, 3, 4, 5):
+        assert [best[qid, n] for n in (1, 2, 3)] == [k for _, k in sorted((-s, k) for (i, k), s in want.items() if i == qid)[:3]]
+
+
+def test_millionths_round_as_spark_does(spark):
+    rng = random.Random(6)
+    x = [rng.randint(0, 10**9) / 2e6 for _ in range(2000)] + [rng.random() * 100 for _ in range(2000)] + [0.0, 1.0000005, 2.0000015]
+    got = [r["y"] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+    assert (R.millionths(np.array(x)) / 1e6).tolist() == got
