@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quire.plans.materialize import written
+from quire.plans.session import small_batches
 
 
 def build_nodes(papers: DataFrame, authorship: DataFrame) -> DataFrame:
@@ -146,16 +151,39 @@ def concept_pairs(mentions: DataFrame, least: int = 2, most: int = LIST) -> Data
     return _common(mentions.select(F.col("work").alias("at"), F.col("concept").alias("x")), least, most)
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links(src, dst), those of a source together -> (src, dsts); a source has a list in each batch that it is in."""
+    for batch in batches:
+        src, dst = batch["src"], batch["dst"]
+        if not len(src):
+            continue
+        new = np.ones(len(src), bool)
+        new[1:] = pc.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(np.append(starts, len(src)).astype(np.int32), dst)
+        yield pa.RecordBatch.from_arrays([src.take(pa.array(starts)), lists], ["src", "dsts"])
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after `rounds` power steps; nodes without out-edges share their rank among all."""
-    e = written(edges.select("src", "dst").distinct(), "links")
-    out = e.groupBy("src").agg(F.count("*").alias("n"))
-    links = written(e.join(out, "src"), "links")
-    nodes = written(e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct(), "nodes")
-    total = nodes.count()
-    rank = written(nodes.withColumn("rank", F.lit(1.0 / max(1, total))), "rank")
+    """(node, rank) after `rounds` power steps; nodes without out-edges share their rank among all. Edges with a null end take no part.
+
+    Links are kept as lists by source, each within a batch of Arrow. A round moves lists to their source's rank, hands out the shares and sums
+    them by target; it sorts no links.
+    """
+    small_batches(edges.sparkSession)
+    node = edges.schema["src"].dataType.simpleString()
+    links = edges.where("src is not null and dst is not null").select("src", F.col("dst").cast(node).alias("dst"))
+    links = links.repartition("src").distinct().withColumn("h", F.xxhash64("src")).sortWithinPartitions("h").select("src", "dst")  # a number is sorted faster than the ends
+    lists = written(links.mapInArrow(_lists, f"src {node}, dsts array<{node}>"), "lists")
+    ends = lists.select(F.col("src").alias("node"), F.size("dsts").cast("long").alias("n")).unionByName(lists.select(F.explode("dsts").alias("node"), F.lit(0).cast("long").alias("n")))
+    nodes = written(ends.groupBy("node").agg(F.sum("n").alias("n")), "nodes")
+    lists = written(lists.join(nodes, lists["src"] == nodes["node"]).select("src", "n", "dsts"), "lists")
+    total, some = nodes.agg(F.greatest(F.count("*"), F.lit(1)), F.count_if(F.col("n") == 0)).first()
+    ending = nodes.where("n = 0").select("node")
+    rank = nodes.select("node", F.lit(1.0 / total).alias("rank"))
     for _ in range(rounds):
-        given = links.join(rank, links["src"] == rank["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        loose = rank.join(out, rank["node"] == out["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        rank = written(nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / total + damping * loose / total) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")), "rank")
+        given = lists.join(rank, lists["src"] == rank["node"]).select(F.explode("dsts").alias("node"), (F.col("rank") / F.col("n")).alias("got"))
+        loose = rank.join(ending, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if some else 0.0
+        got = given.unionByName(nodes.select("node", F.lit(0.0).alias("got"))).groupBy("node").agg(F.sum("got").alias("got"))
+        rank = written(got.select("node", (F.lit((1 - damping) / total + damping * loose / total) + damping * F.col("got")).alias("rank")), "rank")
     return rank

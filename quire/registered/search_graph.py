@@ -264,9 +264,12 @@ _RANK = "WITH l AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS
 
 @query("gr8_pagerank", f"{_RANK} SELECT node, round(rank, 9) AS rank FROM r5")
 def gr8_rank(spark, d):
+    """Nodes are numbers, even ones parts and odd ones suppliers, until they are named at the end."""
     li = table(spark, d, "lineitem")
-    e = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return G.pagerank(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=5).select("node", F.round("rank", 9).alias("rank"))
+    e = li.select(F.shiftleft("l_partkey", 1).alias("src"), F.shiftleft("l_suppkey", 1).bitwiseOR(F.lit(1)).alias("dst"))
+    found = G.pagerank(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), rounds=5)
+    name = F.concat(F.when(F.col("node") % 2 == 0, "p").otherwise("s"), F.shiftright("node", 1))
+    return found.select(name.alias("node"), F.round("rank", 9).alias("rank"))
 
 
 @query("gr8_coupling", "WITH e AS (SELECT DISTINCT l_orderkey % 2000 AS src, l_partkey AS dst FROM lineitem) SELECT x.src AS a, y.src AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2 HAVING n >= 4")

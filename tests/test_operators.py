@@ -415,3 +415,25 @@ def test_millionths_round_as_spark_does(spark):
     x = [rng.randint(0, 10**9) / 2e6 for _ in range(2000)] + [rng.random() * 100 for _ in range(2000)] + [0.0, 1.0000005, 2.0000015]
     got = [r["y"] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
     assert (R.millionths(np.array(x)) / 1e6).tolist() == got
+
+
+def test_pagerank_by_lists(spark):
+    """Repeated links count once, also over batches; hubs, nodes without links out and null ends are as a plain loop has them."""
+    rng = random.Random(8)
+    e = [(0, k) for k in range(1, 12_000)] + [(rng.randint(1, 400), rng.randint(0, 400)) for _ in range(3_000)]
+    rank = {r["node"]: r["rank"] for r in G.pagerank(spark.createDataFrame(e * 3 + [(None, 5), (5, None)], "src long, dst long"), 4).collect()}
+    links = set(e)
+    nodes = {x for pair in links for x in pair}
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    want = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(4):
+        base = (0.15 + 0.85 * sum(want[x] for x in nodes if x not in out)) / len(nodes)
+        new = dict.fromkeys(nodes, base)
+        for a, to in out.items():
+            for b in to:
+                new[b] += 0.85 * want[a] / len(to)
+        want = new
+    assert rank == pytest.approx(want, rel=1e-9)
+    assert G.pagerank(spark.createDataFrame([], "src long, dst long"), 2).count() == 0
