@@ -8,15 +8,16 @@ segmentations from best to worst.
 No piece holds a `▁` after another character, a line break among others, or letters next to other
 characters than `▁`, so every path of the lattice goes through the cuts there. The search therefore runs on
 cells between cuts; a text's N best are the N best sums over its cells, and only the N - 1 cells whose second
-segmentation costs least can differ in them. The Viterbi passes, forwards and backwards, run on all distinct
-cells of equal length at once in arrays and give each cell's best path and the cost of its second; A* then runs
-on the few cells that can differ. Equal scores go to the longer last piece, in the arrays as in A*.
+segmentation costs least can differ in them. A Viterbi pass that keeps two scores a position runs on many distinct
+cells at once, over the arcs of their lattices in arrays, and gives each cell's best path and the cost of its second;
+A* then runs on the few cells that can differ. Equal scores go to the longer last piece, in the arrays as in A*.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +32,66 @@ SPACE = "▁"
 #: Cells that a worker remembers, characters of texts encoded together, and the longest cell that goes through arrays.
 CACHE_CELLS, TOGETHER, LONGEST = 60_000, 400_000, 32
 UNKNOWN_COST = 10.0
+#: Cells that go through arrays together, the kinds of characters where cells are cut, and bits of the table of pieces.
+CELLS, LETTER, BLANK, BREAK, BITS = 16_384, 1, 2, 3, 19
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
 
 
-def _codes(cells: list[str]) -> np.ndarray:
-    """Code points of texts of equal length, a row each."""
-    return np.frombuffer("".join(cells).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(cells), -1)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _spread(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each code point."""
-    x = (codes.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(32))) * _U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> _U(29))
+class _Numbers(dict):
+    """Cells by number; a cell that is asked for the first time gets the next."""
+
+    def __missing__(self, cell: str) -> int:
+        self[cell] = number = len(self)
+        return number
+
+
+class Best:
+    """The best segmentation of each known cell: its score, what the second costs more, and where its ids are."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.used = _Numbers(), 0
+        self.scores, self.losses = np.zeros(1024), np.zeros(1024)
+        self.lows, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, cell: str) -> tuple[float, bytes, float]:
+        if cell not in self.numbers:
+            raise KeyError(cell)
+        k = self.numbers[cell]
+        return float(self.scores[k]), self.ids[self.lows[k] : self.lows[k] + self.sizes[k]].tobytes(), float(self.losses[k])
+
+    def numbered(self, cells: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, cells), np.int64, len(cells))
+
+    def put(self, at: np.ndarray, scores, losses, sizes, ids: np.ndarray) -> None:
+        """Results of the cells with these numbers; ids one cell after another."""
+        if (n := len(self.numbers)) > len(self.scores):
+            for name in ("scores", "losses", "lows", "sizes"):
+                old = getattr(self, name)
+                grown = np.zeros(2 * n, old.dtype)
+                grown[: len(old)] = old
+                setattr(self, name, grown)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.scores[at], self.losses[at], self.sizes[at] = scores, losses, sizes
+        self.lows[at] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def taken(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the cells with these numbers, one after another, and where each cell's end."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.lows[at] - ends + sizes, sizes) + np.arange(sizes.sum())], ends
 
 
 class Lattice:
@@ -71,103 +118,121 @@ class Lattice:
         self.prefixes = {p[:n]: None for p in self.table for n in range(1, len(p) + 1)} | self.table
         if any(regex.search(rf"[^{SPACE}]{SPACE}|\n.|.\n|\p{{L}}[^\p{{L}}]|[^\p{{L}}{SPACE}]\p{{L}}", p, regex.S) for p in self.table):
             raise ValueError("pieces cross the cuts at spaces, line breaks or letters")
-        self.cells = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}\n]+|\n|{SPACE}+")
+        self.kinds = np.zeros(0x110000, np.uint8)
+        for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(len(self.kinds))))):
+            self.kinds[m.start() : m.end()] = LETTER
+        self.kinds[ord(SPACE)], self.kinds[ord("\n")] = BLANK, BREAK
         self._index()
         self.raw = {k: p.encode() for k, p in self.texts.items()} | {k: bytes([b]) for b, k in self.bytes_of.items()}
-        self.best: dict[str, tuple] = {}
+        self.best = Best()
         self.several: dict[tuple, list] = {}
 
     def _index(self) -> None:
-        """Pieces by the hash of their characters, in a table of slots and a second one for pieces whose slot is taken."""
+        """A number for every prefix of a piece, found by that of the prefix without its last character and this character:
+        in a table of slots, and in a second one if the slot is taken."""
         self.longest = max(map(len, self.table))
-        self.powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(self.longest, _BASE, _U)]), dtype=_U)
-        self.hashes, self.scores, self.ids = np.zeros(len(self.table) + 1, _U), np.full(len(self.table) + 1, -np.inf), np.full(len(self.table) + 1, -1, np.int32)
-        rest, self.slots = [], np.zeros((2, 1 << 20), np.int32)
-        for n, (piece, (score, k)) in enumerate(self.table.items(), 1):
-            h = int((_spread(_codes([piece]))[0] * self.powers[: len(piece)]).sum(dtype=_U))
-            self.hashes[n], self.scores[n], self.ids[n] = h, score, k
-            if self.slots[0, h >> 44]:
-                rest.append(n)
+        number = {p: n for n, p in enumerate(self.prefixes, 1)} | {"": 0}
+        self.keys = np.array([0] + [number[p[:-1]] << 32 | ord(p[-1]) for p in self.prefixes], _U)
+        self.keys[0] = _U(0xFFFFFFFFFFFFFFFF)
+        self.scores = np.array([0.0] + [hit[0] if hit else 0.0 for hit in self.prefixes.values()])
+        self.ids = np.array([-1] + [hit[1] if hit else -1 for hit in self.prefixes.values()], np.int32)
+        rng = np.random.default_rng(1)
+        self.slots, left = [], np.arange(1, len(self.keys))
+        while len(left):  # of two pieces with one slot the later has it
+            if len(self.slots) == 8:
+                raise ValueError("the pieces do not fit the tables")
+            factor, slots = _U(rng.integers(1 << 62) * 2 + 1), np.zeros(1 << BITS, np.int32)
+            at = (self.keys[left] * factor >> _U(64 - BITS)).astype(np.int64)
+            slots[at] = left
+            self.slots.append((factor, slots))
+            left = left[slots[at] != left]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the prefix with each key, 0 if none."""
+        out, left = None, None
+        for factor, slots in self.slots:
+            some = keys if left is None else keys[left]
+            hit = slots[(some * factor >> _U(64 - BITS)).astype(np.int64)]
+            wrong = self.keys[hit] != some
+            if left is None:
+                out, left = hit, np.flatnonzero(wrong & (hit > 0))
+                out[wrong] = 0
             else:
-                self.slots[0, h >> 44] = n
-        if len(set(self.hashes.tolist())) <= len(self.table):
-            raise ValueError("two pieces have one hash")
-        # the bits of the second slot are the first that tell the remaining pieces apart
-        self.shift = next(k for k in range(44) if len({int(self.hashes[n]) >> k & 0xFFFFF for n in rest}) == len(rest))
-        for n in rest:
-            self.slots[1, int(self.hashes[n]) >> self.shift & 0xFFFFF] = n
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The row of the piece with each hash, 0 if none."""
-        one = self.slots[0][(h >> _U(44)).astype(np.int64)]
-        two = self.slots[1][(h >> _U(self.shift) & _U(0xFFFFF)).astype(np.int64)]
-        return np.where(self.hashes[one] == h, one, np.where(self.hashes[two] == h, two, 0))
+                out[left] = np.where(wrong, 0, hit)
+                left = left[wrong & (hit > 0)]
+            if not len(left):
+                break
+        return out
 
     def learn(self, cells: list[str]) -> None:
         """Puts the best segmentation of each cell, and what its second costs more, into `best`."""
-        by_length: dict[int, list[str]] = {}
-        for c in cells:
-            by_length.setdefault(len(c), []).append(c)
-        for n, same in by_length.items():
-            for at in range(0, len(same), 4096):
-                some = same[at : at + 4096]
-                if n > LONGEST or len(some) < 4:
-                    for c in some:
-                        self._learn_one(c)
-                else:
-                    self._learn_many(some, n)
-
-    def _learn_one(self, cell: str) -> None:
-        two = self.search(cell, 2)
-        self.best[cell] = (two[0][0], two[0][1], two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
-
-    def _learn_many(self, cells: list[str], n: int) -> None:
-        m = _spread(_codes(cells))
-        count = len(cells)
-        ahead, start, piece = np.full((n + 1, count), -np.inf), np.zeros((n + 1, count), np.int16), np.full((n + 1, count), -1, np.int32)
-        ahead[0] = 0.0
-        arcs = []
+        short = sorted((c for c in cells if len(c) <= LONGEST), key=len, reverse=True)
+        alone = [c for c in cells if len(c) > LONGEST]
+        for lo in range(0, len(short), CELLS):
+            some = short[lo : lo + CELLS]
+            alone += some if len(some) < 4 else self._learn_many(some)
+        for c in alone:
+            two = self.search(c, 2)
+            ids = np.frombuffer(two[0][1], np.int32)
+            self.best.put(self.best.numbered([c]), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else np.inf, np.array([len(ids)]), ids)
+
+    def _arcs(self, cells: list[str], sizes: np.ndarray, have: np.ndarray) -> list[tuple]:
+        """The arcs of all cells, by the length of their pieces less one: (cells, scores, ids, where those from each position begin), by position, then cell.
+
+        `have` is how many cells, the longest first, have a character at each position.
+        """
+        n = sizes[0]
+        at, first = np.repeat(np.arange(n), have), np.cumsum(have) - have
+        cell = np.arange(len(at)) - first[at]
+        codes = _codes("".join(cells))[(np.cumsum(sizes) - sizes)[cell] + at].astype(_U)
+        have, first = np.append(have, np.zeros(self.longest, np.int64)), np.append(first, np.zeros(self.longest, np.int64))
+        node, out = self._find(codes), []
+        ids = self.ids[node]  # a character without a piece becomes its bytes
+        out.append((cell, np.where(ids >= 0, self.scores[node], self.unknown), ids, np.searchsorted(at, np.arange(n + 1)).tolist()))
+        for k in range(1, self.longest):
+            on = np.flatnonzero((node > 0) & (cell < have[at + k]))
+            if not len(on):
+                break
+            at, cell = at[on], cell[on]
+            node = self._find(node[on].astype(_U) << _U(32) | codes[first[at + k] + cell])
+            hit = np.flatnonzero(self.ids[node] >= 0)
+            out.append((cell[hit], self.scores[node[hit]], self.ids[node[hit]], np.searchsorted(at[hit], np.arange(n + 1)).tolist()))
+        return out
+
+    def _learn_many(self, cells: list[str]) -> list[str]:
+        """Learns cells, the longest first, in arrays with a row for each position and a column for each cell; those that need bytes are handed back."""
+        count, sizes = len(cells), np.fromiter(map(len, cells), np.int64, len(cells))
+        n, every = int(sizes[0]), np.arange(len(cells))
+        have = np.searchsorted(-sizes, -np.arange(n))
+        best, second = np.full((n + 1, count), -np.inf), np.full((n + 1, count), -np.inf)
+        start, piece = np.zeros((n + 1, count), np.int16), np.zeros((n + 1, count), np.int32)
+        best[0] = 0.0
+        arcs = self._arcs(cells, sizes, have)
         for i in range(n):
-            h = np.zeros(count, _U)
-            for k in range(min(self.longest, n - i)):
-                h = h + m[:, i + k] * self.powers[k]
-                row = self._find(h)
-                gain = self.scores[row]
-                if k == 0:  # a character without a piece becomes its bytes
-                    gain = np.where(row == 0, self.unknown, gain)
-                elif not row.any():
+            for j, (where, gains, ids, begin) in enumerate(arcs, i + 1):
+                lo, hi = begin[i], begin[i + 1]
+                if lo == hi:
                     continue
-                j, total = i + k + 1, ahead[i] + gain
-                better = total > ahead[j]
-                ahead[j] = np.where(better, total, ahead[j])
-                start[j] = np.where(better, i, start[j])
-                piece[j] = np.where(better, self.ids[row], piece[j])
-                arcs.append((i, j, gain))
-        behind = np.full((n + 1, count), -np.inf)
-        behind[n] = 0.0
-        for i, j, gain in reversed(arcs):
-            behind[i] = np.maximum(behind[i], gain + behind[j])
+                c, gain = where[lo:hi], gains[lo:hi]
+                one, two, had = best[i, c] + gain, second[i, c] + gain, best[j, c]
+                better = one > had
+                second[j, c] = np.maximum(np.minimum(one, had), np.where(better, two, second[j, c]))
+                best[j, c] = np.maximum(one, had)
+                c = c[better]
+                start[j, c], piece[j, c] = i, ids[lo:hi][better]
         on = np.zeros((n + 1, count), bool)
-        on[n] = True
-        every = np.arange(count)
+        on[sizes, every] = True
         for j in range(n, 0, -1):
-            rows = every[on[j]]
-            on[start[j, rows], rows] = True
-        second = np.full(count, -np.inf)
-        for i, j, gain in arcs:
-            other = ~(on[j] & (start[j] == i))
-            second = np.maximum(second, np.where(other, ahead[i] + gain + behind[j], -np.inf))
-        taken = on[1:].T
-        flat, sizes = piece[1:].T[taken], taken.sum(axis=1)
-        ends = np.cumsum(sizes)
-        raw, lows, highs = flat.tobytes(), ((ends - sizes) * 4).tolist(), (ends * 4).tolist()
-        unknown = np.zeros(count, bool)
-        unknown[np.repeat(every, sizes)[flat < 0]] = True
-        for c, score, lo, hi, loss, odd in zip(cells, ahead[n].tolist(), lows, highs, (ahead[n] - second).tolist(), unknown.tolist(), strict=True):
-            if odd:
-                self._learn_one(c)
-            else:
-                self.best[c] = (score, raw[lo:hi], loss)
+            c = np.flatnonzero(on[j])
+            on[start[j, c], c] = True
+        taken = np.ascontiguousarray(on[1:].T)
+        ids, pieces = piece[1:].T[taken], taken.sum(axis=1)
+        odd = np.zeros(count, bool)
+        odd[np.repeat(every, pieces)[ids < 0]] = True
+        ids, known = ids[~np.repeat(odd, pieces)], np.flatnonzero(~odd)
+        top = best[sizes, every]
+        self.best.put(self.best.numbered(cells)[known], top[known], (top - second[sizes, every])[known], pieces[known], ids)
+        return [cells[k] for k in np.flatnonzero(odd).tolist()]
 
     def _lattice(self, cell: str) -> tuple[list, list]:
         """Viterbi scores of all positions, and the arcs that end at each: (start, score, ids)."""
@@ -221,31 +286,49 @@ class Lattice:
             hit = self.several[cell, n] = self.search(cell, n)
         return hit
 
+    def split(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The cells of texts, one text after another, and how many there are up to the end of each.
+
+        A cell is a run of letters, or of others, with the `▁` before it; a line break; or `▁` without either after them.
+        """
+        whole = "".join([SPACE + t if t else t for t in texts]).replace(" ", SPACE)
+        kind = self.kinds[_codes(whole)]
+        new = kind == BREAK
+        new[1:] |= (kind[1:] != kind[:-1]) & (kind[:-1] != BLANK)
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts])
+        new[np.append(0, ends[:-1])[np.diff(ends, prepend=0) > 0]] = True
+        begin = np.flatnonzero(new)
+        cells = [whole[lo:hi] for lo, hi in itertools.pairwise([*begin.tolist(), len(whole)])]
+        return cells, np.searchsorted(begin, ends).tolist()
+
     def encode_all(self, texts: list[str], n: int = 1) -> Iterator[list[tuple[float, list[bytes]]]]:
         """encode() of several texts; their cells are learned together."""
-        split = [self.cells.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {c for cells in split for c in cells if c not in self.best}
-        if len(self.best) + len(new) > CACHE_CELLS:
+        if not texts:
+            return
+        if len(self.best) > CACHE_CELLS:
             self.best.clear()
-            new = {c for cells in split for c in cells}
-        self.learn(sorted(new))
-        for cells in split:
-            yield self._segmentations(cells, n)
+        cells, ends = self.split(texts)
+        known = len(self.best)
+        at = self.best.numbered(cells)
+        self.learn(list(itertools.islice(self.best.numbers, known, None)))
+        ids, stops = self.best.taken(at)
+        scores, losses, stops = self.best.scores[at], self.best.losses[at], np.append(0, stops)
+        for lo, hi in itertools.pairwise([0, *ends]):
+            yield self._segmentations(cells[lo:hi], scores[lo:hi], losses[lo:hi], ids[stops[lo] : stops[hi]].tobytes(), stops[lo : hi + 1] - stops[lo], n)
 
     def encode(self, text: str, n: int = 1) -> list[tuple[float, list[bytes]]]:
-        """The n best segmentations of a whole text: (score, ids of each cell as int32 bytes). An empty text has one, without pieces."""
+        """The n best segmentations of a whole text: (score, ids as int32 bytes, in runs). An empty text has one, without pieces."""
         return next(self.encode_all([text], n))
 
-    def _segmentations(self, cells: list[str], n: int) -> list[tuple[float, list[bytes]]]:
+    def _segmentations(self, cells: list[str], scores: np.ndarray, loss: np.ndarray, raw: bytes, stops: np.ndarray, n: int) -> list[tuple[float, list[bytes]]]:
+        """The n best of a text from the best of its cells, whose ids are `raw`, cut at `stops`."""
         if not cells:
             return [(0.0, [])]
-        scores, ids, losses = zip(*map(self.best.__getitem__, cells), strict=True)
-        total = sum(scores)
+        total = float(scores.sum())
         if n == 1:
-            return [(total, list(ids))]
+            return [(total, [raw])]
         # sums: {cell number: choice} and what they cost, least cost first
         combined: list = [(0.0, ())]
-        loss = np.array(losses)
         near = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if len(loss) > n else np.arange(len(loss))
         for at in sorted(near[np.argsort(loss[near], kind="stable")][: n - 1].tolist()):
             options = self.alternatives(cells[at], n)
@@ -253,10 +336,11 @@ class Lattice:
             combined = heapq.nsmallest(n, grown)
         out = []
         for cost, picked in combined:
-            changed = list(ids)
+            runs, done = [], 0
             for at, k in picked:
-                changed[at] = self.alternatives(cells[at], n)[k][1]
-            out.append((total - cost, changed))
+                runs += [raw[done : 4 * stops[at]], self.alternatives(cells[at], n)[k][1]]
+                done = 4 * stops[at + 1]
+            out.append((total - cost, [*runs, raw[done:]]))
         return out
 
     def decode(self, ids) -> str:
