@@ -119,7 +119,7 @@ class Lattice:
         if any(regex.search(rf"[^{SPACE}]{SPACE}|\n.|.\n|\p{{L}}[^\p{{L}}]|[^\p{{L}}{SPACE}]\p{{L}}", p, regex.S) for p in self.table):
             raise ValueError("pieces cross the cuts at spaces, line breaks or letters")
         self.kinds = np.zeros(0x110000, np.uint8)
-        for m in regex.finditer(r"\p{L}+", "".join(map(chr, range(len(self.kinds))))):
+        for m in regex.finditer(r"\p{L}+", np.arange(len(self.kinds), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")):
             self.kinds[m.start() : m.end()] = LETTER
         self.kinds[ord(SPACE)], self.kinds[ord("\n")] = BLANK, BREAK
         self._index()
