@@ -437,3 +437,15 @@ def test_pagerank_by_lists(spark):
         want = new
     assert rank == pytest.approx(want, rel=1e-9)
     assert G.pagerank(spark.createDataFrame([], "src long, dst long"), 2).count() == 0
+
+
+def test_texts_are_embedded_whole(spark):
+    """Words of every place in a long text count: its vector is that of all its words, whatever their order, and differs from that of its beginning."""
+    from quire.operators import retrieval as R
+
+    words = [f"w{k * 7919 % 5003}" for k in range(6_000)]
+    long, again = " ".join(words), " ".join(reversed(words))
+    texts = spark.createDataFrame([(0, long), (1, again), (2, long[:8_000]), (3, f"{'same ' * 1_700}end"), (4, f"{'same ' * 1_700}other")], "k int, text string")
+    got = {r["k"]: list(r["v"]) for r in texts.select("k", R.hashed_embedding(texts["text"]).alias("v")).collect()}
+    assert got[0] == got[1] != got[2]
+    assert got[3] != got[4]
