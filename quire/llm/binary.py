@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Codes are cut into m segments of about log2(n) bits, each indexed by its value. Round r looks up all segment
+Blocks of codes meet parts of the queries, both of bounded size, and each meeting is one index. Its codes are cut into m segments of
+about log2(n) bits, each indexed by its value. Round r looks up all segment
 values that differ from the query's in exactly r bits, in the first a segments that the query still needs. Any code not met
 by then differs in more than r bits of those a segments and in at least r of the others, so by at least m r + a bits in all; a
 query is done when its kth verified distance is below that, and a is chosen so that it just will be, if a <= m suffices. A code is
@@ -10,7 +11,7 @@ taken in the first round and segment that meet it, which its bits tell, so none
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from quire.plans.materialize import written
 
 
-#: Masks that a task holds at once.
-RUN = 1 << 14
+#: Masks, and probes or candidates, that a task holds at once.
+RUN, HELD = 1 << 14, 1 << 18
+#: Codes of a block, and queries of a part of the query set.
+BLOCK_ROWS, QUERY_ROWS = 1 << 17, 1 << 12
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -41,31 +44,104 @@ def _segments(n: int, bits: int) -> list[tuple[int, int]]:
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:], strict=False)), strict=False))
 
 
-def _part(code: Column, at: int, length: int) -> Column:
-    return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << length) - 1))
-
-
 def _masks(length: int, ones: int) -> Iterator[np.ndarray]:
     """All numbers of `length` bits of which `ones` are set, in runs of at most RUN."""
     every = combinations(range(length), ones)
     while some := list(islice(every, RUN)):
-        yield (np.int64(1) << np.array(some, np.int64)).sum(axis=1) if ones else np.zeros(1, np.int64)
-
-
-def _probes(lengths: list[int], ones: int) -> Callable:
-    """Rows (code, kth, seg, value) -> the same with every value of the segment that differs from it in `ones` bits; made by the tasks, a bounded run at a time."""
-
-    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for seg, rows in p.groupby("seg"):
-                for masks in _masks(lengths[seg], ones):
-                    step = max(1, 8 * RUN // len(masks))
-                    for lo in range(0, len(rows), step):
-                        some = rows.iloc[lo : lo + step]
-                        again = some.loc[some.index.repeat(len(masks))]
-                        yield pd.DataFrame({"code": again["code"].to_numpy(), "kth": again["kth"].to_numpy(), "seg": again["seg"].to_numpy(), "value": (some["value"].to_numpy()[:, None] ^ masks[None, :]).ravel()})
-
-    return of
+        yield (np.uint64(1) << np.array(some, np.uint64)).sum(axis=1, dtype=np.uint64) if ones else np.zeros(1, np.uint64)
+
+
+class _Index:
+    """The codes of a block, by the value of each of their segments."""
+
+    def __init__(self, codes: np.ndarray, bits: int):
+        self.codes, self.cuts = codes, _segments(len(codes), bits)
+        self.rows, self.starts = [], []
+        for s in range(len(self.cuts)):
+            value = self.part(codes, s)
+            order = np.argsort(value, kind="stable")
+            self.rows.append(order)
+            self.starts.append(np.searchsorted(value[order], np.arange((1 << self.cuts[s][1]) + 1, dtype=np.uint64)))
+
+    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
+        at, length = self.cuts[s]
+        return (codes >> np.uint64(at)) & np.uint64((1 << length) - 1)
+
+    def meet(self, codes: np.ndarray, s: int, ones: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of the given codes, rows) of which segment s differs in `ones` bits, a bounded run at a time."""
+        value, starts, rows = self.part(codes, s), self.starts[s], self.rows[s]
+        for masks in _masks(self.cuts[s][1], ones):
+            step = max(1, HELD // len(masks))
+            for lo in range(0, len(codes), step):
+                probe = (value[lo : lo + step, None] ^ masks[None, :]).ravel().astype(np.int64)
+                first, n = starts[probe], starts[probe + 1] - starts[probe]
+                some = np.flatnonzero(n)
+                first, n, ends = first[some], n[some], np.cumsum(n[some])
+                at = 0
+                while at < len(some):  # a probe meets no more rows than a block has
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+                    many, before = n[at:to], ends[at:to] - n[at:to]
+                    place = np.arange(before[0], ends[to - 1]) + np.repeat(first[at:to] - before, many)
+                    yield lo + np.repeat(some[at:to] // len(masks), many), rows[place]
+                    at = to
+
+    def first_met(self, apart: np.ndarray, s: int, ones: int) -> np.ndarray:
+        """Of pairs that differ in the bits `apart`: whether segment s is the first of those that differ in the fewest bits, which are `ones`."""
+        met = np.bitwise_count(self.part(apart, s)) == ones
+        for other in range(len(self.cuts)):
+            if other != s:
+                n = np.bitwise_count(self.part(apart, other))
+                met &= n > ones if other < s else n >= ones
+        return met
+
+
+def _best(query: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of each query, ties to smaller ids, in order."""
+    order = np.lexsort((ids, distance, query))
+    query = query[order]
+    new = np.ones(len(query), bool)
+    new[1:] = query[1:] != query[:-1]
+    every = np.arange(len(query))
+    kept = every - np.maximum.accumulate(np.where(new, every, 0)) < k
+    return query[kept], distance[order][kept], ids[order][kept]
+
+
+def nearest(codes: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the query, distance, id) of the k codes nearest to each of the asked-for ones; all as uint64 but ids."""
+    index = _Index(codes, bits)
+    m = len(index.cuts)
+    kth, upto, live = np.full(len(asked), bits), np.full(len(asked), m), np.arange(len(asked))
+    none = np.zeros(0, np.int64)
+    state, done = (none, none, none), []
+    for r in range(max(length for _, length in index.cuts) + 1):
+        for s in range(m):
+            some = live[upto[live] > s]
+            fresh, held = [state], 0
+            for n, row in index.meet(asked[some], s, r):
+                query = some[n]
+                apart = asked[query] ^ codes[row]
+                distance = np.bitwise_count(apart).astype(np.int64)
+                near = np.flatnonzero(distance <= kth[query])
+                near = near[index.first_met(apart[near], s, r)]
+                fresh.append((query[near], distance[near], ids[row[near]]))
+                held += len(near)
+                if held > HELD:
+                    fresh, held = [_best(*map(np.concatenate, zip(*fresh, strict=True)), k)], 0
+            state = _best(*map(np.concatenate, zip(*fresh, strict=True)), k)
+            ends = np.flatnonzero(np.append(state[0][1:] != state[0][:-1], True)) if len(state[0]) else none
+            full = np.diff(ends, prepend=-1) == k
+            kth[state[0][ends[full]]] = state[1][ends[full]]
+        whole = np.zeros(len(asked), bool)
+        whole[state[0][ends[full]]] = True
+        over = whole & (kth < m * r + upto)
+        out = over[state[0]]
+        done.append(tuple(x[out] for x in state))
+        state = tuple(x[~out] for x in state)
+        live = live[~over[live]]
+        if not len(live):
+            break
+        upto[live] = np.minimum(m, np.maximum(1, kth[live] - m * (r + 1) + 1))
+    return tuple(map(np.concatenate, zip(*done, state, strict=True)))
 
 
 def search(codes: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> DataFrame:
@@ -75,40 +151,26 @@ def search(codes: DataFrame, queries: Column, k: int = 10, bits: int = 64) -> Da
     returned. Equal codes are one class of its k + 1 least ids (more can never be among k nearest), and equal queries are one search.
     """
     rows = written(codes.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("code").cast("long").alias("code"), F.coalesce(queries, F.lit(False)).alias("asks")).where("vec_id is not null and code is not null").distinct(), "codes")
-    spark = rows.sparkSession
     least = F.row_number().over(W.partitionBy("code").orderBy("vec_id"))
     points = written(rows.select("code", "vec_id").distinct().withColumn("r", least).where(F.col("r") <= k + 1).drop("r"), "points")
-    cuts = _segments(points.count(), bits)
-    m = len(cuts)
-    widest = max(length for _, length in cuts)
-    index = written(points.select("vec_id", F.col("code").alias("found"), F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _part(F.col("code"), at, n).alias("value")) for s, (at, n) in enumerate(cuts)])).alias("p")).select("p.seg", "p.value", "vec_id", "found"), "index")
-    live = written(rows.where("asks").select("code").distinct().withColumns({"kth": F.lit(bits), "upto": F.lit(m)}), "searches")
-    # at least k + 1 rows are needed: the query's own row may be among them
-    state = spark.createDataFrame([], "code long, vec_id long, distance int")
-    done = []
-    for r in range(widest + 1):
-        values = F.array(*[_part(F.col("code"), at, n) for at, n in cuts])
-        asked = live.select("code", "kth", "upto", F.posexplode(values).alias("seg", "value")).where("seg < upto").select("code", "kth", "seg", "value")
-        probes = asked.mapInPandas(_probes([n for _, n in cuts], r), "code long, kth int, seg int, value long")
-        met = probes.join(index, ["seg", "value"])
-        apart = [F.bit_count(_part(F.col("code").bitwiseXOR(F.col("found")), at, n)) for at, n in cuts]
-        low = F.least(*apart) if m > 1 else apart[0]
-        first = F.coalesce(*[F.when(a == low, F.lit(s)) for s, a in enumerate(apart)])
-        distance = F.bit_count(F.col("code").bitwiseXOR(F.col("found")))
-        fresh = met.where((low == r) & (first == F.col("seg")) & (distance <= F.col("kth"))).select("code", "vec_id", distance.alias("distance"))
-        rank = F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id"))
-        state = written(state.join(live, "code", "left_semi").unionByName(fresh).withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank"), "nearest")
-        full = state.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        after = live.join(full, "code", "left").withColumn("kth", F.when(F.coalesce("n", F.lit(0)) > k, F.col("far")).otherwise(F.lit(bits)))
-        over = (F.coalesce("n", F.lit(0)) > k) & (F.col("kth") < m * r + F.col("upto"))
-        after = written(after.select("code", "kth", over.alias("over"), F.least(F.lit(m), F.greatest(F.lit(1), F.col("kth") - m * (r + 1) + 1)).alias("upto")), "covered")
-        done.append(state.join(after.where("over" if r < widest else "true"), "code", "left_semi"))
-        live = after.where("not over").select("code", "kth", "upto")
-        if r < widest and live.isEmpty():
-            break
-    near = done[0]
-    for d in done[1:]:
-        near = near.unionByName(d)
+    live = written(rows.where("asks").select("code").distinct(), "searches")
+    blocks, parts = max(1, -(-points.count() // BLOCK_ROWS)), max(1, -(-live.count() // QUERY_ROWS))
+
+    def spread(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = points.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("part", spread(parts))
+    right = live.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts))).withColumn("block", spread(blocks))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # at least k + 1 rows are needed: the query's own row may be among them
+        asked = b["code"].to_numpy(np.int64)
+        query, distance, ids = nearest(a["code"].to_numpy(np.int64).view(np.uint64), a["vec_id"].to_numpy(np.int64), asked.view(np.uint64), k + 1, bits) if len(a) and len(b) else [np.zeros(0, np.int64)] * 3
+        return pd.DataFrame({"code": asked[query], "vec_id": ids, "distance": distance})
+
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, "code long, vec_id long, distance long")
+    rank = F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id"))
+    near = met.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
     own = rows.where("asks").select(F.col("vec_id").alias("query_id"), "code")
     rank = F.row_number().over(W.partitionBy("query_id", "code").orderBy("distance", "vec_id"))
     return own.join(near, "code").where("vec_id <> query_id").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("distance").cast("int").alias("distance"))

@@ -396,6 +396,29 @@ def test_hamming_search(spark):
     assert [tuple(r) for r in few.collect()] == [(0, 1, 1, 2)]
 
 
+def test_hamming_search_by_blocks(spark, monkeypatch):
+    """Probes stay in the tasks: before, they were rows that a plan took for few and sent to the driver. Small blocks, parts and runs give what brute force gives, far queries too."""
+    rng = random.Random(10)
+    near = [rng.getrandbits(64) for _ in range(20)]
+    codes = [rng.getrandbits(64) for _ in range(300)] + [near[k % 20] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for k in range(300)] + [0, 2**64 - 1] + [7] * 30
+    table = spark.createDataFrame([(i, rows_code(c)) for i, c in enumerate(codes)], "vec_id long, code long")
+    plans, kept = [], binary.written
+    monkeypatch.setattr(binary, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or kept(df, name))
+    for name, value in ((None, None), ("BLOCK_ROWS", 100), ("QUERY_ROWS", 7), ("HELD", 9), ("RUN", 5)):
+        if name:
+            monkeypatch.setattr(binary, name, value, raising=False)
+        if name in (None, "QUERY_ROWS", "RUN"):
+            got = {}
+            found = binary.search(table, F.col("vec_id") % 20 == 0, k=5)
+            plans.append(found._jdf.queryExecution().toString())
+            for r in found.collect():
+                got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["distance"])
+            for q in range(0, len(codes), 20):
+                want = sorted((bin(codes[q] ^ c).count("1"), i) for i, c in enumerate(codes) if i != q)[:5]
+                assert got[q] == {n: (i, d) for n, (d, i) in enumerate(want, 1)}
+            assert not any("MapInPandas" in p for p in plans)
+
+
 def rows_code(c):
     return c - 2**64 if c >= 2**63 else c
 
